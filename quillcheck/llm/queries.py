@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillcheck.llm import quality_rules
-from quillcheck.llm.common import table
+from quillcheck.llm import media, quality_rules, simhash
+from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(media.encode(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    digests = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return media.features(stored).select(*digests, media.feature_text().alias("feature"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_simhash_golay": op8_simhash_golay,
+    "op10_media_columns": op10_media_columns,
 }
 
 SQL: dict[str, str] = {}
