@@ -6,17 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillcheck.llm import media, quality_rules, simhash
+from quillcheck.llm import media, packing, quality_rules, repair_shards, simhash
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; every executor has the package that holds it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return repair_shards.read_back(shards)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -29,7 +45,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_repair_tokens": op3_repair_tokens,
     "op5_quality_rules": op5_quality_rules,
+    "op7_best_two_fit": op7_best_two_fit,
     "op8_simhash_golay": op8_simhash_golay,
     "op10_media_columns": op10_media_columns,
 }
