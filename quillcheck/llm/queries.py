@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillcheck.llm import media, packing, quality_rules, repair_shards, simhash
+from quillcheck.llm import media, mixing, packing, quality_rules, repair_shards, simhash, substring_dedup
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose text: what stays, what went, and the documents that have it first."""
+    changed = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    return changed.select("doc_id", "first_doc_ids", "n_units", "n_removed", "removed", "text")
+
+
 def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = repair_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return repair_shards.read_back(shards)
@@ -29,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -45,8 +55,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_repair_tokens": op3_repair_tokens,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_simhash_golay": op8_simhash_golay,
     "op10_media_columns": op10_media_columns,
