@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillcheck.llm import media, mixing, packing, quality_rules, repair_shards, simhash, substring_dedup
+from quillcheck.llm import media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.read_back(shards)
 
 
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -57,6 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_repair_tokens": op3_repair_tokens,
+    "op4_contextual_pii": op4_contextual_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_best_two_fit": op7_best_two_fit,
