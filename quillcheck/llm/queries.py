@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.llm import media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup
+from quillcheck.llm import lm_score, media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup, url_filter
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ef_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose text: what stays, what went, and the documents that have it first."""
     changed = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
@@ -54,6 +58,10 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op9_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.encode(table(spark, sf_dir, "documents")), "media", compression="zstd")
     digests = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
@@ -61,6 +69,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ef_trie_scores": op1_ef_trie_scores,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_repair_tokens": op3_repair_tokens,
     "op4_contextual_pii": op4_contextual_pii,
@@ -68,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_simhash_golay": op8_simhash_golay,
+    "op9_url_trees": op9_url_trees,
     "op10_media_columns": op10_media_columns,
 }
 
