@@ -54,7 +54,7 @@ class EliasFano:
         upper = (ones - np.arange(start, stop)).astype(np.uint64)
         width = self.shift // 8
         low = np.zeros((stop - start, 8), np.uint8)
-        low[:, :width] = self.low[start * width : stop * width].reshape(-1, width)
+        low[:, :width] = self.low[start * width : stop * width].reshape(stop - start, width)
         return (upper << np.uint64(self.shift) if self.shift < 64 else 0) | low.view("<u8").reshape(-1)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
