@@ -138,7 +138,7 @@ def looks_styled(text: Column | str) -> Column:
 
 def list_marker(text: Column | str) -> Column:
     """Struct (marker, type) of a marker typed at the start of a text; both null without one."""
-    plain, kind = F.translate(stripped(text), "", "—••"), F.lit(None).cast("string")
+    plain, kind = F.translate(stripped(text), "\uf02d\uf076\uf0b7", "—••"), F.lit(None).cast("string")
     for name, pattern in reversed(fixed.LIST_MARKERS):
         kind = F.when(plain.rlike(pattern), name).otherwise(kind)
     return F.struct(F.when(kind.isNotNull(), F.element_at(F.split(plain, r"(?U)\s+"), 1)).alias("marker"), kind.alias("type"))
@@ -146,7 +146,7 @@ def list_marker(text: Column | str) -> Column:
 
 def automatic_marker_type(number_format: Column | str, marker: Column | str) -> Column:
     """Type of an automatic list level from its format and its marker text."""
-    m = F.translate(stripped(F.coalesce(_col(marker), F.lit(""))), "", "—••")
+    m = F.translate(stripped(F.coalesce(_col(marker), F.lit(""))), "\uf02d\uf076\uf0b7", "—••")
     return (
         F.when(m.isin("—", "–"), "dash")
         .when(m == "-", "hyphen")

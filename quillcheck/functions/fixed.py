@@ -3,7 +3,7 @@
 Patterns are Java regular expressions; (?U) makes classes and word boundaries Unicode-aware, (?i) folds case.
 """
 
-NBSP = " "
+NBSP = "\u00a0"
 
 UNITS = (
     "мм", "см", "м", "км", "г", "кг", "мг", "с", "мин", "ч", "л", "мл",
@@ -29,11 +29,11 @@ TYPOGRAPHY = (
     ("math_operator_nbsp", rf"(?U)(?<=[A-Za-z0-9])(?: |{NBSP})?([+±×·=])(?: |{NBSP})?(?=[A-Za-z0-9])|(?<=\d)(?: |{NBSP})?:(?: |{NBSP})?(?=\d)", "error"),
     ("slash_without_spaces", r"(?U)(?<=\w)\s+/\s+(?=\w)", "error"),
     ("wrong_multiplication_symbols", r"(?U)(?<=\d)\s*[*xX]\s*(?=\d|[a-zA-Zа-яА-Я])", "error"),
-    ("hyphen_instead_of_minus", r"(?U)(?:(?<=[=+  ])-\d|(?<=\w)\s-\s(?=\w))", "warning"),
+    ("hyphen_instead_of_minus", r"(?U)(?:(?<=[=+\u00a0 ])-\d|(?<=\w)\s-\s(?=\w))", "warning"),
     ("decimal_separator_comma", r"(?U)(?<![\w.])\d+\.\d+\b(?!\.\d)", "error"),
     ("degree_symbol", r"(?U)\b\d+(?:[,.]\d+)?\s*[oO](?=\s*(?:C|F|С|К|K)\b)", "error"),
     ("multiplication_symbol", r"(?U)(?<=\d)\s*[*xX]\s*(?=\d|[a-zA-Zа-яА-Я])", "error"),
-    ("minus_symbol", r"(?U)(?:(?<=[=+  ])-\d|(?<=\w)\s-\s(?=\w))", "warning"),
+    ("minus_symbol", r"(?U)(?:(?<=[=+\u00a0 ])-\d|(?<=\w)\s-\s(?=\w))", "warning"),
     ("numeric_range_dash", r"(?U)\b\d+\s*-\s*\d+\b", "error"),
     ("numeric_range_dash", r"(?U)\b\d+\s+[–—]\s+\d+\b", "error"),
     ("numeric_range_dash", r"(?U)[-−]\d+\s*[–—-]\s*[+-]?\d+", "warning"),
