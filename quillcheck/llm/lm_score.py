@@ -42,7 +42,7 @@ from quillcheck.llm.ef_trie import Trie
 
 HELD_OUT = 10
 DISCOUNT, ADD = 0.75, 0.1
-BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 5_000_000, 2_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 3_000_000, 2_000_000, 2_000_000
 #: A context is spread over one shard for each so many parts of a shard's tokens.
 SPREAD = 4
 END = 0  # local code of the end of a text, whose hash is that of the empty word
@@ -73,14 +73,33 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Byte by byte of each code: frequent words have small codes, so the upper bytes are mostly zero."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in (_packed(np.ascontiguousarray(codes.view(np.uint8)[k::4])) for k in range(4)))
+
+
+def _unpacked_codes(data: bytes) -> np.ndarray:
+    planes, at = [], 0
+    for _ in range(4):
+        n = int.from_bytes(data[at : at + 8], "little")
+        planes.append(_unpacked(data[at + 8 : at + 8 + n], np.uint8))
+        at += 8 + n
+    return np.stack(planes, axis=1).reshape(-1).view("<u4")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = itertools.count(TaskContext.get().partitionId() << 32)
     schema = _arrow(BLOCKS)
     index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
 
     def block() -> pa.RecordBatch:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-        row = {"block": next(number), "n_tokens": n, "n_words": len(index), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "null_ids": np.array([k for k, i in enumerate(ids) if i is None], "<u4").tobytes(), "held": np.array(held, np.uint8).tobytes(), "sizes": np.array(sizes, "<u4").tobytes(), "hashes": hashes.tobytes(), "codes": _packed(np.concatenate(codes))}
+        hashes, every = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.concatenate(codes)
+        counts = np.bincount(every, minlength=len(index))
+        counts[END] = n + 1  # stays first
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(index), "<u4")
+        rank[order] = np.arange(len(index))
+        row = {"block": next(number), "n_tokens": n, "n_words": len(index), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "null_ids": np.array([k for k, i in enumerate(ids) if i is None], "<u4").tobytes(), "held": np.array(held, np.uint8).tobytes(), "sizes": np.array(sizes, "<u4").tobytes(), "hashes": hashes[order].tobytes(), "codes": _packed_codes(rank[every])}
         return pa.RecordBatch.from_pylist([row], schema)
 
     for batch in batches:
@@ -110,7 +129,7 @@ class Block:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         nulls = set(np.frombuffer(row["null_ids"], "<u4").tolist())
         self.doc_ids = [None if k in nulls else i for k, i in enumerate(np.frombuffer(row["doc_ids"], "<i8").tolist())]
-        self.codes = _unpacked(row["codes"], np.uint32).astype(np.int64)
+        self.codes = _unpacked_codes(row["codes"]).astype(np.int64)
         self.train = np.repeat(~self.held, self.sizes)
 
     def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
