@@ -81,4 +81,23 @@ QUERIES: dict[str, Query] = {
     "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {}
+#: Rows are told apart by their place, so that repeated doc_ids count as in the query.
+_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+sums AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (w = upper(w) AND w <> lower(w)) AS n_upper FROM words GROUP BY r),
+grams AS (SELECT r, i, w, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+repeated AS (SELECT r, i FROM grams WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, w, b, c) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_upper, 0) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclamations FROM d LEFT JOIN sums USING (r) LEFT JOIN covered USING (r) LEFT JOIN dup USING (r)),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (2 * n_upper > n_words)::INT + 16 * (10 * n_exclamations > 3 * n_words)::INT
+  + 32 * (100 * n_dup_lines > 70 * n_lines)::INT + 64 * (word_chars > 40 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, 'v1' AS policy FROM f
+"""
+
+SQL: dict[str, str] = {"op5_quality_rules": _OP5}
