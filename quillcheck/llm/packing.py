@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.llm.common import from_batches, prefix_sum, written
-from quillcheck.llm.token_ids import encoder
+from quillcheck.llm.common import prefix_sum, written
+from quillcheck.llm.token_ids import encoded
 
 END_ID, SIZE = 1, 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, in_block long"
@@ -43,20 +43,20 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """Pieces of at most size tokens; in_block is a piece's rank among those of its length in its block (a task)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer, False)._ids, np.array([END_ID], "<u4").tobytes()
-        block, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(from_batches(batch, "doc_id"), from_batches(batch, "text")):
-                ids = memoryview(ids_of(text or "") + end)
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    n = len(part) // 4
-                    rows.append((doc_id, k, at // 4, n, zlib.crc32(part), block, int(seen[n])))
-                    seen[n] += 1
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(PIECES))
+        end, block, seen = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        kinds, rows = [pa.int64(), pa.int32(), *[pa.int64()] * 5], []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=_names(PIECES))
+        for doc_id, ids in encoded(batches, tokenizer, False):
+            whole = memoryview(ids + end)
+            for k, at in enumerate(range(0, len(whole), 4 * size)):
+                part = whole[at : at + 4 * size]
+                n = len(part) // 4
+                rows.append((doc_id, k, at // 4, n, zlib.crc32(part), block, int(seen[n])))
+                seen[n] += 1
+            if len(rows) >= 10_000:
+                yield table()
+                rows = []
+        yield table()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -30,18 +30,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.llm.common import from_batches, prefix_sum, written
-from quillcheck.llm.token_ids import encoder
+from quillcheck.llm.common import prefix_sum, written
+from quillcheck.llm.token_ids import encoded
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: A pair becomes a rule from this count on; so many new rules at most in a round, and so many rounds at most.
-MIN_COUNT, ROUND_RULES, ROUNDS = 24, 1 << 14, 8
+MIN_COUNT, ROUND_RULES, ROUNDS = 24, 1 << 14, 4
 
 SHARDS = "shard long, n_docs long, n_tokens long, base int, doc_ids binary, null_ids binary, doc_tokens binary, rules binary, rounds binary, lengths binary, sequence binary"
 DECODED = "shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    """A pair's place in a table of 2^20 marks."""
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
+def _marked(pairs: np.ndarray) -> np.ndarray:
+    marks = np.zeros(1 << 20, bool)
+    marks[_slot(pairs)] = True
+    return marks
+
+
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray]:
     """(base, rules, rules of each round, expansion lengths, sequence) of the ids of one shard."""
     base = int(ids.max(initial=0)) + 1
@@ -59,12 +70,15 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, list[int], np.ndarray, n
             break
         often = np.sort(often[np.argsort(-counts[often], kind="stable")[:ROUND_RULES]])
         chosen = ordered[starts[often]]
-        at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = np.flatnonzero(chosen[at] == pairs)
+        maybe = np.flatnonzero(_marked(chosen)[_slot(pairs)])  # few of the others get through
+        at = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
+        sure = chosen[at] == pairs[maybe]
+        hit, at = maybe[sure], at[sure]
         # of neighbouring hits each second one is left out, from the left
         run = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
-        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
-        used, rule = np.unique(at[hit], return_inverse=True)
+        taken = (np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0
+        hit = hit[taken]
+        used, rule = np.unique(at[taken], return_inverse=True)
         first = len(lengths)
         left, right = (chosen[used] >> np.uint64(32)).astype(np.uint32), chosen[used].astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
@@ -135,23 +149,21 @@ def write_shards(documents: DataFrame, tokenizer: str) -> DataFrame:
     """Encodes and writes all documents; returns the table of records. Shard numbers ascend with doc_id."""
     schema = _arrow_schema()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, True)._ids
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         number, doc_ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(from_batches(batch, "doc_id"), from_batches(batch, "text")):
-                doc_ids.append(doc_id)
-                parts.append(ids_of(text or "") + end)
-                size += len(parts[-1])
-                if size >= 4 * SHARD_TOKENS:
-                    yield pa.RecordBatch.from_pylist([record(number, doc_ids, parts)], schema)
-                    number, doc_ids, parts, size = number + 1, [], [], 0
+        for doc_id, ids in encoded(batches, tokenizer, True):
+            doc_ids.append(doc_id)
+            parts.append(ids + end)
+            size += len(parts[-1])
+            if size >= 4 * SHARD_TOKENS:
+                yield pa.RecordBatch.from_pylist([record(number, doc_ids, parts)], schema)
+                number, doc_ids, parts, size = number + 1, [], [], 0
         if doc_ids:
             yield pa.RecordBatch.from_pylist([record(number, doc_ids, parts)], schema)
 
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(encoded, SHARDS), "token-shards", compression="zstd")
+    return written(ordered.mapInArrow(shards, SHARDS), "token-shards", compression="zstd")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

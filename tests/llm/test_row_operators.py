@@ -85,7 +85,7 @@ def test_cached_ids_are_those_of_whole_texts(name, spaces):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
-    odd = ["a  b\n\n c d\te", " x", "x ", "\n\n", "", "don't stop\n 's <|endoftext|> a<|endoftext|>b", "é́ ´", "ΑΣ ΑΣ", "a b    c", "12 3456", "a\x01b c\x01 d", "a\r\nb c", "\x01", "x\x01"]
+    odd = ["a  b\n\n c d\te", " x", "x ", "\n\n", "", "don't stop\n 's <|endoftext|> a<|endoftext|>b", "é́ ´", "ΑΣ ΑΣ", "a b    c", "12 3456", "a\x01b c\x01 d", "a\r\nb c", "\x01", "x\x01", "Straße, ÉTÉ!? naïve... don't; a,b µm ªx ×y ÿ Ɏ.", "word.\nNext, (x) it's I'll, we've: A.B"]
     every = [t or "" for _, t, *_ in edge_rows()] + odd
     tokens = token_ids.Encoder(path, spaces)
     for _ in range(2):
