@@ -94,7 +94,11 @@ STRUCTURAL = (
     ("additional_section_required", "document", (("дополнительного раздела",), ("должно быть включено",)), (), "true", None, 0.62),
 )
 UNCHECKED = ("title_page_topic_match", "document_language", "section_conclusions_required", "first_main_section_review_required", "additional_section_required", "recommended_work_volume")
-STRUCTURE_ELEMENTS = ("титульный лист", "задание", "аннотация", "содержание", "введение", "основная часть", "заключение", "список использованных источников", "приложения")
+STRUCTURE_ELEMENTS = (
+    "титульный лист", "задание", "календарный план", "реферат", "аннотацию", "аннотация", "содержание", "определения", "обозначения", "сокращения", "введение", "основная часть", "заключение", "список использованных источников", "приложения",
+)
+VOLUME = r"(?iU)для\s+([^–—-]+)[–—-]\s*(\d+)\s*[–—-]\s*(\d+)\s+страниц"
+LEAST_REFERENCES = r"(?U)(?:минимум|не\s+менее|не\s+меньше|необходим[оа]?\s+не\s+менее)\s+(\d+)\s+источник"
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -357,7 +361,7 @@ def candidates(statement_rows: DataFrame) -> DataFrame:
     target = F.coalesce("own_target", target_of(F.col("parameter")))
     supported = F.col("parameter").isin(*SUPPORTED)
     rows = rows.withColumn("target", target).withColumn("status", F.when(~supported, "unsupported").otherwise(F.coalesce("own_status", F.when(target.isNull(), "needs_review").otherwise("extracted"))))
-    rows = rows.withColumn("confidence", F.when(~supported, 0.4).otherwise(F.coalesce("own_confidence", F.when(target.isNull(), 0.5).otherwise(0.8)))).withColumn("value_text", value_text())
+    rows = rows.withColumn("confidence", F.when(~supported, 0.35).otherwise(F.coalesce("own_confidence", F.when(target.isNull(), 0.5).otherwise(0.8)))).withColumn("value_text", value_text())
     rows = _deduplicated(rows, "source_document", "target", "parameter", "operator", "value_text")
     return rows.select("source_document", "section_ix", "fragment_ix", "statement_ix", "place", "target", "parameter", "operator", "value_num", "value_str", "value_list", "value_text", "unit", F.coalesce("modality", F.lit("unknown")).alias("modality"), F.col("text").alias("source_text"), F.col("number").alias("source_section"), "confidence", "status", "delta")
 
@@ -381,10 +385,10 @@ def structural_candidates(statement_rows: DataFrame, longest: int = 1200) -> Dat
     out.append(made(intro & _any(t, ("структур", "состав")) & _any(t, ("включ", "состоит")) & ~t.contains("библиографическое описание") & (elements != ""), "required_document_structure", "document", elements, None, 0.7))
     items = F.array_join(F.filter(F.array(F.when(t.contains("актуальност"), "обоснование актуальности"), F.when(t.contains("цел") & t.contains("задач"), "цели и задачи"), F.when(t.contains("объект") & t.contains("предмет"), "объект и предмет")), lambda e: e.isNotNull()), "; ")
     out.append(made(t.contains("введени") & (items != ""), "introduction_required_content", "document", items, None, 0.68))
-    least = C.first_match(t, r"(?U)не менее\s+(\d+)\s+(?:\w+\s+)?источник", 1)
+    least = C.first_match(t, LEAST_REFERENCES, 1)
     out.append(made(least.isNotNull(), "references_min_count", "document", least, "mandatory", 0.78))
-    volume = r"(?iU)для\s+([^—–;.]{3,60}?)\s*[—–-]\s*(\d+)\s*[—–-]\s*(\d+)\s*страниц"
-    volumes = F.array_join(F.transform(F.regexp_extract_all("full", F.lit(volume), F.lit(0)), lambda x: F.concat(F.regexp_extract(x, volume, 1), F.lit(": "), F.regexp_extract(x, volume, 2), F.lit("-"), F.regexp_extract(x, volume, 3))), "; ")
+    volume = VOLUME
+    volumes = F.array_join(F.transform(F.regexp_extract_all("full", F.lit(volume), F.lit(0)), lambda x: F.concat(F.trim(F.regexp_extract(x, volume, 1)), F.lit(": "), F.regexp_extract(x, volume, 2), F.lit("-"), F.regexp_extract(x, volume, 3))), "; ")
     out.append(made(volumes != "", "recommended_work_volume", "document", volumes, "recommended", 0.68))
     each = parts.select("source_document", "section_ix", "number", "full", "modality", F.posexplode(F.filter(F.array(*out), lambda c: c.isNotNull())).alias("place", "c")).select("*", "c.*").drop("c")
     none = F.lit(None)

@@ -182,13 +182,18 @@ def mixed_sizes(paragraphs: DataFrame) -> DataFrame:
 def emphasis_methods(paragraphs: DataFrame) -> DataFrame:
     """Documents whose main text is emphasised in more than one way."""
     runs = written_runs(paragraphs.where("paragraph_type = 'main_text'"))
-    marks = ((F.col("run_bold"), "bold"), (F.col("run_italic"), "italic"), (F.col("underline"), "underline"), (F.col("all_caps"), "capitals"), (F.col("font_color") != "000000", "colour"))
+    bold, italic = F.coalesce("run_bold", F.lit(False)), F.coalesce("run_italic", F.lit(False))
+    marks = (
+        (bold & italic, "bold_italic"), (bold & ~italic, "bold"), (italic & ~bold, "italic"), (F.col("font_color") != "000000", "color"), (F.col("underline"), "underline"), (F.coalesce("strike", F.lit(False)) | F.coalesce("double_strike", F.lit(False)), "strike"), (F.col("small_caps"), "small_caps"),
+        (F.coalesce("all_caps", F.lit(False)) | F.col("run_text").rlike(CAPITALS), "all_caps"), (F.coalesce("character_spacing", F.lit(0)) != 0, "character_spacing"),
+    )
     ways = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in marks))
     sets = runs.select("doc_id", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("way")).groupBy("doc_id").agg(F.array_sort(F.collect_set("way")).alias("ways")).where(F.size("ways") > 1)
     return sets.select("doc_id", F.lit(None).cast("int").alias("para_ix"), F.lit("emphasis_methods_consistency").alias("parameter"), F.array_join("ways", ", ").alias("actual"), F.lit("one method").alias("expected"), F.lit("warning").alias("level"))
 
 
-KNOWN_CAPITALS = ("JAVASCRIPT", "POSTGRESQL", "TYPESCRIPT")
+#: Words of so many capitals count as emphasis.
+CAPITALS = "[A-ZА-ЯЁ]{8,}"
 
 
 def run_faults(paragraphs: DataFrame, size_rules: DataFrame | None = None) -> DataFrame:
@@ -197,7 +202,7 @@ def run_faults(paragraphs: DataFrame, size_rules: DataFrame | None = None) -> Da
     whole = (F.size(colours) == 1) & F.get(colours, F.lit(0)).isNotNull() & (F.get(colours, F.lit(0)) != "000000")
     runs = written_runs(paragraphs.withColumn("_whole", F.coalesce(whole, F.lit(False))), "_whole", "font_size_pt")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    word = F.get(F.filter(C.all_matches("run_text", r"(?U)\b\p{Lu}{8,}\b"), lambda w: ~w.isin(*KNOWN_CAPITALS)), F.lit(0))
+    word = C.first_match("run_text", CAPITALS)
     fault = lambda p, bad, actual, expected: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(p).alias("parameter"), actual.cast("string").alias("actual"), F.lit(expected).alias("expected"), F.lit("error").alias("level")))
     faults = F.array(
         fault("font_color", F.col("font_color") != "000000", F.col("font_color"), "000000"), fault("underline", yes("underline"), F.col("run_text"), "no underline"), fault("strike", yes("strike"), F.col("run_text"), "no strike"), fault("double_strike", yes("double_strike"), F.col("run_text"), "no strike"), fault("small_caps", yes("small_caps"), F.col("run_text"), "no small capitals"),

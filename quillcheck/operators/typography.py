@@ -14,9 +14,10 @@ _RULE = ("profile_id", "rule_id", "source_section", "target", "parameter", "moda
 
 def in_scope() -> Column:
     """Paragraphs that are checked: with text, no title page, no bibliography, no code."""
-    section = F.coalesce(F.col("logical_section"), F.lit(""))
-    style = F.lower(F.coalesce(F.col("style_name"), F.lit("")))
-    return (F.coalesce("text", F.lit("")) != "") & (F.coalesce("paragraph_type", F.lit("")) != "title_page") & (section != "references") & ~style.rlike("code|код|листинг")
+    style, text = F.lower(F.coalesce(F.col("style_name"), F.lit(""))), F.coalesce("text", F.lit(""))
+    bibliography = style.rlike("bibliography|литератур") | text.rlike(r"(?U)^\s*\[\d+\]\s+")
+    code = style.rlike("code|код") | text.rlike(r"(?U)^\s*(def |class |import |from |if \(|for \()")
+    return (text != "") & (F.coalesce("paragraph_type", F.lit("")) != "title_page") & ~bibliography & ~code
 
 
 def ignored_value(fragment: Column, text: Column) -> Column:

@@ -78,7 +78,10 @@ def front_matter(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.join(start, "doc_id").where("para_ix < _start and table_ix is null").select("doc_id", "para_ix")
 
 
-FRONT_TABLE_WORDS = ("министерство", "университет", "институт", "кафедра", "факультет", "студент", "группа", "руководитель", "задание", "утверждаю", "подпись", "дата", "календарный план", "срок")
+# Words of front-matter tables.
+FRONT_TABLE_WORDS = (
+    "министерство", "университет", "институт", "высшая школа", "кафедра", "направление подготовки", "профиль подготовки", "руководитель", "студент", "обучающийся", "выпускная квалификационная", "задание", "наименование института", "должность",
+)
 
 
 def front_matter_tables(paragraphs: DataFrame, words: tuple[str, ...] = FRONT_TABLE_WORDS, least: int = 2) -> DataFrame:
@@ -89,14 +92,14 @@ def front_matter_tables(paragraphs: DataFrame, words: tuple[str, ...] = FRONT_TA
 
 
 def leading_contents(paragraphs: DataFrame, least: int = 3) -> DataFrame:
-    """(doc_id, para_ix) of a list of headings that stands before any other text."""
-    body = paragraphs.where(C.not_blank("text") & F.col("table_ix").isNull() & ~F.col("paragraph_type").isin("title_page", "empty"))
-    first = body.groupBy("doc_id").agg(F.min(F.when(F.col("paragraph_type") != "heading", F.col("para_ix"))).alias("_text"))
-    before = body.join(first, "doc_id").where((F.col("paragraph_type") == "heading") & (F.col("para_ix") < F.col("_text")))
-    last = Window.partitionBy("doc_id")
-    # the heading right above the text opens it
-    ranked = before.withColumn("_last", F.max("para_ix").over(last)).withColumn("_n", F.count("*").over(last))
-    return ranked.where((F.col("_n") > least) & (F.col("para_ix") < F.col("_last"))).select("doc_id", "para_ix")
+    """(doc_id, para_ix) of headings that stand, with nothing else, before the row that opens the first main text."""
+    body = paragraphs.where(C.not_blank("text"))
+    first = body.groupBy("doc_id").agg(F.min(F.when(F.col("paragraph_type") == "main_text", F.col("para_ix"))).alias("_text"))
+    before = body.join(first, "doc_id").where(F.col("para_ix") < F.col("_text")).withColumn("_start", F.max("para_ix").over(Window.partitionBy("doc_id"))).where(F.col("para_ix") < F.col("_start"))
+    heading = F.col("paragraph_type") == "heading"
+    whole = Window.partitionBy("doc_id")
+    ranked = before.withColumn("_n", F.count_if(heading).over(whole)).withColumn("_other", F.count_if(~heading & (F.col("paragraph_type") != "title_page")).over(whole))
+    return ranked.where(heading & (F.col("_n") >= least) & (F.col("_other") == 0)).select("doc_id", "para_ix")
 
 
 def counts(violations: DataFrame, *keys: str) -> DataFrame:
@@ -138,8 +141,11 @@ def grouped(violations: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     return rows.withColumn("section_n", F.sum("n").over(total)).withColumn("section_rules", F.count("*").over(total))
 
 
-#: (old, new) in the order in which they are replaced in texts for readers.
-CLEANED = (("None", "not set"), ("True", "yes"), ("False", "no"), ("justify", "justified"), ("  ", " "))
+# Fixed values: (technical, readable), in the order in which they are replaced.
+CLEANED = (
+    ("line_spacing", "межстрочный интервал"), ("first_line_indent", "абзацный отступ"), ("left_indent", "левый отступ"), ("right_indent", "правый отступ"), ("keep_with_next", "не отрывать от следующего"), ("keep_together", "не разрывать абзац"), ("tblHeader", "повторять строку с названиями столбцов"), ("center", "по центру"),
+    ("justify", "по ширине"), ("left", "по левому краю"), ("right", "по правому краю"), ("000000", "чёрный"), ("True", "да"), ("False", "нет"), ("None", "не задано"), ("not set", "не задано"),
+)
 
 
 def cleaned(text: Column) -> Column:

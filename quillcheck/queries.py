@@ -287,7 +287,7 @@ def run_findings(spark, sf_dir):
     return formatting.run_faults(_run_paragraphs(spark, sf_dir)).groupBy("doc_id", "para_ix", "parameter").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_RUNS}, w AS (SELECT doc_id, bool_or(underline) AS u, bool_or(caps) AS c FROM runs GROUP BY doc_id) SELECT doc_id, 'capitals, underline' AS actual FROM w WHERE u AND c""")
+@query(f"""WITH {_RUNS}, w AS (SELECT doc_id, unnest([CASE WHEN underline THEN 'underline' END, CASE WHEN caps THEN 'all_caps' END, CASE WHEN spaced THEN 'character_spacing' END]) AS way FROM runs) SELECT doc_id, array_to_string(list_sort(list(DISTINCT way)), ', ') AS actual FROM w WHERE way IS NOT NULL GROUP BY doc_id HAVING count(DISTINCT way) > 1""")
 def emphasis_mixes(spark, sf_dir):
     return formatting.emphasis_methods(_run_paragraphs(spark, sf_dir)).select("doc_id", "actual")
 

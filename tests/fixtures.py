@@ -46,7 +46,7 @@ THESIS = [
     {"text": "1 обзор", "style_name": "Heading 1", "font_size_pt": 14.0, "bold": True, "space_before_pt": 0.0, "space_after_pt": 6.0},
     {"text": "Обычный текст в разделе.", "font_size_pt": 12.0},
     {"text": "Рисунок 1 — схема.", "alignment": "center", "first_line_indent_cm": 0.0, "font_size_pt": 12.0},
-    {"text": "См. таблицу 2 далее.", "alignment": "left"},
+    {"text": "См. табл. 2 далее.", "alignment": "left"},
     {"text": "Таблица 3 — Данные", "alignment": "left", "first_line_indent_cm": 0.0},
     {"text": "Заключение", "style_name": "Heading 1", "font_size_pt": 16.0, "bold": True, "alignment": "center", "first_line_indent_cm": 0.0, "page_break_before": True, "space_before_pt": 12.0, "space_after_pt": 6.0},
     {"text": "В будущем планируется продолжить."},

@@ -35,7 +35,7 @@ def test_typography(thesis):
     assert by_parameter(df, "repeated_spaces") == [9]
     assert got(df.where("parameter = 'spaces_near_punctuation'"), "para_ix", "fragment") == [(9, " ,")]
     assert got(df.where("parameter = 'numeric_range_dash'"), "para_ix", "fragment") == [(9, "5-7")]
-    assert got(df.where("parameter = 'nbsp_after_figure_table_reference'"), "para_ix", "fragment") == [(9, "рис. 1"), (12, "Рисунок 1"), (14, "Таблица 3")]
+    assert got(df.where("parameter = 'nbsp_after_figure_table_reference'"), "para_ix", "fragment") == [(9, "рис. 1"), (12, "Рисунок 1"), (13, "табл. 2"), (14, "Таблица 3")]
     lists = typography.list_consistency(thesis)
     assert got(lists.where("parameter = 'list_marker_consistency'"), "para_ix", "fragment") == [(8, "hyphen -")]
     assert got(lists.where("parameter = 'list_punctuation_policy'"), "para_ix", "fragment") == [(8, "starts with a capital")]
