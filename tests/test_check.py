@@ -120,7 +120,7 @@ def test_sections(spark, thesis):
     assert got(margins, "section_ix", "actual") == [(2, "top 2, bottom 2, left 2, right 1.5")]
 
 
-def test_whole_check(spark, thesis):
+def test_whole_check(spark, thesis, tmp_path):
     empty = lambda schema: spark.createDataFrame([], schema)
     sections = empty("doc_id long, section_ix int, page_width_cm double, page_height_cm double, top_margin_cm double, bottom_margin_cm double, left_margin_cm double, right_margin_cm double, header_distance_cm double, footer_distance_cm double, page_format string, page_orientation string, has_header boolean, header_text string, has_page_number boolean, page_number_area string, page_number_alignment string, page_number_start int, page_number_restart boolean, first_page_has_page_number boolean")
     tables = spark.createDataFrame([(1, 0, 2, 1, None, 18, None, True, None, "left", True, "auto", 0.5, False, False, [], [])], "doc_id long, table_ix int, rows_count int, columns_count int, title_para_ix int, paragraph_before_ix int, paragraph_after_ix int, has_header_row boolean, width_cm double, alignment string, has_grid boolean, border_color string, border_size double, has_cant_split_rows boolean, repeats_header boolean, empty_row_ix array<int>, enlarged_row_ix array<int>")
@@ -131,7 +131,8 @@ def test_whole_check(spark, thesis):
         {"target": "main_text", "parameter": "font_size", "value": 14, "unit": "pt"}, {"parameter": "repeated_spaces"}, {"parameter": "empty_paragraph_between_content"}, {"parameter": "table_caption_position"}, {"parameter": "table_text_spacing_indent"}, {"parameter": "starts_with_capital", "target": "heading"},
         {"parameter": "required_document_structure", "value": ["аннотация"], "category": "structure"}, {"parameter": "consistency", "operator": "consistent", "target": "main_text", "section": "4.1"}, {"parameter": "forbidden_phrases", "value": ["литературу"], "modality": "recommended"},
     )
-    found = check(Blocks(thesis, sections, tables, images, meta), rules)
+    check(Blocks(thesis, sections, tables, images, meta), rules).write.parquet(str(tmp_path / "found"))  # once, for all that follows
+    found = spark.read.parquet(str(tmp_path / "found"))
     rows = got(found, "rule_id", "paragraph_index", "table_index", "severity")
     assert ("r0", 11, None, "error") in rows and ("r1", 9, None, "error") in rows and ("r3", None, 0, "error") in rows and ("r4", 20, 0, "error") in rows and ("r5", 10, None, "error") in rows and ("r6", None, None, "error") in rows and ("r8", 6, None, "warning") in rows
     assert not [r for r in rows if r[0] in ("r2",)] and not [r for r in rows if r[1] is not None and r[1] < 4]
