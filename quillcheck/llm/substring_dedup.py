@@ -1,10 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentence units: it ends one after . ! ? , ; : or a line end, and a unit of more
-than LONG words is cut after every CHUNK words. Each run of SPAN consecutive units with at least
-MIN_WORDS words is hashed (lower-cased words, punctuation at the ends of units left out). Hashes are
-joined over all documents; the first occurrence, by doc_id and place, keeps its text, and units that
-any other occurrence covers are removed. Spans overlap, so a long passage is covered whole.
+A text is cut into units of NEAR + 1 to LONG words at places that the words themselves decide: after
+a word whose rank is less than those of the NEAR words on either side. Words at the end of a sentence
+or line (. ! ? , ; :) rank before all others, then hashes of the words decide. So a passage is cut the same way
+wherever it begins. Stretches of more than LONG words without such a place (words that repeat with a short
+period) are cut after every CHUNK words, a prime greater than such a period, so that all phases occur.
+Each run of SPAN consecutive units is hashed (lower-cased words, punctuation at the ends of units left
+out); it has MIN_WORDS words, but in texts of a few words. Hashes are joined over all documents; the
+first occurrence, by doc_id and place, keeps its text, and units that any other occurrence covers are
+removed. Spans overlap, so a long passage is covered whole, but for the units that its ends cut.
 
 Each document sends a hash once. Whether an occurrence is the first follows from the smallest
 doc_id of its hash, and inside that document from its place, so the global part counts and joins
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -30,20 +35,51 @@ from pyspark.sql import types as T
 
 from quillcheck.llm.common import from_batches, written
 
-SPAN, MIN_WORDS, LONG, CHUNK = 3, 10, 12, 8
-UNIT = re.compile(r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+")
-WORDS = re.compile(rf"(?:\s*\S+){{1,{CHUNK}}}\s*")
+SPAN, MIN_WORDS, NEAR, LONG, CHUNK = 3, 10, 3, 9, 5
+MARKS = ".!?,;:"
+#: A word with the marks that stand alone behind it.
+WORD = re.compile(rf"\S+\s*+(?:[{MARKS}]++(?!\S)\s*+)*+")
 LAST_ID = (1 << 63) - 1
+_KNOWN = 1 << 18
+_ranks: dict[str, int] = {}
+
+
+def _rank(word: str) -> int:
+    bare = word.strip()
+    ends = bare[-1:] in MARKS or "\n" in word
+    return xxhash.xxh64_intdigest(bare.lower().strip(MARKS + " \t\n")) >> 2 | (not ends) << 62
 
 
 def units(text: str) -> list[str]:
     """The text in pieces; joined they are the text."""
-    found = []
-    for unit in UNIT.findall(text):
-        if len(unit) > 2 * LONG and len(unit.split()) > LONG:
-            found += WORDS.findall(unit)
-        else:
-            found.append(unit)
+    words = WORD.findall(text)
+    if not words:
+        return [text] if text else []
+    words[0] = text[: len(text) - sum(map(len, words))] + words[0]
+    if len(_ranks) > _KNOWN:
+        _ranks.clear()
+    for w in set(words).difference(_ranks):
+        if len(w) > 64:
+            continue
+        _ranks[w] = _rank(w)
+    rank = np.array([_ranks[w] if w in _ranks else _rank(w) for w in words], np.int64)
+    least = np.ones(len(rank), bool)
+    for k in range(1, NEAR + 1):
+        below = rank[:-k] < rank[k:]
+        least[:-k] &= below
+        least[k:] &= rank[k:] < rank[:-k]
+    ends = [int(i) + 1 for i in np.flatnonzero(least)]
+    if ends and ends[0] <= NEAR:
+        del ends[0]
+    if ends and len(words) - ends[-1] <= NEAR:
+        del ends[-1]
+    found, at = [], 0
+    for end in [*ends, len(words)]:
+        while end - at > LONG:
+            found.append("".join(words[at : at + CHUNK]))
+            at += CHUNK
+        found.append("".join(words[at:end]))
+        at = end
     return found
 
 
