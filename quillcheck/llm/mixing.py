@@ -5,11 +5,12 @@ its code points and one). Block j of a source with weight w is released at slot
 due by slot ceil((j + 1) / w). Taking in each slot the released block with the earliest deadline
 meets all deadlines, so at any slot every source is less than one block away from its share.
 
-Weights are rounded to whole slots of a period, so the schedule repeats: one period is scheduled
-(its length is a parameter, no smaller than four slots a source), and block j of any source finds
-its slot from j and that table. A document's place then is the number of documents in earlier slots
-and before it in its block. No document is dropped or repeated: once a source has run out, its slots
-stay empty, and balanced says whether a document comes before the first such slot.
+Weights are exact fractions and nothing is rounded or repeated: all blocks are scheduled in one
+task that keeps one block of each source at a time and passes its rows on. That is one row for each
+BLOCK units, read by nobody but the join with the documents. A document's place then is the number of documents in
+earlier slots and before it in its block. No document is dropped or repeated: a source that has run
+out leaves its slots to the others, and balanced says whether a document comes before the first such
+slot. Sources of weight zero come after all others, block by block.
 
 Defined results: documents without source form a source of their own; a null text weighs one; rows
 without doc_id come first in their source; equal doc_ids stand next to each other in no particular
@@ -20,47 +21,68 @@ replaced.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.llm.common import prefix_sum, written
 
 BLOCK, PERIOD, TEMPERATURE = 1 << 18, 1024, 0.5
+#: Slots are longs; blocks that are due later follow the schedule.
+LAST_SLOT = 1 << 61
 ADDED = ("block", "slot", "release", "deadline", "position", "balanced")
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in a period: at least one, in total the period, by largest remainders."""
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(slots.values())]:
-        slots[s] += 1
-    return slots
+def shares(weights: dict[str, float], period: int) -> dict[str, Fraction]:
+    """Slots of each source in a period, exactly."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: period * w / total for s, w in exact.items()}
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period, earliest deadline first."""
-    period = sum(slots.values())
-    waiting = sorted((j * period // n, -(-(j + 1) * period // n), s, j) for s, n in slots.items() for j in range(n))
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(source, block, slot, release, deadline, balanced) of all blocks of the sources, earliest deadline first."""
+    rate = {s: w for s, w in shares(weights, 1).items() if w}
+    late = {s: 0 for s in weights if s not in rate}  # first block after the schedule
+
+    def window(s: str, j: int) -> tuple[int, int]:
+        w = rate[s]
+        return j * w.denominator // w.numerator, -(-(j + 1) * w.denominator // w.numerator)
+
+    waiting = [(0, s, 0) for s in sorted(rate)]  # (release, source, block), the next one of each source
     ready: list[tuple[int, str, int, int]] = []
-    rows, at = [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, s, j = waiting[at]
-            heapq.heappush(ready, (deadline, s, j, release))
-            at += 1
+    slot, balanced = 0, True
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (window(s, j)[1], s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        rows.append((s, j, slot, release, deadline))
-    return rows
+        if j == blocks[s]:  # the source has run out
+            balanced = False
+            continue
+        yield s, j, slot, release, deadline, balanced
+        slot += 1
+        after = window(s, j + 1)
+        if after[1] > LAST_SLOT:
+            late[s] = j + 1
+        else:
+            heapq.heappush(waiting, (after[0], s, j + 1))
+    for s, j in ((s, j) for s in sorted(late) for j in range(late[s], blocks[s])):
+        yield s, j, slot, slot, slot + 1, False
+        slot += 1
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
     """documents (or only the columns of carry) with block, slot, release, deadline, position and balanced.
 
-    weights: by source, a source without weight has one slot of a period. None: the share of each
-    source's units to the power TEMPERATURE.
+    weights: by source, a source without weight has weight zero. None: the share of each source's
+    units to the power TEMPERATURE. period: slots that the scheduling task passes on at a time.
     """
     spark = documents.sparkSession
     kept = [c for c in carry or documents.columns if c not in ADDED]
@@ -82,24 +104,23 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: in
     target = {s: (weights or {}).get(s[1:] if s[0] == "s" else None, 0.0) if weights else n**TEMPERATURE for s, n in totals.items()}
     if weights and not any(target.values()):
         raise ValueError("no source has a weight")
-    slots = shares(target, max(period, 4 * len(target))) if target else {}
-    whole = sum(slots.values())
-    table = spark.createDataFrame([(s, slots[s], *rest) for s, *rest in (schedule(slots) if slots else [])], "_source string, _share long, _j long, _slot long, _release long, _deadline long")  # one period
-    share = spark.createDataFrame(list(slots.items()), "_source string, _n long")
+    counts = {r["_source"]: r["n"] for r in blocks.groupBy("_source").agg((F.max("block") + 1).alias("n")).collect()}
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
+    names = ["_source", "block", "slot", "release", "deadline", "balanced"]
 
-    turn = F.expr("block div _n")
-    numbered = blocks.join(F.broadcast(share), "_source").withColumn("_turn", turn).withColumn("_j", F.col("block") - turn * F.col("_n"))
-    timed = numbered.join(F.broadcast(table.drop("_share")), ["_source", "_j"])
-    timed = timed.select("_row", "_source", "block", *((F.col("_turn") * whole + F.col(f"_{c}")).alias(c) for c in ("slot", "release", "deadline")))
+    def scheduled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in batches) and target:
+            rows = schedule(target, counts)
+            while part := list(itertools.islice(rows, period)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
-    # the first slot whose source has no block left
-    after = blocks.groupBy("_source").agg((F.max("block") + 1).alias("block")).join(F.broadcast(share), "_source").withColumn("_turn", turn).withColumn("_j", F.col("block") - turn * F.col("_n"))
-    horizon = after.join(F.broadcast(table), ["_source", "_j"]).agg(F.min(F.col("_turn") * whole + F.col("_slot"))).first()[0]
+    slots = written(spark.range(0, 1, 1, 1).mapInArrow(scheduled, "_source string, block long, slot long, release long, deadline long, balanced boolean"), "mix-slots")
+    timed = blocks.join(slots, ["_source", "block"]).select("_row", *names[1:])
 
     sizes = timed.groupBy("slot").agg(F.count("*").alias("n"))
     first = prefix_sum(sizes, "slot", "n", "_first").select("slot", "_first")
     rank = F.row_number().over(Window.partitionBy("slot").orderBy("_row")) - 1  # a slot holds one block
-    placed = timed.withColumn("_rank", rank).join(first, "slot").withColumn("position", (F.col("_first") + F.col("_rank")).cast("long")).withColumn("balanced", F.col("slot") < F.lit(horizon))
+    placed = timed.withColumn("_rank", rank).join(first, "slot").withColumn("position", (F.col("_first") + F.col("_rank")).cast("long"))
     return ordered.select("_row", *kept).join(placed.select("_row", *ADDED), "_row").select(*kept, *ADDED)
 
 
