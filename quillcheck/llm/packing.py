@@ -11,6 +11,12 @@ The pieces then find their places by their rank among the pieces of equal length
 by block, without a shuffle of the pieces: block counts are summed up, and a piece's rank is its
 rank in its block plus the pieces of its length in the blocks before.
 
+pack_in_order packs inside consecutive windows of the documents' order instead, so that an order such
+as a mix of sources reaches the sequences: pieces are numbered by the files they are read from and
+their rows there, a window has about WINDOW tokens, and sequences follow each other by window and inside
+it by the mean place of their pieces. All pieces of a window are packed there, so a window may end with a
+sequence that is not full.
+
 Defined results: a null text is an empty one (one piece, the end id); a null doc_id stays null;
 repeated rows are packed each; an empty table gives an empty result; columns other than doc_id and
 text are not read.
@@ -18,19 +24,23 @@ text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.llm.common import prefix_sum, written
 from quillcheck.llm.token_ids import encoded
 
 END_ID, SIZE = 1, 4096
+#: Tokens of a window.
+WINDOW = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, in_block long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -145,3 +155,71 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 
     ranked = cut.join(before, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("in_block") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(placed, PLACED)
+
+
+def _ordered(documents: DataFrame) -> DataFrame:
+    """documents with _file and _at: the file and the row in it that a row is read from, or else its partition and its row there."""
+    try:
+        meta = documents.metadataColumn("_metadata")
+        return documents.withColumn("_file", meta["file_name"]).withColumn("_at", meta["row_index"])
+    except AnalysisException:  # not read from files
+        return documents.withColumn("_file", F.concat(F.lit("part-"), F.spark_partition_id().cast("string"))).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _file_order(name: str) -> tuple[int, str]:
+    """Spark numbers the files of an ordered table; the numbers may differ in length."""
+    number = re.match(r"part-(\d+)", name)
+    return int(number[1]) if number else -1, name
+
+
+def pack_in_order(documents: DataFrame, tokenizer: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
+    """As pack, but sequence_id follows the order of the documents in their files, by windows."""
+    spark = documents.sparkSession
+    cut_schema = "doc_id long, file string, at long, piece int, start long, length long, ids_crc32 long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, rows = np.array([END_ID], "<u4").tobytes(), []
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=_names(cut_schema))
+        for key, ids in encoded(batches, tokenizer, False):
+            whole = memoryview(ids + end)
+            for k, at in enumerate(range(0, len(whole), 4 * size)):
+                part = whole[at : at + 4 * size]
+                rows.append((key["id"], key["file"], key["at"], k, at // 4, len(part) // 4, zlib.crc32(part)))
+            if len(rows) >= 10_000:
+                yield table()
+                rows = []
+        yield table()
+
+    keyed = _ordered(documents.select("doc_id", "text")).select(F.struct(F.col("doc_id").cast("long").alias("id"), F.col("_file").alias("file"), F.col("_at").alias("at")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(keyed.mapInArrow(cut, cut_schema), "ordered-pieces")
+    totals = found.groupBy("file").agg(F.sum("length").alias("n")).collect()  # one row a file
+    files, before = [], 0
+    for r in sorted(totals, key=lambda r: _file_order(r["file"])):
+        files.append((r["file"], before))
+        before += r["n"]
+    inside = F.coalesce(F.sum("length").over(Window.partitionBy("file").orderBy("at", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = found.withColumn("_inside", inside).join(F.broadcast(spark.createDataFrame(files, "file string, _before long")), "file").withColumn("place", F.col("_inside") + F.col("_before"))
+    numbered = numbered.select(F.expr(f"place div {window}").alias("window"), "place", *_names(PLACED)[:5])
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        length, place = table["length"].to_numpy(), table["place"].to_numpy()
+        sizes, counts = np.unique(length, return_counts=True)
+        places = slots(best_two_fit(dict(zip(sizes.tolist(), counts.tolist())), size))
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for x in sizes.tolist():
+            at, by_rank = np.flatnonzero(length == x), places[x]
+            row = by_rank[np.searchsorted(by_rank[:, 0], np.arange(len(at)), "right") - 1]
+            k = np.arange(len(at)) - row[:, 0]
+            sequence[at], offset[at] = row[:, 1] + k // row[:, 3], row[:, 2] + k % row[:, 3] * x
+        mean = np.bincount(sequence, weights=(place - place[0]) * length) / np.bincount(sequence, weights=length)
+        rank = np.empty(len(mean), np.int64)
+        rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+        columns = [table["window"], *(table[c] for c in _names(PLACED)[:5]), pa.array(rank[sequence]), pa.array(offset)]
+        return pa.table(columns, names=["window", *_names(PLACED)])
+
+    inner = written(numbered.groupBy("window").applyInArrow(packed, f"window long, {PLACED}"), "packed-windows")
+    sequences = inner.groupBy("window").agg((F.max("sequence_id") + 1).alias("n"))
+    first = prefix_sum(sequences, "window", "n", "_first").select("window", "_first")
+    return inner.join(first, "window").withColumn("sequence_id", F.col("sequence_id") + F.col("_first")).select(*_names(PLACED))
