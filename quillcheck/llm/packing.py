@@ -153,6 +153,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                 sequence[at], offset[at] = row[:, 1] + k // row[:, 3], row[:, 2] + k % row[:, 3] * x
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=_names(PLACED))
 
+    before = before.hint("merge")  # it grows with the number of blocks, so it is never broadcast
     ranked = cut.join(before, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("in_block") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(placed, PLACED)
 

@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from quillcheck.llm.common import from_batches
 
 WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-UNEVEN_SPACE = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]\Z")
-#: Words in each of the two halves of the cache, and the longest word kept in it.
-HALF, LONGEST = 500_000, 64
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Words in each of the two halves of the cache, and the longest word kept in it: some 90 MB in all.
+HALF, LONGEST = 250_000, 64
 #: Stands before a text's first word in the cache's keys, where a space is understood otherwise. No text with it gets there.
 FIRST = "\r"
 #: A control character whose last id no other character has; it parts words that are encoded together.
@@ -34,6 +35,16 @@ ASCII_LETTERS = re.compile("([A-Za-z]+)([.,!?;:]*)")
 GROUP = 1 << 19
 
 
+def has_other_space(text: str) -> bool:
+    """Whether a text has white space other than spaces and line ends."""
+    return any(c in text for c in ASCII_SPACE) if text.isascii() else OTHER_SPACE.search(text) is not None
+
+
+def has_uneven_space(text: str) -> bool:
+    """Whether spaces or line ends stand at an end of a text or next to each other."""
+    return not text or text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n"))
+
+
 def byte_characters() -> list[str]:
     """The visible character that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -54,8 +65,9 @@ class Encoder:
         self.spaces = spaces
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.mark: int | None = None
-        self.model, self.signs = self.tokenizer.model, {"": b""}
+        self.model, self.signs, self.id = self.tokenizer.model, {"": b""}, attrgetter("id")
         self.characters = byte_characters()
+        self.blank = self.characters[ord(" ")]  # printable ASCII characters stand for themselves
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -77,19 +89,19 @@ class Encoder:
     def pretoken(self, text: str) -> bytes:
         """Ids of a text that is one pretoken, by the model alone."""
         if not self.spaces:
-            return array("I", [t.id for t in self.model.tokenize(text.lower())]).tobytes()
-        spelled = "".join(map(self.characters.__getitem__, text.encode()))
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            return array("I", map(self.id, self.model.tokenize(text.lower()))).tobytes()
+        spelled = self.blank + text[1:] if text[0] == " " and text.isascii() else "".join(map(self.characters.__getitem__, text.encode()))
+        return array("I", map(self.id, self.model.tokenize(spelled))).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found: list[bytes | None] = [None] * len(texts)
         split: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if OTHER_SPACE.search(text):
+            if has_other_space(text):
                 found[i] = self.whole([text])[0]
             elif not self.spaces:
                 split.append((i, [w for w in text.replace("\n", " ").split(" ") if w]))
-            elif not text or UNEVEN_SPACE.search(text):
+            elif has_uneven_space(text):
                 found[i] = b"".join(self.whole(WORD.findall(text)))
             else:
                 words = text.replace("\n", " \n").split(" ")
@@ -105,10 +117,13 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         firsts, rest = [], []
-        shape = (LETTERS if self.spaces else ASCII_LETTERS).fullmatch
+        shape, blank = (LETTERS if self.spaces else ASCII_LETTERS).fullmatch, self.blank if self.spaces else ""
+        young, old, tokenize, number = self.young, self.old.get, self.model.tokenize, self.id
         for w in new:
-            if (x := self.old.get(w)) is not None:
-                self.young[w] = x
+            if (x := old(w)) is not None:
+                young[w] = x
+            elif w.isalpha() and w.isascii():  # most words
+                young[w] = array("I", map(number, tokenize(blank + w if blank else w.lower()))).tobytes()
             elif w[0] == FIRST:
                 firsts.append(w)
             elif (m := shape(w)) is None:
@@ -117,7 +132,7 @@ class Encoder:
                 letters, signs = m.groups()
                 if signs not in self.signs:
                     self.signs[signs] = self.pretoken(signs)
-                self.young[w] = self.pretoken(f" {letters}" if self.spaces else letters) + self.signs[signs]
+                young[w] = self.pretoken(f" {letters}" if self.spaces else letters) + self.signs[signs]
         if firsts:
             self.young.update(zip(firsts, self.whole([w[1:] for w in firsts])))
         for at in range(0, len(rest), 4096):
