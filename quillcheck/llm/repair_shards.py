@@ -1,8 +1,12 @@
 """Token-id shards under Re-Pair grammars, with random-access decoding.
 
 The texts are dealt by ranges of doc_id, encoded in ascending doc_id order and cut into shards of
-about SHARD_TOKENS ids. In each shard the frequent pairs of neighbouring symbols are replaced by new
-symbols, round after round, until no pair occurs MIN_COUNT times. One record holds a shard:
+about SHARD_TOKENS ids. In each shard pairs of neighbouring symbols are replaced by new symbols, the
+most frequent first, until no pair occurs MIN_COUNT times. Pairs are replaced by rounds: where two
+frequent pairs share a symbol, the more frequent one gets it, and a pair that is left with fewer than
+MIN_COUNT places waits for the next round's counts, as it would wait for its turn one by one. After a
+round only pairs next to new symbols, and those that waited, can be frequent, so only their places are
+counted again. One record holds a shard:
 
     doc_ids, doc_tokens   int64 (null_ids: positions of null doc_ids) and uint32 arrays, one entry a document
     base                  first nonterminal; smaller symbols are token ids
@@ -35,74 +39,93 @@ from quillcheck.llm.token_ids import encoded
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: A pair becomes a rule from this count on; so many new rules at most in a round, and so many rounds at most.
-MIN_COUNT, ROUND_RULES, ROUNDS = 24, 1 << 14, 4
+#: A pair becomes a rule from this count on. A rule takes three words (its pair and its length) and saves one at each place.
+MIN_COUNT = 4
 
 SHARDS = "shard long, n_docs long, n_tokens long, base int, doc_ids binary, null_ids binary, doc_tokens binary, rules binary, rounds binary, lengths binary, sequence binary"
 DECODED = "shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    """A pair's place in a table of 2^20 marks."""
-    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
-
-def _marked(pairs: np.ndarray) -> np.ndarray:
-    marks = np.zeros(1 << 20, bool)
-    marks[_slot(pairs)] = True
-    return marks
-
-
-def compress(ids: np.ndarray) -> tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray]:
+def _winners(places: np.ndarray, priority: np.ndarray) -> np.ndarray:
+    """Which of the pairs that begin at places (ascending) are replaced, if the higher of two that share a symbol goes first."""
+    taken, open_ = np.zeros(len(places), bool), np.arange(len(places))
+    while len(open_):
+        at, p = places[open_], priority[open_]
+        near = np.diff(at) == 1
+        best = np.ones(len(at), bool)
+        best[1:] &= ~near | (p[1:] > p[:-1])
+        best[:-1] &= ~near | (p[:-1] > p[1:])
+        taken[open_[best]] = True
+        gone = best.copy()
+        gone[1:] |= near & best[:-1]
+        gone[:-1] |= near & best[1:]
+        open_ = open_[~gone]
+    return taken
+
+
+def _without_overlaps(pairs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places stay, if each second one goes in a run of places of one pair (as in aaa)."""
+    new = np.ones(len(places), bool)
+    new[1:] = (np.diff(places) > 1) | (pairs[1:] != pairs[:-1])
+    starts = np.flatnonzero(new)
+    return (np.arange(len(places)) - np.repeat(starts, np.diff(np.append(starts, len(places))))) % 2 == 0
+
+
+def compress(ids: np.ndarray, min_count: int = 0) -> tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray]:
     """(base, rules, rules of each round, expansion lengths, sequence) of the ids of one shard."""
+    least = min_count or MIN_COUNT
     base = int(ids.max(initial=0)) + 1
     sequence, rules, rounds = ids.astype(np.uint32), [], []
     lengths = np.ones(base, np.uint32)
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
-        pairs = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
-        ordered = np.sort(pairs)
+    places = np.arange(max(len(sequence) - 1, 0))  # where pairs begin that may be frequent
+    while len(places):
+        pairs = sequence[places].astype(np.uint64) << np.uint64(32) | sequence[places + 1]
+        stay = _without_overlaps(pairs, places)
+        ordered = np.sort(pairs[stay])
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= MIN_COUNT)
-        if not len(often):
+        often = counts >= least
+        if not often.any():
             break
-        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:ROUND_RULES]])
-        chosen = ordered[starts[often]]
-        maybe = np.flatnonzero(_marked(chosen)[_slot(pairs)])  # few of the others get through
-        at = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
-        sure = chosen[at] == pairs[maybe]
-        hit, at = maybe[sure], at[sure]
-        # of neighbouring hits each second one is left out, from the left
-        run = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
-        taken = (np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0
-        hit = hit[taken]
+        frequent, rank = ordered[starts[often]], np.empty(int(often.sum()), np.int64)
+        rank[np.argsort(counts[often], kind="stable")] = np.arange(len(rank))
+        at = np.minimum(np.searchsorted(frequent, pairs), len(frequent) - 1)
+        hit = frequent[at] == pairs
+        places, at, stay = places[hit], at[hit], stay[hit]
+        taken = np.zeros(len(places), bool)
+        taken[stay] = _winners(places[stay], rank[at[stay]])
+        enough = np.bincount(at[taken], minlength=len(frequent)) >= least
+        taken &= enough[at]
         used, rule = np.unique(at[taken], return_inverse=True)
-        first = len(lengths)
-        left, right = (chosen[used] >> np.uint64(32)).astype(np.uint32), chosen[used].astype(np.uint32)
+        hits, first = places[taken], len(lengths)
+        left, right = (frequent[used] >> np.uint64(32)).astype(np.uint32), frequent[used].astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        sequence[hit] = (first + rule).astype(np.uint32)
+        sequence[hits] = (first + rule).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
-        keep[hit + 1] = False
+        keep[hits + 1] = False
+        moved = np.cumsum(keep) - 1
+        gone = np.zeros(len(sequence), bool)  # pairs that lost a symbol to another, or were replaced
+        gone[hits], gone[hits + 1] = True, True
+        gone[hits[hits > 0] - 1] = True
         sequence = sequence[keep]
+        new, waiting = moved[hits], moved[places[~taken & ~gone[places]]]
+        places = np.unique(np.concatenate([new[new > 0] - 1, new, waiting]))
+        places = places[places + 1 < len(sequence)]
         rules.append(np.stack([left, right], axis=1))
         rounds.append(len(used))
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return base, table, rounds, lengths[base:], sequence
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-    """The token ids that symbols stand for; the latest round's rules are undone first."""
-    top = base + len(rules)
-    for n in reversed(rounds.tolist()):
-        top -= n
-        wide = symbols >= top
-        to = np.arange(len(symbols)) + np.concatenate([[0], np.cumsum(wide)[:-1]]) if len(symbols) else np.empty(0, np.int64)
-        out = np.empty(len(symbols) + int(wide.sum()), np.uint32)
-        out[to[~wide]] = symbols[~wide]
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
+    """The token ids that symbols stand for: all nonterminals give way to their pairs, level by level."""
+    while (wide := symbols >= base).any():
+        size = 1 + wide.astype(np.int64)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[at] = symbols
         pair = rules[symbols[wide] - base]
-        out[to[wide]], out[to[wide] + 1] = pair[:, 0], pair[:, 1]
+        out[at[wide]], out[at[wide] + 1] = pair[:, 0], pair[:, 1]
         symbols = out
     return symbols
 
@@ -112,7 +135,7 @@ class Shard:
 
     def __init__(self, row: dict):
         array = lambda name, kind="<u4": np.frombuffer(row[name], kind)
-        self.base, self.rules, self.rounds = row["base"], array("rules").reshape(-1, 2), array("rounds")
+        self.base, self.rules = row["base"], array("rules").reshape(-1, 2)
         self.sequence, self.doc_tokens = array("sequence"), array("doc_tokens").astype(np.int64)
         nulls = set(array("null_ids").tolist())
         self.doc_ids = [None if i in nulls else d for i, d in enumerate(array("doc_ids", "<i8").tolist())]
@@ -123,7 +146,7 @@ class Shard:
         """Ids start to stop of the shard; expands only the symbols that cover them."""
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         skipped = int(self.ends[a - 1]) if a else 0
-        return expand(self.sequence[a:b], self.base, self.rules, self.rounds)[start - skipped : stop - skipped]
+        return expand(self.sequence[a:b], self.base, self.rules)[start - skipped : stop - skipped]
 
     def document(self, i: int) -> np.ndarray:
         start = int(self.doc_tokens[:i].sum())
@@ -145,8 +168,11 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SHARDS.split(", "))])
 
 
-def write_shards(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Encodes and writes all documents; returns the table of records. Shard numbers ascend with doc_id."""
+def write_shards(documents: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encodes and writes all documents; returns the table of records. Shard numbers ascend with doc_id.
+
+    Ranges go by doc_id, then by a hash of the text, so that rows with equal or without doc_id spread over tasks.
+    """
     schema = _arrow_schema()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +182,14 @@ def write_shards(documents: DataFrame, tokenizer: str) -> DataFrame:
             doc_ids.append(doc_id)
             parts.append(ids + end)
             size += len(parts[-1])
-            if size >= 4 * SHARD_TOKENS:
+            if size >= 4 * shard_tokens:
                 yield pa.RecordBatch.from_pylist([record(number, doc_ids, parts)], schema)
                 number, doc_ids, parts, size = number + 1, [], [], 0
         if doc_ids:
             yield pa.RecordBatch.from_pylist([record(number, doc_ids, parts)], schema)
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("salt", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt")
     return written(ordered.mapInArrow(shards, SHARDS), "token-shards", compression="zstd")
 
 

@@ -102,9 +102,10 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_repair_shards(spark, monkeypatch):
-    monkeypatch.setattr(repair_shards, "SHARD_TOKENS", 2_000)  # for the driver; workers keep theirs
-    shards = repair_shards.write_shards(documents(spark), public_tokenizers.path("byte_bpe_50k.json"))
+def test_repair_shards(spark):
+    shards = repair_shards.write_shards(documents(spark), public_tokenizers.path("byte_bpe_50k.json"), shard_tokens=2_000)
+    per_task = Counter(r["shard"] >> 32 for r in shards.collect())
+    assert max(per_task.values()) > 2
     got = repair_shards.read_back(shards).collect()
     want = encoded("byte_bpe_50k.json", 2)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(i), crc(i)) for d, i in want)
@@ -128,11 +129,38 @@ def test_repair_rules_compress_and_expand():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.integers(0, 50_000, 40), 200)
     base, rules, rounds, lengths, sequence = repair_shards.compress(ids)
-    assert (repair_shards.expand(sequence, base, rules, np.array(rounds)) == ids).all()
+    assert (repair_shards.expand(sequence, base, rules) == ids).all()
     assert len(sequence) + 2 * len(rules) < len(ids) / 10
-    assert all(lengths[i] == len(repair_shards.expand(np.array([base + i], np.uint32), base, rules, np.array(rounds))) for i in range(len(rules)))
+    assert all(lengths[i] == len(repair_shards.expand(np.array([base + i], np.uint32), base, rules)) for i in range(len(rules)))
     same = repair_shards.compress(np.full(1001, 5))
-    assert repair_shards.expand(same[4], same[0], same[1], np.array(same[2])).tolist() == [5] * 1001
+    assert repair_shards.expand(same[4], same[0], same[1]).tolist() == [5] * 1001
+
+
+def plain_pairs(sequence):
+    """How often each pair of neighbours occurs, without overlaps."""
+    counts, last = Counter(), {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if pair[0] != pair[1] or last.get(pair) != i - 1:
+            counts[pair] += 1
+            last[pair] = i
+    return counts
+
+
+@pytest.mark.parametrize(("n", "kinds"), [(0, 1), (1, 3), (2, 1), (7, 1), (100, 1), (4000, 2), (9000, 40), (9000, 3000)])
+def test_repair_goes_on_until_no_pair_is_frequent(n, kinds):
+    rng = np.random.default_rng(n + kinds)
+    ids = np.concatenate([rng.integers(0, kinds, n), np.tile(rng.integers(0, kinds, min(n, 300)), 40)])
+    base, rules, rounds, lengths, sequence = repair_shards.compress(ids)
+    assert (repair_shards.expand(sequence, base, rules) == ids).all()
+    assert max(plain_pairs(sequence.tolist()).values(), default=0) < repair_shards.MIN_COUNT
+    assert sum(rounds) == len(rules) == len(lengths)
+    assert n < 300 or lengths.max() > 16  # long repeats become one symbol or a few
+
+
+def test_the_most_frequent_pair_goes_first():
+    ids = np.array([1, 2, 3] * 4 + [2, 3] * 5 + [9, 1, 2] * 3)
+    base, rules, *_ = repair_shards.compress(ids)
+    assert rules[0].tolist() == [2, 3]
 
 
 def test_packing(spark):
