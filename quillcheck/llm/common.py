@@ -60,6 +60,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """One column rec that holds all columns, so that helper columns beside it never clash with them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("rec"))
+
+
 def from_batches(batch, column: str) -> list:
     """The values of one Arrow column as Python objects."""
     return batch.column(batch.schema.get_field_index(column)).to_pylist()

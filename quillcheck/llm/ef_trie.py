@@ -1,10 +1,10 @@
-"""A shard of an n-gram trie in Elias-Fano levels, kept in one memory-mapped file.
+"""A level of an n-gram trie in Elias-Fano sequences, kept in one memory-mapped file.
 
-Level one holds the contexts (64-bit hashes) as a monotone sequence. A second sequence points from
-each context to its successors. Level two holds the successors: the fingerprint of the word, made
-monotone over all contexts by the rank of its context in the upper bits, so that a search for a
-successor runs inside its context's range. Beside each successor stands the code of its smoothed
-probability, one byte on a logarithmic scale.
+The contexts (64-bit keys) are a monotone sequence, and a second one points from each context to the
+range of its successors. The successors are word ids, ascending inside a range, each with the last
+value of the range before added to it, so that all ranges together are monotone too; a search for a
+word runs inside its context's range, for the word's id relative to the value before that range.
+Beside each successor stands the code of its smoothed probability, one byte on a logarithmic scale.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 
 #: Every so many elements of a sequence the place of its upper bits is noted.
 SAMPLE = 4096
+#: Queries that are searched together.
+QUERIES = 1 << 16
 LEVELS = 254
 
 
@@ -77,11 +79,15 @@ class EliasFano:
 class Trie:
     """Built from arrays, then held in an unlinked memory-mapped file of the task's own."""
 
-    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, probability: np.ndarray):
-        """contexts: ascending hashes; pointers: where each one's successors begin, and the end; successors: ascending rank << 32 | fingerprint."""
+    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, words: np.ndarray, probability: np.ndarray):
+        """contexts: ascending keys; pointers: where each one's successors begin, and the end; words: ids, ascending for each context."""
         least = float(np.log10(probability.min(initial=1.0)))
         self.least, self.step = least, -least / LEVELS or 1.0
         codes = np.floor((np.log10(probability) - least) / self.step + 1e-9)  # rounded down, so that no context's sum exceeds one
+        sizes = np.diff(pointers)
+        last = np.zeros(len(contexts), np.uint64)
+        last[sizes > 0] = words[pointers[1:][sizes > 0] - 1]
+        successors = words.astype(np.uint64) + np.repeat(np.cumsum(last) - last, sizes)
         arrays = {f"{name}.{k}": v for name, values in (("contexts", contexts), ("pointers", pointers), ("successors", successors)) for k, v in EliasFano.parts(values.astype(np.uint64)).items()}
         arrays["codes"] = np.clip(codes, 0, LEVELS).astype(np.uint8) + np.uint8(1)
         self._map(arrays)
@@ -106,21 +112,29 @@ class Trie:
         """Rank of each context (ascending hashes), or -1."""
         return self.contexts.find(contexts)
 
-    def codes_of(self, rank: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
-        """Code of each (context rank, word fingerprint), ascending; 0 where the trie has none."""
-        known = np.flatnonzero(rank >= 0)
-        place = self.successors.find(rank[known].astype(np.uint64) << np.uint64(32) | fingerprint[known].astype(np.uint64))
-        out = np.zeros(len(rank), np.uint8)
-        out[known[place >= 0]] = self.codes[place[place >= 0]]
+    def places(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each word (ascending for a rank) among the successors of its context (ranks ascend, -1: none), or -1."""
+        out, known = np.full(len(rank), -1, np.int64), np.flatnonzero(rank >= 0)
+        for part in (known[at : at + QUERIES] for at in range(0, len(known), QUERIES)):
+            r, w = rank[part], word[part].astype(np.uint64)
+            pointers = self.pointers.decode(int(r[0]), int(r[-1]) + 2).astype(np.int64)
+            low, stop = pointers[r - r[0]], pointers[r - r[0] + 1]
+            first = max(int(low[0]) - 1, 0)
+            values = self.successors.decode(first, int(stop[-1]))
+            if not len(values):
+                continue
+            low, stop = low - first, stop - first
+            wanted = w + np.where(low + first > 0, values[np.maximum(low - 1, 0)], np.uint64(0))
+            high = stop.copy()
+            while (open_ := low < high).any():  # a binary search in all ranges at once
+                middle = (low + high) >> 1
+                less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
+                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            hit = (low < stop) & (values[np.minimum(low, len(values) - 1)] == wanted)
+            out[part[hit]] = low[hit] + first
         return out
 
-    def probability(self, context: int, fingerprint: int) -> float:
-        """One query: the context's range, then the successor in it."""
-        rank = int(self.rank(np.array([context], np.uint64))[0])
-        if rank < 0:
-            return 0.0
-        start, stop = self.pointers.decode(rank, rank + 2).tolist()
-        value = np.uint64(rank << 32 | fingerprint)
-        values = self.successors.decode(start, stop)
-        i = int(np.searchsorted(values, value))
-        return float(10 ** (self.least + self.step * (int(self.codes[start + i]) - 1))) if i < len(values) and values[i] == value else 0.0
+    def probability(self, context: int, word: int) -> float:
+        """One query; zero where the trie has none."""
+        place = int(self.places(self.rank(np.array([context], np.uint64)), np.array([word], np.uint64))[0])
+        return float(10 ** (self.least + self.step * (int(self.codes[place]) - 1))) if place >= 0 else 0.0

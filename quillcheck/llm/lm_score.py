@@ -1,23 +1,31 @@
-"""Language-model scores from a sharded Elias-Fano n-gram trie.
+"""Language-model scores from sharded Elias-Fano n-gram tries of three orders.
 
-The model is a bigram model with absolute discounting over the unigram base:
+The model interpolates trigrams, bigrams and the unigram base by absolute discounting:
 
-    p(w | c) = (count(c, w) - DISCOUNT) / count(c) + DISCOUNT * successors(c) / count(c) * base(w)
+    p(w | a b) = (count(a b w) - DISCOUNT) / count(a b) + DISCOUNT * successors(a b) / count(a b) * p(w | b)
+    p(w | b)   = (count(b w) - DISCOUNT) / count(b) + DISCOUNT * successors(b) / count(b) * base(w)
 
-The first term is what the trie stores, one byte a bigram; base(w) = (count(w) + 0.1) / (N + 0.1 (V + 1)).
-A text's first word follows the end of a text.
+without the first terms where they are not positive, and p(w | b) alone for a context that training
+does not have. The first terms are what the tries store, one byte an n-gram;
+base(w) = (count(w) + 0.1) / (N + 0.1 (V + 1)). A text's first word follows the end of a text, in
+a trigram context of its own.
 
 1. Texts become blocks of about BLOCK_TOKENS tokens: word hashes, and the tokens as local codes.
 2. Word counts: each block sends its training counts by shards of the hash, and is sent back the
-   total of every word that it has.
+   total and the id of every word that it has. From here on words are known by their ids.
 3. Bigrams: each block sends its distinct bigrams, training counts with them, by shards of the
    context. A context's number of shards follows from its count, so that frequent ones are spread.
-   A shard adds up the counts, builds its trie and sends each block the codes of its bigrams.
-4. Blocks sum up their documents.
-
-Blocks, words and bigrams are known by 64-bit hashes (a successor inside its context by 32 bits).
-Everything is counted over all training documents; nothing is pruned. What a task holds is one
-block, or a shard, whose number follows the input.
+   A shard adds up the counts, builds its level of the trie and sends each block the code, the count
+   and the place of its bigrams.
+4. Trigrams: the same, with the place of a bigram in its level as the context's key. Contexts that
+   training does not have are not asked for.
+5. Blocks sum up their documents.
+
+Words are told apart by 64-bit hashes, everything above them by exact ids. All is counted over all
+training documents; nothing is pruned. What a task holds is one block, or a shard, whose number
+follows the input. A block and a shard exchange a message only if they share a context, at most
+blocks x shards of them: fewer than the tokens up to BLOCK_TOKENS x SHARD_TOKENS of these (three
+million million), beyond which both sizes should grow.
 
 Defined results: a null text is an empty one, scored by its end; a null doc_id counts as training;
 repeated rows count and are scored each; an empty table gives an empty result; without training
@@ -42,14 +50,16 @@ from quillcheck.llm.ef_trie import Trie
 
 HELD_OUT = 10
 DISCOUNT, ADD = 0.75, 0.1
-BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 3_000_000, 2_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_750_000, 2_000_000, 2_000_000
 #: A context is spread over one shard for each so many parts of a shard's tokens.
 SPREAD = 4
 END = 0  # local code of the end of a text, whose hash is that of the empty word
+#: Key of the context of first words; keys of bigrams are greater.
+FIRST = 0
 
 BLOCKS = "block long, n_tokens long, n_words long, doc_ids binary, null_ids binary, held binary, sizes binary, hashes binary, codes binary"
 WORDS = "shard long, block long, hashes binary, counts binary"
-TOTALS = "block long, kind int, shard long, data binary, more binary, n long, v long"
+TOTALS = "block long, kind int, shard long, data binary, more binary, places binary, counts binary, n long, v long"
 GRAMS = "shard long, block long, contexts binary, totals binary, runs binary, words binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -73,51 +83,62 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _packed_codes(codes: np.ndarray) -> bytes:
-    """Byte by byte of each code: frequent words have small codes, so the upper bytes are mostly zero."""
-    return b"".join(len(p).to_bytes(8, "little") + p for p in (_packed(np.ascontiguousarray(codes.view(np.uint8)[k::4])) for k in range(4)))
-
-
-def _unpacked_codes(data: bytes) -> np.ndarray:
-    planes, at = [], 0
-    for _ in range(4):
-        n = int.from_bytes(data[at : at + 8], "little")
-        planes.append(_unpacked(data[at + 8 : at + 8 + n], np.uint8))
-        at += 8 + n
-    return np.stack(planes, axis=1).reshape(-1).view("<u4")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = itertools.count(TaskContext.get().partitionId() << 32)
-    schema = _arrow(BLOCKS)
-    index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
-
-    def block() -> pa.RecordBatch:
-        hashes, every = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.concatenate(codes)
-        counts = np.bincount(every, minlength=len(index))
-        counts[END] = n + 1  # stays first
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(index), "<u4")
-        rank[order] = np.arange(len(index))
-        row = {"block": next(number), "n_tokens": n, "n_words": len(index), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "null_ids": np.array([k for k, i in enumerate(ids) if i is None], "<u4").tobytes(), "held": np.array(held, np.uint8).tobytes(), "sizes": np.array(sizes, "<u4").tobytes(), "hashes": hashes[order].tobytes(), "codes": _packed_codes(rank[every])}
-        return pa.RecordBatch.from_pylist([row], schema)
-
-    for batch in batches:
-        for doc_id, text, out in zip(from_batches(batch, "doc_id"), from_batches(batch, "text"), from_batches(batch, "held")):
-            words = (text or "").encode().lower().split()
-            for w in set(words).difference(index):
-                index[w] = len(index)
-            words.append(b"")
-            codes.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
-            sizes.append(len(words))
-            ids.append(doc_id)
-            held.append(out)
-            n += len(words)
-            if n >= BLOCK_TOKENS:
-                yield block()
-                index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
-    if ids:
-        yield block()
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned integers byte by byte: the upper bytes of small ones are zeros, which pack to nothing."""
+    return _packed(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    return _planes(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _blocks(block_tokens: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        schema = _arrow(BLOCKS)
+        index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            hashes, every = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.concatenate(codes)
+            counts = np.bincount(every, minlength=len(index))
+            counts[END] = n + 1  # stays first
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(index), "<u4")
+            rank[order] = np.arange(len(index))
+            row = {"block": next(number), "n_tokens": n, "n_words": len(index), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "null_ids": np.array([k for k, i in enumerate(ids) if i is None], "<u4").tobytes(), "held": np.array(held, np.uint8).tobytes(), "sizes": np.array(sizes, "<u4").tobytes(), "hashes": hashes[order].tobytes(), "codes": _planes(rank[every])}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in batches:
+            for doc_id, text, out in zip(from_batches(batch, "doc_id"), from_batches(batch, "text"), from_batches(batch, "held")):
+                words = (text or "").encode().lower().split()
+                for w in set(words).difference(index):
+                    index[w] = len(index)
+                words.append(b"")
+                codes.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
+                sizes.append(len(words))
+                ids.append(doc_id)
+                held.append(out)
+                n += len(words)
+                if n >= block_tokens:
+                    yield block()
+                    index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
+        if ids:
+            yield block()
+
+    return each
 
 
 class Block:
@@ -129,8 +150,9 @@ class Block:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         nulls = set(np.frombuffer(row["null_ids"], "<u4").tolist())
         self.doc_ids = [None if k in nulls else i for k, i in enumerate(np.frombuffer(row["doc_ids"], "<i8").tolist())]
-        self.codes = _unpacked_codes(row["codes"]).astype(np.int64)
+        self.codes = _from_planes(row["codes"]).astype(np.int64)
         self.train = np.repeat(~self.held, self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Words by shard, and where each shard's begin, with the end."""
@@ -138,52 +160,107 @@ class Block:
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
-    def totals(self, replies: list[dict], shards: int) -> np.ndarray:
-        """Training count of each word in the whole corpus."""
+    def learn_words(self, replies: list[dict], shards: int) -> None:
+        """Sets counts (training counts in the whole corpus) and ids of the words; codes become ranks of ids."""
         order, at = self.word_order(shards)
-        counts = np.zeros(len(self.hashes), np.int64)
+        counts, ids = np.zeros(len(self.hashes), np.int64), np.zeros(len(self.hashes), np.uint64)
         for r in replies:
             if r["kind"] == 0:
-                s = r["shard"]
-                counts[order[at[s] : at[s + 1]]] = _unpacked(r["data"], "<i8")
-        return counts
-
-    def bigrams(self, counts: np.ndarray, n_tokens: int, shards: int) -> Bigrams:
-        return Bigrams(self, counts, n_tokens, shards)
-
-
-class Bigrams:
-    """A block's distinct bigrams in the order in which shards get them."""
-
-    def __init__(self, block: Block, counts: np.ndarray, n_tokens: int, shards: int):
-        before = np.empty_like(block.codes)
-        before[1:] = block.codes[:-1]  # the word before a first word is the end before it
-        before[:1] = END
-        pairs, self.of_token = np.unique(before << 32 | block.codes, return_inverse=True)
-        context, word = pairs >> 32, pairs & 0xFFFFFFFF
-        fan = 1 + (counts * SPREAD * shards // max(n_tokens, 1)).clip(0, shards - 1).astype(np.uint64)
-        home = block.hashes % np.uint64(shards)
-        shard = ((home[context] + (block.hashes[word] >> np.uint64(8)) % fan[context]) % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(shard, kind="stable")
-        self.context, self.word, shard = context[self.order], word[self.order], shard[self.order]
-        self.at = np.searchsorted(shard, np.arange(shards + 1))
-        # a spread context asks all its shards for its successors there, also those it has no bigram for
-        spread = np.flatnonzero(fan > 1)
-        spread = spread[np.isin(spread, context)]
-        every = np.repeat(spread, fan[spread].astype(np.int64))
-        turn = np.arange(len(every)) - np.repeat(np.cumsum(fan[spread]).astype(np.int64) - fan[spread].astype(np.int64), fan[spread].astype(np.int64))
-        asked = (home[every].astype(np.int64) + turn) % shards
-        new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (self.context[1:] != self.context[:-1])])) if len(shard) else np.empty(0, np.int64)
-        runs = np.diff(np.append(new, len(shard)))
-        have_shard = np.concatenate([shard[new], asked])
-        have_context = np.concatenate([self.context[new], every])
-        have_run = np.concatenate([runs, np.zeros(len(every), np.int64)])
-        order = np.argsort(have_shard, kind="stable")  # runs stay in the order of the bigrams, contexts that only ask follow
-        self.head_context, self.head_run = have_context[order], have_run[order]
-        self.head_at = np.searchsorted(have_shard[order], np.arange(shards + 1))
-
-    def train_counts(self, block: Block) -> np.ndarray:
-        return np.bincount(self.of_token[block.train], minlength=len(self.order))[self.order]
+                words = order[at[r["shard"]] : at[r["shard"] + 1]]
+                counts[words] = _unpacked(r["data"], "<i8")
+                ids[words] = _from_planes(r["more"]) * np.uint64(shards) + np.uint64(r["shard"])
+        by = np.argsort(ids)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.end, self.codes, self.counts, self.ids = int(rank[END]), rank[self.codes], counts[by], ids[by]
+
+    def bigrams(self, n_tokens: int, shards: int) -> Grams:
+        before = np.empty_like(self.codes)
+        before[1:] = self.codes[:-1]
+        before[self.starts] = self.end  # a first word follows the end of a text
+        return Grams(before, self.codes, self.ids, self.counts, self.ids, n_tokens, shards)
+
+    def trigrams(self, bigrams: Grams, replies: list[dict], n_tokens: int, shards: int) -> Grams:
+        """The context of a token is the bigram that ends before it."""
+        counts, keys = bigrams.known(replies, shards)
+        by = np.argsort(keys, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(1, len(by) + 1)
+        context = np.empty_like(self.codes)
+        context[1:] = rank[bigrams.of_token[:-1]]
+        context[self.starts] = 0
+        totals = np.concatenate([self.counts[self.end : self.end + 1], counts[by]])  # as many first words as ends
+        return Grams(context, self.codes, np.concatenate([np.array([FIRST], np.uint64), keys[by]]), totals, self.ids, n_tokens, shards)
+
+
+class Grams:
+    """A block's distinct n-grams of one order (context, word), and how they are sent to shards.
+
+    keys: of contexts, ascending where totals (their training counts) are positive; ids: of words, ascending.
+    """
+
+    def __init__(self, context_of: np.ndarray, word_of: np.ndarray, keys: np.ndarray, totals: np.ndarray, ids: np.ndarray, n_tokens: int, shards: int):
+        pairs, self.of_token = np.unique(context_of << 32 | word_of, return_inverse=True)
+        self.context, self.word, self.totals, self.keys, self.ids = pairs >> 32, pairs & 0xFFFFFFFF, totals, keys, ids
+        sent = np.flatnonzero(totals[self.context] > 0)
+        fan = 1 + (totals * SPREAD * shards // max(n_tokens, 1)).clip(0, shards - 1)
+        home = (_mixed(keys) % np.uint64(shards)).astype(np.int64)
+        context = self.context[sent]
+        shard = (home[context] + (_mixed(ids) >> np.uint64(8)).astype(np.int64)[self.word[sent]] % fan[context]) % shards
+        by = np.argsort(shard, kind="stable")
+        self.order, shard, context = sent[by], shard[by], context[by]
+        new = np.ones(len(shard), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])
+        new = np.flatnonzero(new)
+        heads = np.stack([shard[new], context[new], np.diff(np.append(new, len(shard)))])
+        # a spread context asks all its shards for its successors there, also those it has no n-gram for
+        spread = np.unique(context[fan[context] > 1])
+        every = np.repeat(spread, fan[spread])
+        turn = np.arange(len(every)) - np.repeat(np.cumsum(fan[spread]) - fan[spread], fan[spread])
+        heads = np.concatenate([heads, np.stack([(home[every] + turn) % shards, every, np.zeros(len(every), np.int64)])], axis=1)
+        heads = heads[:, np.lexsort((-heads[2], heads[1], heads[0]))]
+        once = np.ones(heads.shape[1], bool)
+        once[1:] = (heads[0, 1:] != heads[0, :-1]) | (heads[1, 1:] != heads[1, :-1])
+        self.head_shard, self.head_context, self.head_run = heads[:, once]
+        self.shards = np.unique(self.head_shard)
+        self.at = np.searchsorted(shard, np.append(self.shards, shards))
+        self.head_at = np.searchsorted(self.head_shard, np.append(self.shards, shards))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, slice]]:
+        """For each shard that is asked: its number, the n-grams it has, and its heads (contexts)."""
+        for k, s in enumerate(self.shards.tolist()):
+            yield s, self.order[self.at[k] : self.at[k + 1]], slice(self.head_at[k], self.head_at[k + 1])
+
+    def messages(self, block: Block) -> list[dict]:
+        train = np.bincount(self.of_token[block.train], minlength=len(self.context))
+        rows = []
+        for s, grams, h in self.parts():
+            heads = self.head_context[h]
+            rows.append({"shard": s, "block": block.number, "contexts": _steps(self.keys[heads]), "totals": _planes(self.totals[heads]), "runs": _planes(self.head_run[h]), "words": _planes(self.ids[self.word[grams]]), "counts": _planes(train[grams])})
+        return rows
+
+    def known(self, replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each n-gram in training, and for those that have one its key as a context."""
+        counts, keys = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.uint64)
+        by_shard = {r["shard"]: r for r in replies if r["kind"] == 1}
+        for s, grams, _ in self.parts():
+            have = grams[_unpacked(by_shard[s]["data"][16:], np.uint8) > 0]
+            counts[have] = _from_planes(by_shard[s]["counts"]).astype(np.int64)
+            keys[have] = _from_steps(by_shard[s]["places"]) * np.uint64(shards) + np.uint64(s + 1)
+        return counts, keys
+
+    def probabilities(self, replies: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The stored probability of each n-gram, and the weight of the order below."""
+        stored, successors = np.zeros(len(self.context)), np.zeros(len(self.keys), np.int64)
+        by_shard = {r["shard"]: r for r in replies if r["kind"] == kind}
+        for s, grams, h in self.parts():
+            r = by_shard[s]
+            least, step = np.frombuffer(r["data"][:16], "<f8")
+            codes = _unpacked(r["data"][16:], np.uint8).astype(np.float64)
+            stored[grams] = np.where(codes > 0, 10 ** (least + step * (codes - 1)), 0.0)
+            successors[self.head_context[h]] += _from_planes(r["more"]).astype(np.int64)
+        total = self.totals[self.context]
+        return stored, np.where(total > 0, DISCOUNT * successors[self.context] / np.maximum(total, 1), 1.0)
 
 
 def _word_counts(shards: int):
@@ -194,12 +271,15 @@ def _word_counts(shards: int):
                 b = Block(row)
                 counts = np.bincount(b.codes[b.train], minlength=len(b.hashes))
                 order, at = b.word_order(shards)
-                rows = [{"shard": s, "block": b.number, "hashes": b.hashes[w].tobytes(), "counts": _packed(counts[w].astype("<i8"))} for s in range(shards) if len(w := order[at[s] : at[s + 1]])]
+                rows = [{"shard": s, "block": b.number, "hashes": b.hashes[w].tobytes(), "counts": _packed(counts[w].astype("<i8"))} for s in np.flatnonzero(np.diff(at)).tolist() if len(w := order[at[s] : at[s + 1]])]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return each
 
 
+_NOTHING = {"more": b"", "places": b"", "counts": b"", "n": 0, "v": 0}
+
+
 def _word_totals(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
@@ -207,104 +287,95 @@ def _word_totals(table: pa.Table) -> pa.Table:
     totals = np.bincount(of, weights=np.concatenate([_unpacked(r["counts"], "<i8") for r in rows])).astype("<i8")
     out, at = [], 0
     for k, (r, h) in enumerate(zip(rows, hashes)):
-        stat = {"n": int(totals.sum()), "v": int((totals > 0).sum())} if k == 0 else {"n": 0, "v": 0}
-        out.append({"block": r["block"], "kind": 0, "shard": r["shard"], "data": _packed(totals[of[at : at + len(h)]]), "more": b"", **stat})
+        stat = {"n": int(totals.sum()), "v": int((totals > 0).sum())} if k == 0 else {}
+        mine = of[at : at + len(h)]
+        out.append({**_NOTHING, "block": r["block"], "kind": 0, "shard": r["shard"], "data": _packed(totals[mine]), "more": _planes(mine), **stat})
         at += len(h)
     return pa.Table.from_pylist(out, _arrow(TOTALS))
 
 
-def _sent(n_tokens: int, word_shards: int, shards: int):
+def _sent(order: int, n_tokens: int, word_shards: int, shards: int):
+    """Messages of a block's bigrams, or trigrams, from the replies before."""
+
     def each(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = []
+        rows, known = [], replies.to_pylist()
         for row in blocks.to_pylist():
             b = Block(row)
-            counts = b.totals(replies.to_pylist(), word_shards)
-            grams = b.bigrams(counts, n_tokens, shards)
-            train, word = grams.train_counts(b), (b.hashes >> np.uint64(32)).astype("<u4")
-            for s in range(shards):
-                g, h = slice(grams.at[s], grams.at[s + 1]), slice(grams.head_at[s], grams.head_at[s + 1])
-                if h.start < h.stop:
-                    heads = grams.head_context[h]
-                    rows.append({"shard": s, "block": b.number, "contexts": b.hashes[heads].tobytes(), "totals": _packed(counts[heads].astype("<i8")), "runs": _packed(grams.head_run[h].astype("<u4")), "words": word[grams.word[g]].tobytes(), "counts": _packed(train[g].astype("<u4"))})
+            b.learn_words(known, word_shards)
+            grams = b.bigrams(n_tokens, shards)
+            if order == 3:
+                grams = b.trigrams(grams, known, n_tokens, shards)
+            rows += grams.messages(b)
         return pa.Table.from_pylist(rows, _arrow(GRAMS))
 
     return each
 
 
-def _shard_codes(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    heads = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-    runs = [_unpacked(r["runs"], "<u4") for r in rows]
-    words = [np.frombuffer(r["words"], "<u4") for r in rows]
-    counts = [_unpacked(r["counts"], "<u4") for r in rows]
-    contexts, first, rank = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
-    total = np.concatenate([_unpacked(r["totals"], "<i8") for r in rows])[first]
-    key = np.repeat(rank.astype(np.uint64), np.concatenate(runs)) << np.uint64(32) | np.concatenate(words)
-    count = np.concatenate(counts).astype(np.int64)
-    seen, of = np.unique(key[count > 0], return_inverse=True)
-    count = np.bincount(of, weights=count[count > 0], minlength=len(seen))
-    of_context = (seen >> np.uint64(32)).astype(np.int64)
-    successors = np.bincount(of_context, minlength=len(contexts))
-    trie = Trie(contexts, np.append(0, np.cumsum(successors)), seen, (count - DISCOUNT) / np.maximum(total[of_context], 1))
-    out = []
-    for r, h, n, w in zip(rows, heads, runs, words):
-        by = np.argsort(h, kind="stable")
-        place = np.empty(len(h), np.int64)
-        place[by] = trie.rank(h[by])
-        at = np.repeat(place, n)
-        order = np.lexsort((w, at))
-        codes = np.empty(len(w), np.uint8)
-        codes[order] = trie.codes_of(at[order], w[order])
-        scale = np.array([trie.least, trie.step], "<f8").tobytes()
-        out.append({"block": r["block"], "kind": 1, "shard": r["shard"], "data": scale + _packed(codes), "more": _packed(successors[place].astype("<i8")), "n": 0, "v": 0})
-    return pa.Table.from_pylist(out, _arrow(TOTALS))
+def _shard_codes(kind: int):
+    """Builds the level of a shard and answers each block."""
+
+    def each(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        heads = [_from_steps(r["contexts"]) for r in rows]
+        runs = [_from_planes(r["runs"]).astype(np.int64) for r in rows]
+        words = [_from_planes(r["words"]) for r in rows]
+        contexts, first, rank = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
+        total = np.concatenate([_from_planes(r["totals"]) for r in rows])[first].astype(np.int64)
+        ids, word = np.unique(np.concatenate(words), return_inverse=True)
+        count = np.concatenate([_from_planes(r["counts"]) for r in rows])
+        key = (np.repeat(rank, np.concatenate(runs)) << 32 | word)[count > 0]
+        seen, of = np.unique(key, return_inverse=True)
+        count = np.bincount(of, weights=count[count > 0], minlength=len(seen)).astype(np.int64)
+        of_context = seen >> 32
+        successors = np.bincount(of_context, minlength=len(contexts))
+        trie = Trie(contexts, np.append(0, np.cumsum(successors)), ids[seen & 0xFFFFFFFF], (count - DISCOUNT) / np.maximum(total[of_context], 1))
+        scale, out = np.array([trie.least, trie.step], "<f8").tobytes(), []
+        for r, h, n, w in zip(rows, heads, runs, words):
+            context = trie.rank(h)
+            place = trie.places(np.repeat(context, n), w)
+            codes, have = np.zeros(len(place), np.uint8), place[place >= 0]
+            codes[place >= 0] = trie.codes[have]
+            more = {"places": _steps(have), "counts": _planes(count[have])} if kind == 1 else {}  # they are asked for as contexts
+            out.append({**_NOTHING, "block": r["block"], "kind": kind, "shard": r["shard"], "data": scale + _packed(codes), "more": _planes(successors[context]), **more})
+        return pa.Table.from_pylist(out, _arrow(TOTALS))
+
+    return each
 
 
 def _scored(n_tokens: int, n_words: int, word_shards: int, shards: int):
     def each(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        tables = []
-        known = replies.to_pylist()
+        tables, known = [], replies.to_pylist()
         for row in blocks.to_pylist():
             b = Block(row)
-            counts = b.totals(known, word_shards)
-            grams = b.bigrams(counts, n_tokens, shards)
-            stored, successors = np.zeros(len(grams.order)), np.zeros(len(counts), np.int64)
-            for r in known:
-                if r["kind"] == 1:
-                    s = r["shard"]
-                    least, step = np.frombuffer(r["data"][:16], "<f8")
-                    codes = _unpacked(r["data"][16:], np.uint8).astype(np.float64)
-                    stored[grams.at[s] : grams.at[s + 1]] = np.where(codes > 0, 10 ** (least + step * (codes - 1)), 0.0)
-                    part = slice(grams.head_at[s], grams.head_at[s + 1])
-                    heads, number = grams.head_context[part], _unpacked(r["more"], "<i8")
-                    once = np.unique(heads, return_index=True)  # a context may stand with its bigrams and among those that ask
-                    successors[once[0]] += number[once[1]]
-            base = (counts + ADD) / (n_tokens + ADD * (n_words + 1))
-            context = counts[grams.context]
-            backoff = np.where(context > 0, DISCOUNT * successors[grams.context] / np.maximum(context, 1), 1.0)
-            log = np.empty(len(grams.order))
-            log[grams.order] = np.log10(stored + backoff * base[grams.word])
-            starts = np.cumsum(b.sizes) - b.sizes
-            add = lambda x: np.add.reduceat(x, starts)
-            columns = [b.doc_ids, b.held, b.sizes, add((counts > 0).astype(np.int64)[b.codes]), [n_tokens] * len(b.sizes), add(np.log10(base)[b.codes]), add(log[grams.of_token])]
+            b.learn_words(known, word_shards)
+            base = (b.counts + ADD) / (n_tokens + ADD * (n_words + 1))
+            grams = b.bigrams(n_tokens, shards)
+            stored, backoff = grams.probabilities(known, 1)
+            two = (stored + backoff * base[grams.word])[grams.of_token]
+            grams = b.trigrams(grams, known, n_tokens, shards)
+            stored, backoff = grams.probabilities(known, 2)
+            log = np.log10(stored[grams.of_token] + backoff[grams.of_token] * two)
+            add = lambda x: np.add.reduceat(x, b.starts)
+            columns = [b.doc_ids, b.held, b.sizes, add((b.counts > 0).astype(np.int64)[b.codes]), [n_tokens] * len(b.sizes), add(np.log10(base)[b.codes]), add(log)]
             tables.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(SCORES))], schema=_arrow(SCORES)))
         return pa.concat_tables(tables) if tables else _arrow(SCORES).empty_table()
 
     return each
 
 
-def score(documents: DataFrame, held_out: int = HELD_OUT) -> DataFrame:
+def score(documents: DataFrame, held_out: int = HELD_OUT, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each document, scored by the model of those whose crc32(doc_id) is no multiple of held_out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out == 0, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    blocks = written(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    blocks = written(rows.mapInArrow(_blocks(block_tokens), BLOCKS), "lm-blocks")
     tokens, words = blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     if tokens is None:
         return documents.sparkSession.createDataFrame([], SCORES)
-    word_shards, shards = 1 + words // SHARD_WORDS, 1 + tokens // SHARD_TOKENS
-    totals = written(blocks.mapInArrow(_word_counts(word_shards), WORDS).groupBy("shard").applyInArrow(_word_totals, TOTALS), "lm-words")
-    n_tokens, n_words = totals.agg(F.sum("n"), F.sum("v")).first()
+    word_shards, shards = 1 + words // shard_words, 1 + tokens // shard_tokens
+    replies = written(blocks.mapInArrow(_word_counts(word_shards), WORDS).groupBy("shard").applyInArrow(_word_totals, TOTALS), "lm-words")
+    n_tokens, n_words = replies.agg(F.sum("n"), F.sum("v")).first()
     by_block = blocks.groupBy("block")
-    sent = by_block.cogroup(totals.groupBy("block")).applyInArrow(_sent(n_tokens, word_shards, shards), GRAMS)
-    codes = written(sent.groupBy("shard").applyInArrow(_shard_codes, TOTALS), "lm-codes")
-    return by_block.cogroup(totals.union(codes).groupBy("block")).applyInArrow(_scored(n_tokens, n_words, word_shards, shards), SCORES)
+    for kind in (1, 2):  # bigrams, then trigrams
+        sent = by_block.cogroup(replies.groupBy("block")).applyInArrow(_sent(kind + 1, n_tokens, word_shards, shards), GRAMS)
+        replies = replies.union(written(sent.groupBy("shard").applyInArrow(_shard_codes(kind), TOTALS), "lm-codes"))
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_scored(n_tokens, n_words, word_shards, shards), SCORES)

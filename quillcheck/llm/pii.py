@@ -1,32 +1,40 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction, with DataFrame functions only.
 
 Base spans come from fixed patterns (email, ip, card, phone). They are the seeds of the second part.
-The word before an entity is its lexical pattern, and patterns and identifier-like strings form a
-graph: an edge says how often a string follows a word. Scores go back and forth: a pattern's
-confidence is the score of all that follows it over all occurrences of its word in the corpus; an
-unknown string's score is the confidence of its best pattern. After ROUNDS rounds, patterns with
-CONFIDENCE and SUPPORT different seeds add what follows them, as spans of kind id.
+The word before an entity and the word after it are its lexical patterns, looked for in the text
+between it and its neighbours of the same kind, however far that is. Patterns and identifier-like
+strings form a graph: an edge says how often a string stands next to a word. Scores go back and
+forth: a pattern's confidence is the score of all that stands next to its word over all occurrences
+of the word in the corpus; patterns with CONFIDENCE and SUPPORT different strings of known score are
+admitted, and a string that an admitted pattern shows gets its confidence as score. Strings found in
+one round support new patterns in the next, until nothing changes or ROUNDS are over. Identifiers
+next to an admitted pattern become spans of kind id.
+
+Only edges that can never count are left out: words with fewer than SUPPORT different strings in all,
+and words whose strings are less than CONFIDENCE of their occurrences even if all had score one.
 
 Each pattern's matches and the text between them (regexp_extract_all and split) give the positions,
 as running sums of lengths. Patterns are written so that they need no backtracking on long texts.
 
 Defined results: a null text is an empty one; a null doc_id stays null; repeated rows each count and
 give repeated rows; an empty table gives an empty result; input columns other than doc_id and text
-are not read, or are passed on by redacted().
+are not read, or are passed on by redacted(), whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillcheck.llm.common import text_or_empty, written
+from quillcheck.llm.common import packed, text_or_empty, written
 
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.5
-#: Code points before an entity in which its lexical pattern is looked for.
-CONTEXT = 64
+ROUNDS, SUPPORT, CONFIDENCE = 6, 3, 0.5
+#: Least length of an identifier that context may show; shorter strings with digits are numbers and dates.
+SHORTEST = 6
+#: Code points next to an entity in which its word is looked for first; where they cut the word, all of the text between is read.
+NEAR = 64
 _STEP = 256
 
 # The base patterns. A run is entered at its start only (or where the match before ended), which changes no match.
@@ -40,7 +48,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _ID = "A-Za-z0-9_.@+-"
-IDENTIFIER = rf"(?<![{_ID}])(?=[A-Za-z_.@+-]*+[0-9])[{_ID}]{{6,64}}+(?![{_ID}])"
+IDENTIFIER = rf"(?<![{_ID}])(?=[A-Za-z_.@+-]*+[0-9])[{_ID}]{{{SHORTEST},}}+(?![{_ID}])"
 KINDS = (*PATTERNS, "id")
 
 
@@ -71,82 +79,101 @@ def _sum(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
+#: A word with white space behind it at the end of a text, signs between them aside; and the same from the start.
+_BEFORE = r"(?<!\S)(\S++)\s++[^\s\p{L}\p{N}]*+$"
+_AFTER = r"^[^\s\p{L}\p{N}]*+\s++(\S++)"
+
+
+def word_before(gap: Column) -> Column:
+    """The last word of the text before an entity, lower-cased; empty if there is none."""
+    near = F.right(gap, F.lit(NEAR))
+    enough = (F.length(gap) <= NEAR) | near.rlike(rf"\s{_BEFORE}")
+    return F.lower(F.regexp_extract(F.when(enough, near).otherwise(gap), _BEFORE, 1))
+
+
+def word_after(gap: Column) -> Column:
+    near = F.left(gap, F.lit(NEAR))
+    enough = (F.length(gap) <= NEAR) | near.rlike(rf"{_AFTER}\s")
+    return F.lower(F.regexp_extract(F.when(enough, near).otherwise(gap), _AFTER, 1))
+
+
 def with_spans(df: DataFrame, kind: str, pattern: str, valid: Callable[[Column], Column], needs: str = "") -> DataFrame:
-    """Adds the column kind: array of (start, end, value), in order, of the valid matches of a pattern in text."""
+    """Adds the column kind: array of (start, end, value, left, right), in order, of the valid matches of a pattern in text."""
     has = F.contains("text", F.lit(needs)) if needs else F.col("text").rlike("[0-9]")
     none = F.lit(None).cast("array<string>")
     df = df.withColumn("_found", F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     some = F.size("_found") > 0
-    df = df.withColumn("_gaps", F.when(some, F.transform(F.split("text", pattern, -1), F.length)))
-    df = df.withColumn("_sizes", F.when(some, F.zip_with(F.slice("_gaps", 1, F.size("_found")), F.transform("_found", F.length), lambda g, m: g + m)))
+    facts = F.transform(F.split("text", pattern, -1), lambda g: F.struct(F.length(g).alias("n"), word_before(g).alias("before"), word_after(g).alias("after")))
+    df = df.withColumn("_gaps", F.when(some, facts))
+    df = df.withColumn("_sizes", F.when(some, F.zip_with(F.slice("_gaps", 1, F.size("_found")), F.transform("_found", F.length), lambda g, m: g["n"] + m)))
     steps = F.sequence(F.lit(0), F.expr(f"(size(_found) - 1) div {_STEP}"))
     df = df.withColumn("_steps", F.when(some, F.transform(steps, lambda b: _sum(F.slice("_sizes", b * _STEP + 1, F.lit(_STEP))))))
 
     def span(m: Column, i: Column) -> Column:
         whole = F.floor(i / _STEP).cast("int")
         before = _sum(F.slice("_steps", F.lit(1), whole)) + _sum(F.slice("_sizes", whole * _STEP + 1, i - whole * _STEP))
-        start = before + F.get("_gaps", i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+        gap = F.get("_gaps", i)
+        start = before + gap["n"]
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), gap["before"].alias("left"), F.get("_gaps", i + 1)["after"].alias("right"))
 
     spans = F.filter(F.transform("_found", span), lambda s: valid(s["value"]))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
     return df.withColumn(kind, F.when(some, spans).otherwise(empty)).drop("_found", "_gaps", "_sizes", "_steps")
 
 
-def with_base(documents: DataFrame) -> DataFrame:
-    """doc_id, text and a column of spans for each base kind."""
-    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def entities(documents: DataFrame) -> DataFrame:
+    """A written table, one row for each document: row, rec (all its columns), doc_id, text, base spans by kind, and found: (kind, start, end, value, left, right) of base spans and of strings that look like identifiers."""
+    df = packed(documents).select("rec", F.col("rec.doc_id").cast("long").alias("doc_id"), text_or_empty("rec.text").alias("text"))
     for kind, pattern in PATTERNS.items():
         df = with_spans(df, kind, pattern, VALID[kind], NEEDS[kind])
-    return df
-
-
-def lexical_pattern(start: Column) -> Column:
-    """The word before a place of text, lower-cased; empty if there is none near."""
-    at = F.greatest(start - CONTEXT, F.lit(0))
-    return F.lower(F.regexp_extract(F.substring("text", at + 1, start - at), r"(\S+)\s+[^\s\p{L}\p{N}]*$", 1))
-
-
-def _with_context(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), lexical_pattern(s["start"]).alias("left")))
-
-
-def entities(documents: DataFrame) -> DataFrame:
-    """A written table, one row for each document: row, doc_id, base spans by kind, and found: (kind, start, end, value, left) of base spans and unknown identifiers."""
-    df = with_spans(with_base(documents), "id", IDENTIFIER, lambda m: F.lit(True))
-    base = F.flatten(F.array(*(F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS)))
-    df = df.withColumn("_base", base)
-    df = df.withColumn("id", F.filter("id", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    df = df.withColumn("found", F.flatten(F.array(*map(_with_context, KINDS))))
+    df = with_spans(df, "id", IDENTIFIER, lambda m: F.lit(True))
+    named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), *(s[c].alias(c) for c in ("start", "end", "value", "left", "right"))))
     places = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
-    return written(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *places, "found"), "pii-entities")
-
-
-def confident_patterns(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """left: the words that introduce identifiers, by rounds over the graph of patterns and strings."""
-    each = found.select(F.explode("found").alias("f")).select("f.*").where("left <> ''")
-    edges = each.groupBy("left", "value").agg(F.count("*").alias("n"), F.max(F.col("kind") != "id").alias("seed"))
-    edges = written(edges, "pii-edges")
-    seeds = edges.groupBy("left").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= SUPPORT)
-    seeds = written(seeds.select("left"), "pii-seeds")
-    if seeds.isEmpty():
-        return seeds
-    words = documents.select(F.explode(F.split(F.lower(text_or_empty()), r"\s+")).alias("left"))
-    totals = words.join(seeds, "left", "left_semi").groupBy("left").agg(F.count("*").alias("total"))
-    edges = written(edges.join(totals, "left"), "pii-edges")
-    scores = edges.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    for _ in range(ROUNDS):
-        patterns = edges.join(scores, "value").groupBy("left").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
-        patterns = written(patterns, "pii-patterns")
-        reached = edges.join(patterns, "left").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least(F.col("confidence"), F.lit(1.0)))).alias("score"))
-        scores = written(reached, "pii-scores")
-    return patterns.where(F.col("confidence") >= CONFIDENCE).select("left")
+    return written(df.select(F.monotonically_increasing_id().alias("row"), "rec", "doc_id", "text", *places, F.flatten(F.array(*map(named, KINDS))).alias("found")), "pii-entities", compression="zstd")
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """A written table, one row for each base span and each identifier that no base span touches: row, kind, start, end, value, left, right."""
+    each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    base = F.col("kind") != "id"
+    up = Window.partitionBy("row").orderBy("start", F.desc(base), "end").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), base, F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    near = each.withColumn("_end", F.max(F.when(base, F.col("end"))).over(up)).withColumn("_start", F.min(F.when(base, F.col("start"))).over(down))
+    free = (F.coalesce("_end", F.lit(0)) <= F.col("start")) & (F.coalesce("_start", F.col("end")) >= F.col("end"))
+    return written(near.where(base | free).drop("_end", "_start"), "pii-occurrences")
+
+
+def admitted_patterns(documents: DataFrame, each: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(side, word, confidence): the words next to which identifiers stand, by rounds over the graph of patterns and strings."""
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("left", "right")))
+    edges = each.select("value", (F.col("kind") != "id").alias("seed"), F.explode(sides).alias("s")).select("value", "seed", "s.*").where("word <> ''")
+    edges = written(edges.groupBy("side", "word", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-edges")
+    wide = edges.groupBy("side", "word").agg(F.count("*").alias("strings"), F.sum("n").alias("hits")).where(F.col("strings") >= SUPPORT)
+    wide = written(wide, "pii-words")
+    totals = documents.select(F.explode(F.split(F.lower(text_or_empty()), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    able = wide.join(totals, "word").where(F.col("hits") >= CONFIDENCE * F.col("total")).select("side", "word", "total")
+    edges = written(edges.join(able, ["side", "word"]), "pii-edges")
+    seeds = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
+    scores, mark = seeds, None
+    for _ in range(rounds):
+        found = edges.join(scores, "value").groupBy("side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.count("*").alias("strings"))
+        patterns = written(found.where((F.col("strings") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("side", "word", F.least("confidence", F.lit(1.0)).alias("confidence")), "pii-patterns")
+        new = patterns.agg(F.count("*"), F.sum(F.round("confidence", 6))).first()
+        if new == mark or not new[0]:
+            break
+        mark = new
+        shown = edges.where("not seed").join(patterns, ["side", "word"]).groupBy("value").agg(F.max("confidence").alias("score"))
+        scores = written(seeds.unionByName(shown.join(seeds.select("value"), "value", "left_anti")), "pii-scores")
+    return patterns
 
 
 def discovered(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(row, doc_id, start, end, value) of identifiers that only their context shows."""
-    unknown = found.select("row", "doc_id", F.explode(F.filter("found", lambda f: f["kind"] == "id")).alias("f")).select("row", "doc_id", "f.*")
-    return unknown.join(confident_patterns(documents, found), "left", "left_semi").select("row", "doc_id", "start", "end", "value")
+    """(row, start, end, value) of identifiers that only their context shows."""
+    each = occurrences(found)
+    patterns = admitted_patterns(documents, each)
+    ids = each.where("kind = 'id'")
+    shown = [ids.join(patterns.where(F.col("side") == side).select(F.col("word").alias(side)), side, "left_semi").select("row", "start", "end", "value") for side in ("left", "right")]
+    return shown[0].unionByName(shown[1]).distinct()
 
 
 def _listed(spans: Column) -> Column:
@@ -160,31 +187,43 @@ def _of_kind(column: str, kind: str) -> Column:
 
 def find(documents: DataFrame) -> DataFrame:
     """One row for each document: counts of base spans, base_spans and spans (lists as text), n_id."""
-    found = entities(documents)
+    found = entities(documents.select("doc_id", "text"))
     extra = discovered(documents, found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("id"))  # at most the identifiers of one text
-    rows = found.drop("found").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
+    rows = found.drop("found", "rec", "text").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
     base = F.flatten(F.array(*(_of_kind(k, k) for k in PATTERNS)))
     every = F.flatten(F.array(*(_of_kind(k, k) for k in KINDS)))
     return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), _listed(base).alias("base_spans"), _listed(every).alias("spans"))
 
 
-def _replaced(df: DataFrame, pattern: str, has: Column, valid: Callable[[Column], Column], by: str) -> DataFrame:
-    """text with by in the place of each valid match of a pattern; has: whether a row can have any."""
-    df = df.withColumn("_found", F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    put = F.transform("_found", lambda m: F.when(valid(m), F.lit(by)).otherwise(m))
-    pieces = F.zip_with(F.split("text", pattern, -1), put, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    return df.withColumn("text", F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).drop("_found")
+def _regions(spans: Column) -> Column:
+    """Sorted spans without overlaps: those that overlap become one, of the first one's kind."""
+    ordered = F.array_sort(spans)
+    pairs = F.zip_with(F.slice(ordered, F.lit(1), F.size(ordered) - 1), F.slice(ordered, F.lit(2), F.size(ordered) - 1), lambda a, b: b["start"] < a["end"])
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        apart = (F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["end"] <= s["start"])
+        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer)))
+
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(ordered) < 2, ordered).when(F.exists(pairs, lambda x: x), F.aggregate(ordered, empty, merge)).otherwise(ordered)
 
 
 def redacted(documents: DataFrame) -> DataFrame:
-    """documents, all columns, with [EMAIL] and so on in the place of each span; of kinds that overlap the first listed wins.
+    """documents, all columns, with [EMAIL] and so on in the place of each span; spans that overlap become one, of the first one's kind.
 
-    An identifier found by context goes wherever its document has it.
+    The base spans are those of find(). An identifier found by context goes wherever its row has it.
     """
-    known = discovered(documents, entities(documents)).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("value").alias("_ids"))
-    df = documents.withColumn("text", F.col("text").cast("string")).join(known, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    for kind, pattern in PATTERNS.items():
-        has = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("text").rlike("[0-9]")
-        df = _replaced(df, pattern, has, VALID[kind], f"[{kind.upper()}]")
-    df = _replaced(df, IDENTIFIER, F.col("_ids").isNotNull(), lambda m: F.array_contains("_ids", m), "[ID]")
-    return df.select(*documents.columns)
+    found = entities(documents)
+    shown = discovered(documents, found).select("row", "value").distinct()
+    same = found.select("row", F.explode("found").alias("f")).select("row", "f.*").where("kind = 'id'").join(shown, ["row", "value"], "left_semi")
+    extra = same.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("id"))  # at most the identifiers of one text
+    rows = found.drop("found", "doc_id").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
+    rows = rows.withColumn("_regions", _regions(F.flatten(F.array(*(_of_kind(k, k) for k in KINDS)))))
+    end = lambda i: F.when(i == 0, 0).otherwise(F.get("_regions", i - 1)["end"])
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    pieces = F.transform("_regions", lambda r, i: F.concat(F.substring("text", end(i) + 1, r["start"] - end(i)), F.element_at(names, r["kind"] + 1)))
+    last = F.get("_regions", F.size("_regions") - 1)["end"]
+    text = F.when(F.size("_regions") > 0, F.concat(F.array_join(pieces, ""), F.substring("text", last + 1, F.length("text")))).otherwise(F.col("rec.text").cast("string"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("rec")[c].alias(c) for c in documents.columns))

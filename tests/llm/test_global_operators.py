@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from quillcheck.llm import components, lm_score, mixing, pii, simhash, substring_dedup, url_filter
+from quillcheck.llm import components, ef_trie, lm_score, mixing, pii, simhash, substring_dedup, url_filter
 from quillcheck.llm.common import prefix_sum
 from quillcheck.llm.ef_trie import EliasFano, Trie
 from tests.llm.fixtures import documents, edge_rows
@@ -36,46 +37,67 @@ def test_elias_fano_and_trie():
         wanted = np.unique(np.concatenate([unique[::3], rng.integers(0, top, 500, dtype=np.uint64)]))
         place = ef.find(wanted)
         assert all((unique[p] == w) if p >= 0 else (w not in unique) for p, w in zip(place, wanted))
-    contexts = np.array([3, 90, 1 << 60], np.uint64)
-    words = [np.array([1, 7, 9]), np.array([7]), np.array([2, 1 << 31])]
-    keys = np.concatenate([np.uint64(i) << np.uint64(32) | w.astype(np.uint64) for i, w in enumerate(words)])
-    trie = Trie(contexts, np.array([0, 3, 4, 6]), keys, np.array([0.5, 0.25, 0.001, 1.0, 0.125, 0.2]))
-    for c, w, p in ((3, 7, 0.25), (90, 7, 1.0), (1 << 60, 1 << 31, 0.2), (90, 1, 0.0), (4, 7, 0.0)):
+    contexts = np.array([3, 50, 90, 1 << 60], np.uint64)
+    words = np.array([1, 7, 9, 7, 2, 1 << 45], np.uint64)
+    trie = Trie(contexts, np.array([0, 3, 3, 4, 6]), words, np.array([0.5, 0.25, 0.001, 1.0, 0.125, 0.2]))
+    for c, w, p in ((3, 7, 0.25), (90, 7, 1.0), (1 << 60, 1 << 45, 0.2), (90, 1, 0.0), (4, 7, 0.0), (50, 7, 0.0), (50, 0, 0.0)):
         assert trie.probability(c, w) == pytest.approx(p, rel=0.03)
-    assert (trie.rank(contexts) == [0, 1, 2]).all()
-
-
-def test_lm_scores(spark, monkeypatch):
-    for name in ("SHARD_WORDS", "SHARD_TOKENS"):
-        monkeypatch.setattr(lm_score, name, 700)
-    got = lm_score.score(documents(spark).repartition(3)).collect()
-    counts, pairs, after, tokens = Counter(), Counter(), Counter(), []
+    assert (trie.rank(contexts) == [0, 1, 2, 3]).all()
+
+
+@pytest.mark.parametrize("spread", [3, 3000])
+def test_successor_search_in_ranges(monkeypatch, spread):
+    """All (context, word) pairs of a level are found at their places, and no others."""
+    monkeypatch.setattr(ef_trie, "QUERIES", 700)
+    rng = np.random.default_rng(spread)
+    pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, 12_000 // spread, 9000), rng.integers(0, 1 << 40 if spread > 3 else 40, 9000))})
+    level = np.array([c for c, _ in pairs]), np.array([w for _, w in pairs], np.uint64)
+    contexts = np.unique(level[0])
+    trie = Trie(contexts.astype(np.uint64) * 977, np.append(np.searchsorted(level[0], contexts), len(pairs)), level[1], np.full(len(pairs), 0.5))
+    asked = sorted({*pairs, *((c, w + d) for c, w in pairs[::3] for d in (-1, 1) if w + d >= 0), *((int(c), 7) for c in range(12_000 // spread))})
+    rank = trie.rank(np.array([c for c, _ in asked], np.uint64) * np.uint64(977))
+    at = {p: i for i, p in enumerate(pairs)}
+    assert trie.places(rank, np.array([w for _, w in asked], np.uint64)).tolist() == [at.get(p, -1) for p in asked]
+
+
+@pytest.mark.parametrize("tokens", [700, 30_000])
+def test_lm_scores(spark, tokens):
+    got = lm_score.score(documents(spark).repartition(3), block_tokens=tokens, shard_words=tokens, shard_tokens=tokens).collect()
+    counts, pairs, triples, after, after2, context, texts = Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), []
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     for d, t, *_ in edge_rows():
         w = [*(t or "").encode().lower().split(), b""]
-        tokens.append((d, w))
+        texts.append((d, w))
         if not held(d):
             counts.update(w)
             pairs.update(zip([b"", *w], w))
+            triples.update(zip([b"", b"", *w], [b"", *w], w))
     for a, _ in pairs:
         after[a] += 1
+    for (a, b, _), k in triples.items():
+        after2[a, b] += 1
+        context[a, b] += k
     n, v = sum(counts.values()), len(counts)
     base = lambda w: (counts[w] + 0.1) / (n + 0.1 * (v + 1))
 
-    def model(a, b):
-        return max(pairs[a, b] - 0.75, 0) / counts[a] + 0.75 * after[a] / counts[a] * base(b) if counts[a] else base(b)
+    def two(b, w):
+        return max(pairs[b, w] - 0.75, 0) / counts[b] + 0.75 * after[b] / counts[b] * base(w) if counts[b] else base(w)
 
-    want = Counter((d, held(d), len(w), sum(counts[x] > 0 for x in w), n) for d, w in tokens)
+    def three(a, b, w):
+        return max(triples[a, b, w] - 0.75, 0) / context[a, b] + 0.75 * after2[a, b] / context[a, b] * two(b, w) if context[a, b] else two(b, w)
+
+    want = Counter((d, held(d), len(w), sum(counts[x] > 0 for x in w), n) for d, w in texts)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
-    by_id = {d: w for d, w in tokens if d is not None}
+    by_id = {d: w for d, w in texts if d is not None}
     for r in got:
         if r.doc_id is not None:
             w = by_id[r.doc_id]
             assert r.base_score == pytest.approx(sum(math.log10(base(x)) for x in w), rel=1e-9)
-            assert r.score == pytest.approx(sum(math.log10(model(a, b)) for a, b in zip([b"", *w], w)), abs=0.02 * len(w))
+            assert r.score == pytest.approx(sum(math.log10(three(a, b, c)) for a, b, c in zip([b"", b"", *w], [b"", *w], w)), abs=0.02 * len(w))
     assert lm_score.score(documents(spark, [])).count() == 0
-    for a in [b"", *list(counts)[:20]]:  # probabilities of all words and an unknown one
-        assert sum(model(a, b) for b in counts) + (0.75 * after[a] / counts[a]) * base(b"\0never") == pytest.approx(1)
+    for a, b in [(b"", b""), *list(context)[:20]]:  # probabilities of all words and an unknown one
+        weight = (0.75 * after2[a, b] / context[a, b]) * (0.75 * after[b] / counts[b])
+        assert sum(three(a, b, w) for w in counts) + weight * base(b"\0never") == pytest.approx(1)
 
 
 def plain_fingerprint(text):
@@ -234,11 +256,38 @@ def test_pii(spark):
 
 def test_pii_by_context(spark):
     rows = [(i, f"please contact: user{i}@mail.com now", "en", "s", 1) for i in range(8)]
-    rows += [(100, "he said contact: zz-991823 ok, zz-991823 again", "en", "s", 1), (101, "buy item-1234567 now", "en", "s", 1), (None, None, None, None, None)]
+    rows += [(100, "he said contact: zz-991823 ok, zz-991823 again", "en", "s", 1), (101, "buy item-1234567 today", "en", "s", 1), (None, None, None, None, None)]
     got = {r.doc_id: r.spans for r in pii.find(documents(spark, rows)).collect()}
     assert got[100] == "id:17:26" and got[101] == "" and got[3] == "email:16:30"
     text = {r.doc_id: r.text for r in pii.redacted(documents(spark, rows)).collect()}
-    assert text[3] == "please contact: [EMAIL] now" and text[100] == "he said contact: [ID] ok, [ID] again" and text[101] == "buy item-1234567 now" and text[None] is None
+    assert text[3] == "please contact: [EMAIL] now" and text[100] == "he said contact: [ID] ok, [ID] again" and text[101] == "buy item-1234567 today" and text[None] is None
+
+
+def test_pii_far_context_long_identifiers_and_second_rounds(spark):
+    word, key = "w" * 88, "k9" * 40
+    rows = [(i, f"{word}{' ' * 70}(((user{i}@mail.com and so on", "en", "s", 1) for i in range(4)]
+    rows += [(10 + i, f"contact: user{i}@mail.com, please", "en", "s", 1) for i in range(4)]
+    rows += [(20, f"my {word} {key} here", "en", "s", 1)]
+    # found next to "contact:" only, these three make "acct" a pattern, which shows one more; "holder" stands behind them
+    rows += [(30 + i, f"contact: ab-{i}77123 yes", "en", "s", 1) for i in range(3)] + [(40 + i, f"the acct ab-{i}77123 no", "en", "s", 1) for i in range(3)] + [(50, "his acct zz-555123 x", "en", "s", 1)]
+    rows += [(60 + i, f"x{i} ab-{i}77123 holder", "en", "s", 1) for i in range(3)] + [(70, "see yy-444333 (holder)", "en", "s", 1), (71, "see yy-444333 ) holder, bye", "en", "s", 1)]
+    rows += [(80 + i, f"in 20{i}0-01 or 1234567{i} the", "en", "s", 1) for i in range(5)]
+    got = {r.doc_id: r.spans for r in pii.find(documents(spark, rows)).collect()}
+    assert got[20] == f"id:{4 + 88}:{4 + 88 + 80}" and got[30] == "id:9:18"
+    assert got[41] == "id:9:18" and got[50] == "id:9:18"
+    assert got[60] == "id:3:12" and got[71] == "" and got[80] == ""
+    more = [*rows, (72, "see yy-444333 holder", "en", "s", 1)]
+    assert {r.doc_id: r.spans for r in pii.find(documents(spark, more)).collect()}[72] == "id:4:13"
+
+
+def test_redaction_follows_the_spans(spark):
+    """All kinds are found on the original text; clashing names, null and repeated ids, and overlapping kinds."""
+    rows = [(1, "+1 23.45.67.89 012345 end a@1.2.3.4 x", "en", "s", 1), (1, "b@c.de", "en", "s", 1), (None, "🙂 d@e.fg", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "d@e.fg again", None, None, None)]
+    df = documents(spark, rows).withColumns({c: F.lit("x") for c in ("_found", "_ids", "_of", "rec", "id", "_regions", "found", "email", "_gaps")})
+    out = pii.redacted(df)
+    assert out.columns == df.columns
+    assert Counter(r.text for r in out.collect()) == Counter(["[IP] end [EMAIL] x" if plain_spans(rows[0][1]).startswith("ip") else "[PHONE] end [EMAIL] x", "[EMAIL]", "🙂 [EMAIL]", None, "", "[EMAIL] again"])
+    assert pii.redacted(df.limit(0)).count() == 0
 
 
 def plain_url(url):
