@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a new folder is made and set.
+    Only where the session names none and runs on one machine (tests) a new folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -42,6 +44,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by key into as many buckets as a shuffle has partitions: tables of one key join without a shuffle."""
+    spark = df.sparkSession
+    path, table_name = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def prefix_sum(df: DataFrame, order: str, value: str, out: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds out: the sum of value over the rows before, by order (distinct longs from 0 on), inside each group of within.
 

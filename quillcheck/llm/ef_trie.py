@@ -125,11 +125,12 @@ class Trie:
                 continue
             low, stop = low - first, stop - first
             wanted = w + np.where(low + first > 0, values[np.maximum(low - 1, 0)], np.uint64(0))
-            high = stop.copy()
-            while (open_ := low < high).any():  # a binary search in all ranges at once
-                middle = (low + high) >> 1
-                less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
-                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            high, open_ = stop.copy(), np.flatnonzero(low < stop)
+            while len(open_):  # a binary search in all ranges at once
+                middle = (low[open_] + high[open_]) >> 1
+                less = values[middle] < wanted[open_]
+                low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+                open_ = open_[low[open_] < high[open_]]
             hit = (low < stop) & (values[np.minimum(low, len(values) - 1)] == wanted)
             out[part[hit]] = low[hit] + first
         return out

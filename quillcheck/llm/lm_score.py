@@ -25,7 +25,8 @@ Words are told apart by 64-bit hashes, everything above them by exact ids. All i
 training documents; nothing is pruned. What a task holds is one block, or a shard, whose number
 follows the input. A block and a shard exchange a message only if they share a context, at most
 blocks x shards of them: fewer than the tokens up to BLOCK_TOKENS x SHARD_TOKENS of these (three
-million million), beyond which both sizes should grow.
+million million), beyond which both sizes should grow. Blocks, and the replies to each in one row, are
+bucketed by block, so they are joined without a shuffle each time that they are read.
 
 Defined results: a null text is an empty one, scored by its end; a null doc_id counts as training;
 repeated rows count and are scored each; an empty table gives an empty result; without training
@@ -45,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.llm.common import from_batches, written
+from quillcheck.llm.common import bucketed, from_batches, written
 from quillcheck.llm.ef_trie import Trie
 
 HELD_OUT = 10
@@ -59,7 +60,7 @@ FIRST = 0
 
 BLOCKS = "block long, n_tokens long, n_words long, doc_ids binary, null_ids binary, held binary, sizes binary, hashes binary, codes binary"
 WORDS = "shard long, block long, hashes binary, counts binary"
-TOTALS = "block long, kind int, shard long, data binary, more binary, places binary, counts binary, n long, v long"
+TOTALS = "block long, shard long, data binary, more binary, places binary, counts binary, n long, v long"
 GRAMS = "shard long, block long, contexts binary, totals binary, runs binary, words binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -68,7 +69,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -105,11 +106,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Index(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def _blocks(block_tokens: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << 32)
         schema = _arrow(BLOCKS)
-        index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
+        index, codes, sizes, ids, held, n = _Index({b"": END}), [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             hashes, every = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.concatenate(codes)
@@ -124,8 +133,6 @@ def _blocks(block_tokens: int):
         for batch in batches:
             for doc_id, text, out in zip(from_batches(batch, "doc_id"), from_batches(batch, "text"), from_batches(batch, "held")):
                 words = (text or "").encode().lower().split()
-                for w in set(words).difference(index):
-                    index[w] = len(index)
                 words.append(b"")
                 codes.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
                 sizes.append(len(words))
@@ -134,13 +141,29 @@ def _blocks(block_tokens: int):
                 n += len(words)
                 if n >= block_tokens:
                     yield block()
-                    index, codes, sizes, ids, held, n = {b"": END}, [], [], [], [], 0
+                    index, codes, sizes, ids, held, n = _Index({b"": END}), [], [], [], [], 0
         if ids:
             yield block()
 
     return each
 
 
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, as (contexts, words), and the number of each token's pair."""
+    low, place = int(word.max()).bit_length(), (len(word) - 1).bit_length()
+    if int(context.max()).bit_length() + low + place > 63:
+        pairs, of = np.unique(context << 32 | word, return_inverse=True)
+        return pairs >> 32, pairs & 0xFFFFFFFF, of
+    both = np.sort((context << low | word) << place | np.arange(len(word)))  # each with its place, so that one plain sort does
+    pairs = both >> place
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    of = np.empty(len(pairs), np.int64)
+    of[both & ((1 << place) - 1)] = np.cumsum(new) - 1
+    pairs = pairs[new]
+    return pairs >> low, pairs & ((1 << low) - 1), of
+
+
 class Block:
     """One row of the blocks, unpacked."""
 
@@ -165,10 +188,9 @@ class Block:
         order, at = self.word_order(shards)
         counts, ids = np.zeros(len(self.hashes), np.int64), np.zeros(len(self.hashes), np.uint64)
         for r in replies:
-            if r["kind"] == 0:
-                words = order[at[r["shard"]] : at[r["shard"] + 1]]
-                counts[words] = _unpacked(r["data"], "<i8")
-                ids[words] = _from_planes(r["more"]) * np.uint64(shards) + np.uint64(r["shard"])
+            words = order[at[r["shard"]] : at[r["shard"] + 1]]
+            counts[words] = _unpacked(r["data"], "<i8")
+            ids[words] = _from_planes(r["more"]) * np.uint64(shards) + np.uint64(r["shard"])
         by = np.argsort(ids)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
@@ -180,7 +202,7 @@ class Block:
         before[self.starts] = self.end  # a first word follows the end of a text
         return Grams(before, self.codes, self.ids, self.counts, self.ids, n_tokens, shards)
 
-    def trigrams(self, bigrams: Grams, replies: list[dict], n_tokens: int, shards: int) -> Grams:
+    def trigrams(self, bigrams: Grams, replies: list[dict] | None, n_tokens: int, shards: int) -> Grams:
         """The context of a token is the bigram that ends before it."""
         counts, keys = bigrams.known(replies, shards)
         by = np.argsort(keys, kind="stable")
@@ -200,31 +222,37 @@ class Grams:
     """
 
     def __init__(self, context_of: np.ndarray, word_of: np.ndarray, keys: np.ndarray, totals: np.ndarray, ids: np.ndarray, n_tokens: int, shards: int):
-        pairs, self.of_token = np.unique(context_of << 32 | word_of, return_inverse=True)
-        self.context, self.word, self.totals, self.keys, self.ids = pairs >> 32, pairs & 0xFFFFFFFF, totals, keys, ids
-        sent = np.flatnonzero(totals[self.context] > 0)
+        self.context, self.word, self.of_token = _distinct(context_of, word_of)
+        self.totals, self.keys, self.ids = totals, keys, ids
+        sent = np.flatnonzero((totals > 0)[self.context])
         fan = 1 + (totals * SPREAD * shards // max(n_tokens, 1)).clip(0, shards - 1)
         home = (_mixed(keys) % np.uint64(shards)).astype(np.int64)
         context = self.context[sent]
-        shard = (home[context] + (_mixed(ids) >> np.uint64(8)).astype(np.int64)[self.word[sent]] % fan[context]) % shards
-        by = np.argsort(shard, kind="stable")
+        shard = home[context]
+        wide = np.flatnonzero((fan > 1)[context])  # n-grams of contexts that are spread
+        turn = (_mixed(ids[self.word[sent[wide]]]) >> np.uint64(8)).astype(np.int64) % fan[context[wide]]
+        shard[wide] = (shard[wide] + turn) % shards
+        by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
         self.order, shard, context = sent[by], shard[by], context[by]
         new = np.ones(len(shard), bool)
         new[1:] = (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])
         new = np.flatnonzero(new)
-        heads = np.stack([shard[new], context[new], np.diff(np.append(new, len(shard)))])
+        head, run = shard[new] << 32 | context[new], np.diff(np.append(new, len(shard)))
         # a spread context asks all its shards for its successors there, also those it has no n-gram for
-        spread = np.unique(context[fan[context] > 1])
+        spread = np.zeros(len(fan), bool)
+        spread[self.context[sent[wide]]] = True
+        spread = np.flatnonzero(spread)
         every = np.repeat(spread, fan[spread])
         turn = np.arange(len(every)) - np.repeat(np.cumsum(fan[spread]) - fan[spread], fan[spread])
-        heads = np.concatenate([heads, np.stack([(home[every] + turn) % shards, every, np.zeros(len(every), np.int64)])], axis=1)
-        heads = heads[:, np.lexsort((-heads[2], heads[1], heads[0]))]
-        once = np.ones(heads.shape[1], bool)
-        once[1:] = (heads[0, 1:] != heads[0, :-1]) | (heads[1, 1:] != heads[1, :-1])
-        self.head_shard, self.head_context, self.head_run = heads[:, once]
-        self.shards = np.unique(self.head_shard)
+        asked = np.unique((home[every] + turn) % shards << 32 | every)
+        at = np.searchsorted(head, asked)
+        absent = head[np.minimum(at, len(head) - 1)] != asked if len(head) else np.ones(len(asked), bool)
+        asked, at = asked[absent], at[absent]
+        head, self.head_run = np.insert(head, at, asked), np.insert(run, at, 0)
+        self.head_context, head_shard = head & 0xFFFFFFFF, head >> 32
+        self.shards = np.unique(head_shard)
         self.at = np.searchsorted(shard, np.append(self.shards, shards))
-        self.head_at = np.searchsorted(self.head_shard, np.append(self.shards, shards))
+        self.head_at = np.searchsorted(head_shard, np.append(self.shards, shards))
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, slice]]:
         """For each shard that is asked: its number, the n-grams it has, and its heads (contexts)."""
@@ -239,20 +267,20 @@ class Grams:
             rows.append({"shard": s, "block": block.number, "contexts": _steps(self.keys[heads]), "totals": _planes(self.totals[heads]), "runs": _planes(self.head_run[h]), "words": _planes(self.ids[self.word[grams]]), "counts": _planes(train[grams])})
         return rows
 
-    def known(self, replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, replies: list[dict] | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Count of each n-gram in training, and for those that have one its key as a context."""
         counts, keys = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.uint64)
-        by_shard = {r["shard"]: r for r in replies if r["kind"] == 1}
+        by_shard = {r["shard"]: r for r in replies or ()}
         for s, grams, _ in self.parts():
             have = grams[_unpacked(by_shard[s]["data"][16:], np.uint8) > 0]
             counts[have] = _from_planes(by_shard[s]["counts"]).astype(np.int64)
             keys[have] = _from_steps(by_shard[s]["places"]) * np.uint64(shards) + np.uint64(s + 1)
         return counts, keys
 
-    def probabilities(self, replies: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
         """The stored probability of each n-gram, and the weight of the order below."""
         stored, successors = np.zeros(len(self.context)), np.zeros(len(self.keys), np.int64)
-        by_shard = {r["shard"]: r for r in replies if r["kind"] == kind}
+        by_shard = {r["shard"]: r for r in replies or ()}
         for s, grams, h in self.parts():
             r = by_shard[s]
             least, step = np.frombuffer(r["data"][:16], "<f8")
@@ -289,29 +317,29 @@ def _word_totals(table: pa.Table) -> pa.Table:
     for k, (r, h) in enumerate(zip(rows, hashes)):
         stat = {"n": int(totals.sum()), "v": int((totals > 0).sum())} if k == 0 else {}
         mine = of[at : at + len(h)]
-        out.append({**_NOTHING, "block": r["block"], "kind": 0, "shard": r["shard"], "data": _packed(totals[mine]), "more": _planes(mine), **stat})
+        out.append({**_NOTHING, "block": r["block"], "shard": r["shard"], "data": _packed(totals[mine]), "more": _planes(mine), **stat})
         at += len(h)
     return pa.Table.from_pylist(out, _arrow(TOTALS))
 
 
 def _sent(order: int, n_tokens: int, word_shards: int, shards: int):
-    """Messages of a block's bigrams, or trigrams, from the replies before."""
-
-    def each(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, known = [], replies.to_pylist()
-        for row in blocks.to_pylist():
-            b = Block(row)
-            b.learn_words(known, word_shards)
-            grams = b.bigrams(n_tokens, shards)
-            if order == 3:
-                grams = b.trigrams(grams, known, n_tokens, shards)
-            rows += grams.messages(b)
-        return pa.Table.from_pylist(rows, _arrow(GRAMS))
+    """Messages of the bigrams, or trigrams, of blocks with the replies that they have so far."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Block(row)
+                b.learn_words(row["words"], word_shards)
+                grams = b.bigrams(n_tokens, shards)
+                if order == 3:
+                    grams = b.trigrams(grams, row["bigrams"], n_tokens, shards)
+                yield pa.RecordBatch.from_pylist(grams.messages(b), _arrow(GRAMS))
 
     return each
 
 
-def _shard_codes(kind: int):
+def _shard_codes(order: int):
     """Builds the level of a shard and answers each block."""
 
     def each(table: pa.Table) -> pa.Table:
@@ -321,61 +349,75 @@ def _shard_codes(kind: int):
         words = [_from_planes(r["words"]) for r in rows]
         contexts, first, rank = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
         total = np.concatenate([_from_planes(r["totals"]) for r in rows])[first].astype(np.int64)
-        ids, word = np.unique(np.concatenate(words), return_inverse=True)
-        count = np.concatenate([_from_planes(r["counts"]) for r in rows])
-        key = (np.repeat(rank, np.concatenate(runs)) << 32 | word)[count > 0]
-        seen, of = np.unique(key, return_inverse=True)
-        count = np.bincount(of, weights=count[count > 0], minlength=len(seen)).astype(np.int64)
-        of_context = seen >> 32
+        word, count = np.concatenate(words), np.concatenate([_from_planes(r["counts"]) for r in rows])
+        trained = count > 0
+        context, word, count = np.repeat(rank, np.concatenate(runs))[trained], word[trained], count[trained].astype(np.int64)
+        ids, bits = None, int(word.max(initial=0)).bit_length()
+        if len(contexts).bit_length() + bits > 63:
+            ids, word = np.unique(word, return_inverse=True)
+            bits = 32
+        key = context << bits | word.astype(np.int64)
+        by = np.argsort(key, kind="stable")  # each block's part is in order already
+        key = key[by]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        count = np.add.reduceat(count[by], new) if len(key) else count
+        of_context, word = key[new] >> bits, key[new] & ((1 << bits) - 1)
+        word = (word if ids is None else ids[word]).astype(np.uint64)
         successors = np.bincount(of_context, minlength=len(contexts))
-        trie = Trie(contexts, np.append(0, np.cumsum(successors)), ids[seen & 0xFFFFFFFF], (count - DISCOUNT) / np.maximum(total[of_context], 1))
+        trie = Trie(contexts, np.append(0, np.cumsum(successors)), word, (count - DISCOUNT) / np.maximum(total[of_context], 1))
         scale, out = np.array([trie.least, trie.step], "<f8").tobytes(), []
         for r, h, n, w in zip(rows, heads, runs, words):
             context = trie.rank(h)
             place = trie.places(np.repeat(context, n), w)
             codes, have = np.zeros(len(place), np.uint8), place[place >= 0]
             codes[place >= 0] = trie.codes[have]
-            more = {"places": _steps(have), "counts": _planes(count[have])} if kind == 1 else {}  # they are asked for as contexts
-            out.append({**_NOTHING, "block": r["block"], "kind": kind, "shard": r["shard"], "data": scale + _packed(codes), "more": _planes(successors[context]), **more})
+            more = {"places": _steps(have), "counts": _planes(count[have])} if order == 2 else {}  # they are asked for as contexts
+            out.append({**_NOTHING, "block": r["block"], "shard": r["shard"], "data": scale + _packed(codes), "more": _planes(successors[context]), **more})
         return pa.Table.from_pylist(out, _arrow(TOTALS))
 
     return each
 
 
 def _scored(n_tokens: int, n_words: int, word_shards: int, shards: int):
-    def each(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        tables, known = [], replies.to_pylist()
-        for row in blocks.to_pylist():
-            b = Block(row)
-            b.learn_words(known, word_shards)
-            base = (b.counts + ADD) / (n_tokens + ADD * (n_words + 1))
-            grams = b.bigrams(n_tokens, shards)
-            stored, backoff = grams.probabilities(known, 1)
-            two = (stored + backoff * base[grams.word])[grams.of_token]
-            grams = b.trigrams(grams, known, n_tokens, shards)
-            stored, backoff = grams.probabilities(known, 2)
-            log = np.log10(stored[grams.of_token] + backoff[grams.of_token] * two)
-            add = lambda x: np.add.reduceat(x, b.starts)
-            columns = [b.doc_ids, b.held, b.sizes, add((b.counts > 0).astype(np.int64)[b.codes]), [n_tokens] * len(b.sizes), add(np.log10(base)[b.codes]), add(log)]
-            tables.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(SCORES))], schema=_arrow(SCORES)))
-        return pa.concat_tables(tables) if tables else _arrow(SCORES).empty_table()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Block(row)
+                b.learn_words(row["words"], word_shards)
+                base = (b.counts + ADD) / (n_tokens + ADD * (n_words + 1))
+                grams = b.bigrams(n_tokens, shards)
+                stored, backoff = grams.probabilities(row["bigrams"])
+                two = (stored + backoff * base[grams.word])[grams.of_token]
+                grams = b.trigrams(grams, row["bigrams"], n_tokens, shards)
+                stored, backoff = grams.probabilities(row["trigrams"])
+                log = np.log10(stored[grams.of_token] + backoff[grams.of_token] * two)
+                add = lambda x: np.add.reduceat(x, b.starts)  # noqa: B023, E731
+                columns = [b.doc_ids, b.held, b.sizes, add((b.counts > 0).astype(np.int64)[b.codes]), [n_tokens] * len(b.sizes), add(np.log10(base)[b.codes]), add(log)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(SCORES))], schema=_arrow(SCORES))
 
     return each
 
 
+def _by_block(replies: DataFrame, name: str) -> DataFrame:
+    """One row for each block with all the replies to it."""
+    return replies.groupBy("block").agg(F.collect_list(F.struct("shard", "data", "more", "places", "counts")).alias(name))
+
+
 def score(documents: DataFrame, held_out: int = HELD_OUT, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each document, scored by the model of those whose crc32(doc_id) is no multiple of held_out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out == 0, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    blocks = written(rows.mapInArrow(_blocks(block_tokens), BLOCKS), "lm-blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks(block_tokens), BLOCKS), "lm-blocks", "block")
     tokens, words = blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     if tokens is None:
         return documents.sparkSession.createDataFrame([], SCORES)
     word_shards, shards = 1 + words // shard_words, 1 + tokens // shard_tokens
-    replies = written(blocks.mapInArrow(_word_counts(word_shards), WORDS).groupBy("shard").applyInArrow(_word_totals, TOTALS), "lm-words")
+    replies = written(blocks.mapInArrow(_word_counts(word_shards), WORDS).groupBy("shard").applyInArrow(_word_totals, TOTALS), "lm-words", compression="zstd")
     n_tokens, n_words = replies.agg(F.sum("n"), F.sum("v")).first()
-    by_block = blocks.groupBy("block")
-    for kind in (1, 2):  # bigrams, then trigrams
-        sent = by_block.cogroup(replies.groupBy("block")).applyInArrow(_sent(kind + 1, n_tokens, word_shards, shards), GRAMS)
-        replies = replies.union(written(sent.groupBy("shard").applyInArrow(_shard_codes(kind), TOTALS), "lm-codes"))
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_scored(n_tokens, n_words, word_shards, shards), SCORES)
+    numbers = n_tokens, word_shards, shards
+    asked = lambda have, order: have.mapInArrow(_sent(order, *numbers), GRAMS).groupBy("shard").applyInArrow(_shard_codes(order), TOTALS)
+    have = blocks.join(bucketed(_by_block(replies, "words"), "lm-words", "block"), "block")
+    have = have.join(bucketed(_by_block(asked(have, 2), "bigrams"), "lm-bigrams", "block"), "block", "left")
+    have = have.join(_by_block(asked(have, 3), "trigrams"), "block", "left")
+    return have.mapInArrow(_scored(n_tokens, n_words, word_shards, shards), SCORES)

@@ -5,17 +5,19 @@ its code points and one). Block j of a source with weight w is released at slot
 due by slot ceil((j + 1) / w). Taking in each slot the released block with the earliest deadline
 meets all deadlines, so at any slot every source is less than one block away from its share.
 
-Weights are exact fractions and nothing is rounded or repeated: all blocks are scheduled in one
-task that keeps one block of each source at a time and passes its rows on. That is one row for each
-BLOCK units, read by nobody but the join with the documents. A document's place then is the number of documents in
-earlier slots and before it in its block. No document is dropped or repeated: a source that has run
-out leaves its slots to the others, and balanced says whether a document comes before the first such
-slot. Sources of weight zero come after all others, block by block.
+Weights are exact fractions and nothing is rounded or repeated: the blocks are scheduled in one task
+that reads one row a source, keeps one block of each at a time and passes its rows on. Its work has a
+bound: a block has BLOCK units, or more in tables that would have over MOST blocks, plus one a source.
+Sources are things such as crawls and collections, some thousands at most; their number is not
+bounded here. A document's place then is the number of documents in earlier slots and before it in
+its block. No document is dropped or repeated: a source that has run out leaves its slots to the
+others, and balanced says whether a document comes before the first such slot. Sources of weight zero
+come after all others, block by block.
 
 Defined results: documents without source form a source of their own; a null text weighs one; rows
 without doc_id come first in their source; equal doc_ids stand next to each other in no particular
-order; an empty table gives an empty result; columns of the input named like an added one are
-replaced.
+order; if no source has a weight, all come block by block; an empty table gives an empty result;
+columns of the input named like an added one are replaced, other names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillcheck.llm.common import prefix_sum, written
+from quillcheck.llm.common import packed, prefix_sum, written
 
-BLOCK, PERIOD, TEMPERATURE = 1 << 18, 1024, 0.5
+BLOCK, MOST, PERIOD, TEMPERATURE = 1 << 18, 1 << 22, 1024, 0.5
 #: Slots are longs; blocks that are due later follow the schedule.
 LAST_SLOT = 1 << 61
 ADDED = ("block", "slot", "release", "deadline", "position", "balanced")
@@ -40,7 +42,7 @@ ADDED = ("block", "slot", "release", "deadline", "position", "balanced")
 def shares(weights: dict[str, float], period: int) -> dict[str, Fraction]:
     """Slots of each source in a period, exactly."""
     exact = {s: Fraction(w) for s, w in weights.items()}
-    total = sum(exact.values())
+    total = sum(exact.values()) or 1
     return {s: period * w / total for s, w in exact.items()}
 
 
@@ -84,46 +86,46 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: in
     weights: by source, a source without weight has weight zero. None: the share of each source's
     units to the power TEMPERATURE. period: slots that the scheduling task passes on at a time.
     """
-    spark = documents.sparkSession
     kept = [c for c in carry or documents.columns if c not in ADDED]
-    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    units = F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long") + 1
-    rows = documents.select(*kept, F.col("doc_id").alias("_id"), source.alias("_source"), units.alias("_units"))
-    ordered = rows.repartitionByRange("_source", "_id").sortWithinPartitions("_source", "_id")
-    ordered = written(ordered.withColumn("_part", F.spark_partition_id().cast("long")).withColumn("_row", F.monotonically_increasing_id()), "mix-rows", compression="zstd")
+    source = F.coalesce(F.concat(F.lit("s"), F.col("all.source").cast("string")), F.lit("n"))
+    units = F.length(F.coalesce(F.col("all.text").cast("string"), F.lit(""))).cast("long") + 1
+    whole = packed(documents).withColumnRenamed("rec", "all")
+    rows = whole.select(F.struct(*(F.col("all")[c].alias(c) for c in kept)).alias("rec"), F.col("all")["doc_id"].alias("id"), source.alias("source"), units.alias("units"), F.xxhash64(F.col("all")["text"].cast("string")).alias("salt"))
+    ordered = rows.repartitionByRange("source", "id", "salt").sortWithinPartitions("source", "id", "salt")
+    ordered = written(ordered.withColumn("part", F.spark_partition_id().cast("long")).withColumn("row", F.monotonically_increasing_id()), "mix-rows", compression="zstd")
 
     # units before each document in its source: in its part, and in the parts before
-    light = ordered.select("_row", "_source", "_part", "_units")
-    parts = light.groupBy("_source", "_part").agg(F.sum("_units").alias("n"))
-    before = prefix_sum(parts, "_part", "n", "_before", within=("_source",)).select("_source", "_part", "_before")
-    inside = F.coalesce(F.sum("_units").over(Window.partitionBy("_source", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = light.withColumn("_inside", inside).join(before, ["_source", "_part"]).select("_row", "_source", F.expr(f"(_inside + _before) div {block}").alias("block"))
+    light = ordered.select("row", "source", "part", "units")
+    parts = light.groupBy("source", "part").agg(F.sum("units").alias("n"))
+    before = prefix_sum(parts, "part", "n", "before", within=("source",)).select("source", "part", "before")
+    size = max(block, -(-(parts.agg(F.sum("n")).first()[0] or 0) // MOST))
+    inside = F.coalesce(F.sum("units").over(Window.partitionBy("source", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = light.withColumn("inside", inside).join(before, ["source", "part"]).select("row", "source", "units", F.expr(f"(inside + before) div {size}").alias("block"))
     blocks = written(blocks, "mix-blocks")
 
-    totals = {r["_source"]: r["n"] for r in parts.groupBy("_source").agg(F.sum("n").alias("n")).collect()}  # one row a source
-    target = {s: (weights or {}).get(s[1:] if s[0] == "s" else None, 0.0) if weights else n**TEMPERATURE for s, n in totals.items()}
-    if weights and not any(target.values()):
-        raise ValueError("no source has a weight")
-    counts = {r["_source"]: r["n"] for r in blocks.groupBy("_source").agg((F.max("block") + 1).alias("n")).collect()}
+    totals = blocks.groupBy("source").agg(F.sum("units").alias("n"), (F.max("block") + 1).alias("blocks"))  # one row a source
     kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
-    names = ["_source", "block", "slot", "release", "deadline", "balanced"]
+    names = ["source", "block", "slot", "release", "deadline", "balanced"]
 
     def scheduled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in batches) and target:
-            rows = schedule(target, counts)
-            while part := list(itertools.islice(rows, period)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+        found = [r for b in batches for r in b.to_pylist()]
+        target = {r["source"]: (weights or {}).get(r["source"][1:] if r["source"][0] == "s" else None, 0.0) if weights else r["n"] ** TEMPERATURE for r in found}
+        made = schedule(target, {r["source"]: r["blocks"] for r in found})
+        while part := list(itertools.islice(made, period)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
-    slots = written(spark.range(0, 1, 1, 1).mapInArrow(scheduled, "_source string, block long, slot long, release long, deadline long, balanced boolean"), "mix-slots")
-    timed = blocks.join(slots, ["_source", "block"]).select("_row", *names[1:])
+    slots = written(totals.coalesce(1).mapInArrow(scheduled, "source string, block long, slot long, release long, deadline long, balanced boolean"), "mix-slots")
+    timed = blocks.join(slots, ["source", "block"]).select("row", *names[1:])
 
     sizes = timed.groupBy("slot").agg(F.count("*").alias("n"))
-    first = prefix_sum(sizes, "slot", "n", "_first").select("slot", "_first")
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy("_row")) - 1  # a slot holds one block
-    placed = timed.withColumn("_rank", rank).join(first, "slot").withColumn("position", (F.col("_first") + F.col("_rank")).cast("long"))
-    return ordered.select("_row", *kept).join(placed.select("_row", *ADDED), "_row").select(*kept, *ADDED)
+    first = prefix_sum(sizes, "slot", "n", "first").select("slot", "first")
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy("row")) - 1  # a slot holds one block
+    placed = timed.withColumn("rank", rank).join(first, "slot").withColumn("position", (F.col("first") + F.col("rank")).cast("long"))
+    return ordered.select("row", "rec").join(placed.select("row", *ADDED), "row").select(*(F.col("rec")[c].alias(c) for c in kept), *ADDED)
 
 
 def in_order(documents: DataFrame, **parameters) -> DataFrame:
     """documents, all columns, as files whose rows follow the mix."""
-    return mix(documents, **parameters).repartitionByRange("position").sortWithinPartitions("position").select(*documents.columns)
+    whole = packed(documents).select("rec", *(F.col("rec")[c].alias(c) for c in ("doc_id", "source", "text")))
+    ordered = mix(whole, carry=["rec"], **parameters).repartitionByRange("position").sortWithinPartitions("position")
+    return ordered.select(*(F.col("rec")[c].alias(c) for c in documents.columns))

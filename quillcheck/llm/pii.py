@@ -121,15 +121,15 @@ def with_spans(df: DataFrame, kind: str, pattern: str, valid: Callable[[Column],
     return df.withColumn(kind, F.when(some, spans).otherwise(empty)).drop("_found", "_gaps", "_sizes", "_steps")
 
 
-def entities(documents: DataFrame) -> DataFrame:
-    """A written table, one row for each document: row, rec (all its columns), doc_id, text, base spans by kind, and found: (kind, start, end, value, left, right) of base spans and of strings that look like identifiers."""
+def entities(documents: DataFrame, carry: bool) -> DataFrame:
+    """A written table, one row for each document: row, doc_id, base spans by kind, with carry also rec (all its columns) and text, and found: (kind, start, end, value, left, right) of base spans and of strings that look like identifiers."""
     df = packed(documents).select("rec", F.col("rec.doc_id").cast("long").alias("doc_id"), text_or_empty("rec.text").alias("text"))
     for kind, pattern in PATTERNS.items():
         df = with_spans(df, kind, pattern, VALID[kind], NEEDS[kind])
     df = with_spans(df, "id", IDENTIFIER, lambda m: F.lit(True))
     named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), *(s[c].alias(c) for c in ("start", "end", "value", "left", "right"))))
     places = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
-    return written(df.select(F.monotonically_increasing_id().alias("row"), "rec", "doc_id", "text", *places, F.flatten(F.array(*map(named, KINDS))).alias("found")), "pii-entities", compression="zstd")
+    return written(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(("rec", "text") if carry else ()), *places, F.flatten(F.array(*map(named, KINDS))).alias("found")), "pii-entities", compression="zstd")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -187,9 +187,9 @@ def _of_kind(column: str, kind: str) -> Column:
 
 def find(documents: DataFrame) -> DataFrame:
     """One row for each document: counts of base spans, base_spans and spans (lists as text), n_id."""
-    found = entities(documents.select("doc_id", "text"))
+    found = entities(documents.select("doc_id", "text"), False)
     extra = discovered(documents, found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("id"))  # at most the identifiers of one text
-    rows = found.drop("found", "rec", "text").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
+    rows = found.drop("found").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
     base = F.flatten(F.array(*(_of_kind(k, k) for k in PATTERNS)))
     every = F.flatten(F.array(*(_of_kind(k, k) for k in KINDS)))
     return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), _listed(base).alias("base_spans"), _listed(every).alias("spans"))
@@ -215,7 +215,7 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     The base spans are those of find(). An identifier found by context goes wherever its row has it.
     """
-    found = entities(documents)
+    found = entities(documents, True)
     shown = discovered(documents, found).select("row", "value").distinct()
     same = found.select("row", F.explode("found").alias("f")).select("row", "f.*").where("kind = 'id'").join(shown, ["row", "value"], "left_semi")
     extra = same.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("id"))  # at most the identifiers of one text

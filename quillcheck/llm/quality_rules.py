@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once for each document. The ledger row keeps the measurements and one
-integer whose bit r says that rule r failed. Policies are named masks over that integer, so a
-policy change or an ablation reads the ledger only, never the texts.
+Every rule is evaluated once for each document. The ledger, a table in the shared folder, keeps the
+measurements and one integer whose bit r says that rule r failed. Policies are named masks over that
+integer, so a policy change or an ablation reads the ledger only, never the texts.
 
 Defined results: a null text counts as an empty one (every measurement 0, rule few_words fails); a
 null doc_id stays null; repeated rows give repeated ledger rows; an empty table gives an empty
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillcheck.llm.common import from_batches
+from quillcheck.llm.common import from_batches, written
 
 SYMBOLS = regex.compile(r"[#*$%&|<>]")
 ODD_SPACE = regex.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -131,10 +131,12 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
 
 
 def judged(documents: DataFrame, version: str = "v1") -> DataFrame:
-    """Ledger rows with base_failed and the verdict of the policy; base failures are never kept."""
-    rows = apply_policy(ledger(documents), version)
+    """Ledger rows with base_failed, the verdict of the policy (base failures are never kept), and kept_without: the bit of the one rule that keeps a document out, or 0."""
+    rows = apply_policy(written(ledger(documents), "quality-ledger"), version)
     failed = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES["base"]))) != 0
-    return rows.withColumn("base_failed", failed).withColumn("kept", F.col("kept") & ~failed)
+    out = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version]) | mask(POLICIES["base"])))
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", F.col("kept") & ~failed)
+    return rows.withColumn("kept_without", F.when(F.bit_count(out) == 1, out).otherwise(F.lit(0)).cast("long"))
 
 
 def kept_documents(documents: DataFrame, version: str = "v1") -> DataFrame:

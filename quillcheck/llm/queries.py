@@ -27,7 +27,7 @@ def op1_ef_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose text: what stays, what went, and the documents that have it first."""
     changed = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
-    return changed.select("doc_id", "first_doc_ids", "n_units", "n_removed", "removed", "text")
+    return changed.select("doc_id", "first_doc_ids", "n_words", "n_removed", "removed", "text")
 
 
 def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "kept_without", "policy")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
@@ -97,7 +97,7 @@ m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (2 * n_upper > n_words)::INT + 16 * (10 * n_exclamations > 3 * n_words)::INT
   + 32 * (100 * n_dup_lines > 70 * n_lines)::INT + 64 * (word_chars > 40 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, 'v1' AS policy FROM f
+  (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, CASE WHEN bit_count(fail_bits & 31) = 1 THEN fail_bits & 31 ELSE 0 END AS kept_without, 'v1' AS policy FROM f
 """
 
 SQL: dict[str, str] = {"op5_quality_rules": _OP5}

@@ -2,9 +2,10 @@
 
 Rules are few and given. A rule fits its host and every subdomain if the path starts with its path;
 of those that fit, the longest wins. URLs that a rule judges are the labelled ones: trees learn from
-a bounded sample of them (TRAIN_ROWS, drawn by the URL's hash) and judge the URLs without rule.
-Features are length, depth, digit ratio, entropy, parameter counts and statistics of the suffix; the
-statistics come from all labelled rows, everything else from the row. DataFrame functions only.
+a sample of about TRAIN_ROWS of them, drawn row by row, with one row of each verdict at least, and
+judge the URLs without rule. Features are length, depth, digit ratio, entropy, parameter counts and
+statistics of the suffix; the statistics come from all labelled rows but the row itself, everything
+else from the row. DataFrame functions only.
 
 Defined results: a null url, or one without ://, has empty host and path and no rule, and its
 features are those of the text; a null page_id stays null; repeated rows are repeated; if all
@@ -83,25 +84,27 @@ def with_lexical(pages: DataFrame) -> DataFrame:
 
 
 def with_rates(rows: DataFrame, key: str, overall: float) -> DataFrame:
-    """Adds the smoothed block rate and the log count of a key among all labelled rows."""
+    """Adds the smoothed block rate and the log count of a key among all other labelled rows."""
     seen = rows.where("ruled is not null").groupBy(key).agg(F.count("*").alias("_n"), F.count_if(F.col("ruled") == "block").alias("_blocked"))
     df = rows.join(seen, key, "left")
-    rate = (F.coalesce("_blocked", F.lit(0)) + PRIOR * overall) / (F.coalesce("_n", F.lit(0)) + PRIOR)
-    return df.withColumn(f"{key}_rate", rate).withColumn(f"{key}_rows", F.log1p(F.coalesce("_n", F.lit(0)).cast("double"))).drop("_n", "_blocked")
+    n = F.coalesce("_n", F.lit(0)) - F.when(F.col("ruled").isNotNull(), 1).otherwise(0)
+    blocked = F.coalesce("_blocked", F.lit(0)) - F.when(F.col("ruled") == "block", 1).otherwise(0)
+    return df.withColumn(f"{key}_rate", (blocked + PRIOR * overall) / (n + PRIOR)).withColumn(f"{key}_rows", F.log1p(n.cast("double"))).drop("_n", "_blocked")
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, and block_score, the model's probability of block (null where it was not asked)."""
     rows = with_lexical(with_rule(with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules))
-    rows = written(rows.withColumn("_hash", F.xxhash64(_url())), "url-rows")
-    n, blocked = rows.where("ruled is not null").agg(F.count("*"), F.count_if(F.col("ruled") == "block")).first()
+    part = 1 << 40
+    rows = written(rows.withColumn("_draw", F.pmod(F.xxhash64("page_id", _url(), F.monotonically_increasing_id()), F.lit(part))), "url-rows")
+    least = lambda v: F.coalesce(F.min(F.when(F.col("ruled") == v, F.col("_draw"))), F.lit(-1))
+    n, blocked, *always = rows.where("ruled is not null").agg(F.count("*"), F.count_if(F.col("ruled") == "block"), least("block"), least("allow")).first()
     if not 0 < blocked < n:
         other = F.lit("block" if n and blocked == n else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     rated = with_rates(with_rates(rows, "suffix", blocked / n), "domain", blocked / n)
     rated = written(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated).drop(*LEXICAL), "url-rated")
-    part = 1 << 20
-    drawn = F.pmod(F.col("_hash"), F.lit(part)) < min(part, part * train_rows // n)
+    drawn = (F.col("_draw") < min(part, part * train_rows // n)) | F.col("_draw").isin(always)
     sample = rated.where(F.col("ruled").isNotNull() & drawn).withColumn("label", (F.col("ruled") == "block").cast("double"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(sample.select("features", "label"))
     scored = model.transform(rated)

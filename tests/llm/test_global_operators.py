@@ -167,34 +167,68 @@ def test_components_of_chains_stars_and_ties(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_runs(text):
+    """(kind, words of three consecutive pieces, start, end) by sentences, and by units, in code points."""
+    found = []
+    sentences = re.findall(r"(?s)\S.*?(?:[.!?](?=\s|$)(?:\s+[.!?,;:]+(?!\S))*|(?=\n)|$)\s*", text)
+    for kind, pieces in (("s", sentences), ("u", substring_dedup.units(text))):
+        if not pieces:
+            continue
+        at = len(text) - sum(map(len, pieces)) if kind == "s" else 0
+        if kind == "s":
+            pieces[0], at = text[:at] + pieces[0], 0
+        assert "".join(pieces) == text
+        words = [p.lower().strip(" .!?,;:\t\n").split() for p in pieces]
+        ends = np.cumsum([0, *map(len, pieces)]).tolist()
+        found += [(kind, tuple(" ".join(w) for w in words[i : i + 3]), ends[i], ends[i + 3]) for i in range(len(pieces) - 2) if sum(map(len, words[i : i + 3])) >= substring_dedup.MIN_WORDS]
+    return sorted(found, key=lambda f: f[2:])
+
+
 def test_substring_dedup(spark):
     passage = "The first clause of a passage has words, the second has more of them; and a third one too. Then a sentence follows that is longer than all those before it and has no comma at all. "
+    short = "One is here. Two is there now. Three goes on a bit longer. Four is the last of them. "
     rows = edge_rows() + [(300 + i, f"own{i} start of text. {passage}tail number {i}." + (f" {passage}" if i == 2 else ""), "en", "s", 1) for i in range(4)]
-    got = {r.doc_id: r for r in substring_dedup.deduplicated(documents(spark, rows)).where("doc_id is not null").collect()}
-    # brute force: all spans of all documents in order
-    ids = sorted({r[0] for r in rows if r[0] is not None})
-    text = {r[0]: r[1] for r in rows if r[0] is not None}
+    rows += [(400, f"Alpha beta gamma. {short}Delta.", "en", "s", 1), (401, f"Quite another start it has. {short}And an end.", "en", "s", 1)]
+    got = substring_dedup.deduplicated(documents(spark, rows)).collect()
+    times = Counter(r[0] for r in rows)
     seen, want = set(), {}
-    for d in [*ids]:
-        units = substring_dedup.units(text[d] or "")
-        assert "".join(units) == (text[d] or "")
-        words = [u.lower().strip(" .!?,;:\t\n").split() for u in units]
-        stays = [True] * len(units)
-        for i in range(len(units) - 2):
-            span = tuple(" ".join(w) for w in words[i : i + 3])
-            if sum(map(len, words[i : i + 3])) >= substring_dedup.MIN_WORDS:
-                if span in seen:
-                    stays[i : i + 3] = [False] * 3
-                seen.add(span)
-        want[d] = None if text[d] is None else "".join(u for u, s in zip(units, stays) if s)
-    assert {d: r.text for d, r in got.items()} == want
-    assert got[300].n_removed == 0 and passage.strip() in got[300].text
-    assert all("third one" not in got[300 + i].text and got[300 + i].first_doc_ids == [300] for i in (1, 2, 3))
+    for d, t in sorted((r[0], r[1]) for r in rows if r[0] is not None and times[r[0]] == 1):
+        gone = set()
+        for kind, words, a, b in plain_runs(t or ""):
+            if (kind, words) in seen:
+                gone.update(range(a, b))
+            seen.add((kind, words))
+        want[d] = None if t is None else "".join(c for i, c in enumerate(t) if i not in gone)
+    by_id = {r.doc_id: r for r in got}
+    assert {d: by_id[d].text for d in want} == want
+    assert by_id[300].n_removed == 0 and passage.strip() in by_id[300].text
+    assert all("third one" not in by_id[300 + i].text and by_id[300 + i].first_doc_ids == [300] for i in (1, 2, 3))
+    assert short.strip() in by_id[400].text and by_id[401].text == "Quite another start it has. And an end."
+    assert len(got) == len(rows) and Counter(r.doc_id for r in got) == times
     changed = {r.doc_id for r in substring_dedup.deduplicated(documents(spark, rows), changed_only=True).collect()}
-    assert changed - {None} == {d for d, r in got.items() if r.n_removed}
+    assert changed == {r.doc_id for r in got if r.n_removed}
     assert substring_dedup.deduplicated(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("top", [7, (1 << 63) - 1])
+def test_substring_dedup_by_row(spark, top):
+    """Rows without doc_id and repeated rows are documents each; columns with the names of helpers pass."""
+    rng = np.random.default_rng(top % 97)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(4)]
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (5, text[2]), (5, text[3]), (top, text[3] + " tail of it"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "rec", "spans", "hash", "removed", "_key", "_spans", "first_keys", "of")})
+    out = substring_dedup.deduplicated(df)
+    assert set(df.columns) - {"removed"} <= set(out.columns)
+    got = out.collect()
+    whole = [r for r in got if r.text and len(r.text.split()) >= 60]
+    assert sorted(r.text[:40] for r in whole) == sorted([*(t[:40] for t in text)])
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert {r.doc_id for r in whole} <= {1, None, 5, top}
+    assert sorted(len(r.text.split()) for r in got if r.text and r not in whole)[:4] == sorted(len(r.text.split()) for r in got if r.text and r.n_removed)
+    if top == 7:  # ids leave room for keys after them
+        assert [r.first_doc_ids for r in got if r.doc_id is None and r.n_removed and 1 in r.first_doc_ids] == [[1]]
+
+
 def test_mixing(spark):
     rows = [(i, "x" * (20 + i % 37), "en", "big" if i % 3 else f"s{i % 5}", 1) for i in range(900)] + edge_rows()
     got = mixing.mix(documents(spark, rows), weights={"big": 2.0, "s0": 1.0, "s1": 1.0, "s2": 1.0}, block=300, period=64).collect()
@@ -305,7 +339,9 @@ def test_urls(spark):
     urls += [f"http://s{i % 7}.{'com' if i % 2 else 'net'}/{'es' if i % 3 else 'en'}/{i}?p={i}&q" for i in range(80)] + ["http://a.com"] * 3 + ["http://x.org/" + "y" * 20_000]
     rows = [(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://z.org/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    got = {r.page_id: r for r in url_filter.judged(pages).collect()}
+    found = url_filter.judged(pages).collect()
+    assert Counter((r.page_id, r.host) for r in found) == Counter((i, plain_url(u)[0]) for i, u, _ in rows)
+    got = {r.page_id: r for r in found}
     for i, u, _ in rows:
         host, path, (rule, verdict) = plain_url(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
@@ -314,6 +350,24 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judged(spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_url_samples(spark):
+    """Two URLs that are all labelled rows; a sample of two rows; rows that are all alike."""
+    rows = [(i, "http://a.com/x" if i % 3 else "http://b.net/es/1") for i in range(3000)] + [(None, "http://c.org/es/")] * 3
+    for train in (20_000, 2):
+        got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), train_rows=train).collect()
+        assert Counter(r.verdict for r in got if r.page_id is not None) == {"allow": 2000, "block": 1000}
+        assert sum(r.page_id is None for r in got) == 3
+    alike = [(None, "http://a.com/x")] * 50 + [(None, "http://b.net/es/1")] + [(None, "http://d.org")] * 2
+    assert Counter(r.verdict for r in url_filter.judged(spark.createDataFrame(alike, "page_id long, url string"), train_rows=5).collect())["block"] >= 1
+
+
+def test_a_row_is_left_out_of_its_own_rate(spark):
+    rows = spark.createDataFrame([("a", "block"), ("a", "allow"), ("a", None), ("b", "block")], "k string, ruled string")
+    got = {(r.k, r.ruled): (r.k_rate, r.k_rows) for r in url_filter.with_rates(rows, "k", 0.5).collect()}
+    want = {("a", "block"): (10 / 21, 1), ("a", "allow"): (11 / 21, 1), ("a", None): (11 / 22, 2), ("b", "block"): (10 / 20, 0)}
+    assert all(got[k] == pytest.approx((r, math.log1p(n))) for k, (r, n) in want.items())
+
+
 def test_url_trees_on_held_out_urls(spark):
     """Rules for some hosts only; URLs of other hosts of the same suffix must follow."""
     rows = [(i, f"http://h{i % 40}.{'bad' if i % 40 < 20 else 'good'}.org/{'x' * (i % 9)}/{i}{'?a=1&b=2' if i % 40 < 20 else ''}") for i in range(1200)]
