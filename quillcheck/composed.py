@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.operators import formatting, objects
+from quillcheck.operators import documents, formatting, objects
 from quillcheck.registry import query
 
 BASE = """
@@ -202,3 +202,149 @@ def image_findings(spark, sf_dir):
     """Images: format, size in pixels, equal widths, and how their paragraphs stand to captions."""
     found = objects.image_faults(_of(spark, sf_dir, IMAGES), paragraphs(spark, sf_dir), allowed=("png", "jpg"), max_px=1100)
     return found.select("doc_id", "para_ix", "parameter", "level")
+
+
+TABLES = """
+SELECT doc_id, table_ix, x, CAST(x % 14 AS INT) AS rows_count, x % 3 <> 0 AS has_grid, CASE WHEN x % 5 = 0 THEN '000000' ELSE 'auto' END AS border_color, CAST(x % 2 AS DOUBLE) + 0.5 AS border_size, CASE WHEN x % 4 <> 0 THEN CAST(1 AS INT) END AS title_para_ix, x % 7 <> 0 AS has_header_row,
+  CAST(10 + x % 9 AS DOUBLE) AS width_cm, x % 2 = 0 AS has_cant_split_rows, x % 5 = 1 AS repeats_header, CASE WHEN x % 6 = 0 THEN CAST(x % 4 AS INT) END AS empty_ix, CASE WHEN x % 8 = 0 THEN CAST(x % 3 AS INT) END AS tall_ix
+FROM (SELECT CAST(floor(l_orderkey / 3.0) AS BIGINT) AS doc_id, CAST(l_orderkey % 3 AS INT) AS table_ix, max(l_partkey + l_suppkey) AS x FROM {lineitem} GROUP BY 1, 2) AS made"""
+SECTIONS = """
+SELECT doc_id, section_ix, x, 21.0 + 0 * x AS page_width_cm, 29.7 AS page_height_cm, CASE WHEN x % 2 = 0 THEN 3.0 ELSE 2.0 END AS left_margin_cm, CASE WHEN x % 3 = 0 THEN 1.5 ELSE 2.5 END AS right_margin_cm, 2.0 AS top_margin_cm, 2.0 AS bottom_margin_cm, 1.0 + x % 2 AS header_distance_cm, 1.25 AS footer_distance_cm,
+  x % 4 <> 0 AS has_page_number, CASE WHEN x % 4 = 0 THEN NULL WHEN x % 5 = 0 THEN 'header' ELSE 'footer' END AS page_number_area, CASE x % 6 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS page_number_start, x % 7 = 0 AS page_number_restart, x % 3 = 0 AS has_header, CASE WHEN x % 3 = 0 THEN 'Титул' END AS header_text, x % 2 = 0 AS first_page_has_page_number,
+  CASE WHEN x % 9 = 0 THEN 'A5' ELSE 'A4' END AS page_format, CASE WHEN x % 8 = 0 THEN 'landscape' ELSE 'portrait' END AS page_orientation, CASE WHEN x % 5 = 1 THEN 'right' ELSE 'center' END AS page_number_alignment
+FROM (SELECT CAST(floor(l_orderkey / 3.0) AS BIGINT) AS doc_id, CAST(l_orderkey % 3 AS INT) AS section_ix, max(l_partkey + 2 * l_suppkey) AS x FROM {lineitem} GROUP BY 1, 2) AS made"""
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
+    return _of(spark, sf_dir, TABLES).withColumns({"empty_row_ix": listed("empty_ix"), "enlarged_row_ix": listed("tall_ix")})
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _of(spark, sf_dir, SECTIONS)
+    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if c.endswith("_cm")})
+
+
+_SIGN = "concat(border_color, ' ', border_size)"
+
+
+@query(
+    f"WITH t AS ({_duck(TABLES)}), s AS ({_duck(SECTIONS)}), area AS (SELECT doc_id, page_width_cm - left_margin_cm - right_margin_cm AS area FROM s WHERE section_ix = 0), {_main(_SIGN, 'modal', 'has_grid', 'table_ix', 't')}, w AS (SELECT *, rows_count > 8 AS long FROM t LEFT JOIN area USING (doc_id) LEFT JOIN modal USING (doc_id)) "
+    + _union(
+        "w",
+        [
+            ("table_grid_style", "NOT has_grid"),
+            ("table_grid_style", f"has_grid AND {_SIGN} <> modal", "warning"),
+            ("table_caption_position", "title_para_ix IS NULL"),
+            ("table_title_position", "title_para_ix IS NULL"),
+            ("table_header_required", "NOT has_header_row"),
+            ("table_width_within_text_area", "width_cm > area"),
+            ("table_allow_row_break", "long AND has_cant_split_rows", "warning"),
+            ("table_repeat_header", "long AND NOT repeats_header", "warning"),
+            ("table_no_empty_rows", "empty_ix IS NOT NULL"),
+            ("table_no_empty_rows", "tall_ix IS NOT NULL", "warning"),
+        ],
+        "doc_id, table_ix",
+    )
+)
+def table_findings(spark, sf_dir):
+    """Whole tables: borders, titles, headers, width, long tables, empty and enlarged rows."""
+    return objects.table_faults(tables(spark, sf_dir), sections(spark, sf_dir)).select("doc_id", "table_ix", "parameter", "level")
+
+
+@query(
+    _p(
+        f"{_main('font_size_pt', 'main')}, {_main('font_size_pt', 'modal', 'paragraph_type = ' + chr(39) + 'table_cell' + chr(39))}, c AS (SELECT *, coalesce(main, 14) AS m FROM p LEFT JOIN main USING (doc_id) LEFT JOIN modal USING (doc_id) WHERE paragraph_type = 'table_cell'), "
+        f"reasons AS (SELECT doc_id, table_ix, para_ix, line_spacing > 1.05 AS spaced, NOT {_NO_INDENTS} AS indented, table_row_ix <> 0 AND alignment <> 'left' AS turned FROM c), columns AS (SELECT doc_id, table_ix, table_col_ix, min(alignment) AS low, max(alignment) AS high, bool_and(text = '—') AS dashes, min(para_ix) AS para_ix FROM c WHERE table_row_ix > 0 AND text <> '' GROUP BY ALL) "
+        "SELECT doc_id, table_ix, min(para_ix) AS para_ix, 'table_text_spacing_indent' AS parameter, concat_ws(', ', CASE WHEN bool_or(turned) THEN 'alignment' END, CASE WHEN bool_or(indented) THEN 'indents' END, CASE WHEN bool_or(spaced) THEN 'line spacing' END) AS actual FROM reasons WHERE spaced OR indented OR turned GROUP BY ALL "
+        "UNION ALL SELECT doc_id, table_ix, min(para_ix), 'table_text_line_spacing', 'line spacing' FROM reasons WHERE spaced GROUP BY ALL "
+        "UNION ALL SELECT doc_id, table_ix, min(para_ix), x, concat(arg_min(CAST(font_size_pt AS INTEGER), para_ix), ' in ', count(*), ' cells') FROM c, (VALUES ('table_font_size'), ('table_text_font_size')) v(x) WHERE abs(font_size_pt - m) > 0.5 AND abs(font_size_pt - m + 2) > 0.5 GROUP BY doc_id, table_ix, x "
+        "UNION ALL SELECT doc_id, table_ix, min(para_ix), 'table_font_size_consistency', concat(arg_min(CAST(font_size_pt AS INTEGER), para_ix), ' in ', count(*), ' cells') FROM c WHERE font_size_pt <> modal GROUP BY doc_id, table_ix "
+        "UNION ALL SELECT doc_id, table_ix, para_ix, 'table_column_alignment_consistency', CASE WHEN low <> high THEN concat('column ', table_col_ix + 1, ' ', (SELECT string_agg(DISTINCT alignment, '/' ORDER BY alignment) FROM c WHERE c.doc_id = columns.doc_id AND c.table_ix = columns.table_ix AND c.table_col_ix = columns.table_col_ix AND table_row_ix > 0 AND text <> '')) ELSE concat('dash column ', table_col_ix + 1) END FROM columns WHERE low <> high OR (dashes AND low <> 'center')"
+    )
+)
+def cell_findings(spark, sf_dir):
+    """Table cells by table: spacing, indents, alignment, sizes against the main size and among themselves, columns of mixed alignment or of dashes."""
+    return objects.cell_faults(paragraphs(spark, sf_dir)).select("doc_id", "table_ix", "para_ix", "parameter", "actual")
+
+
+#: Paragraphs of a thesis: every line of an order is one kind of paragraph of one part.
+THESIS = """
+SELECT doc_id, para_ix, m, CASE WHEN m IN (0, 1, 14) THEN 'heading' WHEN m IN (5, 6, 11) THEN 'list_item' WHEN m = 16 THEN 'title_page' ELSE 'main_text' END AS paragraph_type,
+  CASE WHEN m IN (2, 3) THEN 'toc' WHEN m BETWEEN 4 AND 7 OR m = 17 THEN 'introduction' WHEN m BETWEEN 8 AND 10 THEN 'conclusion' WHEN m IN (11, 12, 18) THEN 'references' WHEN m = 16 THEN 'title_page' ELSE 'main_part' END AS logical_section,
+  CASE m WHEN 0 THEN 'Обзор' WHEN 1 THEN 'Overview of parts' WHEN 2 THEN 'Обзор ..... 5' WHEN 3 THEN 'Методы … 7' WHEN 4 THEN 'Для этого решить следующие задачи:' WHEN 5 THEN '— изучить  литературу' WHEN 6 THEN '— и разработка модели' WHEN 7 THEN 'Актуальность   Темы ясна' WHEN 8 THEN 'Разработан метод.' WHEN 9 THEN 'В будущем планируется рост.'
+    WHEN 10 THEN 'Итоги есть.' WHEN 11 THEN '1. Петров' WHEN 12 THEN 'без даты' WHEN 13 THEN 'Я считаю так, а не иначе' WHEN 14 THEN 'Методы' WHEN 15 THEN 'Мы сделали это' WHEN 16 THEN 'Университет' WHEN 17 THEN 'Цель работы' WHEN 18 THEN 'Сидоров, 2001' ELSE 'Описание счётов' END AS text,
+  m = 14 AS is_numbered_heading, CASE WHEN m IN (5, 6) THEN 'dash' WHEN m = 11 THEN 'number_dot' END AS list_marker_type
+FROM (SELECT CAST(floor(l_orderkey / 3.0) AS BIGINT) AS doc_id, CAST((l_orderkey % 3) * 8 + l_linenumber AS INT) AS para_ix, CAST(max(l_partkey + 3 * l_suppkey) % 20 AS INT) AS m FROM {lineitem} GROUP BY 1, 2) AS made"""
+
+
+def _t(rest: str) -> str:
+    return f"WITH p AS ({_duck(THESIS)}), {rest}"
+
+
+@query(
+    _t(
+        f"s AS ({_duck(SECTIONS)}), titled AS (SELECT DISTINCT doc_id FROM p WHERE paragraph_type = 'title_page'), intro AS (SELECT doc_id, min(para_ix) AS began FROM p WHERE logical_section = 'introduction' GROUP BY doc_id), front AS (SELECT doc_id, count(*) FILTER (para_ix < began AND text <> '') AS n FROM p JOIN intro USING (doc_id) GROUP BY doc_id), "
+        "w AS (SELECT *, doc_id IN (FROM titled) AS has_title FROM s LEFT JOIN front USING (doc_id)) "
+        + _union(
+            "w",
+            [
+                ("continuous_page_numbering", "CASE WHEN section_ix = 0 THEN coalesce(page_number_start <> 1, false) ELSE page_number_restart END"),
+                ("page_number_area", "NOT has_page_number OR page_number_area <> 'footer'"),
+                ("header_short_title", "has_header", "warning"),
+                ("first_page_no_page_number", "section_ix = 0 AND first_page_has_page_number AND has_title"),
+                ("front_matter_page_numbers_hidden_until_intro", "section_ix = 0 AND first_page_has_page_number AND n > 0"),
+                ("front_matter_page_numbers_hidden_until_intro", "section_ix = 0 AND has_page_number AND n > 12"),
+            ],
+            "doc_id, section_ix",
+        )
+    )
+)
+def section_findings(spark, sf_dir):
+    """Sections: numbering, place of page numbers, headers, title pages and front matter."""
+    return documents.section_faults(sections(spark, sf_dir), _of(spark, sf_dir, THESIS)).select("doc_id", "section_ix", "parameter", "level")
+
+
+_PLAIN = "replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'ё', 'е')"
+
+
+@query(
+    _t(
+        f"n AS (SELECT *, {_PLAIN} AS plain FROM p), d AS (SELECT doc_id, string_agg(plain, ' ' ORDER BY para_ix) AS whole, bool_or(is_numbered_heading) AS numbered, bool_or(logical_section = 'conclusion' AND paragraph_type <> 'heading') AS concluded, count(*) FILTER (logical_section = 'references' AND m IN (11, 18)) AS n_references, "
+        "coalesce(string_agg(plain, ' ') FILTER (logical_section = 'introduction'), '') AS intro FROM n GROUP BY doc_id), "
+        "heads AS (SELECT DISTINCT doc_id, plain FROM n WHERE paragraph_type = 'heading'), toc AS (SELECT doc_id, para_ix, trim(regexp_replace(plain, '[.…\\s]*\\d+$', '')) AS t FROM n WHERE logical_section = 'toc'), lost AS (SELECT * FROM toc WHERE NOT EXISTS (SELECT 1 FROM heads WHERE heads.doc_id = toc.doc_id AND heads.plain = t)), "
+        "missing AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT contains(whole, 'введение') THEN 'Введение' END, CASE WHEN NOT contains(whole, 'обзор') THEN 'Обзор' END, CASE WHEN NOT (numbered OR contains(whole, 'основная часть')) THEN 'Основная часть' END, CASE WHEN NOT contains(whole, 'метод. итоги') THEN 'метод. Итоги' END], lambda x: x IS NOT NULL), ', ') AS found FROM d), "
+        "asked AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (contains(intro, 'цель') AND contains(intro, 'работы')) THEN 'цель работы' END, CASE WHEN NOT contains(intro, 'актуальность') THEN 'Актуальность' END], lambda x: x IS NOT NULL), ', ') AS found FROM d) "
+        "SELECT doc_id, para_ix, 'heading_english_not_allowed' AS parameter, text AS actual FROM p WHERE m = 1 "
+        "UNION ALL SELECT doc_id, NULL, 'toc_headings_match_text', array_to_string(list_slice(list(t ORDER BY para_ix), 1, 5), '; ') FROM lost GROUP BY doc_id "
+        "UNION ALL SELECT doc_id, NULL, 'conclusion_required_content', 'no conclusion' FROM d WHERE NOT concluded "
+        "UNION ALL SELECT doc_id, NULL, 'required_document_structure', found FROM missing WHERE found <> '' "
+        "UNION ALL SELECT doc_id, NULL, 'references_min_count', CAST(n_references AS VARCHAR) FROM d WHERE n_references < 2 "
+        "UNION ALL SELECT doc_id, NULL, 'introduction_required_content', found FROM asked WHERE found <> ''"
+    )
+)
+def structure_findings(spark, sf_dir):
+    """Structure: required parts over the whole text, contents lines, introductions, conclusions, references, English headings."""
+    found = documents.structure_faults(_of(spark, sf_dir, THESIS), required=["Введение", "Обзор", "Основная часть", "метод. Итоги"], least_references=2, intro_items=["цель работы", "Актуальность"])
+    return found.select("doc_id", "para_ix", "parameter", "actual")
+
+
+@query(
+    _t(
+        "i AS (SELECT *, bool_or(m = 4) OVER (PARTITION BY doc_id ORDER BY para_ix) AS inside FROM p WHERE logical_section = 'introduction'), j AS (SELECT *, m IN (5, 6) AS item, bool_or(m IN (5, 6)) OVER (PARTITION BY doc_id ORDER BY para_ix) AS began FROM i WHERE inside AND m <> 4), tasks AS (SELECT *, bool_or(began AND NOT item) OVER (PARTITION BY doc_id ORDER BY para_ix) AS ended FROM j) "
+        "SELECT doc_id, para_ix, 'initial_verb_form' AS parameter, 'разработка' AS actual FROM tasks WHERE item AND NOT ended AND m = 6 "
+        "UNION ALL SELECT doc_id, para_ix, 'completed_action_form', 'планируется' FROM p WHERE m = 9 "
+        "UNION ALL SELECT doc_id, min(para_ix), 'completed_action_form', 'no completed action' FROM p WHERE m BETWEEN 8 AND 10 GROUP BY doc_id HAVING bool_and(m = 10) "
+        "UNION ALL SELECT doc_id, para_ix, 'forbidden_phrases', CASE m WHEN 13 THEN 'я считаю' WHEN 15 THEN 'мы сделать' ELSE 'описание счетов' END FROM p WHERE m IN (13, 15, 19)"
+    )
+)
+def language_findings(spark, sf_dir):
+    """Tasks that begin with no infinitive, conclusions without completed action, and forbidden phrases by words and by lemmas."""
+    found = documents.language_faults(_of(spark, sf_dir, THESIS), phrases=["я считаю", "мы сделать", "описание счетов"])
+    return found.select("doc_id", "para_ix", "parameter", "actual")
+
+
+@query(_t("n AS (SELECT * FROM p WHERE logical_section = 'introduction') SELECT doc_id, string_agg(text, chr(10) ORDER BY para_ix) AS text FROM n GROUP BY doc_id"))
+def introduction_texts(spark, sf_dir):
+    """The text of each introduction."""
+    return documents.section_text(_of(spark, sf_dir, THESIS), "introduction")

@@ -12,17 +12,14 @@ ALIGNMENTS = {"LEFT": "left", "CENTER": "center", "RIGHT": "right", "JUSTIFY": "
 STYLE_VALUES = ("alignment", "font_family", "font_size_pt", "bold", "italic", "first_line_indent_cm", "left_indent_cm", "right_indent_cm", "line_spacing", "space_before_pt", "space_after_pt", "keep_with_next", "keep_together", "page_break_before")
 
 
-def style_alignments(styles: DataFrame, depth: int = 16) -> DataFrame:
-    """(doc_id, style_id, alignment): the first alignment on a style's chain of base styles, up to depth."""
-    chain = styles.select("doc_id", "style_id", F.lit(0).alias("depth"), "alignment", "based_on")
-    rows, step = chain, chain
-    base = styles.select("doc_id", F.col("style_id").alias("based_on"), F.col("alignment").alias("_a"), F.col("based_on").alias("_b"))
-    for k in range(1, depth):
-        step = step.where("based_on is not null").join(base, ["doc_id", "based_on"]).select("doc_id", "style_id", F.lit(k).alias("depth"), F.col("_a").alias("alignment"), F.col("_b").alias("based_on"))
-        if step.isEmpty():
-            break
-        rows = rows.unionByName(step)
-    return rows.where("alignment is not null").groupBy("doc_id", "style_id").agg(F.min_by("alignment", "depth").alias("alignment"))
+def style_alignments(styles: DataFrame) -> DataFrame:
+    """(doc_id, style_id, alignment): the first alignment on a style's chain of base styles, which is as long as it is; chains that end in a circle have none."""
+    link = F.struct("alignment", "based_on")
+    of_document = styles.groupBy("doc_id").agg(F.collect_list(F.struct("style_id", link.alias("link"))).alias("all"))  # the styles of one document
+    first = F.filter("all", lambda s: s["style_id"].isNotNull())
+    rows = of_document.select("doc_id", F.map_from_entries(F.array_distinct(first)).alias("links"), F.size("all").alias("n")).select("doc_id", "links", "n", F.explode("links").alias("style_id", "link"))
+    up = lambda at, _: F.when(at["alignment"].isNull() & at["based_on"].isNotNull(), F.element_at("links", at["based_on"])).otherwise(at)
+    return rows.select("doc_id", "style_id", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("link"), up)["alignment"].alias("alignment")).where("alignment is not null")
 
 
 def first_written_run() -> Column:

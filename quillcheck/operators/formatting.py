@@ -86,9 +86,14 @@ def heading_sizes(paragraphs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "heading_level", (F.col("main") + 2 * step).alias("expected_size"))
 
 
-def heading_faults(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, para_ix, parameter, actual, expected, level) of the heading rules that need no rule value; one row for each fault."""
+def heading_faults(paragraphs: DataFrame, indent: float | None = None) -> DataFrame:
+    """(doc_id, para_ix, parameter, actual, expected, level) of the heading rules that need no rule value; one row for each fault.
+
+    indent: the indent of main text that the profile's strategy names; else it is the most frequent one, else 1.25.
+    """
     main_indent, main_spacing = main_value(paragraphs, "first_line_indent_cm", "main_indent"), main_value(paragraphs, "line_spacing", "main_spacing")
+    if indent is not None:
+        main_indent = main_indent.withColumn("main_indent", F.lit(indent))
     order = Window.partitionBy("doc_id").orderBy("para_ix")
     before = F.coalesce(F.lag("has_page_break").over(order), F.lit(False)) if "has_page_break" in paragraphs.columns else F.lit(False)
     heads = paragraphs.withColumn("_broken", before).where("paragraph_type = 'heading'").join(heading_sizes(paragraphs), ["doc_id", "heading_level"], "left").join(main_indent, "doc_id", "left").join(main_spacing, "doc_id", "left")
@@ -99,7 +104,7 @@ def heading_faults(paragraphs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     near = lambda a, b: F.abs(a - b) <= 0.05
     centred = F.col("alignment") == "center"
-    indents = F.when(centred, near(zero("first_line_indent_cm"), F.lit(0.0)) & near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0))).otherwise(near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0)) & (near(zero("first_line_indent_cm"), F.lit(0.0)) | near(zero("first_line_indent_cm"), F.coalesce("main_indent", F.lit(1.25)))))
+    indents = F.when(centred, near(zero("first_line_indent_cm"), F.lit(0.0)) & near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0))).otherwise(near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0)) & (near(zero("first_line_indent_cm"), F.lit(0.0)) | near(zero("first_line_indent_cm"), F.coalesce("main_indent", F.lit(1.25 if indent is None else indent)))))
     own_break = F.coalesce("page_break_before", F.lit(False)) | (F.coalesce("has_page_break", F.lit(False)) if "has_page_break" in paragraphs.columns else F.lit(False)) | F.col("_broken")
     fault = lambda p, bad, actual, expected, level="error": F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(p).alias("parameter"), actual.cast("string").alias("actual"), expected.cast("string").alias("expected"), F.lit(level).alias("level")))
     faults = [
