@@ -24,7 +24,7 @@ a trigram context of its own.
 Words are told apart by 64-bit hashes, everything above them by exact ids. All is counted over all
 training documents; nothing is pruned. What a task holds is one block, or a shard, whose number
 follows the input. A block and a shard exchange a message only if they share a context, at most
-blocks x shards of them: fewer than the tokens up to BLOCK_TOKENS x SHARD_TOKENS of these (three
+blocks x shards of them: fewer than the tokens up to BLOCK_TOKENS x SHARD_TOKENS of these (one
 million million), beyond which both sizes should grow. Blocks, and the replies to each in one row, are
 bucketed by block, so they are joined without a shuffle each time that they are read.
 
@@ -51,7 +51,7 @@ from quillcheck.llm.ef_trie import Trie
 
 HELD_OUT = 10
 DISCOUNT, ADD = 0.75, 0.1
-BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_750_000, 2_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000, 1_000_000
 #: A context is spread over one shard for each so many parts of a shard's tokens.
 SPREAD = 4
 END = 0  # local code of the end of a text, whose hash is that of the empty word
