@@ -54,19 +54,21 @@ PATTERNS = (
     ("hyphen_spacing", _SPACED, "error"), ("manual_hyphenation_forbidden", rf"({_W}-{_S}*)$", "warning"), ("dash_spacing", rf"({_W}—{_W})", "error"), ("hyphen_instead_of_dash", _SPACED, "error"), ("nested_quotes", "(«[^»]*«[^»]+»[^»]*»)", "error"), ("number_sign_symbol", rf"(?i){_B}((?:No?){_S}*\d+)", "error"), ("number_sign_nbsp", r"(№ \d+)", "error"),
     ("parentheses_not_slash", rf"{_B}({_W}+/[^/\s]+/)", "error"), ("citation_omission_format", r"(\[\s*\.{3}\s*\]|…|\[\s*…\s*\])", "error"), ("music_terms_typography", rf"{_B}([A-Ha-h]-?(?:dur|moll)){_E}", "warning"), ("russian_quotes", '("[^"]+")', "warning"),
 )
+_PHONE, _VALID_PHONE = r"(?:\+7|8)?[\s\p{Z}]?\(?\d{3}\)?[\s\p{Z}-]?\d{3}[\s\p{Z}-]?\d{2}[\s\p{Z}-]?\d{2}", r"^((\+7|8)\s)?\d{3}\s\d{3}-\d{2}-\d{2}$"
 
 
 def _duck(sql: str) -> str:
     return sql.replace("{lineitem}", "lineitem")
 
 
-def _hits() -> str:
+def hits_sql(any_language: bool = False) -> str:
+    """The findings of a relation named lines (doc_id, para_ix, v, paragraph_type, caption_kind, text)."""
     q = lambda p: p.replace("'", "''")
     parts = []
     for name, pattern, level in PATTERNS:
         groups = [f"regexp_extract(text, '{q(pattern)}', {k + 1})" for k in range(pattern.replace("(?:", "").replace("(?i)", "").replace(r"\(", "").replace("[(", "[").count("("))]
         fragment = f"coalesce({', '.join(f'nullif({g}, {chr(39) * 2})' for g in groups)})"
-        language = " AND regexp_matches(text, '[А-Яа-яЁё]')" if name == "russian_quotes" else ""
+        language = " AND regexp_matches(text, '[А-Яа-яЁё]')" if name == "russian_quotes" and not any_language else ""
         parts.append(f"SELECT doc_id, para_ix, '{name}' AS parameter, {fragment} AS fragment, '{level}' AS level, text FROM scope WHERE regexp_matches(text, '{q(pattern)}'){language}")
     found = " UNION ALL ".join(parts)
     values = ", ".join(f"'{p}'" for p in fixed.VALUE_PARAMETERS)
@@ -75,7 +77,7 @@ def _hits() -> str:
 SELECT doc_id, para_ix, parameter, fragment, level FROM found WHERE NOT (parameter IN ({values}) AND ({ignored}))
 UNION ALL SELECT doc_id, para_ix, 'paragraph_edge_spaces', 'space at the edge', 'error' FROM scope WHERE text LIKE ' %' OR text LIKE '% '
 UNION ALL SELECT doc_id, para_ix, 'square_brackets_usage', b, 'warning' FROM (SELECT *, list_filter(regexp_extract_all(text, '\\[[^\\]]+\\]'), lambda x: NOT regexp_matches(x, '(?i)^\\[\\d+(,\\s*с\\.\\s*\\d+)?(;\\s*\\d+)*\\]$'))[1] AS b FROM scope) WHERE b IS NOT NULL
-UNION ALL SELECT doc_id, para_ix, 'phone_number_format', '8(912)345-67-89', 'error' FROM scope WHERE v = 43
+UNION ALL SELECT doc_id, para_ix, 'phone_number_format', b, 'error' FROM (SELECT *, list_filter(list_transform(regexp_extract_all(text, '{_PHONE}'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '{_VALID_PHONE}'))[1] AS b FROM scope) WHERE b IS NOT NULL
 UNION ALL SELECT doc_id, para_ix, 'no_dot_after_udc_keywords_table_title', '.', 'error' FROM scope WHERE (caption_kind = 'table' OR lower(text) LIKE 'удк%') AND text LIKE '%.'
 UNION ALL SELECT doc_id, para_ix, 'dot_after_footnote_or_note', 'no end sign', 'error' FROM scope WHERE paragraph_type = 'note' AND NOT regexp_matches(text, '[.!?…]$')"""
 
@@ -84,7 +86,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LINES, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumns({"style_name": F.lit(None).cast("string"), "logical_section": F.lit(None).cast("string")})
 
 
-@query(f"WITH lines AS ({_duck(LINES)}), {_hits()}")
+@query(f"WITH lines AS ({_duck(LINES)}), {hits_sql()}")
 def typography_hits(spark, sf_dir):
     """Every typography pattern on lines that break it and lines that do not."""
     return typography.fragments(lines(spark, sf_dir)).select("doc_id", "para_ix", "parameter", "fragment", "level")

@@ -52,10 +52,8 @@ def text_hits(any_language: bool = False) -> Column:
         by_parameter.setdefault(parameter, []).append((pattern, level))
 
     def hit(parameter: str, fragment: Column, level: str, when: Column | None = None) -> Column:
-        if parameter in fixed.VALUE_PARAMETERS:
-            fragment = F.when(~ignored_value(fragment, text), fragment)
         fragment = fragment if when is None else F.when(when, fragment)
-        return F.when(fragment.isNotNull(), F.struct(F.lit(parameter).alias("parameter"), fragment.alias("fragment"), F.lit(level).alias("level")))
+        return F.struct(F.lit(parameter).alias("parameter"), fragment.alias("fragment"), F.lit(level).alias("level"), F.lit(parameter in fixed.VALUE_PARAMETERS).alias("value"))
 
     for parameter, patterns in by_parameter.items():
         if parameter == "spaces_inside_brackets_quotes":  # the closing side is asked only if the opening side is right
@@ -73,7 +71,9 @@ def text_hits(any_language: bool = False) -> Column:
     hits.append(hit("no_dot_after_udc_keywords_table_title", F.when(C.stripped(text).endswith("."), F.lit(".")), "error", F.coalesce(label, F.lit(False))))
     note = F.col("paragraph_type").isin("note", "footnote")
     hits.append(hit("dot_after_footnote_or_note", F.when(~C.stripped(text).rlike(r"[.!?…]$"), F.lit("no end sign")), "error", F.coalesce(note, F.lit(False))))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    # each pattern stands here once; whether its fragment counts is asked of what it found
+    kept = F.filter(F.array(*hits), lambda h: h["fragment"].isNotNull() & ~(h["value"] & F.coalesce(ignored_value(h["fragment"], text), F.lit(False))))
+    return F.transform(kept, lambda h: F.struct(h["parameter"].alias("parameter"), h["fragment"].alias("fragment"), h["level"].alias("level")))
 
 
 def equation_hits() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
 from quillcheck.operators import corrections, derive, documents, extraction, formatting, objects, typography, violations
+from quillcheck.composed_text import hits_sql
 from quillcheck.registry import query
 from quillcheck.sources import blocks
 
@@ -35,48 +36,20 @@ def _rules(spark: SparkSession, *rows: tuple) -> DataFrame:
 
 _LINES = "split AS (SELECT doc_id AS d, string_split(text, chr(10)) AS parts FROM documents), lines AS (SELECT d AS doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS para_ix, unnest(parts) AS text FROM split)"
 
-#: Patterns that both engines read alike.
-PLAIN_PATTERNS = {
-    "repeated_spaces": r" {2,}",
-    "repeated_tabs": r"\t{2,}",
-    "spaces_near_punctuation": r"[ \t]+[.,;:!?]",
-    "nbsp_after_number_sign": r"№ \d+",
-    "percent_nbsp": r"\d+(?:[,.]\d+)? [%‰]",
-    "nested_quotes": r"«[^»]*«[^»]+»[^»]*»",
-    "numeric_range_dash": r"\d+\s*-\s*\d+",
-    "straight_quotes": r'"[^"]+"',
-    "square_brackets_usage": r"\[[^\]]+\]",
-    "number_sign_symbol": r"#\s*\d+",
-    "phone_like": r"\+\d \(\d{3}\) \d{3}-\d{4}",
-    "dash_spacing": r"\p{L}—\p{L}",
-    "hyphen_spacing": r"\p{L} - \p{L}",
-    "omission": r"\[\s*\.{3}\s*\]|…",
-}
-
-
-def plain_findings(lines: DataFrame) -> DataFrame:
-    """(doc_id, para_ix, parameter, actual): first match of each plain pattern, all in one pass over the texts."""
-    hits = [F.when(C.first_match("text", p).isNotNull(), F.struct(F.lit(n).alias("parameter"), C.first_match("text", p).alias("actual"))) for n, p in PLAIN_PATTERNS.items()]
-    edge = F.when(F.col("text").rlike("^ | $"), F.struct(F.lit("paragraph_edge_spaces").alias("parameter"), F.lit("space at the edge").alias("actual")))
-    return lines.select("doc_id", "para_ix", F.explode(F.filter(F.array(*hits, edge), lambda h: h.isNotNull())).alias("h")).select("doc_id", "para_ix", "h.*")
-
-
-def _plain_sql() -> str:
-    q = lambda p: p.replace("'", "''")
-    parts = [f"SELECT doc_id, para_ix, '{n}' AS parameter, regexp_extract(text, '{q(p)}') AS actual FROM lines WHERE regexp_matches(text, '{q(p)}')" for n, p in PLAIN_PATTERNS.items()]
-    parts.append("SELECT doc_id, para_ix, 'paragraph_edge_spaces', 'space at the edge' FROM lines WHERE text LIKE ' %' OR text LIKE '% '")
-    return " UNION ALL ".join(parts)
-
-
-@query(f"WITH {_LINES} {_plain_sql()}")
+#: Lines with the columns that the typography rules ask for; those of plain documents say nothing more.
+_SCOPE = f"{_LINES.replace('lines AS', 'plain AS')}, lines AS (SELECT doc_id, para_ix, text, NULL AS v, CAST(NULL AS VARCHAR) AS paragraph_type, CAST(NULL AS VARCHAR) AS caption_kind FROM plain)"
+
+
+@query(f"WITH {_SCOPE}, {hits_sql()}")
 def typography_findings(spark, sf_dir):
-    return plain_findings(_lines(spark, sf_dir))
+    """Every typography pattern that a line breaks."""
+    return typography.fragments(_lines(spark, sf_dir)).select("doc_id", "para_ix", "parameter", "fragment", "level")
 
 
-@query(f"WITH {_LINES}, f AS ({_plain_sql()}), d AS (SELECT doc_id, count(*) AS n_violations, count(DISTINCT parameter) AS n_parameters, min(para_ix) AS first_ix FROM f GROUP BY doc_id) SELECT doc_id, n_violations, n_parameters, first_ix, rank() OVER (ORDER BY n_violations DESC) AS worst FROM d QUALIFY worst <= 50")
+@query(f"WITH {_SCOPE}, f AS (WITH {hits_sql()}), d AS (SELECT doc_id, count(*) AS n_violations, count(DISTINCT parameter) AS n_parameters, min(para_ix) AS first_ix FROM f GROUP BY doc_id) SELECT doc_id, n_violations, n_parameters, first_ix, rank() OVER (ORDER BY n_violations DESC) AS worst FROM d QUALIFY worst <= 50")
 def worst_documents(spark, sf_dir):
     """Documents by their number of findings, the worst first; a top-k report."""
-    per = plain_findings(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_violations"), F.countDistinct("parameter").alias("n_parameters"), F.min("para_ix").alias("first_ix"))
+    per = typography.fragments(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_violations"), F.countDistinct("parameter").alias("n_parameters"), F.min("para_ix").alias("first_ix"))
     # ranks of the counts that occur, which are few; a tie of any size is never in one task
     steps = per.groupBy("n_violations").agg(F.count("*").alias("n"))
     above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("n_violations")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -88,18 +61,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst_documents(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {_SCOPE}, {hits_sql(any_language=True)}")
 def typography_all_patterns(spark, sf_dir):
     """Every typography pattern, look-around included, on all lines."""
     return typography.fragments(_lines(spark, sf_dir), any_language=True)
 
 
-@query()
+@query(f"""WITH {_SCOPE}, f AS (WITH {hits_sql(any_language=True)}), r AS (SELECT f.*, CASE parameter WHEN 'numeric_range_dash' THEN 'range' WHEN 'russian_quotes' THEN 'quotes' ELSE 'digits' END AS rule_id, CASE parameter WHEN 'numeric_range_dash' THEN '1' WHEN 'russian_quotes' THEN '2' ELSE '3' END AS source_section FROM f WHERE parameter IN ('numeric_range_dash', 'russian_quotes', 'digit_grouping_nbsp'))
+SELECT doc_id, source_section, rule_id, count(*) AS n, count(*) FILTER (level = 'error') AS n_errors, count(*) FILTER (level = 'warning') AS n_warnings, CASE WHEN count(DISTINCT fragment) > 1 THEN 'different' ELSE min(fragment) END AS actual FROM r GROUP BY ALL""")
 def typography_rule_findings(spark, sf_dir):
     """Findings in the common schema for a profile of three rules, counted and grouped by rule."""
     rules = _rules(spark, ("range", "document", "numeric_range_dash", "equals", None, None, None, None, "mandatory"), ("quotes", "document", "russian_quotes", "equals", None, None, None, None, "recommended"), ("digits", "document", "digit_grouping_nbsp", "equals", None, None, None, None, "mandatory"))
     df = derive.classified(_lines(spark, sf_dir)).withColumns({c: F.lit(None).cast("double") for c in ("first_line_indent_cm", "left_indent_cm", "right_indent_cm")} | {c: F.lit(None).cast("boolean") for c in ("has_formula_like_image", "is_standalone_equation", "has_equation", "has_line_break")} | {"alignment": F.lit(None).cast("string"), "logical_section": F.lit(None).cast("string")})
-    return violations.grouped(typography.check_paragraphs(df, rules, any_language=True))
+    return violations.grouped(typography.check_paragraphs(df, rules, any_language=True)).select("doc_id", "source_section", "rule_id", "n", "n_errors", "n_warnings", "actual")
 
 
 _ELEMENTS = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
