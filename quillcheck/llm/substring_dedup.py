@@ -1,7 +1,7 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences (after . ! ? or a line end), and each run of SPAN consecutive sentences is
-hashed: lower-cased words, marks at the ends of sentences left out. Sentences can be long, or none: so
+hashed: lower-cased words, marks at the ends of words left out. Sentences can be long, or none: so
 the text is cut a second time, into units of NEAR + 1 to LONG words at places that the words themselves
 decide: after a word whose rank is less than those of the NEAR words on either side. Words at the end of
 a sentence, clause or line rank before all others, then hashes of the words decide, so a passage is cut
@@ -43,8 +43,7 @@ SPAN, MIN_WORDS, NEAR, LONG, CHUNK = 3, 10, 3, 9, 5
 ENDS, MARKS = ".!?", ".!?,;:"
 #: A word with the marks that stand alone behind it.
 WORD = re.compile(rf"\S+\s*+(?:[{MARKS}]++(?!\S)\s*+)*+")
-_KNOWN = 1 << 18
-_ranks: dict[str, int] = {}
+_KNOWN, LONGEST = 1 << 18, 64
 
 
 def _rank(word: str) -> int:
@@ -55,6 +54,19 @@ def _rank(word: str) -> int:
     return xxhash.xxh64_intdigest(bare.lower().strip(MARKS + " \t\n")) >> 3 << 1 | (not (line or bare[-1:] in MARKS)) << 62 | closes
 
 
+class _Ranks(dict):
+    """Ranks of words; those of long words are not kept."""
+
+    def __missing__(self, word: str) -> int:
+        rank = _rank(word)
+        if len(word) <= LONGEST:
+            self[word] = rank
+        return rank
+
+
+_ranks = _Ranks()
+
+
 def words_of(text: str) -> tuple[list[str], np.ndarray]:
     """The text in words with the white space behind them (joined they are the text), and their ranks."""
     words = WORD.findall(text)
@@ -63,10 +75,7 @@ def words_of(text: str) -> tuple[list[str], np.ndarray]:
     words[0] = text[: len(text) - sum(map(len, words))] + words[0]
     if len(_ranks) > _KNOWN:
         _ranks.clear()
-    for w in set(words).difference(_ranks):
-        if len(w) <= 64:
-            _ranks[w] = _rank(w)
-    return words, np.array([_ranks[w] if w in _ranks else _rank(w) for w in words], np.int64)
+    return words, np.fromiter(map(_ranks.__getitem__, words), np.int64, len(words))
 
 
 def sentence_ends(rank: np.ndarray) -> list[int]:
@@ -102,38 +111,54 @@ def units(text: str) -> list[str]:
     return ["".join(words[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-def _runs(words: list[str], ends: list[int], family: bytes) -> Iterator[tuple[int, int, int]]:
-    """(hash, first word, word after the last) of each run of SPAN pieces that has MIN_WORDS words."""
-    starts = [0, *ends[:-1]]
-    plain = ["".join(words[a:b]).lower().strip(" .!?,;:\t\n").split() for a, b in zip(starts, ends)]
-    sizes = list(map(len, plain))
-    marks = [xxhash.xxh64_digest(" ".join(w)) for w in plain]
-    for i in range(len(ends) - SPAN + 1):
-        if sum(sizes[i : i + SPAN]) >= MIN_WORDS:
-            yield xxhash.xxh64_intdigest(family + b"".join(marks[i : i + SPAN])) - (1 << 63), starts[i], ends[i + SPAN - 1]
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def spans(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The words of a text and the spans of its sentences and units: (hash, first word, word after the last), by their first words."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_powers[0]) <= n:
+        size = 1 << (n + 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64)
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+def spans(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text and the spans of its sentences and units: hashes, first words and words after the last, by their first words.
+
+    A span's hash is a polynomial of the hashes of its words, from running sums.
+    """
     words, rank = words_of(text)
-    if not words:
-        return words, []
-    sentences, cut = sentence_ends(rank), unit_ends(rank)
-    found = [*_runs(words, sentences, b"s"), *_runs(words, cut, b"u")]
-    return words, sorted(found, key=lambda s: s[1:])
+    up, down = powers(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum((rank.astype(np.uint64) >> np.uint64(1) & np.uint64((1 << 61) - 1)) * up[1:], out=sums[1:])
+    starts, stops, families = [], [], []
+    for family, ends in enumerate((sentence_ends(rank), unit_ends(rank)) if words else ()):
+        ends = np.array([0, *ends], np.int64)
+        start, stop = ends[: len(ends) - SPAN], ends[SPAN:]
+        long = stop - start >= MIN_WORDS
+        starts.append(start[long])
+        stops.append(stop[long])
+        families.append(np.full(int(long.sum()), family, np.uint64))
+    start, stop, family = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops, families))
+    h = (sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + family.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))).view(np.int64)
+    order = np.lexsort((stop, start))
+    return words, h[order], start[order], stop[order]
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, hashes, again = [], [], []
         for key, text in zip(from_batches(batch, "key"), from_batches(batch, "text")):
-            seen: dict[int, bool] = {}
-            for h, *_ in spans(text or "")[1]:
-                seen[h] = h in seen
-            keys += [key] * len(seen)
-            hashes += seen.keys()
-            again += seen.values()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(again, pa.bool_())], names=["key", "hash", "again"])
+            found, n = np.unique(spans(text or "")[1], return_counts=True)
+            keys.append(np.full(len(found), key, np.int64))
+            hashes.append(found)
+            again.append(n > 1)
+        columns = [np.concatenate([np.zeros(0, kind), *c]) for c, kind in ((keys, np.int64), (hashes, np.int64), (again, bool))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hash", "again"])
 
 
 def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -161,7 +186,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     return sent.join(first, "hash").select("key", "hash", "first_key")
 
 
-def removed_words(found: list[tuple[int, int, int]], first: dict[int, int], key: int) -> tuple[list[tuple[int, int]], set[int]]:
+def removed_words(found: Iterator[tuple[int, int, int]], first: dict[int, int], key: int) -> tuple[list[tuple[int, int]], set[int]]:
     """Ranges of words that go, in order and apart, and the first keys of the spans that remove them. first: by hash."""
     ranges: list[tuple[int, int]] = []
     seen, origins = set(), set()
@@ -199,8 +224,8 @@ def deduplicated(documents: DataFrame, changed_only: bool = False) -> DataFrame:
             record = batch.column("rec")
             inner = dict(zip(fields, record.flatten()))
             for key, text, known in zip(from_batches(batch, "key"), inner["text"].cast(pa.string()).to_pylist(), from_batches(batch, "spans")):
-                words, all_spans = spans(text or "")
-                ranges, origins = removed_words(all_spans, {s["hash"]: s["first_key"] for s in known or ()}, key)
+                words, *all_spans = spans(text or "")
+                ranges, origins = removed_words(zip(*(x.tolist() for x in all_spans)), {s["hash"]: s["first_key"] for s in known or ()}, key)
                 ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).tolist()
                 places = [(ends[a], ends[b]) for a, b in ranges]
                 left = [(text or "")[a:b] for a, b in zip([0, *(b for _, b in places)], [*(a for a, _ in places), len(text or "")])]

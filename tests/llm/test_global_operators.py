@@ -178,7 +178,7 @@ def plain_runs(text):
         if kind == "s":
             pieces[0], at = text[:at] + pieces[0], 0
         assert "".join(pieces) == text
-        words = [p.lower().strip(" .!?,;:\t\n").split() for p in pieces]
+        words = [[w.lower().strip(" .!?,;:\t\n\x0b") for w in substring_dedup.WORD.findall(p)] for p in pieces]
         ends = np.cumsum([0, *map(len, pieces)]).tolist()
         found += [(kind, tuple(" ".join(w) for w in words[i : i + 3]), ends[i], ends[i + 3]) for i in range(len(pieces) - 2) if sum(map(len, words[i : i + 3])) >= substring_dedup.MIN_WORDS]
     return sorted(found, key=lambda f: f[2:])
