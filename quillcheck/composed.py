@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.operators import documents, formatting, objects
+from quillcheck.operators import documents, formatting, objects, typography
 from quillcheck.registry import query
 
 BASE = """
@@ -348,3 +348,189 @@ def language_findings(spark, sf_dir):
 def introduction_texts(spark, sf_dir):
     """The text of each introduction."""
     return documents.section_text(_of(spark, sf_dir, THESIS), "introduction")
+
+
+#: Lists, equations, notations and footnotes.
+LISTS = f"""
+WITH base AS ({BASE}), kinds AS (SELECT *, CAST(a % 9 AS INT) AS k, CAST(b % 4 + 1 AS STRING) AS n FROM base),
+marked AS (SELECT *, CASE WHEN k <= 3 THEN CASE b % 7 WHEN 0 THEN 'dash' WHEN 1 THEN 'hyphen' WHEN 2 THEN 'bullet' WHEN 3 THEN 'number_bracket' WHEN 4 THEN 'number_dot' WHEN 5 THEN 'letter_dot' END END AS list_marker_type, CASE WHEN k <= 3 THEN CASE b % 7 WHEN 0 THEN '—' WHEN 1 THEN '-' WHEN 2 THEN '•' WHEN 3 THEN '1)' WHEN 4 THEN '2.' WHEN 5 THEN 'а.' END END AS list_marker,
+  CASE a % 4 WHEN 0 THEN 'один;' WHEN 1 THEN 'Два.' WHEN 2 THEN 'три' ELSE 'Четыре;' END AS body FROM kinds)
+SELECT doc_id, para_ix, k, CASE WHEN k <= 3 THEN 'list_item' WHEN k = 7 THEN 'footnote' ELSE 'main_text' END AS paragraph_type, list_marker, list_marker_type, d > 0.05 AS is_automatic_list, body,
+  CASE WHEN k <= 3 THEN CASE WHEN list_marker IS NULL THEN body ELSE concat(list_marker, ' ', body) END WHEN k = 4 THEN CASE WHEN b % 2 = 0 THEN 'Части таковы:' ELSE 'Части есть.' END WHEN k = 5 THEN CASE b % 4 WHEN 0 THEN concat('E = mc (', n, ')') WHEN 1 THEN concat('как формула (', n, ') и') WHEN 2 THEN 'F = m +' ELSE 'слово* тут' END
+    WHEN k = 6 THEN CASE b % 3 WHEN 0 THEN concat('m = n (', n, ')') WHEN 1 THEN concat('см. (', n, ') и') ELSE 'плотность' END WHEN k = 7 THEN 'сноска' ELSE CASE b % 8 WHEN 0 THEN 'тут × знак' WHEN 1 THEN 'тут · знак' WHEN 2 THEN '2,5·10 раз' WHEN 3 THEN '3,1E5 раз' WHEN 4 THEN '+7 912 345-67-89' WHEN 5 THEN '8 912 345-67-89' WHEN 6 THEN 'путь м/с' ELSE 'путь м·с' END END AS text,
+  CASE WHEN b % 2 = 0 THEN 1.25 ELSE 0.5 END AS first_line_indent_cm, CASE WHEN q > 30 THEN 0.5 ELSE 0.0 END AS left_indent_cm, 0.0 * q AS right_indent_cm, CASE rf WHEN 'N' THEN 'left' ELSE 'center' END AS alignment, k IN (5, 6) AND t > 0.02 AS has_equation, k IN (5, 6) AND a % 2 = 0 AS has_line_break, k IN (5, 6) AND t > 0.05 AS is_standalone_equation, k = 6 AND t < 0.02 AS has_formula_like_image,
+  CAST(NULL AS STRING) AS style_name, CAST(NULL AS STRING) AS caption_kind, CAST(NULL AS STRING) AS logical_section, CASE WHEN b % 6 = 0 THEN 'Arial' ELSE 'Times' END AS font_family, CAST(11 + b % 3 AS DOUBLE) AS font_size_pt, CASE WHEN d < 0.04 THEN 1.0 ELSE 1.5 END AS line_spacing
+FROM marked"""
+META = "SELECT doc_id, x % 3 <> 0 AS has_footnotes_part, CASE x % 4 WHEN 0 THEN 'lowerRoman' WHEN 1 THEN 'decimal' END AS footnote_number_format, CASE x % 5 WHEN 0 THEN 'eachPage' WHEN 1 THEN 'continuous' END AS footnote_number_restart FROM (SELECT CAST(floor(l_orderkey / 3.0) AS BIGINT) AS doc_id, max(l_partkey) AS x FROM {lineitem} GROUP BY 1) AS made"
+
+
+def _l(rest: str) -> str:
+    return f"WITH p AS ({_duck(LISTS)}), {rest}"
+
+
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of(spark, sf_dir, LISTS).withColumn("right_indent_cm", F.lit(0.0))
+
+
+def profile(spark: SparkSession, *rows: tuple) -> DataFrame:
+    """Rules of one profile: (parameter, value, target, operator, modality) with defaults from the right."""
+    made = []
+    for i, row in enumerate(rows):
+        parameter, value, target, operator, modality = (*row, *(None, "document", "equals", "mandatory")[len(row) - 1 :])
+        number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+        made.append(("p", f"{parameter}-{i}", i, "formatting", target, parameter, operator, number, value if isinstance(value, str) else None, value if isinstance(value, bool) else None, value if isinstance(value, list) else None, None, modality, str(i + 1), True))
+    df = spark.createDataFrame(made, "profile_id string, rule_id string, ordinal int, category string, target string, parameter string, operator string, value_num double, value_str string, value_bool boolean, value_list array<string>, unit string, modality string, source_section string, enabled boolean")
+    return df.withColumn("condition", F.expr("parse_json(null)")).withColumn("consistency_strategy", F.expr("parse_json(null)"))
+
+
+_NUMBERED = "coalesce(list_marker_type IN ('number_bracket', 'number_dot', 'letter_bracket', 'letter_dot'), false)"
+_EQUATION = r"regexp_matches(text, '\(\d+(\.\d+)*\)\s*$')"
+LIST_RULES = ("list_marker_allowed", "list_marker_dash_required", "hyphen_list_marker_not_recommended", "list_indent_equals_main_text", "automatic_list_numbering_required")
+EQUATION_RULES = ("equations_editable", "long_equation_standalone", "equation_alignment_left", "equation_number_right", "equation_line_break_rule")
+
+
+@query(
+    _l(
+        f"{_main('first_line_indent_cm', 'main_indent')}, w AS (SELECT * FROM p LEFT JOIN main_indent USING (doc_id)), i AS (SELECT * FROM w WHERE paragraph_type = 'list_item') "
+        + _union(
+            "i",
+            [
+                ("list_marker_allowed", "list_marker_type IS NULL AND NOT is_automatic_list"),
+                ("list_marker_dash_required", f"NOT {_NUMBERED} AND list_marker_type IS DISTINCT FROM 'dash'"),
+                ("hyphen_list_marker_not_recommended", "list_marker_type = 'hyphen'", "warning"),
+                ("list_indent_equals_main_text", "abs(first_line_indent_cm - main_indent) > 0.05"),
+                ("automatic_list_numbering_required", f"{_NUMBERED} AND NOT is_automatic_list"),
+            ],
+        )
+        + " UNION ALL "
+        + _union(
+            "w",
+            [
+                ("equations_editable", "has_formula_like_image", "warning"),
+                ("long_equation_standalone", f"{_EQUATION} AND NOT has_equation AND paragraph_type = 'main_text'", "warning"),
+                ("equation_alignment_left", "is_standalone_equation AND alignment <> 'left'"),
+                ("equation_number_right", f"is_standalone_equation AND NOT {_EQUATION}"),
+                ("equation_line_break_rule", r"has_equation AND has_line_break AND NOT regexp_matches(text, '[=+\-−±×·/]\s*$')"),
+            ],
+        )
+    )
+)
+def list_and_equation_findings(spark, sf_dir):
+    """Markers, indents and numbering of list items; place, number and breaks of equations."""
+    found = typography.check_paragraphs(lists(spark, sf_dir), profile(spark, *((p,) for p in (*LIST_RULES, *EQUATION_RULES))))
+    return found.select("doc_id", F.col("paragraph_index").alias("para_ix"), "parameter", F.col("severity").alias("level"))
+
+
+_ISLANDS = """isl AS (SELECT *, sum(CASE WHEN paragraph_type = 'list_item' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY para_ix) AS list_ix, last_value(text) OVER (PARTITION BY doc_id ORDER BY para_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM p),
+items AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY doc_id, list_ix) AS size, first_value(above) OVER w AS before FROM isl WHERE paragraph_type = 'list_item' WINDOW w AS (PARTITION BY doc_id, list_ix ORDER BY para_ix)),
+i AS (SELECT *, coalesce(before, '') LIKE '%:' AND coalesce(list_marker_type IN ('dash', 'hyphen', 'bullet'), false) AS ruled, body[1] AS first FROM items)"""
+_ITEM_SIGN = f"concat_ws(' ', coalesce(list_marker_type, 'none'), CASE WHEN NOT {_NUMBERED} THEN list_marker END)"
+_ITEM_INDENT = "concat_ws('/', CASE first_line_indent_cm WHEN 1.25 THEN '1.25' ELSE '0.5' END, CASE left_indent_cm WHEN 0.5 THEN '0.5' ELSE '0' END, '0')"
+
+
+@query(
+    _l(
+        f"{_ISLANDS}, {_main(_ITEM_SIGN, 'modal_sign', 'true', 'para_ix', 'i', 'doc_id, list_ix')}, {_main(_ITEM_INDENT, 'modal_indent', 'size >= 2', 'para_ix', 'i', 'doc_id, list_ix')} "
+        "SELECT doc_id, para_ix, 'list_punctuation_policy' AS parameter, 'starts with a capital' AS fragment FROM i WHERE ruled AND first <> lower(first) "
+        "UNION ALL SELECT doc_id, para_ix, 'list_punctuation_policy', 'no semicolon at the end' FROM i WHERE ruled AND place < size AND body NOT LIKE '%;' UNION ALL SELECT doc_id, para_ix, 'list_punctuation_policy', 'no full stop at the end' FROM i WHERE ruled AND place = size AND body NOT LIKE '%.' "
+        "UNION ALL SELECT doc_id, para_ix, 'list_punctuation_policy', 'starts with a small letter' FROM i WHERE list_marker_type IN ('number_dot', 'letter_dot') AND first <> upper(first) "
+        f"UNION ALL SELECT doc_id, para_ix, 'list_marker_consistency', {_ITEM_SIGN} FROM i JOIN modal_sign USING (doc_id, list_ix) WHERE {_ITEM_SIGN} <> modal_sign UNION ALL SELECT doc_id, para_ix, 'list_indent_consistency', {_ITEM_INDENT} FROM i JOIN modal_indent USING (doc_id, list_ix) WHERE size >= 2 AND {_ITEM_INDENT} <> modal_indent"
+    )
+)
+def list_consistency_findings(spark, sf_dir):
+    """Case, ends, markers and indents of items against their list and the text before it."""
+    return typography.list_consistency(lists(spark, sf_dir)).select("doc_id", "para_ix", "parameter", "fragment")
+
+
+@query(
+    _l(
+        r"ways AS (SELECT DISTINCT doc_id, 'multiplication_sign_consistency' AS parameter, '' AS key, x AS way FROM p, (VALUES ('×'), ('·')) v(x) WHERE contains(text, x) UNION SELECT doc_id, 'scientific_notation_consistency', '', CASE WHEN contains(text, 'E5') THEN 'exponent' ELSE 'power of ten' END FROM p WHERE k = 8 AND text LIKE '% раз' "
+        "UNION SELECT doc_id, 'phone_country_code_consistency', '', CASE WHEN text LIKE '+7%' THEN '+7' ELSE '8' END FROM p WHERE text LIKE '%345-67-89' UNION SELECT doc_id, 'dimension_consistency', 'м с', text[6:] FROM p WHERE text LIKE 'путь%') "
+        "SELECT doc_id, parameter, string_agg(way, ', ' ORDER BY way) AS fragment, CASE WHEN parameter IN ('multiplication_sign_consistency', 'dimension_consistency') THEN 'warning' ELSE 'error' END AS level FROM ways GROUP BY doc_id, parameter, key HAVING count(*) > 1 "
+    )
+)
+def notation_findings(spark, sf_dir):
+    """Documents that write products, powers, phone numbers or units in different ways."""
+    return typography.notation_mixes(lists(spark, sf_dir)).select("doc_id", "parameter", "fragment", "level")
+
+
+@query(
+    _l(
+        r"own AS (SELECT DISTINCT doc_id, regexp_extract(text, '\((\d+)\)\s*$', 1) AS n FROM p WHERE has_equation AND regexp_matches(text, '\(\d+\)\s*$')), named AS (SELECT DISTINCT doc_id, regexp_extract(text, '(?:формула|см\.) \((\d+)\)', 1) AS n FROM p WHERE regexp_matches(text, '(формула|см\.) \(\d+\)')) "
+        "SELECT doc_id, n AS fragment, 'warning' AS level FROM (FROM own EXCEPT FROM named) UNION ALL SELECT doc_id, n, 'error' FROM (FROM named EXCEPT FROM own)"
+    )
+)
+def equation_reference_findings(spark, sf_dir):
+    """Equation numbers without a reference, and references without an equation."""
+    return typography.equation_reference_gaps(lists(spark, sf_dir)).select("doc_id", "fragment", "level")
+
+
+def _footnotes() -> str:
+    columns = {"font_family": "font_family", "font_size_pt": "CAST(font_size_pt AS VARCHAR)", "alignment": "alignment", "line_spacing": "CAST(line_spacing AS VARCHAR)", "first_line_indent_cm": "CAST(first_line_indent_cm AS VARCHAR)"}
+    return " UNION ALL ".join(f"SELECT doc_id, para_ix, '{c}' AS attribute, {e} AS value FROM p WHERE paragraph_type = 'footnote'" for c, e in columns.items())
+
+
+@query(
+    _l(
+        f"meta AS ({_duck(META)}), long AS ({_footnotes()}), {_main('value', 'modal', 'true', 'para_ix', 'long', 'doc_id, attribute')}, {_main('font_family', 'family')}, {_main('font_size_pt', 'size')} "
+        "SELECT doc_id, CAST(NULL AS INTEGER) AS para_ix, 'footnotes_processor_required' AS parameter FROM meta WHERE NOT has_footnotes_part AND doc_id IN (SELECT doc_id FROM p WHERE text LIKE 'слово*%') "
+        "UNION ALL SELECT doc_id, NULL, 'footnotes_continuous_decimal_numbering' FROM meta WHERE has_footnotes_part AND (footnote_number_format = 'lowerRoman' OR footnote_number_restart = 'eachPage') "
+        "UNION ALL SELECT doc_id, para_ix, 'footnotes_format_consistency' FROM long JOIN modal USING (doc_id, attribute) WHERE value <> modal "
+        "UNION ALL SELECT doc_id, para_ix, 'footnote_font_family_and_size' FROM p JOIN family USING (doc_id) JOIN size USING (doc_id) WHERE paragraph_type = 'footnote' AND (font_family <> family OR abs(font_size_pt - size + 2) > 0.5)"
+    )
+)
+def footnote_findings(spark, sf_dir):
+    """The four footnote rules."""
+    return typography.footnote_findings(lists(spark, sf_dir), _of(spark, sf_dir, META)).select("doc_id", "para_ix", "parameter")
+
+
+RUNS = f"WITH base AS ({BASE}) SELECT doc_id, para_ix, CASE b % 8 WHEN 0 THEN 'где x есть' WHEN 1 THEN 'sin угла' WHEN 2 THEN 'вода H2O' WHEN 3 THEN 'слово' WHEN 4 THEN 'КАПИТАЛЬНО тут' WHEN 5 THEN 'iя' WHEN 6 THEN 'инд.' ELSE 'иное' END AS text, b % 8 AS v, a % 2 = 0 AS italic, a % 3 = 0 AS bold, a % 5 = 0 AS underline, a % 7 = 0 AS strike, a % 11 = 0 AS double_strike, a % 13 = 0 AS small_caps, q > 40 AS all_caps, CAST(CASE WHEN d > 0.08 THEN 20 ELSE 0 END AS INT) AS character_spacing, CASE WHEN t < 0.02 THEN 'FF0000' ELSE '000000' END AS font_color, a % 4 = 1 AS subscript, b % 3 = 0 AS has_character_style, b % 5 < 3 AS has_direct_formatting FROM base"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _of(spark, sf_dir, RUNS)
+    own = ("bold", "italic", "underline", "strike", "double_strike", "small_caps", "all_caps", "character_spacing", "font_color", "subscript", "has_character_style", "has_direct_formatting")
+    run = F.struct(F.lit(0).alias("run_ix"), F.col("text").alias("text"), F.lit(12.0).alias("font_size_pt"), *(F.col(c).alias(c) for c in own))
+    none = F.lit(None).cast("string")
+    return df.select("doc_id", "para_ix", "text", F.lit("main_text").alias("paragraph_type"), F.lit(12.0).alias("font_size_pt"), none.alias("style_name"), F.array(run).alias("runs"))
+
+
+RUN_PARAMETERS = ("font_color", "underline", "strike", "double_strike", "small_caps", "all_caps", "character_spacing", "uppercase_emphasis", "emphasis_character_style")
+_RUN_FAULTS = [(c, c) for c in ("underline", "strike", "double_strike", "small_caps", "all_caps")] + [
+    ("font_color", "font_color <> '000000'"),
+    ("character_spacing", "character_spacing <> 0"),
+    ("uppercase_emphasis", "v = 4"),
+    ("emphasis_character_style", "has_direct_formatting AND NOT has_character_style AND (bold OR italic OR font_color <> '000000')"),
+]
+
+
+@query(f"WITH p AS ({_duck(RUNS)}) {_union('p', _RUN_FAULTS)}")
+def run_rule_findings(spark, sf_dir):
+    """Every rule on single runs, with a mandatory colour rule."""
+    found = formatting.check_runs(runs(spark, sf_dir), profile(spark, *((p,) for p in RUN_PARAMETERS)))
+    return found.select("doc_id", F.col("paragraph_index").alias("para_ix"), "parameter", F.col("severity").alias("level"))
+
+
+@query(f"WITH p AS ({_duck(RUNS)}) {_union('p', [('font_color', _RUN_FAULTS[5][1], 'warning')])}")
+def run_colour_advice(spark, sf_dir):
+    """A recommended colour rule: once for each paragraph that is of one colour throughout."""
+    found = formatting.check_runs(runs(spark, sf_dir), profile(spark, ("font_color", None, "document", "equals", "recommended")))
+    return found.select("doc_id", F.col("paragraph_index").alias("para_ix"), "parameter", F.col("severity").alias("level"))
+
+
+@query(
+    f"WITH p AS ({_duck(RUNS)}) "
+    + _union(
+        "p",
+        [
+            ("variable_italic", r"NOT italic AND v IN (0)", "warning"),
+            ("function_and_chemical_regular", "italic AND v IN (1, 2)", "warning"),
+            ("index_language_consistency", "subscript AND v IN (0, 1, 2, 5)", "warning"),
+            ("index_language_consistency", "subscript AND v = 6", "error"),
+        ],
+    )
+)
+def index_findings(spark, sf_dir):
+    """Variables, functions, formulas and indices in runs."""
+    found = typography.check_runs(runs(spark, sf_dir), profile(spark, ("variable_italic",), ("function_and_chemical_regular",), ("index_language_consistency",)))
+    return found.select("doc_id", F.col("paragraph_index").alias("para_ix"), "parameter", F.col("severity").alias("level"))
