@@ -51,7 +51,7 @@ from quillcheck.llm.ef_trie import Trie
 
 HELD_OUT = 10
 DISCOUNT, ADD = 0.75, 0.1
-BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000, 1_000_000
+BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_000_000, 1_000_000, 1_000_000
 #: A context is spread over one shard for each so many parts of a shard's tokens.
 SPREAD = 4
 END = 0  # local code of the end of a text, whose hash is that of the empty word
@@ -349,30 +349,35 @@ def _shard_codes(order: int):
         words = [_from_planes(r["words"]) for r in rows]
         contexts, first, rank = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
         total = np.concatenate([_from_planes(r["totals"]) for r in rows])[first].astype(np.int64)
-        word, count = np.concatenate(words), np.concatenate([_from_planes(r["counts"]) for r in rows])
-        trained = count > 0
-        context, word, count = np.repeat(rank, np.concatenate(runs))[trained], word[trained], count[trained].astype(np.int64)
-        ids, bits = None, int(word.max(initial=0)).bit_length()
+        word, count = np.concatenate(words), np.concatenate([_from_planes(r["counts"]) for r in rows]).astype(np.int64)
+        context, ids, bits = np.repeat(rank, np.concatenate(runs)), None, int(word.max(initial=0)).bit_length()
         if len(contexts).bit_length() + bits > 63:
             ids, word = np.unique(word, return_inverse=True)
             bits = 32
         key = context << bits | word.astype(np.int64)
         by = np.argsort(key, kind="stable")  # each block's part is in order already
-        key = key[by]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        count = np.add.reduceat(count[by], new) if len(key) else count
-        of_context, word = key[new] >> bits, key[new] & ((1 << bits) - 1)
+        key, of = key[by], np.empty(len(key), np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        of[by] = np.cumsum(new) - 1  # the n-gram of each entry, whatever block sent it
+        key, count = key[new], np.add.reduceat(count[by], np.flatnonzero(new)) if len(key) else count
+        context, word = key >> bits, key & ((1 << bits) - 1)
         word = (word if ids is None else ids[word]).astype(np.uint64)
-        successors = np.bincount(of_context, minlength=len(contexts))
-        trie = Trie(contexts, np.append(0, np.cumsum(successors)), word, (count - DISCOUNT) / np.maximum(total[of_context], 1))
-        scale, out = np.array([trie.least, trie.step], "<f8").tobytes(), []
-        for r, h, n, w in zip(rows, heads, runs, words):
-            context = trie.rank(h)
-            place = trie.places(np.repeat(context, n), w)
-            codes, have = np.zeros(len(place), np.uint8), place[place >= 0]
-            codes[place >= 0] = trie.codes[have]
-            more = {"places": _steps(have), "counts": _planes(count[have])} if order == 2 else {}  # they are asked for as contexts
-            out.append({**_NOTHING, "block": r["block"], "shard": r["shard"], "data": scale + _packed(codes), "more": _planes(successors[context]), **more})
+        trained = count > 0
+        successors = np.bincount(context[trained], minlength=len(contexts))
+        trie = Trie(contexts, np.append(0, np.cumsum(successors)), word[trained], (count[trained] - DISCOUNT) / np.maximum(total[context[trained]], 1))
+        # all that the blocks ask is searched in one pass through the level
+        place = trie.places(trie.rank(contexts)[context], word)
+        code = np.zeros(len(place), np.uint8)
+        code[place >= 0] = trie.codes[place[place >= 0]]
+        scale, out, at, head = np.array([trie.least, trie.step], "<f8").tobytes(), [], 0, 0
+        for r, h, w in zip(rows, heads, words):
+            mine = of[at : at + len(w)]
+            have = mine[code[mine] > 0]
+            more = {"places": _steps(place[have]), "counts": _planes(count[have])} if order == 2 else {}  # they are asked for as contexts
+            out.append({**_NOTHING, "block": r["block"], "shard": r["shard"], "data": scale + _packed(code[mine]), "more": _planes(successors[rank[head : head + len(h)]]), **more})
+            at, head = at + len(w), head + len(h)
+        pa.default_memory_pool().release_unused()  # what groups before this one needed
         return pa.Table.from_pylist(out, _arrow(TOTALS))
 
     return each
