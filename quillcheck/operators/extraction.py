@@ -430,9 +430,18 @@ def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
     return rows.withColumn("_many", many).withColumn("status", F.when(F.col("_many") & (F.col("operator") == "equals") & (F.col("status") != "unsupported") & F.col("target").isNotNull(), "conflict").otherwise(F.col("status"))).drop("_many")
 
 
+def page_blocks(blocks: DataFrame) -> DataFrame:
+    """Typed blocks of pages: small print and contents pages left out, continuations joined."""
+    rows = typed_blocks(blocks)
+    if "font_size" in blocks.columns:
+        rows = rows.where(~F.coalesce(is_reference_block(), F.lit(False)))
+    return merged_continuations(without_contents_pages(rows))
+
+
 def extracted(blocks: DataFrame) -> DataFrame:
-    """Regulation blocks to verified candidates; id names a candidate inside its document."""
-    rows = statements(fragments(sections(typed_blocks(blocks))))
+    """Regulation blocks to verified candidates; id names a candidate inside its document. Blocks with page_number are rows of pages."""
+    typed = page_blocks(blocks) if "page_number" in blocks.columns else typed_blocks(blocks)
+    rows = statements(fragments(sections(typed)))
     every = verified(with_modality(candidates(rows).unionByName(structural_candidates(rows))))
     return every.withColumn("id", F.concat_ws("-", "section_ix", "fragment_ix", "statement_ix", "place", "parameter", "operator"))
 
