@@ -55,8 +55,8 @@ BLOCK_TOKENS, SHARD_WORDS, SHARD_TOKENS = 1_000_000, 1_000_000, 1_000_000
 #: A context is spread over one shard for each so many parts of a shard's tokens.
 SPREAD = 4
 END = 0  # local code of the end of a text, whose hash is that of the empty word
-#: Key of the context of first words; keys of bigrams are greater.
-FIRST = 0
+#: Key of the context of first words; keys of bigrams are greater. Marks keys that are sent whole.
+FIRST, WHOLE = 0, np.uint64(1 << 62)
 
 BLOCKS = "block long, n_tokens long, n_words long, doc_ids binary, null_ids binary, held binary, sizes binary, hashes binary, codes binary"
 WORDS = "shard long, block long, hashes binary, counts binary"
@@ -226,32 +226,35 @@ class Grams:
         self.totals, self.keys, self.ids = totals, keys, ids
         sent = np.flatnonzero((totals > 0)[self.context])
         fan = 1 + (totals * SPREAD * shards // max(n_tokens, 1)).clip(0, shards - 1)
-        home = (_mixed(keys) % np.uint64(shards)).astype(np.int64)
+        home = (keys % np.uint64(shards)).astype(np.int64)
+        # a shard tells its own contexts apart by their quotients, and contexts that are spread by their whole keys
+        self.sent_keys = np.where(fan > 1, keys | WHOLE, keys // np.uint64(shards))
         context = self.context[sent]
-        shard = home[context]
-        wide = np.flatnonzero((fan > 1)[context])  # n-grams of contexts that are spread
+        shard, spread = home[context], (fan > 1)[context]
+        wide = np.flatnonzero(spread)
         turn = (_mixed(ids[self.word[sent[wide]]]) >> np.uint64(8)).astype(np.int64) % fan[context[wide]]
         shard[wide] = (shard[wide] + turn) % shards
-        by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-        self.order, shard, context = sent[by], shard[by], context[by]
-        new = np.ones(len(shard), bool)
-        new[1:] = (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])
+        slot = shard * 2 + spread
+        by = np.argsort(slot.astype(np.uint16) if shards < 1 << 15 else slot, kind="stable")
+        self.order, slot, context = sent[by], slot[by], context[by]
+        new = np.ones(len(slot), bool)
+        new[1:] = (slot[1:] != slot[:-1]) | (context[1:] != context[:-1])
         new = np.flatnonzero(new)
-        head, run = shard[new] << 32 | context[new], np.diff(np.append(new, len(shard)))
+        head, run = slot[new] << 32 | context[new], np.diff(np.append(new, len(slot)))
         # a spread context asks all its shards for its successors there, also those it has no n-gram for
         spread = np.zeros(len(fan), bool)
         spread[self.context[sent[wide]]] = True
         spread = np.flatnonzero(spread)
         every = np.repeat(spread, fan[spread])
         turn = np.arange(len(every)) - np.repeat(np.cumsum(fan[spread]) - fan[spread], fan[spread])
-        asked = np.unique((home[every] + turn) % shards << 32 | every)
+        asked = np.unique(((home[every] + turn) % shards * 2 + 1) << 32 | every)
         at = np.searchsorted(head, asked)
         absent = head[np.minimum(at, len(head) - 1)] != asked if len(head) else np.ones(len(asked), bool)
         asked, at = asked[absent], at[absent]
         head, self.head_run = np.insert(head, at, asked), np.insert(run, at, 0)
-        self.head_context, head_shard = head & 0xFFFFFFFF, head >> 32
+        self.head_context, head_shard = head & 0xFFFFFFFF, head >> 33
         self.shards = np.unique(head_shard)
-        self.at = np.searchsorted(shard, np.append(self.shards, shards))
+        self.at = np.searchsorted(slot >> 1, np.append(self.shards, shards))
         self.head_at = np.searchsorted(head_shard, np.append(self.shards, shards))
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, slice]]:
@@ -264,7 +267,7 @@ class Grams:
         rows = []
         for s, grams, h in self.parts():
             heads = self.head_context[h]
-            rows.append({"shard": s, "block": block.number, "contexts": _steps(self.keys[heads]), "totals": _planes(self.totals[heads]), "runs": _planes(self.head_run[h]), "words": _planes(self.ids[self.word[grams]]), "counts": _planes(train[grams])})
+            rows.append({"shard": s, "block": block.number, "contexts": _steps(self.sent_keys[heads]), "totals": _planes(self.totals[heads]), "runs": _planes(self.head_run[h]), "words": _planes(self.ids[self.word[grams]]), "counts": _planes(train[grams])})
         return rows
 
     def known(self, replies: list[dict] | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +277,7 @@ class Grams:
         for s, grams, _ in self.parts():
             have = grams[_unpacked(by_shard[s]["data"][16:], np.uint8) > 0]
             counts[have] = _from_planes(by_shard[s]["counts"]).astype(np.int64)
-            keys[have] = _from_steps(by_shard[s]["places"]) * np.uint64(shards) + np.uint64(s + 1)
+            keys[have] = (_from_steps(by_shard[s]["places"]) + np.uint64(1)) * np.uint64(shards) + np.uint64(s)
         return counts, keys
 
     def probabilities(self, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
