@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcheck.operators import documents, formatting, objects, typography
+from quillcheck.plans.check import Blocks, check
 from quillcheck.registry import query
 
 BASE = """
@@ -534,3 +535,63 @@ def index_findings(spark, sf_dir):
     """Variables, functions, formulas and indices in runs."""
     found = typography.check_runs(runs(spark, sf_dir), profile(spark, ("variable_italic",), ("function_and_chemical_regular",), ("index_language_consistency",)))
     return found.select("doc_id", F.col("paragraph_index").alias("para_ix"), "parameter", F.col("severity").alias("level"))
+
+
+def _nulls(df: DataFrame, **kinds: str) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+
+
+#: The profile of the whole check.
+CHECKED = (
+    ("font_size", 12.0, "main_text"), ("alignment", ["justify", "left"], "main_text", "in", "recommended"), ("numbering_terminal_dot",), ("heading_spacing_order", None, "document", "equals", "recommended"), ("centered_text_no_indents",), ("empty_paragraph_between_content",), ("figure_caption_position",), ("figure_caption_prefix", "Рисунок"), ("figure_caption_separator", "—"),
+    ("table_title_keep",), ("table_caption_terminal_dot", True), ("image_max_px", 1100.0), ("image_format", ["png", "jpg"]), ("table_after_first_reference",), ("image_after_first_reference",), ("table_header_required",), ("table_title_position",), ("table_text_spacing_indent",), ("table_text_font_size", ["12", "14"]), ("left_margin", 3.0, "page"), ("page_number_area",), ("required_document_structure", ["Введение", "Итоги"]),
+    ("nbsp_after_figure_table_reference",), ("font_color",),
+)
+
+
+def whole_blocks(spark: SparkSession, sf_dir: str) -> Blocks:
+    p = paragraphs(spark, sf_dir)
+    run = F.struct(F.lit(0).alias("run_ix"), F.col("text").alias("text"), *(F.lit(False).alias(c) for c in ("bold", "italic", "underline", "strike", "double_strike", "small_caps", "all_caps", "subscript", "has_character_style", "has_direct_formatting")), F.lit(None).cast("double").alias("font_size_pt"), F.col("color").alias("font_color"), F.lit(0).alias("character_spacing"))
+    section = F.when((F.col("paragraph_type") == "heading") & (F.col("text") == "Введение"), "introduction").otherwise("main_part")
+    p = p.withColumn("runs", F.array(run)).withColumn("logical_section", section)
+    p = _nulls(p, style_name="string", list_marker="string", list_marker_type="string", is_automatic_list="boolean", has_equation="boolean", has_formula_like_image="boolean", is_standalone_equation="boolean", has_line_break="boolean")
+    return Blocks(p, sections(spark, sf_dir), tables(spark, sf_dir), _of(spark, sf_dir, IMAGES), _of(spark, sf_dir, META))
+
+
+_REFERENCES = "r{k} AS (SELECT doc_id, number, min(para_ix) AS ref_ix FROM (SELECT doc_id, para_ix, regexp_extract(text, '{p} (\\d+)', 1) AS number FROM p WHERE paragraph_type <> 'caption' AND regexp_matches(text, '{p} \\d+')) GROUP BY ALL), c{k} AS (SELECT doc_id, caption_number AS number, max(para_ix) AS para_ix FROM p WHERE caption_kind = '{c}' GROUP BY ALL)"
+_WHOLE = [
+    ("main_text", "font_size", "abs(font_size_pt - 12) > 0.02", "error"),
+    ("main_text", "alignment", "alignment = 'center'", "warning"),
+    ("heading", "numbering_terminal_dot", r"regexp_matches(text, '^\d') AND NOT regexp_matches(text, '^\d+(\.\d+)*\. \S')", "error"),
+    ("heading", "heading_spacing_order", "space_before_pt <= space_after_pt", "warning"),
+]
+
+
+@query(
+    _p(
+        f"s AS ({_duck(SECTIONS)}), t AS ({_duck(TABLES)}), i AS ({_duck(IMAGES)}), {_REFERENCES.format(k=1, p='рис\\.', c='figure')}, {_REFERENCES.format(k=2, p='таблица', c='table')}, "
+        "near AS (SELECT doc_id, para_ix, paragraph_type, has_inline_image, caption_kind, lag(has_inline_image, 1, false) OVER o AS i1, lag(has_inline_image, 2, false) OVER o AS i2, lag(has_inline_image, 3, false) OVER o AS i3, lag(paragraph_type, 1) OVER o AS t1, lag(paragraph_type, 2) OVER o AS t2 FROM p WHERE (text <> '' OR has_inline_image) AND paragraph_type <> 'table_cell' WINDOW o AS (PARTITION BY doc_id ORDER BY para_ix)), "
+        "anchors AS (SELECT doc_id, para_ix, has_inline_image OR i1 OR (t1 IS NOT DISTINCT FROM 'caption' AND (i2 OR (t2 IS NOT DISTINCT FROM 'caption' AND i3))) AS anchored FROM near WHERE caption_kind = 'figure'), "
+        f"cells AS (SELECT *, line_spacing > 1.05 AS spaced, NOT {_NO_INDENTS} AS indented, table_row_ix <> 0 AND alignment <> 'left' AS turned FROM p WHERE paragraph_type = 'table_cell'), d AS (SELECT doc_id, string_agg(lower(text), ' ' ORDER BY para_ix) FILTER (text <> '') AS whole FROM p GROUP BY doc_id), "
+        "found AS ("
+        + " UNION ALL ".join(f"SELECT doc_id, para_ix, '{n}' AS parameter, '{level}' AS severity FROM p WHERE paragraph_type = '{kind}' AND {bad}" for kind, n, bad, level in _WHOLE)
+        + f" UNION ALL SELECT doc_id, para_ix, 'centered_text_no_indents', 'error' FROM p WHERE alignment = 'center' AND text <> '' AND paragraph_type <> 'table_cell' AND coalesce(caption_kind, '') <> 'table' AND NOT {_NO_INDENTS}"
+        " UNION ALL SELECT doc_id, para_ix, 'figure_caption_position', 'error' FROM anchors WHERE NOT anchored UNION ALL SELECT doc_id, para_ix, 'figure_caption_prefix', 'error' FROM p WHERE caption_kind = 'figure' AND caption_prefix <> 'Рисунок'"
+        f" UNION ALL SELECT doc_id, para_ix, 'figure_caption_separator', 'error' FROM p WHERE caption_kind = 'figure' AND NOT {_DASH} UNION ALL SELECT doc_id, para_ix, 'table_title_keep', 'error' FROM p WHERE caption_kind = 'table' AND NOT (keep_with_next AND keep_together)"
+        " UNION ALL SELECT doc_id, para_ix, 'table_caption_terminal_dot', 'error' FROM p WHERE caption_kind = 'table' AND text NOT LIKE '%.' UNION ALL SELECT doc_id, para_ix, 'image_max_px', 'warning' FROM i WHERE greatest(width_px, height_px) > 1100 UNION ALL SELECT doc_id, para_ix, 'image_format', 'warning' FROM i WHERE lower(extension) NOT IN ('png', 'jpg')"
+        " UNION ALL SELECT doc_id, para_ix, 'image_after_first_reference', CASE WHEN para_ix IS NULL THEN 'error' ELSE 'warning' END FROM c1 RIGHT JOIN r1 USING (doc_id, number) WHERE para_ix IS NULL OR para_ix < ref_ix"
+        " UNION ALL SELECT doc_id, para_ix, 'table_after_first_reference', CASE WHEN para_ix IS NULL THEN 'error' ELSE 'warning' END FROM c2 FULL JOIN r2 USING (doc_id, number) WHERE para_ix IS NULL OR ref_ix IS NULL OR para_ix < ref_ix"
+        " UNION ALL SELECT doc_id, NULL, 'table_header_required', 'error' FROM t WHERE NOT has_header_row UNION ALL SELECT doc_id, NULL, 'table_title_position', 'error' FROM t WHERE title_para_ix IS NULL"
+        " UNION ALL SELECT doc_id, min(para_ix), 'table_text_spacing_indent', 'error' FROM cells WHERE spaced OR indented OR turned GROUP BY doc_id, table_ix UNION ALL SELECT doc_id, min(para_ix), 'table_text_font_size', 'error' FROM cells WHERE font_size_pt NOT IN (12, 14) GROUP BY doc_id, table_ix"
+        " UNION ALL SELECT doc_id, NULL, 'left_margin', 'error' FROM s WHERE left_margin_cm <> 3 UNION ALL SELECT doc_id, NULL, 'page_number_area', 'error' FROM s WHERE NOT has_page_number OR page_number_area <> 'footer'"
+        " UNION ALL SELECT doc_id, NULL, 'required_document_structure', 'error' FROM d WHERE NOT (contains(whole, 'введение') AND contains(whole, 'итоги'))"
+        " UNION ALL SELECT doc_id, para_ix, 'nbsp_after_figure_table_reference', 'error' FROM p WHERE regexp_matches(text, '(?i)(^|[^\\p{L}])(рис\\.|рисунок|табл\\.|таблица) \\d') UNION ALL SELECT doc_id, para_ix, 'font_color', 'error' FROM p WHERE color <> '000000' AND text <> ''), "
+        "start AS (SELECT doc_id, coalesce(min(CASE WHEN text = 'Введение' THEN para_ix END), min(para_ix)) AS began FROM p WHERE paragraph_type = 'heading' AND heading_level = 1 GROUP BY doc_id), "
+        "body AS (SELECT doc_id, para_ix, paragraph_type, min(CASE WHEN paragraph_type = 'main_text' THEN para_ix END) OVER (PARTITION BY doc_id) AS first FROM p WHERE text <> ''), before AS (SELECT *, max(para_ix) OVER (PARTITION BY doc_id) AS stop FROM body WHERE para_ix < first), lead AS (SELECT *, count(*) FILTER (paragraph_type = 'heading') OVER (PARTITION BY doc_id) AS n, count(*) FILTER (paragraph_type <> 'heading') OVER (PARTITION BY doc_id) AS other FROM before WHERE para_ix < stop), "
+        "hidden AS (SELECT doc_id, para_ix FROM p JOIN start USING (doc_id) WHERE para_ix < began AND table_ix IS NULL UNION SELECT doc_id, para_ix FROM lead WHERE paragraph_type = 'heading' AND n >= 3 AND other = 0) "
+        "SELECT doc_id, parameter, severity, count(*) AS n FROM found WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.doc_id = found.doc_id AND hidden.para_ix = found.para_ix) GROUP BY ALL"
+    )
+)
+def whole_check(spark, sf_dir):
+    """A profile of 24 rules of all families over whole documents: findings combined, filtered and counted."""
+    return check(whole_blocks(spark, sf_dir), profile(spark, *CHECKED)).groupBy("doc_id", "parameter", "severity").agg(F.count("*").alias("n"))

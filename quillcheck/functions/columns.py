@@ -249,3 +249,24 @@ def dominant(df: DataFrame, keys: list[str], value: str, order: str, out: str) -
 def plural(n: Column, one: str, few: str, many: str) -> Column:
     """Russian plural form for a count."""
     return F.when((n % 100).between(11, 14), many).when(n % 10 == 1, one).when((n % 10).between(2, 4), few).otherwise(many)
+
+
+def parameter_label(parameter: Column | str) -> Column:
+    """A parameter's name for readers."""
+    return F.replace(_col(parameter), F.lit("_"), F.lit(" "))
+
+
+def parameter_unit(parameter: Column | str) -> Column:
+    """The unit of a parameter's numbers, or null."""
+    p = _col(parameter)
+    return F.when(p.rlike("(^|_)(margin|indent|distance)$"), "cm").when(p == "line_spacing", "ratio").when(p.rlike("font_size$|^space_|spacing_limit$"), "pt").when(p.rlike("_px$"), "px")
+
+
+def parameter_kind(parameter: Column | str) -> Column:
+    """What a parameter speaks of."""
+    p = _col(parameter)
+    kinds = (("^(figure|image)_", "image"), ("^table_|^no_continuation_table", "table"), ("^heading_|_heading$|numbering_terminal_dot|starts_with_capital", "heading"), ("^(page|header|footer)_|_margin$|^margins_|page_number", "page"), ("^list_|_list_", "list"), ("^equation|_equation", "equation"), ("^footnote", "footnote"), ("^references_|_structure$|_required_content$|^toc_", "structure"))
+    out = F.lit("text")
+    for pattern, kind in reversed(kinds):
+        out = F.when(p.rlike(pattern), kind).otherwise(out)
+    return out

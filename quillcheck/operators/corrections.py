@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
@@ -107,7 +107,8 @@ def heading_plan(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
     rows = values.join(F.broadcast(wanted), ["target", "parameter"])
     first = rows.groupBy("doc_id", "para_ix", "profile_id", "parameter").agg(F.min_by(F.struct("num", "txt", "flag", "n", "t", "b"), "_rank").alias("v")).select("*", "v.*")
     out = plan(first, F.coalesce("txt", C.number_text("num"), F.col("flag").cast("string")), F.coalesce("t", C.number_text("n"), F.col("b").cast("string")), "para_ix", "profile_id")
-    sized = heads.join(heading_sizes(paragraphs), ["doc_id", "heading_level"]).withColumn("parameter", F.lit("heading_font_size_hierarchy"))
+    limits = {o: rules.where(f"target = 'main_text' and parameter = 'font_size' and operator = '{o}'").orderBy("ordinal").select("value_num").first() for o in ("min", "max")}  # a profile's rules are few
+    sized = heads.join(heading_sizes(paragraphs, *(F.lit(limits[o][0] if limits[o] else None).cast("double") for o in ("min", "max"))), ["doc_id", "heading_level"]).withColumn("parameter", F.lit("heading_font_size_hierarchy"))
     profiles = rules.where("parameter = 'heading_font_size_hierarchy'").select("profile_id", "parameter").distinct()
     out = out.unionByName(plan(sized.join(F.broadcast(profiles), "parameter"), C.number_text("font_size_pt"), C.number_text("expected_size"), "para_ix", "profile_id"))
     text = F.regexp_replace(F.col("text"), r"(?U)^(\d+),(\d+)", "$1.$2")
@@ -130,12 +131,16 @@ def list_plan(paragraphs: DataFrame, dash: bool = True, consistent: bool = True)
 
 
 def caption_plan(paragraphs: DataFrame, prefixes: dict[str, str], separator: str = " — ", terminal_dot: bool = False) -> DataFrame:
-    """Captions as prefix, number, separator, title; kept with their object."""
+    """Captions as prefix, number, separator, title. Table captions stay with what follows, and so does the picture of a figure caption, within five rows above."""
     rows = paragraphs.where("paragraph_type = 'caption'").withColumn("parameter", F.lit("caption_text"))
     prefix = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in prefixes.items() for x in kv)), F.col("caption_kind")), F.col("caption_prefix"))
     title = F.regexp_replace(F.regexp_replace("caption_title", r"(?U)^[\s—–.-]+", ""), r"\.+\s*$", "")
     new = F.concat(prefix, F.lit(" "), F.col("caption_number"), F.when(title != "", F.concat(F.lit(separator), title)).otherwise(""), F.lit("." if terminal_dot else ""))
-    keeps = paragraphs.where("(paragraph_type = 'caption' and caption_kind = 'table') or has_inline_image").withColumn("parameter", F.lit("keep_with_next"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_ix"))
+    meaningful = paragraphs.where((C.not_blank("text") | F.coalesce("has_inline_image", F.lit(False))) & ~F.coalesce("paragraph_type", F.lit("")).isin("table_cell", "title_page")).withColumn("_k", rank)
+    last = F.last(F.when(F.col("has_inline_image"), F.struct("_k", F.col("para_ix").alias("at"))), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("para_ix"))
+    pictures = meaningful.withColumn("_image", last).where("caption_kind = 'figure' and _k - _image._k <= 5").select("doc_id", F.col("_image.at").alias("para_ix")).distinct()
+    keeps = paragraphs.where("paragraph_type = 'caption' and caption_kind = 'table'").unionByName(paragraphs.join(pictures, ["doc_id", "para_ix"], "left_semi").select(paragraphs.columns)).withColumn("parameter", F.lit("keep_with_next"))
     return plan(rows, F.col("text"), new, "para_ix").unionByName(plan(keeps, F.coalesce("keep_with_next", F.lit(False)), F.lit(True), "para_ix"))
 
 
@@ -151,24 +156,50 @@ def margin_plan(sections: DataFrame, rules: DataFrame, exact: tuple[float, ...]
     return plan(each, C.number_text("old"), C.number_text("new"), "section_ix", "profile_id")
 
 
-def page_plan(sections: DataFrame, least: float = 1.25) -> DataFrame:
-    """Header and footer distances of at least so much, a number in the footer, none on the first page."""
+def _asked(rules: DataFrame) -> dict[str, float | None]:
+    """Enabled parameters of a profile, whose rules are few, with the number of the first rule of each."""
+    out: dict[str, float | None] = {}
+    for r in rules.where(F.coalesce("enabled", F.lit(True))).orderBy("ordinal").select("parameter", "value_num").collect():
+        out.setdefault(r.parameter, r.value_num)
+    return out
+
+
+def page_plan(sections: DataFrame, rules: DataFrame, least: float = 1.25) -> DataFrame:
+    """What the rules ask for: header and footer distances of at least their value, a number in the footer, none on the first page."""
     entry = lambda p, old, new: F.struct(F.lit(p).alias("parameter"), old.cast("string").alias("old"), new.cast("string").alias("new"))
-    distance = lambda c: entry(c, C.number_text(f"{c}_cm"), C.number_text(F.greatest(F.coalesce(f"{c}_cm", F.lit(0.0)), F.lit(least))))
-    facts = F.array(distance("header_distance"), distance("footer_distance"), entry("page_number_area", F.col("page_number_area"), F.lit("footer")), entry("first_page_number", F.coalesce("first_page_has_page_number", F.lit(False)), F.when(F.col("section_ix") == 0, F.lit(False)).otherwise(F.coalesce("first_page_has_page_number", F.lit(False)))))
-    each = sections.select("doc_id", "section_ix", F.explode(facts).alias("f")).select("doc_id", "section_ix", "f.*")
+    asked = _asked(rules)
+    facts = [entry(p, C.number_text(f"{p}_cm"), C.number_text(F.greatest(F.coalesce(f"{p}_cm", F.lit(0.0)), F.lit(asked[p] if asked[p] is not None else least)))) for p in ("header_distance", "footer_distance") if p in asked]
+    if "page_number_area" in asked:
+        facts.append(entry("page_number_area", F.col("page_number_area"), F.lit("footer")))
+    if "first_page_no_page_number" in asked:
+        shown = F.coalesce("first_page_has_page_number", F.lit(False))
+        facts.append(entry("first_page_number", shown, shown & (F.col("section_ix") != 0)))
+    kind = "array<struct<parameter:string,old:string,new:string>>"
+    each = sections.select("doc_id", "section_ix", F.explode(F.array(*facts).cast(kind)).alias("f")).select("doc_id", "section_ix", "f.*")
     return plan(each, F.col("old"), F.col("new"), "section_ix")
 
 
-def table_plan(paragraphs: DataFrame, tables: DataFrame, size: float | None = None) -> DataFrame:
-    """Cells: size, single spacing, no indents, left but for header rows; long tables: repeated header, rows that break."""
+def table_plan(paragraphs: DataFrame, tables: DataFrame, rules: DataFrame) -> DataFrame:
+    """What the rules ask of cells (size, single spacing, no indents, left but for header rows) and of long tables (repeated header, rows that break)."""
     cells = paragraphs.where("paragraph_type = 'table_cell'")
     entry = lambda p, old, new: F.struct(F.lit(p).alias("parameter"), old.cast("string").alias("old"), new.cast("string").alias("new"))
-    facts = [entry("line_spacing", C.number_text("line_spacing"), F.lit("1")), *(entry(c, C.number_text(f"{c}_cm"), F.lit("0")) for c in ("first_line_indent", "left_indent", "right_indent")), entry("alignment", F.col("alignment"), F.when(F.col("table_row_ix") == 0, F.col("alignment")).otherwise("left"))]
+    asked, facts = _asked(rules), []
+    if asked.keys() & {"table_text_spacing_indent", "table_text_line_spacing"}:
+        facts.append(entry("line_spacing", C.number_text("line_spacing"), F.lit("1")))
+    if "table_text_spacing_indent" in asked:
+        facts += [entry(c, C.number_text(f"{c}_cm"), F.lit("0")) for c in ("first_line_indent", "left_indent", "right_indent")]
+        facts.append(entry("alignment", F.col("alignment"), F.when(F.col("table_row_ix") == 0, F.col("alignment")).otherwise("left")))
+    size = next((asked[p] for p in ("table_text_font_size", "table_font_size") if asked.get(p) is not None), None)
     if size is not None:
         facts.append(entry("font_size", C.number_text("font_size_pt"), C.number_text(F.lit(size))))
-    each = cells.select("doc_id", "table_ix", "para_ix", F.explode(F.array(*facts)).alias("f")).select("doc_id", "table_ix", "para_ix", "f.*")
-    whole = tables.where("rows_count > 8").select("doc_id", "table_ix", F.lit(None).cast("int").alias("para_ix"), F.explode(F.array(entry("repeats_header", F.coalesce("repeats_header", F.lit(False)), F.lit(True)), entry("cant_split_rows", F.coalesce("has_cant_split_rows", F.lit(False)), F.lit(False)))).alias("f")).select("doc_id", "table_ix", "para_ix", "f.*")
+    kind = "array<struct<parameter:string,old:string,new:string>>"
+    each = cells.select("doc_id", "table_ix", "para_ix", F.explode(F.array(*facts).cast(kind)).alias("f")).select("doc_id", "table_ix", "para_ix", "f.*")
+    wide = []
+    if "table_repeat_header" in asked:
+        wide.append(entry("repeats_header", F.coalesce("repeats_header", F.lit(False)), F.lit(True)))
+    if "table_allow_row_break" in asked:
+        wide.append(entry("cant_split_rows", F.coalesce("has_cant_split_rows", F.lit(False)), F.lit(False)))
+    whole = tables.where("rows_count > 8").select("doc_id", "table_ix", F.lit(None).cast("int").alias("para_ix"), F.explode(F.array(*wide).cast(kind)).alias("f")).select("doc_id", "table_ix", "para_ix", "f.*")
     return plan(each.unionByName(whole), F.col("old"), F.col("new"), "table_ix", "para_ix")
 
 

@@ -78,10 +78,13 @@ def main_value(paragraphs: DataFrame, column: str, out: str) -> DataFrame:
     return C.dominant(paragraphs.where("paragraph_type = 'main_text'"), ["doc_id"], column, "para_ix", out).select("doc_id", out)
 
 
-def heading_sizes(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, heading_level, expected): main size plus two for one level; for more, steps of two down to the lowest level."""
+def heading_sizes(paragraphs: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """(doc_id, heading_level, expected): main size (inside limits, if given) plus two for one level; for more, steps of two down to the lowest level."""
     levels = paragraphs.where("paragraph_type = 'heading' and heading_level is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("heading_level")).alias("levels"))
-    rows = levels.join(main_value(paragraphs, "font_size_pt", "main"), "doc_id").withColumn("low", F.array_max("levels")).select("doc_id", "main", "low", F.size("levels").alias("n"), F.explode("levels").alias("heading_level"))
+    main = main_value(paragraphs, "font_size_pt", "main")
+    if low is not None and high is not None:
+        main = main.withColumn("main", F.greatest(F.least("main", F.coalesce(high, "main")), F.coalesce(low, "main")))
+    rows = levels.join(main, "doc_id").withColumn("low", F.array_max("levels")).select("doc_id", "main", "low", F.size("levels").alias("n"), F.explode("levels").alias("heading_level"))
     step = F.when(F.col("n") == 1, 1).when(F.col("n") == 2, F.col("low") - F.col("heading_level") + 1).otherwise(F.col("low") - F.col("heading_level"))
     return rows.select("doc_id", "heading_level", (F.col("main") + 2 * step).alias("expected_size"))
 

@@ -164,7 +164,7 @@ def report_rows(violations: DataFrame, parameters: DataFrame | None = None) -> D
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*violation_order(), "rule_id", "actual"))
     rows = violations.withColumn("number", number)
     rows = rows.join(F.broadcast(parameters.select("parameter", "label")), "parameter", "left") if parameters is not None else rows.withColumn("label", F.lit(None).cast("string"))
-    return rows.select("doc_id", "number", "location", F.coalesce("label", "parameter").alias("label"), cleaned(F.col("expected")).alias("expected"), cleaned(F.col("actual")).alias("actual"), clean_message(F.col("message")).alias("message"), "severity")
+    return rows.select("doc_id", "number", "location", F.coalesce("label", C.parameter_label("parameter")).alias("label"), cleaned(F.col("expected")).alias("expected"), cleaned(F.col("actual")).alias("actual"), clean_message(F.col("message")).alias("message"), "severity")
 
 
 def comments(violations: DataFrame) -> DataFrame:

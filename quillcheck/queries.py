@@ -344,3 +344,18 @@ def forbidden_phrases(spark, sf_dir):
     """First phrase of a list that a line holds as whole words."""
     df = _lines(spark, sf_dir).withColumns({"paragraph_type": F.lit("main_text"), "logical_section": F.lit("main_part"), "list_marker_type": F.lit(None).cast("string")})
     return documents.language_faults(df, phrases=["public license", "version"]).where("parameter = 'forbidden_phrases'").select("doc_id", "para_ix", F.col("actual").alias("phrase"))
+
+
+@query(f"""WITH {_FINDINGS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ix, rule, actual) AS INTEGER) AS number, concat('paragraph ', ix) AS location, 'font size' AS label, actual, severity FROM f""")
+def report_rows(spark, sf_dir):
+    """Findings as the numbered rows of a report."""
+    return violations.report_rows(_findings(spark, sf_dir)).select("doc_id", "number", "location", "label", "actual", "severity")
+
+
+@query("WITH r AS (SELECT DISTINCT l_suppkey % 40 AS k FROM lineitem) SELECT k, CASE k % 8 WHEN 0 THEN 'left margin' WHEN 1 THEN 'font size' WHEN 2 THEN 'line spacing' WHEN 3 THEN 'image max px' WHEN 4 THEN 'table header required' WHEN 5 THEN 'heading spacing order' WHEN 6 THEN 'page number area' ELSE 'references min count' END AS label, CASE k % 8 WHEN 0 THEN 'cm' WHEN 1 THEN 'pt' WHEN 2 THEN 'ratio' WHEN 3 THEN 'px' END AS unit, CASE k % 8 WHEN 0 THEN 'page' WHEN 3 THEN 'image' WHEN 4 THEN 'table' WHEN 5 THEN 'heading' WHEN 6 THEN 'page' WHEN 7 THEN 'structure' ELSE 'text' END AS kind FROM r")
+def parameter_registry(spark, sf_dir):
+    """Labels, units and kinds of parameters."""
+    names = ("left_margin", "font_size", "line_spacing", "image_max_px", "table_header_required", "heading_spacing_order", "page_number_area", "references_min_count")
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("k")).distinct()
+    parameter = F.element_at(F.array(*map(F.lit, names)), (F.col("k") % 8 + 1).cast("int"))
+    return rows.select("k", C.parameter_label(parameter).alias("label"), C.parameter_unit(parameter).alias("unit"), C.parameter_kind(parameter).alias("kind"))

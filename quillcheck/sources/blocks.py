@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +61,22 @@ def typed_values(rules: DataFrame) -> DataFrame:
     )
 
 
-def read_profiles(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "windows-1251")) -> DataFrame:
-    """Rules of JSON profiles, one row a rule with its place (ordinal); the first encoding that gives profiles is taken."""
-    for encoding in encodings:
-        read = spark.read.schema(T.StructType(PROFILE.fields).add("_corrupt_record", "string")).option("multiLine", True).option("encoding", encoding).json(path)
-        if read.where("id is not null").limit(1).count() and not read.where(F.exists("rules", lambda r: r["description"].contains("�"))).limit(1).count():
-            break
+_HIGH = bytes(range(128, 256))
+#: The characters that bytes from 128 on stand for, in Latin-1 and in the Cyrillic code page of old profiles (one byte of it stands for nothing).
+LATIN, CYRILLIC = _HIGH.decode("latin-1"), _HIGH.decode("cp1251", "replace")
+
+
+def decoded(content: Column | str) -> Column:
+    """Text of bytes: UTF-8, with or without a byte order mark, or else windows-1251."""
+    raw = F.col(content) if isinstance(content, str) else content
+    old = F.translate(F.decode(raw, "ISO-8859-1"), LATIN, CYRILLIC)
+    return F.regexp_replace(F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(old), "^\ufeff", "")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of JSON profiles, one row a rule with its place (ordinal)."""
+    files = spark.read.format("binaryFile").load(path).select(F.from_json(decoded("content"), T.ArrayType(PROFILE)).alias("profiles"))
+    read = files.select(F.explode("profiles").alias("p")).select("p.*").where("id is not null")
     rows = read.select(F.col("id").alias("profile_id"), F.posexplode("rules").alias("ordinal", "rule"))
     rules = rows.select("profile_id", "ordinal", F.col("rule.id").alias("rule_id"), *(f"rule.{f.name}" for f in RULE_FIELDS if f.name not in ("id", "enabled")), F.coalesce("rule.enabled", F.lit(True)).alias("enabled"))
     return typed_values(rules)
@@ -110,6 +120,11 @@ def profile_documents(rules: DataFrame) -> DataFrame:
     return lists.select("profile_id", F.concat(head, F.lit(',"rules":['), F.array_join(F.transform("r", lambda x: x["json"]), ","), F.lit("]}")).alias("profile_json"))
 
 
+def write_profiles(rules: DataFrame, path: str) -> None:
+    """Profiles as JSON, one a line."""
+    profile_documents(rules).select("profile_json").write.mode("errorifexists").text(path)
+
+
 def grouped_json(violations: DataFrame) -> DataFrame:
     """One row for each document: its findings as JSON, by section, then by rule."""
     finding = F.struct("paragraph_index", "location", "expected", "actual", "message", "severity")

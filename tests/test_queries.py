@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillcheck import queries
+from quillcheck import composed, composed_plans, composed_rules, composed_text, queries, registry  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
@@ -25,17 +25,17 @@ def rows_of(columns, rows):
     return order, sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, tables, name):
-    df = queries.QUERIES[name](spark, str(SF))
-    found = tables.execute(queries.SQL[name])
+    df = registry.QUERIES[name](spark, str(SF))
+    found = tables.execute(registry.SQL[name])
     columns = [c[0] for c in found.description]
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, name):
-    assert queries.QUERIES[name](spark, str(SF)).columns
+    assert registry.QUERIES[name](spark, str(SF)).columns
 
 
 def test_flagship(spark):
