@@ -22,8 +22,8 @@ from quillcheck.llm.common import from_batches
 WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-#: Words in each of the two halves of the cache, and the longest word kept in it: some 90 MB in all.
-HALF, LONGEST = 250_000, 64
+#: Words in each of the two halves of the cache, and the longest word kept in it: some 140 MB in all.
+HALF, LONGEST = 400_000, 64
 #: Stands before a text's first word in the cache's keys, where a space is understood otherwise. No text with it gets there.
 FIRST = "\r"
 #: A control character whose last id no other character has; it parts words that are encoded together.
