@@ -83,10 +83,18 @@ def plan(rows: DataFrame, old: Column, new: Column, *keys: str) -> DataFrame:
 
 def main_text_plan(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, para_ix, profile_id, parameter, old_value, new_value): exact value of a rule, else inside its limits, else the consistent value."""
-    values = long_values(paragraphs.where("paragraph_type = 'main_text'"))
+    own = F.coalesce("value_str", F.col("value_num").cast("string"), F.col("value_bool").cast("string")).isNotNull()
+    asked = rules.where("target = 'main_text'").select("profile_id", "parameter", (own & F.col("operator").isin("equals", "min", "max")).alias("fixed")).distinct().collect()  # a profile's rules are few
+    fixed = {(r.profile_id, r.parameter) for r in asked if r.fixed}
+    free = tuple(p for p in D.CONSISTENT if any(r.parameter == p and (r.profile_id, p) not in fixed for r in asked))  # only these can take the consistent value
+    values = long_values(paragraphs.where("paragraph_type = 'main_text'"), only={r.parameter for r in asked})
     wanted = rules.where("target = 'main_text'").groupBy("profile_id", "parameter").agg(*(F.min_by("value_num", F.when(F.col("operator") == o, F.col("ordinal"))).alias(o) for o in ("equals", "min", "max")), F.min_by("value_str", F.when(F.col("operator") == "equals", F.col("ordinal"))).alias("text"), F.min_by("value_bool", F.when(F.col("operator") == "equals", F.col("ordinal"))).alias("yes"))
-    chosen = D.chosen_values(paragraphs, rules).select("doc_id", "profile_id", "parameter", "chosen")
-    rows = values.join(F.broadcast(wanted), "parameter").join(chosen, ["doc_id", "profile_id", "parameter"], "left")
+    rows = values.join(F.broadcast(wanted), "parameter")
+    if free:
+        chosen = D.chosen_values(paragraphs, rules, parameters=free).select("doc_id", "profile_id", "parameter", "chosen")
+        rows = rows.join(chosen, ["doc_id", "profile_id", "parameter"], "left")
+    else:
+        rows = rows.withColumn("chosen", F.lit(None).cast("string"))
     old = F.coalesce("txt", C.number_text("num"), F.col("flag").cast("string"))
     limit = F.when(F.col("min").isNotNull() | F.col("max").isNotNull(), C.number_text(clamped(F.col("num"), F.col("min"), F.col("max"))))
     return plan(rows, old, F.coalesce(F.col("text"), C.number_text("equals"), F.col("yes").cast("string"), limit, "chosen"), "para_ix", "profile_id")

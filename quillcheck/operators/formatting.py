@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +23,19 @@ TARGETS = (
 )
 
 
-def long_values(paragraphs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each paragraph and parameter: parameter, num, txt, flag."""
+def long_values(paragraphs: DataFrame, keep: tuple[str, ...] = (), only: Iterable[str] | None = None) -> DataFrame:
+    """One row for each paragraph and parameter (all, or those of only): parameter, num, txt, flag."""
     def entry(name: str, num: Column | None = None, txt: Column | None = None, flag: Column | None = None) -> Column:
         none = F.lit(None)
         return F.struct(F.lit(name).alias("parameter"), (num if num is not None else none).cast("double").alias("num"), (txt if txt is not None else none).cast("string").alias("txt"), (flag if flag is not None else none).cast("boolean").alias("flag"))
 
     have = set(paragraphs.columns)
-    entries = [entry(p, num=F.coalesce(F.col(c), F.lit(0.0)) if p in ZERO_IF_NULL else F.col(c)) for p, c in NUMBERS.items() if c in have]
-    entries += [entry(p, txt=F.col(c)) for p, c in TEXTS.items() if c in have]
-    entries += [entry(p, flag=F.coalesce(F.col(c), F.lit(False))) for p, c in FLAGS.items() if c in have]
-    entries.append(entry("terminal_dot", flag=C.stripped("text").endswith(".") & ~C.stripped("text").endswith("..")))
-    return paragraphs.select("doc_id", "para_ix", *keep, F.explode(F.array(*entries)).alias("v")).select("doc_id", "para_ix", *keep, "v.*")
+    entries = {p: entry(p, num=F.coalesce(F.col(c), F.lit(0.0)) if p in ZERO_IF_NULL else F.col(c)) for p, c in NUMBERS.items() if c in have}
+    entries |= {p: entry(p, txt=F.col(c)) for p, c in TEXTS.items() if c in have}
+    entries |= {p: entry(p, flag=F.coalesce(F.col(c), F.lit(False))) for p, c in FLAGS.items() if c in have}
+    entries["terminal_dot"] = entry("terminal_dot", flag=C.stripped("text").endswith(".") & ~C.stripped("text").endswith(".."))
+    asked = [e for p, e in entries.items() if only is None or p in only] or [e.cast("struct<parameter:string,num:double,txt:string,flag:boolean>") for e in [F.lit(None)]]
+    return paragraphs.select("doc_id", "para_ix", *keep, F.explode(F.filter(F.array(*asked), lambda v: v.isNotNull())).alias("v")).select("doc_id", "para_ix", *keep, "v.*")
 
 
 def routed(paragraphs: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ UNION ALL SELECT s.doc_id, s.para_ix, 'alignment', alignment, 'justify' FROM sty
 def consistency_findings(spark, sf_dir):
     """Main text off the value that its document should have: dominant if allowed, else fallback; profile value for alignment."""
     rules = _rules(spark, ("c", "main_text", "consistency", "consistent", None, None, None, None, "mandatory"), ("low", "main_text", "font_size", "min", 11.0, None, None, "pt", "mandatory"), ("high", "main_text", "font_size", "max", 13.0, None, None, "pt", "mandatory"))
-    return documents.consistency_faults(_styled(spark, sf_dir), rules).where("parameter in ('font_size', 'alignment')").select("doc_id", "para_ix", "parameter", "actual", "expected")
+    return documents.consistency_faults(_styled(spark, sf_dir), rules, ("font_size", "alignment")).select("doc_id", "para_ix", "parameter", "actual", "expected")
 
 
 _SECTIONS = """sections AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS INTEGER) AS section_ix, max(CASE WHEN l_quantity < 30 THEN 3.0 ELSE 2.5 END) AS l, max(CASE WHEN l_tax > 0.06 THEN 1.0 ELSE 1.5 END) AS r FROM lineitem GROUP BY ALL)"""
