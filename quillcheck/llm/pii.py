@@ -122,14 +122,14 @@ def with_spans(df: DataFrame, kind: str, pattern: str, valid: Callable[[Column],
 
 
 def entities(documents: DataFrame, carry: bool) -> DataFrame:
-    """A written table, one row for each document: row, doc_id, base spans by kind, with carry also rec (all its columns) and text, and found: (kind, start, end, value, left, right) of base spans and of strings that look like identifiers."""
+    """A written table, one row for each document: row, doc_id, base spans by kind, with carry also rec (all its columns), and found: (kind, start, end, value, left, right) of base spans and of strings that look like identifiers."""
     df = packed(documents).select("rec", F.col("rec.doc_id").cast("long").alias("doc_id"), text_or_empty("rec.text").alias("text"))
     for kind, pattern in PATTERNS.items():
         df = with_spans(df, kind, pattern, VALID[kind], NEEDS[kind])
     df = with_spans(df, "id", IDENTIFIER, lambda m: F.lit(True))
     named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), *(s[c].alias(c) for c in ("start", "end", "value", "left", "right"))))
     places = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
-    return written(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(("rec", "text") if carry else ()), *places, F.flatten(F.array(*map(named, KINDS))).alias("found")), "pii-entities", compression="zstd")
+    return written(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(("rec",) if carry else ()), *places, F.flatten(F.array(*map(named, KINDS))).alias("found")), "pii-entities", compression="zstd")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def redacted(documents: DataFrame) -> DataFrame:
     shown = discovered(documents, found).select("row", "value").distinct()
     same = found.select("row", F.explode("found").alias("f")).select("row", "f.*").where("kind = 'id'").join(shown, ["row", "value"], "left_semi")
     extra = same.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("id"))  # at most the identifiers of one text
-    rows = found.drop("found", "doc_id").join(extra, "row", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
+    rows = found.drop("found", "doc_id").join(extra, "row", "left").withColumn("text", text_or_empty("rec.text")).withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
     rows = rows.withColumn("_regions", _regions(F.flatten(F.array(*(_of_kind(k, k) for k in KINDS)))))
     end = lambda i: F.when(i == 0, 0).otherwise(F.get("_regions", i - 1)["end"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))

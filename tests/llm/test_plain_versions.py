@@ -7,7 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from quillcheck.llm import lm_score, media, mixing, near_copies
+from quillcheck.llm import lm_score, media, mixing
 
 
 def plain_schedule(weights, blocks):
@@ -85,12 +85,3 @@ def test_distinct_pairs(wide):
     c, w, of = lm_score._distinct(context, word)
     pairs = sorted(set(zip(context.tolist(), word.tolist())))
     assert list(zip(c.tolist(), w.tolist())) == pairs and [pairs[i] for i in of] == list(zip(context.tolist(), word.tolist()))
-
-
-def test_fingerprint_of_sets():
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 9, 700):
-        found = rng.integers(0, 1 << 64, n, dtype=np.uint64)
-        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in found) > n)
-        assert near_copies.fingerprint(found) % (1 << 64) == want
-    assert near_copies.fingerprint(np.empty(0, np.uint64)) == 0
