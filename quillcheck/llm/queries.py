@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.llm import lm_score, media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup, url_filter
+from quillcheck.llm import importance, lm_score, media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup, url_filter
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(stored).select(*digests, media.feature_text().alias("feature"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ef_trie_scores": op1_ef_trie_scores,
     "op2_substring_dedup": op2_substring_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_golay": op8_simhash_golay,
     "op9_url_trees": op9_url_trees,
     "op10_media_columns": op10_media_columns,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 #: Rows are told apart by their place, so that repeated doc_ids count as in the query.
@@ -100,4 +106,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, CASE WHEN bit_count(fail_bits & 31) = 1 THEN fail_bits & 31 ELSE 0 END AS kept_without, 'v1' AS policy FROM f
 """
 
-SQL: dict[str, str] = {"op5_quality_rules": _OP5}
+#: crc32 is folded over the bytes of each different word, by a table that is made from the polynomial.
+_OP11 = r"""
+WITH RECURSIVE steps AS (SELECT b AS byte, b AS v, 0 AS k FROM range(256) r(b) UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY byte) AS c FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+words AS (SELECT r, unnest(ws) AS w FROM d),
+seen AS (SELECT DISTINCT w FROM (SELECT w FROM words UNION ALL SELECT w FROM b)),
+bytes AS (SELECT w, list_transform(range(1, length(hex(encode(w))), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT) AS bs FROM seen),
+bucketed AS (SELECT w, xor(list_reduce(bs, lambda x, y: xor(x >> 8, c[1 + xor(x & 255, y)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS n FROM words JOIN bucketed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN bucketed USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE) / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, count(*) AS n, sum(g) AS weight FROM words JOIN bucketed USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, 10 * count(*) OVER () // 100 AS k FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= k THEN rank END AS BIGINT) AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op11_importance_resampling": _OP11}
