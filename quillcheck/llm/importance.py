@@ -91,9 +91,10 @@ def features(texts: pa.Array, longest: int = LONGEST, buckets: int = BUCKETS) ->
         sums = crc_of(part, starts, sizes, np.zeros(len(starts), np.uint32))
         rows, found = [of], [sums % buckets]
         for n in range(2, longest + 1):
-            same = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
+            runs = max(0, len(of) - n + 1)
+            same = np.flatnonzero(of[n - 1 :] == of[:runs])
             spaced = ~(_CRC[(~sums[same] ^ 32) & 255] ^ (~sums[same] >> 8))
-            sums = np.zeros(len(of) - n + 1, np.uint32)
+            sums = np.zeros(runs, np.uint32)
             sums[same] = crc_of(part, starts[same + n - 1], sizes[same + n - 1], spaced)
             rows.append(of[same])
             found.append(sums[same] % buckets)
