@@ -32,7 +32,7 @@ from quillcheck.llm.common import from_batches, written
 from quillcheck.llm.token_ids import LONGEST, Encoder, has_other_space, has_uneven_space
 
 #: Code points of a block (a longer text is a block of its own), and words in each half of the cache of both tokenizers.
-BLOCK, HALF = 1 << 21, 200_000
+BLOCK, HALF = 1 << 22, 200_000
 
 _SPACE = "▁"
 
@@ -208,7 +208,7 @@ ALIGNED = (
 ALIGNED_NAMES = [x.split()[0] for x in ALIGNED.split(", ")]
 
 
-def aligned(documents: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
+def aligned(documents: DataFrame, byte_file: str, piece_file: str, block: int = BLOCK) -> DataFrame:
     """One row for each block of documents.
 
     pairs: its different id pairs (a << 32 | b), those that most documents hold first; docs_with: how many of its documents hold
@@ -220,7 +220,7 @@ def aligned(documents: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
         held: list[tuple] = []
         number = size = 0
 
-        def block() -> pa.RecordBatch:
+        def made() -> pa.RecordBatch:
             codes = np.concatenate([np.empty(0, np.int64), *(x[5] for x in held)])
             pairs, place, count = np.unique(codes, return_inverse=True, return_counts=True)
             by_count = np.argsort(-count, kind="stable")
@@ -250,13 +250,13 @@ def aligned(documents: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
                 doc_ids.append(doc_id)
                 texts.append(text or "")
                 size += len(texts[-1])
-                if size > BLOCK:
+                if size > block:
                     add(doc_ids, texts)
-                    yield block()
+                    yield made()
                     doc_ids, texts, held, size, number = [], [], [], 0, number + 1
         if doc_ids:
             add(doc_ids, texts)
-            yield block()
+            yield made()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(blocks, ALIGNED)

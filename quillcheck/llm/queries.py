@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.llm import importance, lm_score, media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup, url_filter, winnowing
+from quillcheck.llm import cross_tokens, importance, lm_score, media, mixing, packing, pii, quality_rules, repair_shards, simhash, substring_dedup, url_filter, winnowing
 from quillcheck.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.linked(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_trees": op9_url_trees,
     "op10_media_columns": op10_media_columns,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_alignment": op12_token_alignment,
     "op13_winnowing": op13_winnowing,
 }
 
