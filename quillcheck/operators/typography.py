@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
 from quillcheck.functions import fixed
+from quillcheck.operators import prefilter
 from quillcheck.operators.violations import findings
 
 _RULE = ("profile_id", "rule_id", "source_section", "target", "parameter", "modality", "category")
@@ -44,36 +45,39 @@ def _phone(text: Column) -> Column:
 
 
 def text_hits(any_language: bool = False) -> Column:
-    """Array of (parameter, fragment, severity): every pattern that a paragraph's text breaks, one entry a pattern."""
+    """Array of (parameter, fragment, level): every pattern that a paragraph's text breaks, one entry a pattern and parameter.
+
+    Needs the bits of prefilter.with_possible beside the paragraph's columns; a pattern that several parameters share is asked once.
+    """
     text = F.col("text")
-    hits = []
-    by_parameter: dict[str, list[tuple[str, str]]] = {}
+    rule = lambda parameter, level: F.struct(F.lit(parameter).alias("parameter"), F.lit(level).alias("level"), F.lit(parameter in fixed.VALUE_PARAMETERS).alias("value"))
+    hit = lambda rules, fragment, when: F.struct(F.array(*rules).alias("rules"), F.when(when, fragment).alias("fragment"))
+    asked: dict[tuple[str, ...], tuple[list[Column], Column]] = {}  # by the patterns of an entry: its rules, and whether any can match
+    places: dict[str, int] = {}
     for parameter, pattern, level in fixed.TYPOGRAPHY:
-        by_parameter.setdefault(parameter, []).append((pattern, level))
-
-    def hit(parameter: str, fragment: Column, level: str, when: Column | None = None) -> Column:
-        fragment = fragment if when is None else F.when(when, fragment)
-        return F.struct(F.lit(parameter).alias("parameter"), fragment.alias("fragment"), F.lit(level).alias("level"), F.lit(parameter in fixed.VALUE_PARAMETERS).alias("value"))
-
-    for parameter, patterns in by_parameter.items():
+        place = places[parameter] = places.get(parameter, -1) + 1
+        can = prefilter.possible(parameter, place)
         if parameter == "spaces_inside_brackets_quotes":  # the closing side is asked only if the opening side is right
-            hits.append(hit(parameter, F.coalesce(*(C.first_match(text, p) for p, _ in patterns)), patterns[0][1]))
+            patterns = tuple(p for q, p, _ in fixed.TYPOGRAPHY if q == parameter)
+            rules, either = asked.get(patterns, ([rule(parameter, level)], F.lit(False)))
+            asked[patterns] = rules, either | can
         else:
-            hits += [hit(parameter, C.first_match(text, p), level) for p, level in patterns]
-    edge = text.rlike("^ | $")
-    hits.append(hit("paragraph_edge_spaces", F.when(edge, F.lit("space at the edge")), "error"))
+            rules, _ = asked.setdefault((pattern,), ([], can))
+            rules.append(rule(parameter, level))
+    hits = [hit(rules, F.coalesce(*(C.first_match(text, p) for p in patterns)), can) for patterns, (rules, can) in asked.items()]
+    one = lambda parameter, level, fragment, when: hits.append(hit([rule(parameter, level)], fragment, when))
+    one("paragraph_edge_spaces", "error", F.lit("space at the edge"), text.rlike("^ | $"))
     cyrillic = F.lit(True) if any_language else text.rlike("[А-Яа-яЁё]")
-    hits.append(hit("russian_quotes", C.first_match(text, fixed.STRAIGHT_QUOTES), "warning", cyrillic))
-    hits.append(hit("square_brackets_usage", _square_brackets(text), "warning"))
-    hits.append(hit("phone_number_format", _phone(text), "error"))
-    plain = F.lower(C.stripped(text))
-    label = (F.col("caption_kind") == "table") | plain.rlike(r"^(удк|ключевые слова)")
-    hits.append(hit("no_dot_after_udc_keywords_table_title", F.when(C.stripped(text).endswith("."), F.lit(".")), "error", F.coalesce(label, F.lit(False))))
-    note = F.col("paragraph_type").isin("note", "footnote")
-    hits.append(hit("dot_after_footnote_or_note", F.when(~C.stripped(text).rlike(r"[.!?…]$"), F.lit("no end sign")), "error", F.coalesce(note, F.lit(False))))
-    # each pattern stands here once; whether its fragment counts is asked of what it found
-    kept = F.filter(F.array(*hits), lambda h: h["fragment"].isNotNull() & ~(h["value"] & F.coalesce(ignored_value(h["fragment"], text), F.lit(False))))
-    return F.transform(kept, lambda h: F.struct(h["parameter"].alias("parameter"), h["fragment"].alias("fragment"), h["level"].alias("level")))
+    one("russian_quotes", "warning", C.first_match(text, fixed.STRAIGHT_QUOTES), prefilter.possible("russian_quotes") & cyrillic)
+    one("square_brackets_usage", "warning", _square_brackets(text), prefilter.possible("square_brackets_usage"))
+    one("phone_number_format", "error", _phone(text), prefilter.possible("phone_number_format"))
+    label = F.coalesce(F.col("caption_kind") == "table", F.lit(False)) | (F.lower(text).rlike("удк|ключевые слова") & F.lower(C.stripped(text)).rlike(r"^(удк|ключевые слова)"))
+    one("no_dot_after_udc_keywords_table_title", "error", F.when(C.stripped(text).endswith("."), F.lit(".")), label)
+    note = F.coalesce(F.col("paragraph_type").isin("note", "footnote"), F.lit(False))
+    one("dot_after_footnote_or_note", "error", F.when(~C.stripped(text).rlike(r"[.!?…]$"), F.lit("no end sign")), note)
+    found = F.filter(F.array(*hits), lambda h: h["fragment"].isNotNull())
+    counted = lambda h: F.filter(h["rules"], lambda r: ~(r["value"] & F.coalesce(ignored_value(h["fragment"], text), F.lit(False))))  # noqa: E731  an address or a version is no value
+    return F.flatten(F.transform(found, lambda h: F.transform(counted(h), lambda r: F.struct(r["parameter"].alias("parameter"), h["fragment"].alias("fragment"), r["level"].alias("level")))))
 
 
 def equation_hits() -> Column:
@@ -124,20 +128,29 @@ OTHERS = (
 )
 
 
-def fragments(paragraphs: DataFrame, any_language: bool = False) -> DataFrame:
-    """(doc_id, para_ix, parameter, fragment, level) of every broken pattern, whatever the rules; one pass over the texts."""
+def _exploded(hits: DataFrame) -> DataFrame:
+    """A row for each of hits; outer first, as Spark would else ask for the size of the array by making it twice."""
+    return hits.select("doc_id", "para_ix", F.explode_outer("hits").alias("h")).where("h is not null").select("doc_id", "para_ix", "h.*")
+
+
+def fragments(paragraphs: DataFrame, any_language: bool = False, filtered: bool = True) -> DataFrame:
+    """(doc_id, para_ix, parameter, fragment, level) of every broken pattern, whatever the rules; one pass over the texts.
+
+    filtered=False asks every pattern of every line, with the same result.
+    """
     have = paragraphs
     for name, kind in (("paragraph_type", "string"), ("logical_section", "string"), ("style_name", "string"), ("caption_kind", "string")):
         if name not in have.columns:
             have = have.withColumn(name, F.lit(None).cast(kind))
-    return have.where(in_scope()).select("doc_id", "para_ix", F.explode(text_hits(any_language)).alias("h")).select("doc_id", "para_ix", "h.*")
+    rows = (prefilter.with_possible if filtered else prefilter.everything)(have.where(in_scope()))
+    return _exploded(rows.select("doc_id", "para_ix", text_hits(any_language).alias("hits")))
 
 
 def check_paragraphs(paragraphs: DataFrame, rules: DataFrame, any_language: bool = False) -> DataFrame:
     """Findings of text, equation and list rules. paragraphs has the full schema; a main_indent is found here."""
     main = C.dominant(paragraphs.where("paragraph_type = 'main_text'").withColumn("_v", F.bround("first_line_indent_cm", 2)), ["doc_id"], "_v", "para_ix", "main_indent")
-    rows = paragraphs.join(main.select("doc_id", "main_indent"), "doc_id", "left").where(in_scope())
-    hits = rows.select("doc_id", "para_ix", F.explode(F.concat(text_hits(any_language), equation_hits(), list_hits())).alias("h")).select("doc_id", "para_ix", "h.*")
+    rows = prefilter.with_possible(paragraphs.join(main.select("doc_id", "main_indent"), "doc_id", "left").where(in_scope()))
+    hits = _exploded(rows.select("doc_id", "para_ix", F.concat(text_hits(any_language), equation_hits(), list_hits()).alias("hits")))
     return _with_rules(hits, rules)
 
 
