@@ -61,19 +61,21 @@ def test_align_finds_all_common_ends(sizes, data):
     drop = data.draw(st.sets(st.sampled_from(ends[:-1].tolist()) if len(ends) > 1 else st.nothing()))
     more = data.draw(st.sets(st.integers(1, max(1, total - 1)), max_size=8))
     other = np.array(sorted((set(ends.tolist()) - drop) | {m for m in more if m < total}), np.int64)
-    runs, groups, links = cross_tokens.align(ends, other)
+    got = cross_tokens.align(ends, other)
+    runs, groups = list(zip(got.run_a, got.run_b, got.run_n)), list(zip(got.group_a, got.end_a, got.group_b, got.end_b))
     found = sorted([(i + k, i + k + 1, j + k, j + k + 1) for i, j, n in runs for k in range(n)] + groups)
     common = sorted(set(ends.tolist()) & set(other.tolist()))
-    assert [int(ends[g[1] - 1]) for g in found] == common == [int(other[g[3] - 1]) for g in found]
-    assert all(p[1] == q[0] and p[3] == q[2] for p, q in zip(found, found[1:])) and len(set(links)) == len(links)
-    i, j = cross_tokens.link_indices(runs, links)
+    assert [int(ends[g[1] - 1]) for g in found] == common == [int(other[g[3] - 1]) for g in found] and got.n_groups() == len(found)
+    assert all(p[1] == q[0] and p[3] == q[2] for p, q in zip(found, found[1:]))
+    i, j = got.links()
     starts = lambda e: np.concatenate([[0], e[:-1]]) if len(e) else e
     assert sorted(zip(i.tolist(), j.tolist())) == [(p, q) for p in range(len(ends)) for q in range(len(other)) if starts(ends)[p] < other[q] and starts(other)[q] < ends[p]]
 
 
 def test_a_long_run_is_jumped():
-    runs, groups, _ = cross_tokens.align(np.arange(1, 100_001), np.array([*range(1, 60_001), *range(60_002, 100_001)]))
-    assert runs == [(0, 0, 60_000), (60_002, 60_001, 39_998)] and groups == [(60_000, 60_002, 60_000, 60_001)]
+    got = cross_tokens.align(np.arange(1, 100_001), np.array([*range(1, 60_001), *range(60_002, 100_001)]))
+    assert (got.run_a, got.run_b, got.run_n) == ([0, 60_002], [0, 60_001], [60_000, 39_998])
+    assert (got.group_a, got.end_a, got.group_b, got.end_b) == ([60_000], [60_002], [60_000], [60_001])
 
 
 def _documents():
@@ -101,9 +103,12 @@ def test_words_one_by_one_equal_whole_texts(monkeypatch):
     texts = [t or "" for _, t in _documents()]
     for _ in range(2):
         for text in texts:
-            a, b = tokens.both([text])[0]
             want = [[i for i, _ in side] for side in _tokens(text)]
-            assert [np.frombuffer(x, np.uint32).tolist() for x in (a, b)] == want
+            assert [ids.tolist() for ids, _ in tokens.both([text])] == want
+        (a, ends_a), (b, ends_b) = tokens.both(texts)  # together
+        want = [_tokens(text) for text in texts]
+        assert ends_a.tolist() == np.cumsum([len(x) for x, _ in want]).tolist() and a.tolist() == [i for x, _ in want for i, _ in x]
+        assert ends_b.tolist() == np.cumsum([len(x) for _, x in want]).tolist() and b.tolist() == [i for _, x in want for i, _ in x]
 
 
 def test_empty_table(spark):
