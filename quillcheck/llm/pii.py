@@ -7,7 +7,7 @@ strings form a graph: an edge says how often a string stands next to a word. Sco
 forth: a pattern's confidence is the score of all that stands next to its word over all occurrences
 of the word in the corpus; patterns with CONFIDENCE and SUPPORT different strings of known score are
 admitted, and a string that an admitted pattern shows gets its confidence as score. Strings found in
-one round support new patterns in the next, until nothing changes or ROUNDS are over. Identifiers
+one round support new patterns in the next, until nothing changes: scores only rise from round to round and never above one, so they come to rest. Identifiers
 next to an admitted pattern become spans of kind id.
 
 Only edges that can never count are left out: words with fewer than SUPPORT different strings in all,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.llm.common import packed, text_or_empty, written
 
-ROUNDS, SUPPORT, CONFIDENCE = 6, 3, 0.5
+SUPPORT, CONFIDENCE = 3, 0.5
 #: Least length of an identifier that context may show; shorter strings with digits are numbers and dates.
 SHORTEST = 6
 #: Code points next to an entity in which its word is looked for first; where they cut the word, all of the text between is read.
@@ -143,7 +143,7 @@ def occurrences(found: DataFrame) -> DataFrame:
     return written(near.where(base | free).drop("_end", "_start"), "pii-occurrences")
 
 
-def admitted_patterns(documents: DataFrame, each: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def admitted_patterns(documents: DataFrame, each: DataFrame) -> DataFrame:
     """(side, word, confidence): the words next to which identifiers stand, by rounds over the graph of patterns and strings."""
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("left", "right")))
     edges = each.select("value", (F.col("kind") != "id").alias("seed"), F.explode(sides).alias("s")).select("value", "seed", "s.*").where("word <> ''")
@@ -155,7 +155,7 @@ def admitted_patterns(documents: DataFrame, each: DataFrame, rounds: int = ROUND
     edges = written(edges.join(able, ["side", "word"]), "pii-edges")
     seeds = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
     scores, mark = seeds, None
-    for _ in range(rounds):
+    while True:
         found = edges.join(scores, "value").groupBy("side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.count("*").alias("strings"))
         patterns = written(found.where((F.col("strings") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("side", "word", F.least("confidence", F.lit(1.0)).alias("confidence")), "pii-patterns")
         new = patterns.agg(F.count("*"), F.sum(F.round("confidence", 6))).first()

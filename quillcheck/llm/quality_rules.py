@@ -141,8 +141,8 @@ def judged(documents: DataFrame, version: str = "v1") -> DataFrame:
 
 def kept_documents(documents: DataFrame, version: str = "v1") -> DataFrame:
     """The documents that the policy and the base rules keep, with all their columns; no shuffle."""
-    out = "_quality"
-    while out in documents.columns:
-        out += "_"
+    names = documents.columns
+    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]  # names with dots, or like the helper's, pass too
     rejects = mask(POLICIES[version]) | mask(POLICIES["base"])
-    return measured(documents, out).where(fail_bits(f"{out}.").bitwiseAND(F.lit(rejects)) == 0).drop(out)
+    kept = measured(documents.toDF(*plain), "_quality").where(fail_bits("_quality.").bitwiseAND(F.lit(rejects)) == 0)
+    return kept.select(*plain).toDF(*names)

@@ -7,8 +7,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillcheck.llm import quality_rules
+from quillcheck.llm.common import written
 from tests.llm.fixtures import SCHEMA
-from tests.llm.test_global_operators import PLAIN, plain_components, plain_fingerprint, plain_spans
+from tests.llm.test_global_operators import PLAIN, plain_spans
+from tests.llm.test_near_copies import plain_set
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -36,11 +38,13 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     failed = lambda t: (lambda m: m[0] < 50 or 100 * m[4] > 50 * m[0] or 10 * m[2] > 3 * m[0] or 2 * m[6] > m[0] or 10 * m[7] > 3 * m[0])(quality_rules.measure(t))
     kept = [(r[0], r[1]) for r in rows if r[1] and not failed(r[1])]
-    roots = plain_components([plain_fingerprint(t) for _, t in kept])
-    least = {}
-    for (d, _), root in zip(kept, roots):
-        least[root] = min(d, least.get(root, d))
-    left = [(d, redacted(t)) for d, t in kept if d in least.values()]
+    sets = [plain_set(t) for _, t in kept]
+    root = list(range(len(kept)))
+    for i, a in enumerate(sets):  # kept in ascending order of doc_id, so a root is the first of its component
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    left = [(d, redacted(t)) for k, (d, t) in enumerate(kept) if root[k] == k]
     assert {d for d, _ in left} == {*range(60), 203}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
@@ -51,9 +55,21 @@ def test_pipeline(spark, tmp_path):
     assert set(PLAIN) >= {"email", "phone"}
 
 
-def test_stages_keep_the_columns(spark, tmp_path):
-    docs = spark.createDataFrame(corpus(), SCHEMA)
+def test_stages_keep_every_column_and_row_without_id(spark, tmp_path):
+    rows = [(*r, i, f"x{i}", i, i) for i, r in enumerate([*corpus(), (None, corpus()[3][1] + " more words here", "en", None, 1), (None, None, "en", "s0", None), corpus()[7], (300, corpus()[8][1] + " and some words more", "en", "s9", 1)])]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, `a.b` int, node string, _quality int, rec int")
+    names = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert docs.columns == names, name
+        docs = written(docs, name)
+    left = docs.collect()
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted([*range(60), 7, 203])  # 300 is a near copy; a repeated row stays
+    assert [r["a.b"] for r in left if r["doc_id"] is None] == [69] and all(r["node"] == f"x{r['a.b']}" for r in left)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.where("doc_id is null").count() == 1
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0, name
