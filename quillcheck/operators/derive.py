@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
 from quillcheck.functions import fixed
+from quillcheck.sources.staging import staged
 
 ALIGNMENTS = {"LEFT": "left", "CENTER": "center", "RIGHT": "right", "JUSTIFY": "justify", "both": "justify", "start": "left", "end": "right"}
 STYLE_VALUES = ("alignment", "font_family", "font_size_pt", "bold", "italic", "first_line_indent_cm", "left_indent_cm", "right_indent_cm", "line_spacing", "space_before_pt", "space_after_pt", "keep_with_next", "keep_together", "page_break_before")
 
 
 def style_alignments(styles: DataFrame) -> DataFrame:
-    """(doc_id, style_id, alignment): the first alignment on a style's chain of base styles, which is as long as it is; chains that end in a circle have none."""
-    link = F.struct("alignment", "based_on")
-    of_document = styles.groupBy("doc_id").agg(F.collect_list(F.struct("style_id", link.alias("link"))).alias("all"))  # the styles of one document
-    first = F.filter("all", lambda s: s["style_id"].isNotNull())
-    rows = of_document.select("doc_id", F.map_from_entries(F.array_distinct(first)).alias("links"), F.size("all").alias("n")).select("doc_id", "links", "n", F.explode("links").alias("style_id", "link"))
-    up = lambda at, _: F.when(at["alignment"].isNull() & at["based_on"].isNotNull(), F.element_at("links", at["based_on"])).otherwise(at)
-    return rows.select("doc_id", "style_id", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("link"), up)["alignment"].alias("alignment")).where("alignment is not null")
+    """(doc_id, style_id, alignment): the first alignment on a style's chain of base styles, which is as long as it is; chains that end in a circle or in a style that is not there have none.
+
+    By pointer doubling: in each round a style that has no alignment yet takes that of the style it points to, or else points
+    to where that one points. Two to the power of the rounds is the length of chain that is followed, so a document with n styles
+    needs log n rounds (a repeated style counts once: the least of its rows), and what is open then runs in a circle.
+    """
+    link = F.min(F.struct("alignment", "based_on")).alias("link")
+    now = styles.where("style_id is not null").groupBy("doc_id", "style_id").agg(link).select("doc_id", "style_id", "link.alignment", "link.based_on")
+    now = staged(now.select("doc_id", "style_id", "alignment", F.when(F.col("alignment").isNull(), F.col("based_on")).alias("up")), "style-links")
+    longest = now.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    for _ in range((longest - 1).bit_length()):
+        above = now.select("doc_id", F.col("style_id").alias("up"), F.col("alignment").alias("_alignment"), F.col("up").alias("_up"))
+        opened = now.where("up is not null").join(above, ["doc_id", "up"], "left").select("doc_id", "style_id", F.col("_alignment").alias("alignment"), F.when(F.col("_alignment").isNull(), F.col("_up")).alias("up"))
+        now = staged(now.where("up is null").unionByName(opened), "style-links")
+    return now.where("alignment is not null").select("doc_id", "style_id", "alignment")
 
 
 def first_written_run() -> Column:

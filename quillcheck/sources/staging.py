@@ -1,18 +1,30 @@
-"""Tables that several branches of a plan read, written once."""
+"""Tables that several branches of a plan read, written once, and the folder they stand in."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where the session names none, one is made and set on a single machine (tests); on a cluster that is an error, since no
+    folder of one machine would do and a check without written tables would compute its blocks in each of its branches.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder that spark.checkpoint.dir names; df itself where the session names none."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
