@@ -124,7 +124,7 @@ def heading_findings(spark, sf_dir):
 def text_findings(spark, sf_dir):
     """Centred text with indents, sizes of additional text, empty paragraphs, and spacing over a limit."""
     p = paragraphs(spark, sf_dir)
-    return formatting.text_faults(p).unionByName(formatting.spacing_limit_faults(p, 6.0)).select("doc_id", "para_ix", "parameter", "level")
+    return formatting.text_faults(p).unionByName(formatting.spacing_limit_faults(p, 6.0), allowMissingColumns=True).select("doc_id", "para_ix", "parameter", "level")
 
 
 _UPPER = r"regexp_matches(regexp_extract(caption_title, '\p{L}'), '\p{Lu}')"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
+from quillcheck.operators import settings as S
 from quillcheck.operators.violations import findings
 
 RULE = ("profile_id", "rule_id", "source_section", "target", "parameter", "operator", "unit", "modality", "category", "value_num", "value_str", "value_bool", "value_list")
@@ -92,14 +93,12 @@ def heading_sizes(paragraphs: DataFrame, low: Column | None = None, high: Column
     return rows.select("doc_id", "heading_level", (F.col("main") + 2 * step).alias("expected_size"))
 
 
-def heading_faults(paragraphs: DataFrame, indent: float | None = None) -> DataFrame:
-    """(doc_id, para_ix, parameter, actual, expected, level) of the heading rules that need no rule value; one row for each fault.
+def heading_faults(paragraphs: DataFrame, indent: float | Column | None = None) -> DataFrame:
+    """(doc_id, para_ix, parameter, actual, expected, level, profile_id) of the heading rules that need no rule value; one row for each fault.
 
-    indent: the indent of main text that the profile's strategy names; else it is the most frequent one, else 1.25.
+    indent: the indent of main text that the strategy names, or settings of profiles; where it is null, the most frequent one, else 1.25.
     """
     main_indent, main_spacing = main_value(paragraphs, "first_line_indent_cm", "main_indent"), main_value(paragraphs, "line_spacing", "main_spacing")
-    if indent is not None:
-        main_indent = main_indent.withColumn("main_indent", F.lit(indent))
     order = Window.partitionBy("doc_id").orderBy("para_ix")
     before = F.coalesce(F.lag("has_page_break").over(order), F.lit(False)) if "has_page_break" in paragraphs.columns else F.lit(False)
     heads = paragraphs.withColumn("_broken", before).where("paragraph_type = 'heading'").join(heading_sizes(paragraphs), ["doc_id", "heading_level"], "left").join(main_indent, "doc_id", "left").join(main_spacing, "doc_id", "left")
@@ -110,14 +109,17 @@ def heading_faults(paragraphs: DataFrame, indent: float | None = None) -> DataFr
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     near = lambda a, b: F.abs(a - b) <= 0.05
     centred = F.col("alignment") == "center"
-    indents = F.when(centred, near(zero("first_line_indent_cm"), F.lit(0.0)) & near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0))).otherwise(near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0)) & (near(zero("first_line_indent_cm"), F.lit(0.0)) | near(zero("first_line_indent_cm"), F.coalesce("main_indent", F.lit(1.25 if indent is None else indent)))))
+    sides = near(zero("left_indent_cm"), F.lit(0.0)) & near(zero("right_indent_cm"), F.lit(0.0))
+    first = zero("first_line_indent_cm")
+    indented = lambda main: F.when(centred, near(first, F.lit(0.0)) & sides).otherwise(sides & (near(first, F.lit(0.0)) | near(first, F.coalesce(main, "main_indent", F.lit(1.25)))))
+    whose = S.given(indent) if indent is not None else F.array(F.struct(F.lit(None).cast("string").alias("profile_id"), F.lit(None).cast("double").alias("value")))
+    policy = S.faults(whose, lambda v: ~indented(v), "heading_indent_policy", C.number_text(first), lambda _: F.when(centred, F.lit("0")).otherwise(F.lit("0 or main indent")))
     own_break = F.coalesce("page_break_before", F.lit(False)) | (F.coalesce("has_page_break", F.lit(False)) if "has_page_break" in paragraphs.columns else F.lit(False)) | F.col("_broken")
-    fault = lambda p, bad, actual, expected, level="error": F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(p).alias("parameter"), actual.cast("string").alias("actual"), expected.cast("string").alias("expected"), F.lit(level).alias("level")))
+    fault = lambda p, bad, actual, expected, level="error": F.when(F.coalesce(bad, F.lit(False)), S.fault(p, actual, expected, level))
     faults = [
         fault("numbering_terminal_dot", number.isNotNull() & ~text.rlike(r"(?Us)^\d+(?:\.\d+)*\. \S"), text, F.lit("number, dot, space, title")),
         fault("starts_with_capital", first_letter.isNotNull() & ~first_letter.rlike(r"\p{Lu}"), first_letter, F.lit("capital letter")),
         fault("heading_font_size_hierarchy", F.abs(F.col("font_size_pt") - F.col("expected_size")) > 0.5, F.col("font_size_pt"), F.col("expected_size")),
-        fault("heading_indent_policy", ~indents, C.number_text(zero("first_line_indent_cm")), F.when(centred, F.lit("0")).otherwise(F.lit("0 or main indent"))),
         fault("page_break_before", (F.col("heading_level") == 1) & ~own_break, F.lit("no page break"), F.lit("new page")),
         fault("heading_line_spacing_max_main", F.col("line_spacing") > F.col("main_spacing") + 0.05, F.col("line_spacing"), F.col("main_spacing")),
         fault("heading_spacing_order", ~(zero("space_before_pt") > zero("space_after_pt")), zero("space_before_pt"), zero("space_after_pt")),
@@ -129,7 +131,7 @@ def heading_faults(paragraphs: DataFrame, indent: float | None = None) -> DataFr
         coloured = (F.size(written) > 0) & F.forall(written, lambda r: r["font_color"].isNotNull() & (r["font_color"] != "000000"))
         emphasised = F.coalesce(F.col("bold"), F.lit(False)) | F.coalesce(F.col("font_size_pt") >= F.col("expected_size") - 0.5, F.lit(False))
         faults.append(fault("heading_color_only", coloured & ~emphasised, F.lit("colour only"), F.lit("size or bold")))
-    return heads.select("doc_id", "para_ix", F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f")).select("doc_id", "para_ix", "f.*")
+    return heads.select("doc_id", "para_ix", F.explode(F.concat(F.filter(F.array(*faults), lambda f: f.isNotNull()), policy)).alias("f")).select("doc_id", "para_ix", "f.*")
 
 
 #: Heading rules that go where the profile sizes or spaces heading roles itself.
@@ -146,8 +148,10 @@ def without_role_overrides(rules: DataFrame) -> DataFrame:
 
 
 def with_rules(faults: DataFrame, rules: DataFrame, section: Column | None = None, table: Column | None = None) -> DataFrame:
-    """Findings of faults (parameter, actual, expected, level) for the rules of the same parameter."""
-    joined = faults.join(F.broadcast(rules.where(F.coalesce("enabled", F.lit(True))).select(*RULE)), "parameter")
+    """Findings of faults (parameter, actual, expected, level) for the rules of the same parameter; faults with a profile_id are those of its rules alone."""
+    whose = F.col("profile_id").cast("string") if "profile_id" in faults.columns else F.lit(None).cast("string")
+    named = faults.withColumn("_whose", whose).drop("profile_id")
+    joined = named.join(F.broadcast(rules.where(F.coalesce("enabled", F.lit(True))).select(*RULE)), "parameter").where("_whose is null or _whose = profile_id").drop("_whose")
     return findings(joined, F.col("expected"), F.col("actual"), F.col("level"), section=section, table=table)
 
 
@@ -172,9 +176,12 @@ def text_faults(paragraphs: DataFrame) -> DataFrame:
     return out
 
 
-def spacing_limit_faults(paragraphs: DataFrame, limit: float) -> DataFrame:
-    rows = paragraphs.select("doc_id", "para_ix", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("space_before_pt").alias("v")), F.struct(F.lit("after").alias("side"), F.col("space_after_pt").alias("v")))).alias("s")).select("doc_id", "para_ix", "s.*").where(F.col("v") > limit + 0.5)
-    return rows.select("doc_id", "para_ix", F.lit("additional_spacing_limit").alias("parameter"), F.concat_ws(" ", "side", C.number_text("v")).alias("actual"), C.number_text(F.lit(limit)).alias("expected"), F.lit("error").alias("level"))
+def spacing_limit_faults(paragraphs: DataFrame, limit: float | Column) -> DataFrame:
+    """Spacing above the limit, a value or settings of profiles."""
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"space_{side}_pt").alias("v")) for side in ("before", "after")))
+    rows = paragraphs.select("doc_id", "para_ix", F.explode(sides).alias("s")).select("doc_id", "para_ix", "s.*")
+    found = S.faults(S.given(limit), lambda v: F.col("v") > v + 0.5, "additional_spacing_limit", F.concat_ws(" ", "side", C.number_text("v")), C.number_text)
+    return rows.select("doc_id", "para_ix", F.explode(found).alias("f")).select("doc_id", "para_ix", "f.*")
 
 
 def written_runs(paragraphs: DataFrame, *keep: str) -> DataFrame:
