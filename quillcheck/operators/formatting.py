@@ -39,10 +39,10 @@ def long_values(paragraphs: DataFrame, keep: tuple[str, ...] = (), only: Iterabl
     return paragraphs.select("doc_id", "para_ix", *keep, F.explode(F.filter(F.array(*asked), lambda v: v.isNotNull())).alias("v")).select("doc_id", "para_ix", *keep, "v.*")
 
 
-def routed(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with every target that they belong to."""
-    hits = []
-    for target, kind, level, extra in TARGETS:
+def routed(paragraphs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """Paragraphs with every target (all, or those of only) that they belong to."""
+    hits = [F.lit(None).cast("string")]
+    for target, kind, level, extra in (t for t in TARGETS if only is None or t[0] in only):
         ok = (F.col("paragraph_type") == kind) & C.not_blank("text")
         if level is not None:
             ok = ok & (F.col("heading_level") == level)
@@ -59,7 +59,8 @@ def routed(paragraphs: DataFrame) -> DataFrame:
 def check_parameters(paragraphs: DataFrame, rules: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Values that break a rule of their paragraph's target; cells of header rows and first columns may be bold or italic, and additional text leaves layout to others."""
     keep = ("target", "heading_level", "table_ix", "table_row_ix", "table_col_ix", "caption_kind", "paragraph_type")
-    rows = long_values(routed(paragraphs), keep)
+    asked = rules.where(F.coalesce("enabled", F.lit(True))).agg(F.collect_set("target"), F.collect_set("parameter")).first()  # names of the rules
+    rows = long_values(routed(paragraphs, asked[0]), keep, asked[1])
     wanted = rules.where(F.coalesce("enabled", F.lit(True))).select(*RULE, F.expr("try_variant_get(condition, '$.allow_regular_levels', 'array<int>')").alias("_regular"))
     joined = rows.join(F.broadcast(wanted), ["target", "parameter"])  # the rules of the given profiles
     bad = joined.where(~C.satisfies(F.col("num"), F.col("txt"), F.col("flag")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,25 +122,44 @@ def violation_order() -> list[Column]:
     return [rank, F.coalesce("paragraph_index", "section_index", F.lit(0)), F.col("location")]
 
 
-def affected(indexes: Column, locations: Column, most: int = 12, most_places: int = 8) -> Column:
-    """Paragraph numbers, else locations, in order, cut off with dots."""
-    def listed(values: Column, n: int) -> Column:
-        return F.concat(F.array_join(F.slice(values, 1, n), ", "), F.when(F.size(values) > n, "...").otherwise(""))
+#: Paragraph numbers, and locations, that a group of findings shows.
+MOST_INDEXES, MOST_PLACES = 12, 8
+
+
+def least_of(rows: DataFrame, keys: list[str], column: str, most: int, out: str) -> DataFrame:
+    """keys and out: the least different values of a column in each group, in order, one more than most where there are as many.
+
+    Values are made different first, spread over the tasks by group and value; then each task passes on so many of a group at
+    most, and they are ranked again together. No task ever holds the values of a group.
+    """
+    ranked = rows.where(F.col(column).isNotNull()).select(*keys, column).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(column)))
+    return ranked.where(F.col("_rank") <= most + 1).groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias(out))
+
 
-    return F.when(F.size(indexes) > 0, listed(indexes, most)).otherwise(listed(locations, most_places))
+def listed(values: Column, most: int) -> Column:
+    """Values in order, cut off with dots."""
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(F.size(values) > most, "...").otherwise(""))
 
 
 def grouped(violations: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each section and rule: counts, what was found and expected, where, first message."""
-    one = lambda c: F.when(F.size(F.collect_set(c)) > 1, F.lit("different")).otherwise(F.min(c))
+    """One row for each section and rule: counts, what was found and expected, where (paragraph numbers, else locations), first message."""
+    one = lambda c: F.when(F.min(c) != F.max(c), F.lit("different")).otherwise(F.min(c))
     order = F.struct(*(e.alias(f"o{i}") for i, e in enumerate(violation_order())))
-    rows = violations.groupBy(*keys, F.coalesce("source_section", F.lit("")).alias("source_section"), "rule_id").agg(
+    of = [*keys, "source_section", "rule_id"]
+    found = violations.withColumn("source_section", F.coalesce("source_section", F.lit("")))
+    rows = found.groupBy(*of).agg(
         F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"),
         one("actual").alias("actual"), one("expected").alias("expected"), F.min_by("message", order).alias("message"),
-        affected(F.array_sort(F.collect_set("paragraph_index")), F.array_sort(F.collect_set("location"))).alias("places"),
     )
+    numbers = least_of(found, of, "paragraph_index", MOST_INDEXES, "_numbers")
+    places = least_of(found.where("paragraph_index is null"), of, "location", MOST_PLACES, "_places")
+    for more in (numbers, places):
+        more = more.select(*(F.col(k).alias(f"_{k}") for k in of), more.columns[-1])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in of]
+        rows = rows.join(more, reduce(lambda a, b: a & b, same), "left").drop(*(f"_{k}" for k in of))
+    shown = F.coalesce(listed(F.col("_numbers"), MOST_INDEXES), listed(F.col("_places"), MOST_PLACES), F.lit(""))
     total = Window.partitionBy(*keys, "source_section")
-    return rows.withColumn("section_n", F.sum("n").over(total)).withColumn("section_rules", F.count("*").over(total))
+    return rows.withColumn("places", shown).drop("_numbers", "_places").withColumn("section_n", F.sum("n").over(total)).withColumn("section_rules", F.count("*").over(total))
 
 
 # Fixed values: (technical, readable), in the order in which they are replaced.

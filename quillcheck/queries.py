@@ -10,6 +10,7 @@ from quillcheck.operators import corrections, derive, documents, extraction, for
 from quillcheck.composed_text import hits_sql
 from quillcheck.registry import query
 from quillcheck.sources import blocks
+from quillcheck.sources.staging import staged
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +50,7 @@ def typography_findings(spark, sf_dir):
 @query(f"WITH {_SCOPE}, f AS (WITH {hits_sql()}), d AS (SELECT doc_id, count(*) AS n_violations, count(DISTINCT parameter) AS n_parameters, min(para_ix) AS first_ix FROM f GROUP BY doc_id) SELECT doc_id, n_violations, n_parameters, first_ix, rank() OVER (ORDER BY n_violations DESC) AS worst FROM d QUALIFY worst <= 50")
 def worst_documents(spark, sf_dir):
     """Documents by their number of findings, the worst first; a top-k report."""
-    per = typography.fragments(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_violations"), F.countDistinct("parameter").alias("n_parameters"), F.min("para_ix").alias("first_ix"))
+    per = staged(typography.fragments(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_violations"), F.countDistinct("parameter").alias("n_parameters"), F.min("para_ix").alias("first_ix")), "worst")  # read twice
     # ranks of the counts that occur, which are few; a tie of any size is never in one task
     steps = per.groupBy("n_violations").agg(F.count("*").alias("n"))
     above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("n_violations")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -279,6 +280,21 @@ def grouped_findings(spark, sf_dir):
     return violations.grouped(_findings(spark, sf_dir)).select("doc_id", "source_section", "rule_id", "n", "n_errors", "n_warnings", "actual", "places", "section_n")
 
 
+@query("""WITH f AS (SELECT CAST(l_partkey % 5 AS VARCHAR) AS rule, l_suppkey % 3 AS s, CASE WHEN l_suppkey % 3 < 2 THEN CAST(l_orderkey AS INTEGER) END AS ix, concat('order ', l_orderkey) AS place, l_returnflag AS actual FROM lineitem),
+ixs AS (SELECT rule, s, list_sort(list(DISTINCT ix)) AS v FROM f WHERE ix IS NOT NULL GROUP BY ALL), places AS (SELECT rule, s, list_sort(list(DISTINCT place)) AS v FROM f WHERE ix IS NULL GROUP BY ALL)
+SELECT concat('1.', s) AS source_section, rule AS rule_id, count(*) AS n, CASE WHEN count(DISTINCT actual) > 1 THEN 'different' ELSE min(actual) END AS actual, CASE WHEN any_value(ixs.v) IS NOT NULL THEN concat(array_to_string(any_value(ixs.v)[1:12], ', '), CASE WHEN len(any_value(ixs.v)) > 12 THEN '...' ELSE '' END) ELSE concat(array_to_string(any_value(places.v)[1:8], ', '), CASE WHEN len(any_value(places.v)) > 8 THEN '...' ELSE '' END) END AS places,
+  CAST(sum(count(*)) OVER (PARTITION BY s) AS BIGINT) AS section_n FROM f LEFT JOIN ixs USING (rule, s) LEFT JOIN places USING (rule, s) GROUP BY rule, s""")
+def grouped_overall(spark, sf_dir):
+    """All order lines as findings of one collection, in fifteen groups: the first places of groups that are as large as the table allows."""
+    li = _table(spark, sf_dir, "lineitem")
+    section, none = F.col("l_suppkey") % 3, F.lit(None)
+    found = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit("p").alias("profile_id"), (F.col("l_partkey") % 5).cast("string").alias("rule_id"), F.concat(F.lit("1."), section).alias("source_section"), F.concat(F.lit("order "), F.col("l_orderkey")).alias("location"), F.when(section < 2, F.col("l_orderkey").cast("int")).alias("paragraph_index"),
+        none.cast("int").alias("section_index"), F.lit("x").alias("expected"), F.col("l_returnflag").alias("actual"), F.col("l_returnflag").alias("message"), F.lit("error").alias("severity"),
+    )
+    return violations.grouped(found, keys=()).select("source_section", "rule_id", "n", "actual", "places", "section_n")
+
+
 @query(f"""WITH {_FINDINGS} SELECT doc_id, count(*) AS n_violations, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, true AS has_violations FROM f GROUP BY doc_id""")
 def severity_counts(spark, sf_dir):
     return violations.counts(_findings(spark, sf_dir), "doc_id")

@@ -98,16 +98,40 @@ def rule_faults(rules: DataFrame) -> DataFrame:
 SUMMARY = ("doc_id", "rule_id", "parameter", "location", "paragraph_index", "expected", "actual", "message", "severity", "violation_type")
 
 
-def write_summary(violations: DataFrame, path: str) -> None:
-    violations.select(*SUMMARY).write.mode("errorifexists").json(path)
+def write_summary(violations: DataFrame, path: str, run: str | None = None) -> None:
+    """Findings as JSON, one a line: a new path, or the folder of a run, which a repeated run replaces."""
+    rows = violations.select(*SUMMARY)
+    if run is None:
+        rows.write.mode("errorifexists").json(path)
+    else:
+        rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
+
+
+MANIFEST = "_manifest"
 
 
 def save_candidates(candidates: DataFrame, path: str) -> None:
-    """candidates with a column extraction_id, one folder for each."""
-    candidates.write.mode("append").partitionBy("extraction_id").parquet(path)
+    """candidates with a column extraction_id, one folder for each; an extraction that is saved again replaces its rows.
+
+    Its line in the manifest, with the number of its rows, is written last: what has no line was never finished.
+    """
+    replace = {"partitionOverwriteMode": "dynamic"}
+    candidates.write.mode("overwrite").options(**replace).partitionBy("extraction_id").parquet(path)
+    ids = candidates.select(F.col("extraction_id").alias("_id")).distinct()
+    stored = candidates.sparkSession.read.schema(candidates.schema).parquet(path).join(F.broadcast(ids), F.col("extraction_id") == F.col("_id"), "left_semi")  # the extractions of one save
+    lines = stored.groupBy("extraction_id").agg(F.count("*").alias("n_rows"), F.current_timestamp().alias("saved_at"))
+    lines.write.mode("overwrite").options(**replace).partitionBy("extraction_id").parquet(f"{path}/{MANIFEST}")
+
+
+def saved_extractions(spark: SparkSession, path: str) -> DataFrame:
+    """extraction_id, n_rows and saved_at of all that is complete."""
+    return spark.read.schema("n_rows long, saved_at timestamp, extraction_id string").parquet(f"{path}/{MANIFEST}")
 
 
 def load_candidates(spark: SparkSession, path: str, extraction_id: str) -> DataFrame:
+    """The candidates of one extraction; only its folder is read."""
+    if saved_extractions(spark, path).where(F.col("extraction_id") == extraction_id).isEmpty():
+        raise ValueError(f"extraction {extraction_id} was not saved whole")
     return spark.read.parquet(path).where(F.col("extraction_id") == extraction_id)
 
 
@@ -121,8 +145,8 @@ def profile_documents(rules: DataFrame) -> DataFrame:
 
 
 def write_profiles(rules: DataFrame, path: str) -> None:
-    """Profiles as JSON, one a line."""
-    profile_documents(rules).select("profile_json").write.mode("errorifexists").text(path)
+    """Profiles as JSON, one a line, each in a folder of its own, which the same profile replaces when it is written again."""
+    profile_documents(rules).select("profile_json", "profile_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_id").text(path)
 
 
 def grouped_json(violations: DataFrame) -> DataFrame:
