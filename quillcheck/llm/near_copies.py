@@ -7,9 +7,10 @@ Candidates are verified on the whole sets, whose shingles are told apart by 32 b
 ten thousand pairs has a shingle too many in common).
 
 Equal sets are made one first, so copies cost nothing. What counts is which texts hang together, so each member of a bucket is
-verified against the bucket's least first. Then only pairs of a bucket that are not yet connected remain. In small buckets these are
+verified against three leaders of the bucket first. Then only pairs of a bucket that are not yet connected remain. In small buckets these are
 verified pair by pair; in larger ones those alone that share one of their rarest shingles (two sets of the similarity
-always share one of the rarest fifth and one more), so that sets that only share what is common to all never meet. No link between components is lost.
+always share one of the rarest fifth and one more), at places from which on they can still have enough in common. So sets
+that only share what is common to all never meet, and no link between components is lost.
 
 Defined results: null and wordless texts have the empty set and are copies of each other; texts of fewer than SHINGLE words
 are one shingle; very long texts are sets like others; rows without doc_id, and repeated rows of a doc_id that stays, stay; of texts that tie the least
@@ -124,19 +125,27 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, by: str, similarity: float) -> DataFrame:
-    """Pairs of members (node, n, root) with one value of by and different roots: all outside the most frequent root with all of others."""
+    """Pairs of members (node, n, root and, if ranked, at) with one value of by and different roots: all outside the most frequent root with all of others.
+
+    at: the place of the shared value in the order of its set. What two sets can have in common from there on must be enough for the
+    similarity, or the value is not the first that they share.
+    """
     main = members.groupBy(by, "root").count().groupBy(by).agg(F.max_by("root", "count").alias("_main"), F.count("*").alias("_roots")).where("_roots > 1")
-    outside = members.join(main, by).where("root <> _main").select(by, F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    return _ordered(outside.join(members, by).where((F.col("_root") != F.col("root")) & _in_reach(similarity)), "node", "_node")
+    outside = members.join(main, by).where("root <> _main").select(by, F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n").alias("_n"), *([F.col("at").alias("_at")] if "at" in members.columns else []))
+    able = (F.col("_root") != F.col("root")) & _in_reach(similarity)
+    if "at" in members.columns:
+        able &= 1 + F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("_n")) - 1e-9
+    return _ordered(outside.join(members, by).where(able), "node", "_node")
 
 
 def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, node, n, root): of each set the rarest shingles among these sets, as many as sets of the similarity cannot miss."""
+    """(shingle, node, n, root, at): of each set the rarest shingles among these sets, as many as sets of the similarity cannot miss, with their places from 1."""
     each = members.select("node", "root").distinct().join(sets, "node").select("node", "root", "n", F.explode("shingles").alias("shingle"))
     counted = each.join(each.groupBy("shingle").agg(F.count("*").alias("_often")), "shingle")
     sorted_sets = counted.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("_often", "shingle"))).alias("_all"))  # one text's shingles
     few = (F.col("n") - F.ceil(F.col("n") * similarity) + 1).cast("int")
-    return sorted_sets.select(F.explode(F.slice("_all", F.lit(1), few)).alias("_x"), "node", "n", "root").select("_x.shingle", "node", "n", "root")
+    placed = sorted_sets.select(F.posexplode(F.slice("_all", F.lit(1), few)).alias("at", "_x"), "node", "n", "root")
+    return placed.where("_x._often > 1").select("_x.shingle", "node", "n", "root", (F.col("at") + 1).alias("at"))  # what one set alone has meets nothing
 
 
 def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -144,12 +153,13 @@ def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = lambda c: F.first(c).alias(c)
     nodes = written(sketched.select("node", "n", "fp", "keys").groupBy("node").agg(first("n"), first("fp"), first("keys")), "near-nodes")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1")
+    leaders = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node"))))
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("c"), leaders.alias("leaders")).where("c > 1")
     shared = written(keyed.join(crowds, "key"), "near-shared")
     close = written(_by_fingerprint(nodes).distinct(), "near-close")
     asked = written(shared.select("node").union(close.select("a")).union(close.select("b")).distinct(), "near-asked")  # a table, so that its true size decides how it is joined
     sets = written(sketched.select("node", "n", "shingles").join(asked, "node", "left_semi").dropDuplicates(["node"]), "near-sets", compression="zstd")
-    found = _verified(close.union(_ordered(shared, "node", "leader")), sets, similarity)
+    found = _verified(close.union(_ordered(shared.select("node", F.explode("leaders").alias("_leader")), "node", "_leader")), sets, similarity)
     labels = components(found).withColumnRenamed("node", "_node")
     members = written(shared.join(labels, F.col("node") == F.col("_node"), "left").select("key", "node", "n", "c", F.coalesce("root", "node").alias("root")), "near-members")
     mixed = members.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("key")
