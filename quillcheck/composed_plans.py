@@ -108,6 +108,24 @@ def list_plan(spark, sf_dir):
     return corrections.list_plan(K.lists(spark, sf_dir)).where("parameter = 'list_text'").select("doc_id", "para_ix", "old_value", "new_value")
 
 
+_SIGNED = "g AS (SELECT *, coalesce(paragraph_type = 'list_item' OR is_automatic_list OR list_marker_type IS NOT NULL, false) AS item FROM p), isl AS (SELECT *, sum(CASE WHEN item THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY para_ix) AS list_ix FROM g), i AS (SELECT *, {'f': CAST(first_line_indent_cm AS DOUBLE), 'l': CAST(left_indent_cm AS DOUBLE)} AS own FROM isl WHERE item)"
+_TEXT = "CASE {v} WHEN 1.25 THEN '1.25' WHEN 0.5 THEN '0.5' WHEN 0.75 THEN '0.75' ELSE '0' END"
+
+
+@query(
+    K._l(
+        f"{_SIGNED}, {K._main('own', 'most', 'true', 'para_ix', 'i', 'doc_id, list_ix')}, j AS (SELECT * FROM i JOIN most USING (doc_id, list_ix)), "
+        "c AS (SELECT doc_id, para_ix, 'exact' AS profile_id, 'first_line_indent' AS parameter, own.f AS o, 0.75 AS n FROM j UNION ALL SELECT doc_id, para_ix, 'exact', 'left_indent', own.l, most.l FROM j UNION ALL SELECT doc_id, para_ix, 'same', 'first_line_indent', own.f, most.f FROM j UNION ALL SELECT doc_id, para_ix, 'same', 'left_indent', own.l, most.l FROM j) "
+        f"SELECT doc_id, para_ix, profile_id, parameter, {_TEXT.format(v='o')} AS old_value, {_TEXT.format(v='n')} AS new_value FROM c WHERE o <> n"
+    )
+)
+def list_indent_plan(spark, sf_dir):
+    """Indents of list items for two profiles: one with an exact first-line indent for lists like main text, one that wants each list alike."""
+    first = K.profile(spark, ("first_line_indent", 0.75, "main_text"), ("list_indent_equals_main_text",)).withColumns({"profile_id": F.lit("exact"), "rule_id": F.when(F.col("parameter") == "list_indent_equals_main_text", F.col("parameter")).otherwise(F.col("rule_id"))})
+    second = K.profile(spark, ("list_marker_consistency",)).withColumn("profile_id", F.lit("same"))
+    return corrections.list_indent_plan(K.lists(spark, sf_dir), first.unionByName(second))
+
+
 @query(
     K._p(
         f"{K._main('font_size_pt', 'main0')}, main AS (SELECT doc_id, least(greatest(main0, 12), 14) AS main FROM main0), {K._SIZES}, h AS (SELECT * FROM p LEFT JOIN sizes USING (doc_id, heading_level) WHERE paragraph_type = 'heading') "

@@ -138,6 +138,34 @@ def list_plan(paragraphs: DataFrame, dash: bool = True, consistent: bool = True)
     return plan(rows.where(body != ""), F.col("text"), F.concat_ws(" ", marker, ended), "para_ix")
 
 
+INDENTS = ("first_line_indent", "left_indent", "right_indent")
+
+
+def list_indent_plan(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, para_ix, profile_id, parameter, old_value, new_value): indents of list items.
+
+    Anything with text counts as an item that is one by type, by marker or by automatic numbering, but for title pages and cells.
+    Where a profile has the rule that lists stand like main text, items get its exact indents, else those that most items of
+    their list have (and 1.25 for a first line without any); where it only asks for equal markers, those of most items.
+    """
+    exact = [F.min_by("value_num", F.when((F.col("target") == "main_text") & (F.col("operator") == "equals") & (F.col("parameter") == p) & F.col("value_num").isNotNull(), F.col("ordinal"))).alias(p) for p in INDENTS]
+    main, same = F.bool_or(F.col("rule_id") == "list_indent_equals_main_text"), F.bool_or(F.col("parameter") == "list_marker_consistency")
+    asked = rules.groupBy("profile_id").agg(main.alias("main"), same.alias("same"), *exact).where("main or same").orderBy("profile_id").collect()  # one row a profile
+    profile = lambda r: F.struct(F.lit(r["profile_id"]).alias("profile_id"), F.lit(bool(r["main"])).alias("main"), *(F.lit(r[p]).cast("double").alias(p) for p in INDENTS))
+    profiles = F.array(*map(profile, asked)).cast(f"array<struct<profile_id:string,main:boolean,{','.join(f'{p}:double' for p in INDENTS)}>>")
+    kind = F.coalesce("paragraph_type", F.lit(""))
+    item = C.not_blank("text") & ~kind.isin("title_page", "table_cell") & ((kind == "list_item") | F.coalesce("is_automatic_list", F.lit(False)) | F.col("list_marker_type").isNotNull())
+    own = lambda p: F.bround(F.coalesce(F.col(f"{p}_cm").cast("double"), F.lit(0.0)), 2)
+    groups = list_groups(paragraphs, item).withColumn("_own", F.struct(*(own(p).alias(p) for p in INDENTS)))
+    most = C.dominant(groups, ["doc_id", "list_ix"], "_own", "para_ix", "most").select("doc_id", "list_ix", "most")
+    rows = groups.join(most, ["doc_id", "list_ix"]).withColumn("_p", F.explode(profiles)).withColumn("profile_id", F.col("_p.profile_id"))
+    usual = lambda p: F.when(F.col("_p.main") & (F.col(f"most.{p}") == 0), 1.25).otherwise(F.col(f"most.{p}")) if p == "first_line_indent" else F.col(f"most.{p}")
+    wanted = lambda p: F.coalesce(F.when(F.col("_p.main"), F.col(f"_p.{p}")), usual(p))
+    changes = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(f"_own.{p}").alias("old"), wanted(p).alias("new")) for p in INDENTS))
+    each = rows.select("doc_id", "para_ix", "profile_id", F.explode(changes).alias("c")).select("*", "c.parameter")
+    return plan(each, C.number_text(F.col("c.old")), C.number_text(F.col("c.new")), "para_ix", "profile_id")
+
+
 def caption_plan(paragraphs: DataFrame, prefixes: dict[str, str], separator: str = " — ", terminal_dot: bool = False) -> DataFrame:
     """Captions as prefix, number, separator, title. Table captions stay with what follows, and so does the picture of a figure caption, within five rows above."""
     rows = paragraphs.where("paragraph_type = 'caption'").withColumn("parameter", F.lit("caption_text"))
@@ -233,7 +261,7 @@ def dominant_allowed(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
     counts = D.value_counts(paragraphs)
     pairs = rules.select("profile_id", F.explode(F.array(*map(F.lit, D.CONSISTENT))).alias("parameter")).distinct()
     judged = D.allowed_values(counts.join(F.broadcast(pairs), "parameter"), rules)
-    best = F.struct((-F.col("n")).alias("n"), "first_ix")
+    best = F.struct((-F.col("n")).alias("n"), "first_ix", "value")
     rows = judged.groupBy("doc_id", "profile_id", "parameter").agg(F.min_by("value", F.when(F.col("allowed"), best)).alias("a"), F.min_by("value", best).alias("top"), F.max("n").alias("m"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     tie = (F.size("ns") > 1) & (F.get("ns", F.lit(1)) == F.col("m"))
     return rows.select("doc_id", "profile_id", "parameter", F.coalesce("a", F.when(~tie, F.col("top"))).alias("value"))

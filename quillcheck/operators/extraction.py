@@ -408,6 +408,28 @@ def with_modality(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(unknown & found.isNull(), "needs_review").otherwise(F.col("status"))).withColumn("modality", F.when(unknown, F.coalesce(found, F.lit("unknown"))).otherwise(F.col("modality")))
 
 
+def without_subsets(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
+    """rows without those whose value_list lies inside a longer one of the same slot.
+
+    By an inverted index of the slots' different lists: a list that holds another holds its rarest value too, so each list is looked up
+    under its rarest value only, and the lists found there are compared whole. Empty lists lie inside any other.
+    """
+    key = F.struct(*slot)
+    lists = rows.where("value_list is not null").select(key.alias("_slot"), F.array_sort(F.array_distinct("value_list")).alias("_list"), F.size("value_list").alias("_size")).distinct()
+    index = lists.select("_slot", "_list", "_size", F.explode("_list").alias("_value"))
+    often = index.groupBy("_slot", "_value").agg(F.count("*").alias("_often"))
+    keyed = lambda df: df.join(often.select(F.col("_slot").alias("_s"), F.col("_value").alias("_v"), "_often"), F.col("_slot").eqNullSafe(F.col("_s")) & (F.col("_value") == F.col("_v"))).drop("_s", "_v")
+    rarest = keyed(index).groupBy("_slot", "_list", "_size").agg(F.min_by("_value", F.struct("_often", "_value")).alias("_value"))
+    holders = index.select(F.col("_slot").alias("_s"), F.col("_value").alias("_v"), F.col("_list").alias("_longer"), F.col("_size").alias("_long"))
+    inside = (F.col("_size") < F.col("_long")) & (F.size(F.array_except("_list", "_longer")) == 0)
+    held = rarest.join(holders, F.col("_slot").eqNullSafe(F.col("_s")) & (F.col("_value") == F.col("_v"))).where(inside).select("_slot", "_list", "_size")
+    others = lists.groupBy("_slot").agg(F.max("_size").alias("_most")).where("_most > 0").select(F.col("_slot").alias("_s"))
+    empty = lists.where(F.size("_list") == 0).join(others, F.col("_slot").eqNullSafe(F.col("_s")), "left_semi").select("_slot", "_list", "_size")
+    gone = held.unionByName(empty).distinct().select(F.col("_slot").alias("_s"), F.col("_list").alias("_l"), F.col("_size").alias("_n"))
+    same = key.eqNullSafe(F.col("_s")) & F.array_sort(F.array_distinct("value_list")).eqNullSafe(F.col("_l")) & (F.size("value_list") == F.col("_n"))
+    return rows.join(gone, same, "left_anti")
+
+
 def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
     """Confidence by sanity of values, target and modality; duplicates and subsets removed; conflicts marked."""
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -422,10 +444,7 @@ def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
     slot = ("source_document", "target", "parameter", "operator", "modality")
     best = F.row_number().over(Window.partitionBy(*slot, "value_text").orderBy(F.desc(F.coalesce(F.size("value_list"), F.lit(0))), F.desc("confidence"), "section_ix", "fragment_ix", "statement_ix", "place"))
     rows = rows.withColumn("_b", best).where("_b = 1").drop("_b")
-    lists = rows.where("value_list is not null").select(*slot, F.col("value_list").alias("_longer"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in slot]
-    inside = (F.size(F.array_except("r.value_list", "l._longer")) == 0) & (F.size("r.value_list") < F.size("l._longer"))
-    rows = rows.alias("r").join(lists.alias("l"), [*same, F.col("r.value_list").isNotNull() & inside], "left_anti")
+    rows = without_subsets(rows, slot)
     many = F.size(F.collect_set(F.when((F.col("operator") == "equals") & (F.col("status") != "unsupported"), F.col("value_text"))).over(Window.partitionBy("source_document", "target", "parameter"))) > 1
     return rows.withColumn("_many", many).withColumn("status", F.when(F.col("_many") & (F.col("operator") == "equals") & (F.col("status") != "unsupported") & F.col("target").isNotNull(), "conflict").otherwise(F.col("status"))).drop("_many")
 

@@ -218,9 +218,12 @@ def footnote_findings(paragraphs: DataFrame, doc_meta: DataFrame) -> DataFrame:
     return without.unionByName(numbering).unionByName(mixed).unionByName(small)
 
 
-def list_groups(paragraphs: DataFrame) -> DataFrame:
-    """List items with list_ix, the number of their unbroken list in the document, place and size in it, and before, the text above it."""
-    item = (F.col("paragraph_type") == "list_item") & C.not_blank("text")
+def list_groups(paragraphs: DataFrame, item: Column | None = None) -> DataFrame:
+    """List items with list_ix, the number of their unbroken list in the document, place and size in it, and before, the text above it.
+
+    item: what counts as one, if not rows of that type with text.
+    """
+    item = (F.col("paragraph_type") == "list_item") & C.not_blank("text") if item is None else item
     by_doc = Window.partitionBy("doc_id").orderBy("para_ix")
     content = C.not_blank("text") & ~F.coalesce("paragraph_type", F.lit("")).isin("empty", "title_page", "table_cell")
     marked = paragraphs.withColumn("_item", F.coalesce(item, F.lit(False))).withColumn("list_ix", F.sum(F.when(F.col("_item"), 0).otherwise(1)).over(by_doc))
