@@ -371,7 +371,7 @@ def structural_candidates(statement_rows: DataFrame, longest: int = 1200) -> Dat
     rows = statement_rows.where("fragment_type = 'requirement'")
     parts = rows.groupBy("source_document", "number").agg(F.min("section_ix").alias("section_ix"), F.sort_array(F.collect_list(F.struct("section_ix", "fragment_ix", "statement_ix", "text", "modality"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["text"]), " ")
-    parts = parts.select("source_document", "number", "section_ix", text.alias("full"), C.normalised(text).alias("text"), F.get(F.filter(F.transform("s", lambda x: x["modality"]), lambda m: m.isNotNull()), F.lit(0)).alias("modality"))
+    parts = parts.select("source_document", "number", "section_ix", text.alias("full"), C.normalised(text).alias("text"), F.transform("s", lambda x: C.normalised(x["text"])).alias("each"), F.get(F.filter(F.transform("s", lambda x: x["modality"]), lambda m: m.isNotNull()), F.lit(0)).alias("modality"))
     t = F.col("text")
     made = lambda cond, parameter, target, value, modality, confidence: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(parameter).alias("parameter"), F.lit(target).alias("target"), (value if isinstance(value, Column) else F.lit(value)).cast("string").alias("value_str"), F.lit(modality).cast("string").alias("own"), F.lit(confidence).alias("confidence")))
     out = []
@@ -381,7 +381,8 @@ def structural_candidates(statement_rows: DataFrame, longest: int = 1200) -> Dat
             cond = cond & _any(t, g)
         out.append(made(cond & ~_any(t, banned) if banned else cond, parameter, target, value, modality, confidence))
     intro = t.contains("имеет следующую структуру") | t.contains("следующие структурные части") | t.rlike(r"состав\w*.{0,80}(?:работ|диссертац|вкр|курсов)") | t.rlike(r"(?:работа|диссертац\w*|вкр).{0,40}состоит")
-    elements = F.array_join(F.filter(F.array(*(F.when(t.contains(e), F.lit(e)) for e in STRUCTURE_ELEMENTS)), lambda e: e.isNotNull()), "; ")
+    named = F.array(*map(F.lit, STRUCTURE_ELEMENTS))  # in the order in which the statements name them
+    elements = F.array_join(F.array_distinct(F.flatten(F.transform("each", lambda x: F.filter(named, lambda e: F.contains(x, e))))), "; ")
     out.append(made(intro & _any(t, ("структур", "состав")) & _any(t, ("включ", "состоит")) & ~t.contains("библиографическое описание") & (elements != ""), "required_document_structure", "document", elements, None, 0.7))
     items = F.array_join(F.filter(F.array(F.when(t.contains("актуальност"), "обоснование актуальности"), F.when(t.contains("цел") & t.contains("задач"), "цели и задачи"), F.when(t.contains("объект") & t.contains("предмет"), "объект и предмет")), lambda e: e.isNotNull()), "; ")
     out.append(made(t.contains("введени") & (items != ""), "introduction_required_content", "document", items, None, 0.68))

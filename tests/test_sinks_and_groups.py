@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillcheck.operators import derive, documents, settings, violations
+from quillcheck.operators import derive, documents, extraction, settings, violations
 from quillcheck.sources import blocks
 
 
@@ -71,3 +71,11 @@ def test_long_chains_circles_and_missing_styles(spark):
     other = [(2, "a", "b", None), (2, "b", "c", None), (2, "c", "a", None), (2, "d", "a", None), (2, "e", "none", None), (2, "f", "e", "left"), (2, "g", "f", None), (2, None, "f", "right")]
     got = derive.style_alignments(spark.createDataFrame(chain + other, "doc_id int, style_id string, based_on string, alignment string")).collect()
     assert {(r.doc_id, r.style_id): r.alignment for r in got} == {**{(1, f"s{i}"): "center" for i in range(130)}, (2, "f"): "left", (2, "g"): "left"}
+
+
+def test_parts_of_a_work_in_the_order_of_the_statements(spark):
+    texts = ["Работа имеет следующую структуру и включает:", "введение и реферат", "содержание", "реферат"]
+    rows = [("d", 0, "4.1", i, 0, t, "requirement", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "source_document string, section_ix int, number string, fragment_ix int, statement_ix int, text string, fragment_type string, modality string")
+    found = extraction.structural_candidates(df).where("parameter = 'required_document_structure'").collect()
+    assert [r.value_text for r in found] == ["реферат; введение; содержание"]
