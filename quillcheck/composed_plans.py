@@ -163,8 +163,8 @@ RAW = f"WITH base AS ({K.BASE}) SELECT doc_id, para_ix, CASE b % 4 WHEN 0 THEN '
 
 
 @query(
-    f"""WITH st AS ({STYLES.replace("{lineitem}", "lineitem")}), raw AS ({K._duck(RAW)}), p AS (SELECT r.*, s.*, n.* FROM raw r LEFT JOIN (SELECT doc_id AS sd, style_id AS sid, alignment AS s_alignment, font_family AS s_family, font_size_pt AS s_size, bold AS s_bold, italic AS s_italic, first_line_indent_cm AS s_indent, line_spacing AS s_spacing, space_before_pt AS s_before, keep_with_next AS s_keep, based_on FROM st) s ON r.doc_id = sd AND r.style_id = sid LEFT JOIN (SELECT doc_id AS nd, alignment AS n_alignment, italic AS n_italic FROM st WHERE style_id = 'Normal') n ON r.doc_id = nd),
-third AS (SELECT doc_id AS td, alignment AS t_alignment, based_on AS t_based FROM st WHERE style_id = 'S3')
+    f"""WITH st AS MATERIALIZED ({STYLES.replace("{lineitem}", "lineitem")}), raw AS MATERIALIZED ({K._duck(RAW)}), p AS (SELECT r.*, s.*, n.* FROM raw r LEFT JOIN (SELECT doc_id AS sd, style_id AS sid, alignment AS s_alignment, font_family AS s_family, font_size_pt AS s_size, bold AS s_bold, italic AS s_italic, first_line_indent_cm AS s_indent, line_spacing AS s_spacing, space_before_pt AS s_before, keep_with_next AS s_keep, based_on FROM st) s ON r.doc_id = sd AND r.style_id = sid LEFT JOIN (SELECT doc_id AS nd, alignment AS n_alignment, italic AS n_italic FROM st WHERE style_id = 'Normal') n ON r.doc_id = nd),
+third AS MATERIALIZED (SELECT doc_id AS td, alignment AS t_alignment, based_on AS t_based FROM st WHERE style_id = 'S3')
 SELECT doc_id, para_ix, CASE WHEN alignment = 'end' THEN 'right' ELSE coalesce(CASE WHEN style_id <> 'Normal' THEN t_alignment END, CASE n_alignment WHEN 'both' THEN 'justify' END, 'left') END AS alignment, coalesce(CASE WHEN style_id = 'S2' THEN 'Arial' END, 'Times') AS font_family, CAST(coalesce(run_size, s_size, 14.0) AS DOUBLE) AS font_size_pt, coalesce(run_bold, s_bold, false) AS bold, coalesce(n_italic, false) AS italic, CAST(coalesce(first_line_indent_cm, s_indent, 0.0) AS DOUBLE) AS first_line_indent_cm,
   CAST(coalesce(CASE WHEN line_rule = 'auto' THEN line_spacing END, s_spacing, 1.5) AS DOUBLE) AS line_spacing, CAST(coalesce(space_before_pt, s_before) AS DOUBLE) AS space_before_pt, s_keep AS keep_with_next FROM p JOIN third ON doc_id = td"""
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
 from quillcheck.functions import fixed
+from quillcheck.functions.running import running
 from quillcheck.sources.staging import staged
 
 ALIGNMENTS = {"LEFT": "left", "CENTER": "center", "RIGHT": "right", "JUSTIFY": "justify", "both": "justify", "start": "left", "end": "right"}
@@ -130,10 +131,10 @@ def with_title_page(paragraphs: DataFrame, most: int = 40, least: int = 3) -> Da
 
 def with_logical_sections(paragraphs: DataFrame) -> DataFrame:
     """The section of the last level-1 heading, other before the first; cells and footnotes have none, the title page its own."""
-    order = Window.partitionBy("doc_id").orderBy("para_ix").rowsBetween(Window.unboundedPreceding, 0)
     heading = (F.col("paragraph_type") == "heading") & (F.col("heading_level") == 1)
-    filled = F.coalesce(F.last(F.when(heading, C.logical_section("text")), ignorenulls=True).over(order), F.lit("other"))
-    return paragraphs.withColumn("logical_section", F.when(F.col("paragraph_type") == "title_page", "title_page").when(~F.col("paragraph_type").isin("footnote", "table_cell"), filled))
+    filled = running(paragraphs, ["doc_id"], "para_ix", lasts={"_section": F.when(heading, C.logical_section("text"))})
+    kind = F.when(F.col("paragraph_type") == "title_page", "title_page").when(~F.col("paragraph_type").isin("footnote", "table_cell"), F.coalesce("_section", F.lit("other")))
+    return filled.withColumn("logical_section", kind).drop("_section")
 
 
 def with_footnotes(body: DataFrame, footnotes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
 from quillcheck.functions import fixed
+from quillcheck.functions.running import running
 from quillcheck.operators import prefilter
 from quillcheck.operators.violations import findings
 
@@ -224,10 +225,9 @@ def list_groups(paragraphs: DataFrame, item: Column | None = None) -> DataFrame:
     item: what counts as one, if not rows of that type with text.
     """
     item = (F.col("paragraph_type") == "list_item") & C.not_blank("text") if item is None else item
-    by_doc = Window.partitionBy("doc_id").orderBy("para_ix")
     content = C.not_blank("text") & ~F.coalesce("paragraph_type", F.lit("")).isin("empty", "title_page", "table_cell")
-    marked = paragraphs.withColumn("_item", F.coalesce(item, F.lit(False))).withColumn("list_ix", F.sum(F.when(F.col("_item"), 0).otherwise(1)).over(by_doc))
-    marked = marked.withColumn("_before", F.last(F.when(content, F.col("text")), ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = paragraphs.withColumn("_item", F.coalesce(item, F.lit(False)))
+    marked = running(marked, ["doc_id"], "para_ix", before=True, sums={"list_ix": F.when(F.col("_item"), 0).otherwise(1)}, lasts={"_before": F.when(content, F.col("text"))})  # an item's list is numbered by the other rows before it
     in_list = Window.partitionBy("doc_id", "list_ix").orderBy("para_ix")
     rows = marked.where("_item").withColumn("place", F.row_number().over(in_list)).withColumn("list_size", F.count("*").over(Window.partitionBy("doc_id", "list_ix")))
     return rows.withColumn("before", F.first("_before").over(in_list)).drop("_item", "_before")
