@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillcheck import composed, composed_plans, composed_rules, composed_text, queries, registry  # noqa: F401
+from quillcheck import composed, composed_plans, composed_profiles, composed_reports, composed_rules, composed_tables, composed_text, queries, registry  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
