@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
+from quillcheck.sources.staging import staged
 
 # Markers, patterns, keyword tables.
 PAGE_NUMBER, TOC_LINE = r"(?U)^\s*\d+\s*$", r"(?U)(?:\.|…|·|⋯){3,}\s*\d+\s*$"
@@ -157,9 +158,8 @@ def sections(blocks: DataFrame, patterns: tuple[str, ...] = SECTION_NUMBERS) ->
     return grouped.select("source_document", F.col("section_ix").cast("int").alias("section_ix"), "number", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
 
 
-def context_of(text: Column) -> Column:
-    """The kind of text that a statement speaks of, or null."""
-    t = F.lower(text)
+def context_of(t: Column) -> Column:
+    """The kind of text that a lower-cased statement speaks of, or null."""
     has = lambda *w: _any(t, w)
     head = has("заголов")
     return (
@@ -177,8 +177,7 @@ def context_of(text: Column) -> Column:
     )
 
 
-def modality_of(text: Column) -> Column:
-    t = F.lower(text)
+def modality_of(t: Column) -> Column:
     return F.when(_any(t, MANDATORY), "mandatory").when(_any(t, RECOMMENDED), "recommended").when(_any(t, ALLOWED), "allowed")
 
 
@@ -193,8 +192,8 @@ def fragments(section_rows: DataFrame) -> DataFrame:
     lines = lines.withColumn("marked", F.col("raw").rlike(LIST_MARKER)).withColumn("text", C.stripped(F.regexp_replace("raw", LIST_MARKER, ""))).where("text <> ''")
     past = Window.partitionBy("source_document", "section_ix").orderBy("line")
     opens = F.col("text").endswith(":")
-    own = context_of(F.col("text"))
-    lines = lines.withColumn("_own", own).withColumn("modality", F.last(modality_of(F.col("text")), ignorenulls=True).over(past))
+    lines = lines.withColumn("_lower", F.lower("text"))  # a column of its own, so that the words below are looked for in one copy
+    lines = lines.withColumn("_own", context_of(F.col("_lower"))).withColumn("modality", F.last(modality_of(F.col("_lower")), ignorenulls=True).over(past))
     lines = lines.withColumn("_context", F.last(F.when(opens, F.col("_own")), ignorenulls=True).over(past)).withColumn("_prefix", F.last(F.when(opens, F.col("text")), ignorenulls=True).over(past)).where(~opens)
     pieces = lines.select("*", F.posexplode(F.split("text", r"(?U);(?=\s*[а-яА-ЯA-Z]|$)", -1)).alias("piece", "part")).withColumn("part", F.regexp_replace("part", r"^[ .]+|[ .]+$", "")).where((F.col("part") != "") & ~F.lower("part").rlike("^(не)?правильно"))
     text = F.when(F.col("marked") & F.col("_prefix").isNotNull(), F.concat_ws(": ", "_prefix", "part")).otherwise(F.col("part"))
@@ -202,8 +201,7 @@ def fragments(section_rows: DataFrame) -> DataFrame:
     return pieces.select("source_document", "section_ix", "number", (F.col("line") * 1000 + F.col("piece")).alias("fragment_ix"), F.lit("requirement").alias("fragment_type"), text.alias("text"), context.alias("context"), "modality").unionByName(notes)
 
 
-def statement_type(text: Column, fragment_type: Column) -> Column:
-    t = F.lower(text)
+def statement_type(t: Column, fragment_type: Column) -> Column:
     return (
         F.when(fragment_type.isin("note", "example"), fragment_type)
         .when(_any(t, PROHIBITION), "prohibition")
@@ -227,17 +225,25 @@ def statements(fragment_rows: DataFrame) -> DataFrame:
     flat = F.flatten(F.transform(flat, lambda x: F.split(x, r"(?U)(?<=[.!?])\s+(?=[А-ЯЁA-Z])")))
     flat = F.filter(F.transform(F.flatten(F.transform(flat, lambda x: F.split(x, r"(?U);\s+"))), trimmed), lambda x: x != "")
     rows = fragment_rows.select("source_document", "section_ix", "number", "fragment_ix", "fragment_type", "context", F.col("modality").alias("inherited"), F.posexplode(flat).alias("statement_ix", "text"))
-    rows = rows.withColumn("statement_type", statement_type(F.col("text"), F.col("fragment_type")))
+    rows = rows.withColumn("_lower", F.lower("text")).withColumn("statement_type", statement_type(F.col("_lower"), F.col("fragment_type"))).drop("_lower")
     by_type = F.when(F.col("statement_type").isin("requirement", "prohibition"), "mandatory").when(F.col("statement_type") == "recommendation", "recommended").when(F.col("statement_type") == "permission", "allowed").otherwise(F.col("inherited"))
     return rows.withColumn("modality", by_type).drop("inherited")
 
 
+def _read(rows: DataFrame) -> DataFrame:
+    """Statements with their text lower-cased and normalised, and what they speak of: columns, so that each is made once a row."""
+    return rows.withColumn("_lower", F.lower("text")).withColumn("_plain", C.normalised("text")).withColumn("_about", _about())
+
+
 def target_of(parameter: Column) -> Column:
-    t = C.normalised("text")
+    return F.when(parameter.isin(*PAGE_PARAMETERS), "page").otherwise(F.col("_about"))
+
+
+def _about() -> Column:
+    t = F.col("_plain")
     has = lambda *w: _any(t, w)
     return (
-        F.when(parameter.isin(*PAGE_PARAMETERS), "page")
-        .when(F.col("context").isNotNull(), F.col("context"))
+        F.when(F.col("context").isNotNull(), F.col("context"))
         .when(has("заголов", "раздел", "подраздел"), "heading")
         .when(has("таблиц"), "table_cell")
         .when(has("подпис", "рисун"), "caption")
@@ -263,7 +269,7 @@ def _candidate(parameter: str, operator: str = "equals", num: Column | None = No
 
 def _direct() -> list[Column]:
     """Candidates of margins, spacing, indents, sizes in context and keeping together; null where a pattern is absent."""
-    t = F.lower("text")
+    t = F.col("_lower")
     found = lambda p, g=1: C.first_match(t, p, g)
     has = lambda *w: _any(t, w)
     when = lambda cond, c: F.when(F.coalesce(cond, F.lit(False)), c)
@@ -281,14 +287,14 @@ def _direct() -> list[Column]:
     for pattern, names in ((rf"(?U)перед\s+и\s+после\s*[—–-]\s*{NUMBER}", ("space_before", "space_after")), (rf"(?U)перед\s*[—–-]\s*{NUMBER}", ("space_before",)), (rf"(?U)после\s*[—–-]\s*{NUMBER}", ("space_after",))):
         out += [when(spacing & found(pattern).isNotNull(), _candidate(n, num=_number(found(pattern)), unit="pt")) for n in names]
     indent = has("отступ")
-    cell = target_of(F.lit("")) == "table_cell"
+    cell = F.col("_about") == "table_cell"
     out += [when(indent & cell & t.rlike(r"(?U)(?:без|нет)\s+\w*\s*отступ"), _candidate(n, num=F.lit(0.0), unit="cm", target="table_cell")) for n in ("first_line_indent", "left_indent", "right_indent")]
     out.append(when(indent & t.rlike(r"(?U)отступ\s+первой\s+строки\s*[—–-]\s*(нет|0)"), _candidate("first_line_indent", num=F.lit(0.0), unit="cm")))
     left = rf"(?U)отступ\s+слева\s*[—–-]\s*{NUMBER}\s*{_S}"
     out.append(when(indent & found(left).isNotNull(), _candidate("left_indent", num=_length(_number(found(left)), found(left, 2)), unit="cm")))
     out.append(when(has("не отрывать от следующего"), _candidate("keep_with_next", txt=F.lit("true"))))
     out.append(when(has("не разрывать"), _candidate("keep_together", txt=F.lit("true"))))
-    out.append(when(has("начинать с новой страницы") & ~F.coalesce(target_of(F.lit("")) == "heading", F.lit(False)), _candidate("page_break_before", txt=F.lit("true"))))
+    out.append(when(has("начинать с новой страницы") & ~F.coalesce(F.col("_about") == "heading", F.lit(False)), _candidate("page_break_before", txt=F.lit("true"))))
     sized = has("кегль", "размер шрифта", "размером", "шрифта")
     either = rf"(?U)(?:кегль|размер шрифта|шрифт)[^0-9]{{0,40}}{NUMBER}\s*(?:пт|пункт\w*)?\s*(?:или|/|,)\s*{NUMBER}"
     one = F.coalesce(found(rf"(?U)[—–-]\s*{NUMBER}\s*(?:пт|пункт\w*)?\s*$"), found(rf"(?U)(?:кегль|размер шрифта)[^0-9]{{0,40}}{NUMBER}"))
@@ -299,7 +305,7 @@ def _direct() -> list[Column]:
 
 def _extracted() -> list[Column]:
     """For each extractor whose keyword occurs: a relative value, else a range, else two values, else one."""
-    t, text = C.normalised("text"), F.col("text")
+    t, text = F.col("_plain"), F.col("text")
     has = lambda *w: _any(t, w)
     relative, span, either = C.first_match(text, RELATIVE), C.first_match(text, RANGE), C.first_match(text, EITHER)
     out = []
@@ -356,8 +362,8 @@ def _deduplicated(rows: DataFrame, *keys: str) -> DataFrame:
 def candidates(statement_rows: DataFrame) -> DataFrame:
     """Rule candidates of requirement statements, the first of each target, parameter, operator and value of a document."""
     both = F.concat(F.filter(F.array(*_direct()), lambda c: c.isNotNull()), F.flatten(F.filter(F.array(*_extracted()), lambda c: c.isNotNull())))
-    rows = statement_rows.where("fragment_type = 'requirement' and statement_type not in ('note', 'example')")
-    rows = rows.select("source_document", "section_ix", "number", "fragment_ix", "statement_ix", "text", "context", "modality", F.posexplode(both).alias("place", "c")).select("*", "c.*").drop("c")
+    rows = _read(statement_rows.where("fragment_type = 'requirement' and statement_type not in ('note', 'example')"))
+    rows = rows.select("source_document", "section_ix", "number", "fragment_ix", "statement_ix", "text", "_about", "modality", F.posexplode(both).alias("place", "c")).select("*", "c.*").drop("c")
     target = F.coalesce("own_target", target_of(F.col("parameter")))
     supported = F.col("parameter").isin(*SUPPORTED)
     rows = rows.withColumn("target", target).withColumn("status", F.when(~supported, "unsupported").otherwise(F.coalesce("own_status", F.when(target.isNull(), "needs_review").otherwise("extracted"))))
@@ -401,12 +407,15 @@ def with_modality(rows: DataFrame) -> DataFrame:
     sentences = F.split("source_text", r"(?U)(?<=[.!?])\s+")
     token = F.lower("value_text")
     holds = F.get(F.filter(sentences, lambda s: F.contains(F.lower(s), token) | F.contains(F.lower(s), F.replace(token, F.lit("."), F.lit(",")))), F.lit(0))
-    t = F.lower(F.coalesce(holds, "source_text"))
+    unknown = F.col("modality") == "unknown"
+    rows = rows.withColumn("_holds", F.when(unknown, F.lower(F.coalesce(holds, "source_text"))))
+    t = F.col("_holds")
     kinds = {"mandatory": _any(t, (*MANDATORY, "обязательно", "не должны")), "recommended": _any(t, (*RECOMMENDED, "как правило")), "allowed": _any(t, (*ALLOWED, "может"))}
     one = sum((k.cast("int") for k in kinds.values()), F.lit(0)) == 1
     found = F.when(one, F.coalesce(*(F.when(k, F.lit(n)) for n, k in kinds.items())))
-    unknown = F.col("modality") == "unknown"
-    return rows.withColumn("status", F.when(unknown & found.isNull(), "needs_review").otherwise(F.col("status"))).withColumn("modality", F.when(unknown, F.coalesce(found, F.lit("unknown"))).otherwise(F.col("modality")))
+    rows = rows.withColumn("_found", found)
+    found = F.col("_found")
+    return rows.withColumn("status", F.when(unknown & found.isNull(), "needs_review").otherwise(F.col("status"))).withColumn("modality", F.when(unknown, F.coalesce(found, F.lit("unknown"))).otherwise(F.col("modality"))).drop("_holds", "_found")
 
 
 def without_subsets(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
@@ -432,19 +441,24 @@ def without_subsets(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
 
 
 def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
-    """Confidence by sanity of values, target and modality; duplicates and subsets removed; conflicts marked."""
+    """Confidence by sanity of values, target and modality; duplicates and subsets removed; conflicts marked.
+
+    The rows are written once before the subsets are looked for, as that reads them in several branches.
+    """
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for p, (a, b) in SANITY.items():
         low, high = F.when(F.col("parameter") == p, a).otherwise(low), F.when(F.col("parameter") == p, b).otherwise(high)
     values = F.coalesce("value_list", F.when(F.col("value_num").isNotNull(), F.array("value_num")), F.array().cast("array<double>"))
     outside = F.coalesce(low.isNotNull() & F.exists(values, lambda v: (v < low) | (v > high)), F.lit(False))
     edge = F.coalesce(low.isNotNull() & F.exists(values, lambda v: (v == low) | (v == high)), F.lit(False))
+    rows = rows.withColumn("_outside", outside).withColumn("_edge", edge)
+    outside, edge = F.col("_outside"), F.col("_edge")
     score = 1.0 - 0.3 * outside.cast("int") - 0.2 * (edge & ~outside).cast("int") - 0.3 * F.col("target").isNull().cast("int") - 0.3 * (F.col("modality") == "unknown").cast("int")
     rows = rows.withColumn("confidence", F.when(F.col("status") == "unsupported", F.col("confidence")).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)))
     rows = rows.withColumn("status", F.when((F.col("status") == "extracted") & (outside | (F.col("confidence") < least)), "needs_review").otherwise(F.col("status")))
     slot = ("source_document", "target", "parameter", "operator", "modality")
     best = F.row_number().over(Window.partitionBy(*slot, "value_text").orderBy(F.desc(F.coalesce(F.size("value_list"), F.lit(0))), F.desc("confidence"), "section_ix", "fragment_ix", "statement_ix", "place"))
-    rows = rows.withColumn("_b", best).where("_b = 1").drop("_b")
+    rows = staged(rows.withColumn("_b", best).where("_b = 1").drop("_b", "_outside", "_edge"), "extraction-candidates")
     rows = without_subsets(rows, slot)
     many = F.size(F.collect_set(F.when((F.col("operator") == "equals") & (F.col("status") != "unsupported"), F.col("value_text"))).over(Window.partitionBy("source_document", "target", "parameter"))) > 1
     return rows.withColumn("_many", many).withColumn("status", F.when(F.col("_many") & (F.col("operator") == "equals") & (F.col("status") != "unsupported") & F.col("target").isNotNull(), "conflict").otherwise(F.col("status"))).drop("_many")
@@ -461,7 +475,7 @@ def page_blocks(blocks: DataFrame) -> DataFrame:
 def extracted(blocks: DataFrame) -> DataFrame:
     """Regulation blocks to verified candidates; id names a candidate inside its document. Blocks with page_number are rows of pages."""
     typed = page_blocks(blocks) if "page_number" in blocks.columns else typed_blocks(blocks)
-    rows = statements(fragments(sections(typed)))
+    rows = staged(statements(fragments(sections(typed))), "extraction-statements")  # two branches read them
     every = verified(with_modality(candidates(rows).unionByName(structural_candidates(rows))))
     return every.withColumn("id", F.concat_ws("-", "section_ix", "fragment_ix", "statement_ix", "place", "parameter", "operator"))
 
