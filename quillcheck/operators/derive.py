@@ -14,15 +14,43 @@ ALIGNMENTS = {"LEFT": "left", "CENTER": "center", "RIGHT": "right", "JUSTIFY": "
 STYLE_VALUES = ("alignment", "font_family", "font_size_pt", "bold", "italic", "first_line_indent_cm", "left_indent_cm", "right_indent_cm", "line_spacing", "space_before_pt", "space_after_pt", "keep_with_next", "keep_together", "page_break_before")
 
 
+#: Documents with at most so many rows of styles are followed inside one row.
+STYLES_IN_A_ROW = 256
+
+
 def style_alignments(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, alignment): the first alignment on a style's chain of base styles, which is as long as it is; chains that end in a circle or in a style that is not there have none.
 
-    By pointer doubling: in each round a style that has no alignment yet takes that of the style it points to, or else points
-    to where that one points. Two to the power of the rounds is the length of chain that is followed, so a document with n styles
-    needs log n rounds (a repeated style counts once: the least of its rows), and what is open then runs in a circle.
+    By pointer doubling: after r rounds every style points to the style that is two to the power of r steps up, or where its chain ends. The
+    styles of a document with at most STYLES_IN_A_ROW rows stand in one array, so these documents are shuffled once; larger ones
+    are followed by joins. A repeated style counts once, the least of its rows; rows without doc_id have their own alignment only.
     """
+    rows = styles.where("style_id is not null").select("doc_id", "style_id", "alignment", "based_on")
+    placed = rows.where("doc_id is not null")
+    sizes = placed.groupBy("doc_id").count()
+    large = sizes.where(F.col("count") > STYLES_IN_A_ROW).select("doc_id")
     link = F.min(F.struct("alignment", "based_on")).alias("link")
-    now = styles.where("style_id is not null").groupBy("doc_id", "style_id").agg(link).select("doc_id", "style_id", "link.alignment", "link.based_on")
+    own = rows.where("doc_id is null").groupBy("doc_id", "style_id").agg(link).select("doc_id", "style_id", "link.alignment").where("alignment is not null")
+    longest = sizes.agg(F.max("count")).first()[0] or 0
+    if longest <= STYLES_IN_A_ROW:
+        return _followed_in_rows(placed).unionByName(own)
+    joined = _followed_by_joins(placed.join(large, "doc_id", "left_semi").groupBy("doc_id", "style_id").agg(link).select("doc_id", "style_id", "link.*"))
+    return _followed_in_rows(placed.join(large, "doc_id", "left_anti")).unionByName(joined).unionByName(own)
+
+
+def _followed_in_rows(rows: DataFrame) -> DataFrame:
+    made = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("style_id", "alignment", "based_on"))).alias("_all"))
+    made = made.select("doc_id", F.filter("_all", lambda x, i: (i == 0) | (x["style_id"] != F.get("_all", i - 1)["style_id"])).alias("_links"))
+    made = made.withColumn("_ids", F.transform("_links", lambda x: x["style_id"]))
+    # places from 1; a chain's end points to itself
+    up = F.transform("_links", lambda x, i: F.coalesce(F.nullif(F.when(x["alignment"].isNull(), F.array_position("_ids", x["based_on"])).cast("int"), F.lit(0)), i + 1))
+    rounds = F.sequence(F.lit(1), F.lit(STYLES_IN_A_ROW.bit_length()))
+    made = made.withColumn("_up", up).withColumn("_end", F.aggregate(rounds, F.col("_up"), lambda now, _: F.transform(now, lambda t: F.get(now, t - 1))))
+    each = made.select("doc_id", F.explode(F.zip_with("_ids", "_end", lambda s, t: F.struct(s.alias("style_id"), F.get("_links", t - 1)["alignment"].alias("alignment")))).alias("_x"))
+    return each.select("doc_id", "_x.*").where("alignment is not null")
+
+
+def _followed_by_joins(now: DataFrame) -> DataFrame:
     now = staged(now.select("doc_id", "style_id", "alignment", F.when(F.col("alignment").isNull(), F.col("based_on")).alias("up")), "style-links")
     longest = now.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
     for _ in range((longest - 1).bit_length()):
