@@ -191,11 +191,15 @@ def written_runs(paragraphs: DataFrame, *keep: str) -> DataFrame:
 
 
 def mixed_sizes(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs whose written runs have several sizes: the dominant one and up to three that differ."""
-    runs = written_runs(paragraphs).withColumn("size", F.bround("run_font_size_pt", 1))
-    top = C.dominant(runs, ["doc_id", "para_ix"], "size", "run_ix", "top").select("doc_id", "para_ix", "top")
-    off = runs.join(top, ["doc_id", "para_ix"]).where("size <> top").groupBy("doc_id", "para_ix").agg(F.first("top").alias("top"), F.slice(F.sort_array(F.collect_list(F.struct("run_ix", "run_text", "size"))), 1, 3).alias("off"))
-    return off.select("doc_id", "para_ix", F.lit("mixed_font_sizes").alias("parameter"), F.array_join(F.transform("off", lambda x: F.concat_ws(": ", x["run_text"], C.number_text(x["size"]))), "; ").alias("actual"), C.number_text("top").alias("expected"), F.lit("error").alias("level"))
+    """Paragraphs whose written runs have several sizes: the dominant one (of equals the one seen first, then the smaller) and up to three that differ. A paragraph's runs stand in its row, so nothing is shuffled."""
+    run = lambda r: F.struct(r["run_ix"].alias("run_ix"), r["text"].alias("run_text"), F.bround(r["font_size_pt"], 1).alias("size"))
+    sized = F.filter(F.transform(F.filter("runs", lambda r: C.not_blank(r["text"])), run), lambda r: r["size"].isNotNull())
+    rows = paragraphs.where("doc_id is not null and para_ix is not null").select("doc_id", "para_ix", sized.alias("_sized"))
+    rows = rows.withColumn("_sizes", F.array_distinct(F.transform("_sized", lambda r: r["size"]))).where(F.size("_sizes") > 1)
+    of = lambda s: F.filter("_sized", lambda r: r["size"] == s)
+    most = F.array_min(F.transform("_sizes", lambda s: F.struct((-F.size(of(s))).alias("n"), F.array_min(F.transform(of(s), lambda r: r["run_ix"])).alias("first_seen"), s.alias("size"))))
+    rows = rows.withColumn("top", most["size"]).withColumn("off", F.slice(F.sort_array(F.filter("_sized", lambda r: r["size"] != F.col("top"))), 1, 3))
+    return rows.select("doc_id", "para_ix", F.lit("mixed_font_sizes").alias("parameter"), F.array_join(F.transform("off", lambda x: F.concat_ws(": ", x["run_text"], C.number_text(x["size"]))), "; ").alias("actual"), C.number_text("top").alias("expected"), F.lit("error").alias("level"))
 
 
 def emphasis_methods(paragraphs: DataFrame) -> DataFrame:
