@@ -9,7 +9,7 @@ from quillcheck import composed_profiles, registry  # noqa: F401
 LINES = [(0, 1, 6, 1), (1, 1, 18, 2), (3, 1, 12, 6), (3, 2, 6, 3), (4, 1, 8, 2), (6, 1, 24, 6), (7, 1, 12, 5), (9, 2, 30, 4)]
 
 
-@pytest.mark.parametrize("name", ["whole_check"])
+@pytest.mark.parametrize("name", ["whole_check", "two_profiles_check"])
 def test_documents_without_text(spark, tmp_path, name):
     values = ", ".join(f"({o}, {n}, {p}, {s})" for o, n, p, s in LINES)
     con = duckdb.connect()
