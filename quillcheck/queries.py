@@ -74,7 +74,8 @@ def typography_rule_findings(spark, sf_dir):
     """Findings in the common schema for a profile of three rules, counted and grouped by rule."""
     rules = _rules(spark, ("range", "document", "numeric_range_dash", "equals", None, None, None, None, "mandatory"), ("quotes", "document", "russian_quotes", "equals", None, None, None, None, "recommended"), ("digits", "document", "digit_grouping_nbsp", "equals", None, None, None, None, "mandatory"))
     df = derive.classified(_lines(spark, sf_dir)).withColumns({c: F.lit(None).cast("double") for c in ("first_line_indent_cm", "left_indent_cm", "right_indent_cm")} | {c: F.lit(None).cast("boolean") for c in ("has_formula_like_image", "is_standalone_equation", "has_equation", "has_line_break")} | {"alignment": F.lit(None).cast("string"), "logical_section": F.lit(None).cast("string")})
-    return violations.grouped(typography.check_paragraphs(df, rules, any_language=True)).select("doc_id", "source_section", "rule_id", "n", "n_errors", "n_warnings", "actual")
+    found = staged(typography.check_paragraphs(df, rules, any_language=True), "typography-findings")  # three branches read them
+    return violations.grouped(found).select("doc_id", "source_section", "rule_id", "n", "n_errors", "n_warnings", "actual")
 
 
 _ELEMENTS = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
