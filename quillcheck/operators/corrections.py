@@ -59,7 +59,8 @@ def corrected_lines(paragraphs: DataFrame, parameters: Iterable[str]) -> DataFra
     new = F.when(text.startswith("- "), F.concat(F.lit("— "), F.substring(text, 3, 2_000_000_000))).otherwise(text) if asked & {"hyphen_list_marker_not_recommended", "list_marker_dash_required"} else text
     new = safe_text(new, asked)
     new = F.regexp_replace(new, "^ +| +$", "") if "paragraph_edge_spaces" in asked else new
-    return paragraphs.select("doc_id", "para_ix", text.alias("old_value"), new.alias("new_value")).where("old_value <> new_value")
+    # an explosion of one, as Spark would else rewrite a text once to compare it and once more to return it
+    return paragraphs.select("doc_id", "para_ix", text.alias("old_value"), F.explode_outer(F.array(new)).alias("new_value")).where("old_value <> new_value")
 
 
 def corrected_runs(paragraphs: DataFrame, parameters: Iterable[str]) -> DataFrame:
