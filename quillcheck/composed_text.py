@@ -89,4 +89,4 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH lines AS ({_duck(LINES)}), {hits_sql()}")
 def typography_hits(spark, sf_dir):
     """Every typography pattern on lines that break it and lines that do not."""
-    return typography.fragments(lines(spark, sf_dir)).select("doc_id", "para_ix", "parameter", "fragment", "level")
+    return typography.fragments(lines(spark, sf_dir), repeated=True).select("doc_id", "para_ix", "parameter", "fragment", "level")
