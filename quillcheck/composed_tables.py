@@ -93,4 +93,4 @@ def dominant_allowed(spark, sf_dir):
     names = "profile_id string, ordinal int, target string, parameter string, operator string, value_num double, value_str string, value_bool boolean, value_list array<string>, consistency_strategy string"
     rules = spark.createDataFrame([("p", 0, "main_text", "font_size", "min", 12.0, None, None, None, None), ("p", 1, "main_text", "font_size", "max", 13.0, None, None, None, None)], names)
     styled = blocks.styled_of_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return corrections.dominant_allowed(styled, rules).where("parameter = 'font_size'").select("doc_id", "value")
+    return corrections.dominant_allowed(styled, rules, ("font_size",)).select("doc_id", "value")

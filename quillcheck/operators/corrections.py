@@ -257,12 +257,12 @@ def without_empty(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.join(bounds, "doc_id").where(~F.coalesce(inside, F.lit(False))).drop("_lo", "_hi")
 
 
-def dominant_allowed(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
+def dominant_allowed(paragraphs: DataFrame, rules: DataFrame, parameters: tuple[str, ...] = D.CONSISTENT) -> DataFrame:
     """(doc_id, profile_id, parameter, value): the most frequent allowed value; without an allowed one the most frequent, unless others tie."""
-    counts = D.value_counts(paragraphs)
-    pairs = rules.select("profile_id", F.explode(F.array(*map(F.lit, D.CONSISTENT))).alias("parameter")).distinct()
+    counts = D.value_counts(paragraphs, parameters)
+    pairs = rules.select("profile_id", F.explode(F.array(*map(F.lit, parameters))).alias("parameter")).distinct()
     judged = D.allowed_values(counts.join(F.broadcast(pairs), "parameter"), rules)
-    best = F.struct((-F.col("n")).alias("n"), "first_ix", "value")
-    rows = judged.groupBy("doc_id", "profile_id", "parameter").agg(F.min_by("value", F.when(F.col("allowed"), best)).alias("a"), F.min_by("value", best).alias("top"), F.max("n").alias("m"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
-    tie = (F.size("ns") > 1) & (F.get("ns", F.lit(1)) == F.col("m"))
+    best, last = F.struct((-F.col("n")).alias("n"), "first_ix", "value"), F.struct("n", "first_ix", "value")
+    rows = judged.groupBy("doc_id", "profile_id", "parameter").agg(F.min_by("value", F.when(F.col("allowed"), best)).alias("a"), F.min_by("value", best).alias("top"), F.max_by("value", last).alias("other"))
+    tie = F.col("top") != F.col("other")  # the first and the last of the most frequent values
     return rows.select("doc_id", "profile_id", "parameter", F.coalesce("a", F.when(~tie, F.col("top"))).alias("value"))
