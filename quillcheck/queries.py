@@ -10,7 +10,7 @@ from quillcheck.operators import corrections, derive, documents, extraction, for
 from quillcheck.composed_text import hits_sql
 from quillcheck.registry import query
 from quillcheck.sources import blocks
-from quillcheck.sources.staging import staged
+from quillcheck.sources.staging import dealt, staged
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +28,10 @@ def _styled(spark, sf_dir) -> DataFrame:
     return blocks.styled_of_lineitem(_table(spark, sf_dir, "lineitem"))
 
 
+def _styled_dealt(spark, sf_dir) -> DataFrame:
+    return blocks.styled_of_lineitem(dealt(_table(spark, sf_dir, "lineitem"), "l_orderkey"))
+
+
 def _rules(spark: SparkSession, *rows: tuple) -> DataFrame:
     """(rule_id, target, parameter, operator, number, text, list, unit, modality) as a profile."""
     made = [("p", r[0], i, "formatting", *r[1:4], r[4], r[5], None, r[6], r[7], r[8], str(i + 1), True) for i, r in enumerate(rows)]
@@ -157,7 +161,7 @@ UNION ALL SELECT s.doc_id, s.para_ix, 'alignment', alignment, 'justify' FROM sty
 def consistency_findings(spark, sf_dir):
     """Main text off the value that its document should have: dominant if allowed, else fallback; profile value for alignment."""
     rules = _rules(spark, ("c", "main_text", "consistency", "consistent", None, None, None, None, "mandatory"), ("low", "main_text", "font_size", "min", 11.0, None, None, "pt", "mandatory"), ("high", "main_text", "font_size", "max", 13.0, None, None, "pt", "mandatory"))
-    return documents.consistency_faults(_styled(spark, sf_dir), rules, ("font_size", "alignment")).select("doc_id", "para_ix", "parameter", "actual", "expected")
+    return documents.consistency_faults(_styled_dealt(spark, sf_dir), rules, ("font_size", "alignment")).select("doc_id", "para_ix", "parameter", "actual", "expected")
 
 
 _SECTIONS = """sections AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS INTEGER) AS section_ix, max(CASE WHEN l_quantity < 30 THEN 3.0 ELSE 2.5 END) AS l, max(CASE WHEN l_tax > 0.06 THEN 1.0 ELSE 1.5 END) AS r FROM lineitem GROUP BY ALL)"""
