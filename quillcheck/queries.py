@@ -169,7 +169,7 @@ _SECTIONS = """sections AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 A
 
 def _sections(spark, sf_dir) -> DataFrame:
     keys = [F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("section_ix")]
-    rows = _table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max(F.when(F.col("l_quantity") < 30, 3.0).otherwise(2.5)).alias("left_margin_cm"), F.max(F.when(F.col("l_tax") > 0.06, 1.0).otherwise(1.5)).alias("right_margin_cm"))
+    rows = dealt(_table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(*keys).agg(F.max(F.when(F.col("l_quantity") < 30, 3.0).otherwise(2.5)).alias("left_margin_cm"), F.max(F.when(F.col("l_tax") > 0.06, 1.0).otherwise(1.5)).alias("right_margin_cm"))
     return rows.withColumns({"top_margin_cm": F.lit(2.0), "bottom_margin_cm": F.lit(2.0), "page_width_cm": F.lit(21.0), "page_height_cm": F.lit(29.7)})
 
 
