@@ -48,9 +48,12 @@ def without_suppressed(violations: DataFrame) -> DataFrame:
 def without_consistency_duplicates(violations: DataFrame, section: str = "4.1") -> DataFrame:
     """Findings of the consistency section go where another section has one for the same paragraph and parameter."""
     of_section = F.coalesce(F.col("source_section") == section, F.lit(False))
-    concrete = violations.where(~of_section & F.col("paragraph_index").isNotNull()).select("doc_id", "profile_id", "paragraph_index", "parameter", F.lit(True).alias("_c")).distinct()
-    joined = violations.join(concrete, ["doc_id", "profile_id", "paragraph_index", "parameter"], "left")
-    return joined.where(~(of_section & F.coalesce("_c", F.lit(False)))).drop("_c").select(*violations.columns)
+    place = ("doc_id", "profile_id", "paragraph_index", "parameter")
+    known = F.lit(True)
+    for c in place:
+        known = known & F.col(c).isNotNull()
+    other = F.bool_or(~of_section).over(Window.partitionBy(*place))
+    return violations.withColumn("_c", other).where(~(of_section & known & F.col("_c"))).select(*violations.columns)
 
 
 def without_places(violations: DataFrame, paragraphs: DataFrame, tables: DataFrame | None = None, always: tuple[str, ...] = ("required_document_structure", "front_matter_page_numbers_hidden_until_intro")) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 import pytest
 
 import __spark_entry__
-from quillcheck.operators import documents
+from quillcheck.operators import documents, violations
 from quillcheck.sources import staging
 from tests.conftest import rows
 
@@ -15,7 +15,7 @@ def shuffles_by_document(df):
     return {int(n) for n in re.findall(r"Exchange hashpartitioning\((?:doc_id|l_orderkey|o_orderkey)#[^()]*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("query", ["consistency_findings", "margin_findings"])
+@pytest.mark.parametrize("query", ["consistency_findings", "margin_findings", "comment_groups"])
 def test_tasks_follow_the_size_of_the_table(spark, monkeypatch, query):
     monkeypatch.setattr(staging, "TASK_ROWS", 500)
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
@@ -32,3 +32,13 @@ def test_margins_of_two_profiles_in_one_pass(spark):
     assert targets == {(1, "p"): 1.5, (1, "q"): 2.5, (3, "p"): 2.5, (3, "q"): 2.5}
     valid = documents.margin_validity(sections, rules).where("valid").select("doc_id", "section_ix", "profile_id")
     assert sorted(rows(valid)) == [(1, 0, "q"), (1, 1, "p"), (1, 2, "p"), (1, 3, "p"), (2, 0, "p"), (3, 0, "q"), (3, 1, "p")]
+
+
+def test_consistency_findings_give_way_inside_their_place(spark):
+    none = {c: None for c in violations.COLUMNS}
+    made = [{**none, "doc_id": d, "profile_id": p, "paragraph_index": ix, "parameter": "x", "source_section": s} for d, p, ix, s in [(1, "p", 0, "4.1"), (1, "p", 0, "2"), (1, "q", 0, "4.1"), (1, "p", 1, "4.1"), (1, "p", 2, None), (1, "p", 2, "4.1"), (1, "p", None, "4.1"), (1, "p", None, "2"), (None, "p", 0, "4.1"), (None, "p", 0, "2")]]
+    kinds = ", ".join(f"{c} {'int' if c == 'doc_id' or c.endswith('_index') else 'string'}" for c in violations.COLUMNS)
+    kept = violations.without_consistency_duplicates(spark.createDataFrame([tuple(m[c] for c in violations.COLUMNS) for m in made], kinds))
+    expected = [(1, "p", 0, "2"), (1, "q", 0, "4.1"), (1, "p", 1, "4.1"), (1, "p", 2, None), (1, "p", None, "4.1"), (1, "p", None, "2"), (None, "p", 0, "4.1"), (None, "p", 0, "2")]
+    assert sorted(map(str, rows(kept.select("doc_id", "profile_id", "paragraph_index", "source_section")))) == sorted(map(str, expected))
+    assert " Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
