@@ -235,7 +235,9 @@ _RUNS = """runs AS (SELECT o_custkey AS doc_id, o_orderkey AS para_ix, l_linenum
 
 def _run_paragraphs(spark, sf_dir) -> DataFrame:
     """Orders as paragraphs of customers; their lines are the runs."""
-    lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = lines.count()
+    lines = dealt(lines, "l_orderkey", rows=n).join(dealt(orders, "o_orderkey", rows=n), F.col("l_orderkey") == F.col("o_orderkey"))
     run = F.struct(F.col("l_linenumber").alias("run_ix"), F.lit("text").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), (F.col("l_linestatus") == "F").alias("underline"), F.lit(False).alias("strike"), F.lit(False).alias("double_strike"), F.lit(False).alias("small_caps"), (F.col("l_returnflag") == "R").alias("all_caps"), (F.floor(F.col("l_quantity") / 10) + 10).cast("double").alias("font_size_pt"), F.lit("000000").alias("font_color"), F.when(F.col("l_discount") > 0.08, 20).otherwise(0).alias("character_spacing"), F.lit(False).alias("has_character_style"), F.lit(False).alias("has_direct_formatting"))
     return lines.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("para_ix")).agg(F.sort_array(F.collect_list(run)).alias("runs")).withColumns({"paragraph_type": F.lit("main_text"), "font_size_pt": F.col("runs")[0]["font_size_pt"]})
 

@@ -34,9 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 TASK_ROWS = 1 << 16
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """df dealt by keys into as many partitions as its rows need, so that the memory of the tasks that group, sort and join by them does not grow with the table.
 
-    The rows are counted first; of a Parquet table that reads the footers only.
+    The rows are counted first, which for a Parquet table reads the footers only, unless their number is given; tables dealt by one number meet without a shuffle.
     """
-    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *keys)
+    return df.repartition(max(1, -(-(df.count() if rows is None else rows) // TASK_ROWS)), *keys)

@@ -15,7 +15,7 @@ def shuffles_by_document(df):
     return {int(n) for n in re.findall(r"Exchange hashpartitioning\((?:doc_id|l_orderkey|o_orderkey)#[^()]*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
 
 
-@pytest.mark.parametrize("query", ["consistency_findings", "margin_findings", "comment_groups"])
+@pytest.mark.parametrize("query", ["consistency_findings", "margin_findings", "comment_groups", "run_findings"])
 def test_tasks_follow_the_size_of_the_table(spark, monkeypatch, query):
     monkeypatch.setattr(staging, "TASK_ROWS", 500)
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
