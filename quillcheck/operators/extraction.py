@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcheck.functions import columns as C
-from quillcheck.sources.staging import staged
+from quillcheck.sources.staging import partitions_of, staged, staged_by
 
 # Markers, patterns, keyword tables.
-PAGE_NUMBER, TOC_LINE = r"(?U)^\s*\d+\s*$", r"(?U)(?:\.|…|·|⋯){3,}\s*\d+\s*$"
+PAGE_NUMBER, TOC_LINE = r"(?U)^\s*\d+\s*$", r"(?U)[.…·⋯]{3,}\s*\d+\s*$"
 LIST_MARKER = r"(?U)^\s*([-−–—•▪▫‣]|\d+[).]|[а-яА-Я][).])\s+"
 SECTION_NUMBERS = (r"(?U)^\s*(\d+(?:\.\d+)+)\.?\s+\S", r"(?U)^\s*(\d+)\.?\s+[А-ЯЁ]")
 EXAMPLE_OR_NOTE = r"(?iU)\b(Пример|Примеры|Например|Примечание|Примечания)\b[:.]?"
@@ -94,6 +94,8 @@ STRUCTURAL = (
     ("first_main_section_review_required", "document", (("первым разделом",), ("обзор",)), (), "true", None, 0.62),
     ("additional_section_required", "document", (("дополнительного раздела",), ("должно быть включено",)), (), "true", None, 0.62),
 )
+#: Words of which a section must have one for any structural candidate: those of the first group of each rule, and of the rules that are no list of words.
+STRUCTURAL_WORDS = tuple(dict.fromkeys((*(w for _, _, groups, *_ in STRUCTURAL for w in groups[0]), "структур", "состав", "введени", "источник", "страниц")))
 UNCHECKED = ("title_page_topic_match", "document_language", "section_conclusions_required", "first_main_section_review_required", "additional_section_required", "recommended_work_volume")
 STRUCTURE_ELEMENTS = (
     "титульный лист", "задание", "календарный план", "реферат", "аннотацию", "аннотация", "содержание", "определения", "обозначения", "сокращения", "введение", "основная часть", "заключение", "список использованных источников", "приложения",
@@ -112,9 +114,9 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 def typed_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks (source_document, block_ix, text) with text collapsed, empty ones dropped, block_type and list_marker."""
     text = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    rows = blocks.withColumn("text", text).where("text <> ''")
+    rows = C.once(blocks.withColumn("text", text), "text").where("text <> ''")
     kind = F.when(F.col("text").rlike(PAGE_NUMBER), "page_number").when(F.col("text").rlike(TOC_LINE), "toc").when(F.col("text").rlike(LIST_MARKER), "list_item").otherwise("paragraph")
-    return rows.withColumn("block_type", kind).withColumn("list_marker", C.first_match("text", LIST_MARKER, 1))
+    return C.once(rows.withColumn("block_type", kind), "block_type").withColumn("list_marker", C.first_match("text", LIST_MARKER, 1))
 
 
 def is_bold_font(name: Column | str) -> Column:
@@ -183,19 +185,20 @@ def modality_of(t: Column) -> Column:
 
 def fragments(section_rows: DataFrame) -> DataFrame:
     """(source_document, section_ix, number, fragment_ix, fragment_type, text, context, modality): requirement lines, and the notes and examples after them."""
-    marks = C.all_matches("text", EXAMPLE_OR_NOTE, 1)
-    parts = F.split("text", EXAMPLE_OR_NOTE, -1)
-    rows = section_rows.withColumn("_m", marks).withColumn("_p", parts)
-    notes = rows.select("source_document", "section_ix", "number", F.posexplode(F.zip_with("_m", F.slice("_p", 2, F.greatest(F.size("_m"), F.lit(1))), lambda m, p: F.struct(m.alias("m"), C.stripped(p).alias("t")))).alias("at", "x")).where("x.t <> ''")
+    noted = _any(F.lower("text"), ("пример", "примечани"))  # in each of the words that the pattern looks for
+    rows = C.once(section_rows.withColumn("_noted", noted), "_noted").withColumn("_m", F.when(F.col("_noted"), C.all_matches("text", EXAMPLE_OR_NOTE, 1))).withColumn("_p", F.when(F.col("_noted"), F.split("text", EXAMPLE_OR_NOTE, -1)).otherwise(F.array("text")))
+    notes = rows.where("_noted").select("source_document", "section_ix", "number", F.posexplode(F.zip_with("_m", F.slice("_p", 2, F.greatest(F.size("_m"), F.lit(1))), lambda m, p: F.struct(m.alias("m"), C.stripped(p).alias("t")))).alias("at", "x")).where("x.t <> ''")
     notes = notes.select("source_document", "section_ix", "number", (F.col("at") + 1_000_000).alias("fragment_ix"), F.when(F.lower("x.m").startswith("прим") & ~F.lower("x.m").startswith("пример"), "note").otherwise("example").alias("fragment_type"), F.col("x.t").alias("text"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("modality"))
     lines = rows.select("source_document", "section_ix", "number", F.posexplode(F.split(F.element_at("_p", 1), "\n")).alias("line", "raw"))
-    lines = lines.withColumn("marked", F.col("raw").rlike(LIST_MARKER)).withColumn("text", C.stripped(F.regexp_replace("raw", LIST_MARKER, ""))).where("text <> ''")
+    lines = lines.withColumn("marked", F.col("raw").rlike(LIST_MARKER)).withColumn("text", C.stripped(F.when(F.col("marked"), F.regexp_replace("raw", LIST_MARKER, "")).otherwise(F.col("raw"))))
+    lines = C.once(lines, "marked", "text").where("text <> ''")
     past = Window.partitionBy("source_document", "section_ix").orderBy("line")
     opens = F.col("text").endswith(":")
     lines = lines.withColumn("_lower", F.lower("text"))  # a column of its own, so that the words below are looked for in one copy
     lines = lines.withColumn("_own", context_of(F.col("_lower"))).withColumn("modality", F.last(modality_of(F.col("_lower")), ignorenulls=True).over(past))
     lines = lines.withColumn("_context", F.last(F.when(opens, F.col("_own")), ignorenulls=True).over(past)).withColumn("_prefix", F.last(F.when(opens, F.col("text")), ignorenulls=True).over(past)).where(~opens)
-    pieces = lines.select("*", F.posexplode(F.split("text", r"(?U);(?=\s*[а-яА-ЯA-Z]|$)", -1)).alias("piece", "part")).withColumn("part", F.regexp_replace("part", r"^[ .]+|[ .]+$", "")).where((F.col("part") != "") & ~F.lower("part").rlike("^(не)?правильно"))
+    pieces = lines.select("*", F.posexplode(F.when(F.contains("text", F.lit(";")), F.split("text", r"(?U);(?=\s*[а-яА-ЯA-Z]|$)", -1)).otherwise(F.array("text"))).alias("piece", "part")).withColumn("part", F.btrim("part", F.lit(" .")))
+    pieces = C.once(pieces, "part").where((F.col("part") != "") & ~F.lower("part").rlike("^(не)?правильно"))
     text = F.when(F.col("marked") & F.col("_prefix").isNotNull(), F.concat_ws(": ", "_prefix", "part")).otherwise(F.col("part"))
     context = F.coalesce("_own", F.when(F.col("marked"), F.col("_context")))
     return pieces.select("source_document", "section_ix", "number", (F.col("line") * 1000 + F.col("piece")).alias("fragment_ix"), F.lit("requirement").alias("fragment_type"), text.alias("text"), context.alias("context"), "modality").unionByName(notes)
@@ -215,15 +218,15 @@ def statement_type(t: Column, fragment_type: Column) -> Column:
 
 def statements(fragment_rows: DataFrame) -> DataFrame:
     """Fragments cut into atomic statements: lines, table cells with their first cell, sentences, clauses."""
-    trimmed = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), r"^[ .]+|[ .]+$", "")
+    trimmed = lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" ."))
 
     def cells(line: Column) -> Column:
         parts = F.filter(F.transform(F.split(line, r" \| "), trimmed), lambda c: c != "")
-        return F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda c: F.concat(F.get(parts, F.lit(0)), F.lit(": "), c))).otherwise(F.array(line))
+        return F.when(F.contains(line, F.lit(" | ")) & (F.size(parts) > 1), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda c: F.concat(F.get(parts, F.lit(0)), F.lit(": "), c))).otherwise(F.array(line))
 
     flat = F.flatten(F.transform(F.split("text", "\n"), cells))
     flat = F.flatten(F.transform(flat, lambda x: F.split(x, r"(?U)(?<=[.!?])\s+(?=[А-ЯЁA-Z])")))
-    flat = F.filter(F.transform(F.flatten(F.transform(flat, lambda x: F.split(x, r"(?U);\s+"))), trimmed), lambda x: x != "")
+    flat = F.filter(F.transform(F.flatten(F.transform(flat, lambda x: F.when(F.contains(x, F.lit(";")), F.split(x, r"(?U);\s+")).otherwise(F.array(x)))), trimmed), lambda x: x != "")
     rows = fragment_rows.select("source_document", "section_ix", "number", "fragment_ix", "fragment_type", "context", F.col("modality").alias("inherited"), F.posexplode(flat).alias("statement_ix", "text"))
     rows = rows.withColumn("_lower", F.lower("text")).withColumn("statement_type", statement_type(F.col("_lower"), F.col("fragment_type"))).drop("_lower")
     by_type = F.when(F.col("statement_type").isin("requirement", "prohibition"), "mandatory").when(F.col("statement_type") == "recommendation", "recommended").when(F.col("statement_type") == "permission", "allowed").otherwise(F.col("inherited"))
@@ -350,6 +353,23 @@ def _extracted() -> list[Column]:
     return out
 
 
+#: Words of which a statement must have one, lower-cased, for any of the candidates of _direct.
+DIRECT_WORDS = ("верхн", "нижн", "лев", "прав", "сверху", "снизу", "интервал", "отступ", "не отрывать от следующего", "не разрывать", "начинать с новой страницы", "кегль", "размер", "шрифт")
+
+
+def _worth() -> Column:
+    """Whether a statement has any word that a candidate needs; cheap, and kept apart from the patterns."""
+    return _any(F.col("_lower"), DIRECT_WORDS) | _any(F.col("_plain"), tuple(w for _, words, *_ in EXTRACTORS for w in words))
+
+
+def _readings(rows: DataFrame) -> DataFrame:
+    """(text, context, _about, c): the candidates of each different text and context that has any; written once, so that Spark knows how many there are."""
+    both = F.concat(F.filter(F.array(*_direct()), lambda c: c.isNotNull()), F.flatten(F.filter(F.array(*_extracted()), lambda c: c.isNotNull())))
+    worth = C.once(rows.select("text", "context", F.lower("text").alias("_lower"), C.normalised("text").alias("_plain")), "_lower", "_plain").where(_worth())
+    read = _read(worth.select("text", "context").distinct()).select("text", "context", "_about", both.alias("_c"))
+    return staged(C.once(read, "_c").where(F.size("_c") > 0), "extraction-readings")
+
+
 def value_text() -> Column:
     return F.coalesce(F.array_join(F.transform("value_list", lambda x: C.number_text(x)), " / "), C.number_text("value_num"), F.col("value_str"))
 
@@ -360,10 +380,14 @@ def _deduplicated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def candidates(statement_rows: DataFrame) -> DataFrame:
-    """Rule candidates of requirement statements, the first of each target, parameter, operator and value of a document."""
-    both = F.concat(F.filter(F.array(*_direct()), lambda c: c.isNotNull()), F.flatten(F.filter(F.array(*_extracted()), lambda c: c.isNotNull())))
-    rows = _read(statement_rows.where("fragment_type = 'requirement' and statement_type not in ('note', 'example')"))
-    rows = rows.select("source_document", "section_ix", "number", "fragment_ix", "statement_ix", "text", "_about", "modality", F.posexplode(both).alias("place", "c")).select("*", "c.*").drop("c")
+    """Rule candidates of requirement statements, the first of each target, parameter, operator and value of a document.
+
+    Each different statement is read once, whatever the number of documents that hold it.
+    """
+    rows = statement_rows.where("fragment_type = 'requirement' and statement_type not in ('note', 'example')")
+    found = _readings(rows).withColumnsRenamed({"text": "_t", "context": "_x"})
+    rows = rows.join(found, (F.col("text") == F.col("_t")) & F.col("context").eqNullSafe(F.col("_x")))
+    rows = rows.select("source_document", "section_ix", "number", "fragment_ix", "statement_ix", "text", "_about", "modality", F.posexplode("_c").alias("place", "c")).select("*", "c.*").drop("c")
     target = F.coalesce("own_target", target_of(F.col("parameter")))
     supported = F.col("parameter").isin(*SUPPORTED)
     rows = rows.withColumn("target", target).withColumn("status", F.when(~supported, "unsupported").otherwise(F.coalesce("own_status", F.when(target.isNull(), "needs_review").otherwise("extracted"))))
@@ -377,7 +401,8 @@ def structural_candidates(statement_rows: DataFrame, longest: int = 1200) -> Dat
     rows = statement_rows.where("fragment_type = 'requirement'")
     parts = rows.groupBy("source_document", "number").agg(F.min("section_ix").alias("section_ix"), F.sort_array(F.collect_list(F.struct("section_ix", "fragment_ix", "statement_ix", "text", "modality"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["text"]), " ")
-    parts = parts.select("source_document", "number", "section_ix", text.alias("full"), C.normalised(text).alias("text"), F.transform("s", lambda x: C.normalised(x["text"])).alias("each"), F.get(F.filter(F.transform("s", lambda x: x["modality"]), lambda m: m.isNotNull()), F.lit(0)).alias("modality"))
+    parts = parts.select("source_document", "number", "section_ix", text.alias("full"), C.normalised(text).alias("text"), "s", F.get(F.filter(F.transform("s", lambda x: x["modality"]), lambda m: m.isNotNull()), F.lit(0)).alias("modality"))
+    parts = C.once(parts, "full", "text").where(_any(F.col("text"), STRUCTURAL_WORDS))
     t = F.col("text")
     made = lambda cond, parameter, target, value, modality, confidence: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(parameter).alias("parameter"), F.lit(target).alias("target"), (value if isinstance(value, Column) else F.lit(value)).cast("string").alias("value_str"), F.lit(modality).cast("string").alias("own"), F.lit(confidence).alias("confidence")))
     out = []
@@ -386,18 +411,19 @@ def structural_candidates(statement_rows: DataFrame, longest: int = 1200) -> Dat
         for g in groups:
             cond = cond & _any(t, g)
         out.append(made(cond & ~_any(t, banned) if banned else cond, parameter, target, value, modality, confidence))
-    intro = t.contains("имеет следующую структуру") | t.contains("следующие структурные части") | t.rlike(r"состав\w*.{0,80}(?:работ|диссертац|вкр|курсов)") | t.rlike(r"(?:работа|диссертац\w*|вкр).{0,40}состоит")
+    intro = t.contains("имеет следующую структуру") | t.contains("следующие структурные части") | (t.contains("состав") & t.rlike(r"состав\w*.{0,80}(?:работ|диссертац|вкр|курсов)")) | (t.contains("состоит") & t.rlike(r"(?:работа|диссертац\w*|вкр).{0,40}состоит"))
     named = F.array(*map(F.lit, STRUCTURE_ELEMENTS))  # in the order in which the statements name them
-    elements = F.array_join(F.array_distinct(F.flatten(F.transform("each", lambda x: F.filter(named, lambda e: F.contains(x, e))))), "; ")
-    out.append(made(intro & _any(t, ("структур", "состав")) & _any(t, ("включ", "состоит")) & ~t.contains("библиографическое описание") & (elements != ""), "required_document_structure", "document", elements, None, 0.7))
+    elements = F.array_join(F.array_distinct(F.flatten(F.transform("s", lambda x: F.filter(named, lambda e: F.contains(C.normalised(x["text"]), e))))), "; ")
+    out.append(made(_any(t, ("структур", "состав")) & _any(t, ("включ", "состоит")) & intro & ~t.contains("библиографическое описание") & (elements != ""), "required_document_structure", "document", elements, None, 0.7))
     items = F.array_join(F.filter(F.array(F.when(t.contains("актуальност"), "обоснование актуальности"), F.when(t.contains("цел") & t.contains("задач"), "цели и задачи"), F.when(t.contains("объект") & t.contains("предмет"), "объект и предмет")), lambda e: e.isNotNull()), "; ")
     out.append(made(t.contains("введени") & (items != ""), "introduction_required_content", "document", items, None, 0.68))
-    least = C.first_match(t, LEAST_REFERENCES, 1)
+    least = F.when(t.contains("источник"), C.first_match(t, LEAST_REFERENCES, 1))
     out.append(made(least.isNotNull(), "references_min_count", "document", least, "mandatory", 0.78))
     volume = VOLUME
     volumes = F.array_join(F.transform(F.regexp_extract_all("full", F.lit(volume), F.lit(0)), lambda x: F.concat(F.trim(F.regexp_extract(x, volume, 1)), F.lit(": "), F.regexp_extract(x, volume, 2), F.lit("-"), F.regexp_extract(x, volume, 3))), "; ")
-    out.append(made(volumes != "", "recommended_work_volume", "document", volumes, "recommended", 0.68))
-    each = parts.select("source_document", "section_ix", "number", "full", "modality", F.posexplode(F.filter(F.array(*out), lambda c: c.isNotNull())).alias("place", "c")).select("*", "c.*").drop("c")
+    out.append(made(t.contains("страниц") & (volumes != ""), "recommended_work_volume", "document", volumes, "recommended", 0.68))
+    made = C.once(parts.select("source_document", "section_ix", "number", "full", "modality", F.array(*out).alias("_c")), "_c")
+    each = made.select("source_document", "section_ix", "number", "full", "modality", F.posexplode(F.filter("_c", lambda c: c.isNotNull())).alias("place", "c")).select("*", "c.*").drop("c")
     none = F.lit(None)
     return each.select("source_document", "section_ix", F.lit(0).alias("fragment_ix"), F.lit(0).alias("statement_ix"), (F.col("place") + 1000).alias("place"), "target", "parameter", F.lit("equals").alias("operator"), none.cast("double").alias("value_num"), "value_str", none.cast("array<double>").alias("value_list"), F.col("value_str").alias("value_text"), none.cast("string").alias("unit"), F.coalesce("own", "modality", F.lit("unknown")).alias("modality"), F.left("full", F.lit(longest)).alias("source_text"), F.col("number").alias("source_section"), "confidence", F.when(F.col("parameter").isin(*UNCHECKED), "unsupported").otherwise("extracted").alias("status"), none.cast("double").alias("delta"))
 
@@ -440,10 +466,10 @@ def without_subsets(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
     return rows.join(gone, same, "left_anti")
 
 
-def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
+def verified(rows: DataFrame, least: float = 0.6, partitions: int | None = None) -> DataFrame:
     """Confidence by sanity of values, target and modality; duplicates and subsets removed; conflicts marked.
 
-    The rows are written once before the subsets are looked for, as that reads them in several branches.
+    The rows are written once before the subsets are looked for, as that reads them in several branches; by document in so many partitions, if they are given.
     """
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for p, (a, b) in SANITY.items():
@@ -458,7 +484,8 @@ def verified(rows: DataFrame, least: float = 0.6) -> DataFrame:
     rows = rows.withColumn("status", F.when((F.col("status") == "extracted") & (outside | (F.col("confidence") < least)), "needs_review").otherwise(F.col("status")))
     slot = ("source_document", "target", "parameter", "operator", "modality")
     best = F.row_number().over(Window.partitionBy(*slot, "value_text").orderBy(F.desc(F.coalesce(F.size("value_list"), F.lit(0))), F.desc("confidence"), "section_ix", "fragment_ix", "statement_ix", "place"))
-    rows = staged(rows.withColumn("_b", best).where("_b = 1").drop("_b", "_outside", "_edge"), "extraction-candidates")
+    rows = rows.withColumn("_b", best).where("_b = 1").drop("_b", "_outside", "_edge")
+    rows = staged(rows, "extraction-candidates") if partitions is None else staged_by(rows, "extraction-candidates", "source_document", partitions)
     rows = without_subsets(rows, slot)
     many = F.size(F.collect_set(F.when((F.col("operator") == "equals") & (F.col("status") != "unsupported"), F.col("value_text"))).over(Window.partitionBy("source_document", "target", "parameter"))) > 1
     return rows.withColumn("_many", many).withColumn("status", F.when(F.col("_many") & (F.col("operator") == "equals") & (F.col("status") != "unsupported") & F.col("target").isNotNull(), "conflict").otherwise(F.col("status"))).drop("_many")
@@ -474,9 +501,12 @@ def page_blocks(blocks: DataFrame) -> DataFrame:
 
 def extracted(blocks: DataFrame) -> DataFrame:
     """Regulation blocks to verified candidates; id names a candidate inside its document. Blocks with page_number are rows of pages."""
+    partitions = partitions_of(blocks.count())  # blocks are dealt by document once, and what is written stays so
+    blocks = blocks.repartition(partitions, "source_document")
     typed = page_blocks(blocks) if "page_number" in blocks.columns else typed_blocks(blocks)
-    rows = staged(statements(fragments(sections(typed))), "extraction-statements")  # two branches read them
-    every = verified(with_modality(candidates(rows).unionByName(structural_candidates(rows))))
+    found = staged_by(sections(typed), "extraction-sections", "source_document", partitions)  # lines and notes are read from them
+    rows = staged_by(statements(fragments(found)), "extraction-statements", "source_document", partitions)  # two branches read them
+    every = verified(with_modality(candidates(rows).unionByName(structural_candidates(rows))), partitions=partitions)
     return every.withColumn("id", F.concat_ws("-", "section_ix", "fragment_ix", "statement_ix", "place", "parameter", "operator"))
 
 
